@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -45,6 +45,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(docs: DataFrame, *own: str) -> Column:
+    """The row as a struct named row, without columns that the operator itself will return (its names win)."""
+    return F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(docs.columns) if c not in own], F.lit(0).alias("_none")).alias("row")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; row i is bytes[offsets[i]:offsets[i+1]], null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, suffix_dedup
+from . import decontaminate, line_dedup, mixing, simhash, suffix_dedup
+from .sql import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +19,29 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_table(spark, sf_dir, "pages"), line_dedup.page_text(F.col("html")), line_dedup.site_of(F.col("url")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", F.round("leaf_budget", 3).alias("leaf_budget"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
-
-ORACLES: dict[str, str] = {}
