@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,12 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shipped(spark: SparkSession, model: object) -> Callable[[], object]:
+    """A function that returns ``model`` inside tasks; it is sent to each executor once, its class included."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)
+
+
 def carried(docs: DataFrame, *own: str) -> Column:
     """The row as a struct named row, without columns that the operator itself will return (its names win)."""
     return F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(docs.columns) if c not in own], F.lit(0).alias("_none")).alias("row")

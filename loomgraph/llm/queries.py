@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, simhash, suffix_dedup
+from . import chat, decontaminate, langid, line_dedup, mixing, rp_forest, simhash, suffix_dedup
 from .sql import ORACLES
 
 
@@ -15,16 +17,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.drop("lang"), model).drop("text")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def _chat_digest(frames):
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for f in frames:
+        out = []
+        for conv_id, formatted, spans in zip(f.conv_id, f.formatted, f.spans, strict=True):
+            turns = chat.parse(formatted)
+            loss = "".join(chat.unescape(formatted[s["text_start"] : s["text_end"]]) for s in spans if s["role"] == "assistant")
+            out.append((conv_id, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), len(formatted)))
+        made = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield made.astype({"conv_id": "Int64"})
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return chat.format_chats(rows).mapInPandas(_chat_digest, kinds)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_table(spark, sf_dir, "pages"), line_dedup.page_text(F.col("html")), line_dedup.site_of(F.col("url")))
 
@@ -39,8 +71,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_decontaminate": op4_decontaminate,
+    "op5_embedding_forest": op5_embedding_forest,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
