@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, rp_forest, simhash, suffix_dedup
+from . import chat, decontaminate, gru_lm, langid, line_dedup, mixing, rp_forest, simhash, suffix_dedup, token_output
 from .sql import ORACLES
 
 
@@ -57,10 +58,20 @@ def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block")
+    return gru_lm.score_documents(docs.select("doc_id", "text", split))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_table(spark, sf_dir, "pages"), line_dedup.page_text(F.col("html")), line_dedup.site_of(F.col("url")))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_decontaminate": op4_decontaminate,
     "op5_embedding_forest": op5_embedding_forest,
+    "op6_gru_scoring": op6_gru_scoring,
     "op7_line_dedup": op7_line_dedup,
+    "op8_token_output": op8_token_output,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
