@@ -15,20 +15,23 @@ from .common import Scratch, carried
 
 # Fixed by the word definition: ASCII other than digits and letters separates words; A-Z count as a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_CHARS = 64_000_000  # characters of all windows up to which they, and words from them, go to every executor
 
 
 def words(text: Column) -> Column:
-    """Words of a text. lower() serves unless the text has a character other than ASCII and small Latin-1 letters."""
-    simple = ~text.rlike("[^\\x00-\\x7F\\xDF-\\xF6\\xF8-\\xFF]")
-    found = F.split(F.when(simple, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SEPARATORS)
-    return F.filter(found, lambda w: w != "")
+    """Words of a text, with an empty one before or after them where it begins or ends with a separator.
+
+    lower() serves unless the text has a character other than ASCII and small Latin-1 letters.
+    """
+    simple = (F.length(text) == F.octet_length(text)) | ~text.rlike("[^\\x00-\\x7F\\xDF-\\xF6\\xF8-\\xFF]")
+    return F.split(F.when(simple, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SEPARATORS)
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(item_id, win, words) with one row per window of an item that has words."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where("size(w) > 0")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.array_remove(words(F.col("text").cast("string")), "").alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("words")).distinct()
 
@@ -69,7 +72,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
         lambda s, x: F.struct(F.greatest(s.end, x.first + x.len).alias("end"), (s.n + F.greatest(F.lit(0), x.first + x.len - F.greatest(s.end, x.first))).alias("n")),
     ).n
     hits = hits.select("rid", "rid2", covered.alias("n_hit"), "items")
-    rows = parsed.select("row", F.size("w").cast("long").alias("n_words"), F.xxhash64("row.doc_id", "row.text").alias("rid"), F.xxhash64("row.text").alias("rid2"))
+    n_words = F.coalesce(F.regexp_count(F.col("row.text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = parsed.select("row", n_words.alias("n_words"), F.xxhash64("row.doc_id", "row.text").alias("rid"), F.xxhash64("row.text").alias("rid2"))
     out = rows.join(hits, ["rid", "rid2"], "left").select(
         *[F.col(f"row.`{c}`").alias(c) for c in dict.fromkeys(docs.columns) if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")],
         "n_words",

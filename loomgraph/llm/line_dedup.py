@@ -59,13 +59,13 @@ def remove_boilerplate(pages: DataFrame, text: Column, site: Column, key: str =
     lines stay and are never boilerplate. Repeated rows count their site once. Input columns other than those named are ignored.
     """
     base = pages.select(F.col(key).alias("key"), site.alias("site"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
-    base = Scratch(pages.sparkSession, "pages").save(base.withColumn("rid", F.xxhash64("key", "site", "lines")), "lines")
-    at = base.select("rid", "site", F.explode("lines").alias("line")).select("rid", "site", line_key(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
-    at = at.select("rid", "site", F.xxhash64("line").alias("h"))
+    hashed = F.transform("lines", lambda x: F.when(F.length(line_key(x)) >= min_chars, F.xxhash64(line_key(x))))
+    base = Scratch(pages.sparkSession, "pages").save(base.withColumn("rid", F.xxhash64("key", "site", "lines")).withColumn("hashes", hashed), "lines")
+    at = base.select("rid", "site", F.explode("hashes").alias("h")).where("h is not null")
     common = boilerplate_lines(at.select("h", "site"), min_sites)
     gone = at.select("rid", "h").join(common.select("h"), "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("gone"))
     joined = base.join(gone, "rid", "left")
-    stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("gone", F.xxhash64(line_key(x))), F.lit(False)) | (F.length(line_key(x)) < min_chars))
+    stays = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", F.get("hashes", i)), F.lit(False)))
     joined = joined.withColumn("stay", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays))
     return joined.select(
         F.col("key").alias(key), "site",
