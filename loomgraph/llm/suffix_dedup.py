@@ -4,8 +4,8 @@ A suffix enters the index where it starts with the smallest 64-byte fingerprint
 depends on the window's bytes alone, so two equal windows enter with equal suffixes, and each window belongs to exactly one
 entry: an entry covers the run of consecutive windows which chose it. Batches become sorted arrays of entries; a
 batch is merge-scanned against every level of the family, and levels of equal rank merge into the next rank. What
-matches is a key seen twice: entries of equal bytes repeat as a whole, the windows of the others are compared one by
-one through two independent 64-bit fingerprints.
+matches is a key seen twice: entries of equal bytes repeat as a whole; the bytes of the others are brought together by key and their
+windows compared one by one through two independent 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_buffers
+from .common import Scratch, as_bytes, text_buffers
 
 ANCHOR = 64  # bytes fingerprinted at an entry
 PIECE = 1 << 20  # bytes handled at once; longer texts are cut into pieces that overlap by a window less one byte
+BUCKET = 4096  # runs of bytes compared in one task, on average
 _PLACE = np.uint64(PIECE - 1)
 
 
@@ -133,7 +134,7 @@ def entries(docs: DataFrame, window: int, batches: int) -> DataFrame:
 
 
 class SuffixIndexFamily:
-    """Levels of suffix arrays: each holds its keys in order, with the smallest and largest fingerprint of their runs.
+    """Levels of suffix arrays: each holds its keys in order, and how often they occur.
 
     ``add`` takes a batch of entries, returns the keys it shares with itself or with what came before, and keeps the family
     logarithmic: two levels of one rank become one of the next. At most one level of a rank is left at any time.
@@ -147,23 +148,17 @@ class SuffixIndexFamily:
         name = f"level{self.made}"
         return name, self.scratch.save(df.sortWithinPartitions("key"), name)
 
-    @staticmethod
-    def _merged(df: DataFrame) -> DataFrame:
-        return df.groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-
     def add(self, batch: DataFrame) -> DataFrame:
-        own = batch.groupBy("key").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
-        name, array = self._save(own)
-        hits = array.where("n > 1").select("key", "low", "high")
+        name, array = self._save(batch.groupBy("key").agg(F.count("*").cast("int").alias("n")))
+        hits = array.where("n > 1").select("key")
         for _, level in self.levels.values():
-            old = level.select("key", F.col("low").alias("low0"), F.col("high").alias("high0"))
-            hits = hits.unionByName(array.join(old, "key").select("key", F.least("low", "low0").alias("low"), F.greatest("high", "high0").alias("high")))
+            hits = hits.unionByName(array.join(level.select("key"), "key", "left_semi").select("key"))
         self.made += 1
-        hits = self.scratch.save(hits, f"hits{self.made}")
+        hits = self.scratch.save(hits.distinct(), f"hits{self.made}")
         rank = 0
         while rank in self.levels:
             other, level = self.levels.pop(rank)
-            merged = self._save(self._merged(array.unionByName(level)))
+            merged = self._save(array.unionByName(level).groupBy("key").agg(F.sum("n").cast("int").alias("n")))
             self.scratch.drop(other)
             self.scratch.drop(name)
             (name, array), rank = merged, rank + 1
@@ -171,32 +166,90 @@ class SuffixIndexFamily:
         return hits
 
 
-def _windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, rid, start, alone) for every window of the runs ``runs(rid, runs[])``."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, size, packed): texts compressed one by one, as they are to be dealt out twice."""
 
     def run(parts):
-        one, two = _roll(1), _roll(2)
+        codec = pa.Codec("zstd")
         for b in parts:
-            data, offsets = text_buffers(b.column(1))
-            rid, lists = b.column(0).to_numpy(), b.column(2).to_pylist()
-            for i, spans in enumerate(lists):
-                text, out = data[offsets[i] : offsets[i + 1]], [[], [], [], []]
+            texts = as_bytes(b.column(2))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int32()), pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], names=["rid", "doc_id", "size", "packed"])
+
+    return docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "rid long, doc_id long, size int, packed binary")
+
+
+def _unpacked(sizes: pa.Array, packed: pa.Array):
+    codec = pa.Codec("zstd")
+    for n, z in zip(sizes.to_pylist(), packed.to_pylist(), strict=True):
+        yield codec.decompress(z, n, asbytes=True) if n else b""
+
+
+def _snippets(packed: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """(bucket, rid, start, alone, bytes) for every run in ``runs(rid, runs[])``."""
+
+    def run(parts):
+        for b in parts:
+            out = [], [], [], [], []
+            for rid, text, spans in zip(b.column(0).to_pylist(), _unpacked(b.column(1), b.column(2)), b.column(3).to_pylist(), strict=True):
                 for x in spans:
-                    for p in range(x["start"], x["start"] + x["windows"], PIECE // 2):
-                        part = text[p : min(p + PIECE // 2, x["start"] + x["windows"]) + window - 1]
-                        made = len(part) - window + 1
-                        out[0].append(one.grams(one.sums(part), window))
-                        out[1].append(two.grams(two.sums(part), window))
-                        out[2].append(np.arange(p, p + made))
-                        out[3].append(np.full(made, x["alone"]))
-                w1, w2, s, alone = map(np.concatenate, out)
-                yield pa.record_batch([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(s), rid[i])), pa.array(s), pa.array(alone)], names=["w1", "w2", "rid", "start", "alone"])
+                    for k, v in zip(out, (x["bucket"], rid, x["start"], x["alone"], text[x["start"] : x["start"] + x["windows"] + window - 1]), strict=True):
+                        k.append(v)
+            yield pa.record_batch([pa.array(k, t) for k, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "rid", "start", "alone", "bytes"])
+
+    joined = packed.join(runs.hint("shuffle_hash"), "rid").select("rid", "size", "packed", "runs")
+    return joined.mapInArrow(run, "bucket long, rid long, start long, alone boolean, bytes binary")
+
+
+def _snippet_windows(data: np.ndarray, offsets: np.ndarray, window: int):
+    """(snippet, first byte in it, two fingerprints) of the windows of snippets."""
+    one, two, i, out = _roll(1), _roll(2), 0, []
+    while i < len(offsets) - 1:
+        j = max(int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1, i + 1)
+        part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
+        sizes = np.diff(offsets[i : j + 1])
+        owner, place = np.repeat(np.arange(i, j), sizes), np.arange(len(part))
+        fits = np.flatnonzero(np.repeat(ends, sizes) - place >= window)
+        w1, w2 = one.grams(one.sums(part), window), two.grams(two.sums(part), window)
+        out.append((owner[fits], fits - (offsets[owner[fits]] - offsets[i]), w1[fits], w2[fits]))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else None
+
+
+def _repeated_in_bucket(window: int):
+    def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rid, start, alone = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "start", "alone"))
+        snippet, at, w1, w2 = _snippet_windows(*text_buffers(table.column("bytes")), window)
+        order = np.lexsort((w2, w1))
+        same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+        twice = np.zeros(len(order), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        k = np.flatnonzero(twice & alone[snippet])
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (snippet[k][1:] != snippet[k][:-1]) | (at[k][1:] != at[k][:-1] + 1)
+        first = np.flatnonzero(fresh)
+        count = np.diff(np.append(first, len(k)))
+        return pa.table({"rid": rid[snippet[k[first]]], "start": start[snippet[k[first]]] + at[k[first]], "size": pa.array(count + window - 1, pa.int64())})
+
+    return find
+
 
-    joined = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "text", "runs")
-    return joined.mapInArrow(run, "w1 long, w2 long, rid long, start long, alone boolean")
+def _windows(snippets: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, rid, start, alone) for every window of snippets, a row each."""
 
+    def run(parts):
+        for b in parts:
+            if (found := _snippet_windows(*text_buffers(b.column(4)), window)) is None:
+                continue
+            snippet, at, w1, w2 = found
+            rid, start, alone = (b.column(k).to_numpy(zero_copy_only=False)[snippet] for k in (1, 2, 3))
+            yield pa.record_batch([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(rid), pa.array(start + at), pa.array(alone)], names=["w1", "w2", "rid", "start", "alone"])
+
+    return snippets.mapInArrow(run, "w1 long, w2 long, rid long, start long, alone boolean")
 
-def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 4) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 2) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``, the bytes that remain.
 
     Every byte covered by a ``window``-byte string that also starts elsewhere is removed, in all its places; strings are
@@ -209,29 +262,35 @@ def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 4) -> Data
     runs = scratch.save(entries(docs, window, batches), "entries", ["batch"])
     family, hits = SuffixIndexFamily(scratch), None
     for k in range(batches):
-        found = family.add(runs.where(F.pmod("batch", F.lit(batches)) == k))
+        found = family.add(runs.where(F.col("batch") == k))
         hits = found if hits is None else hits.unionByName(found)
-    keys = hits.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("key", (F.col("low") != F.col("high")).alias("mixed"))
-    repeated = scratch.save(runs.drop("batch").join(keys, "key"), "repeated")
+    repeated = scratch.save(runs.drop("batch").join(hits.distinct(), "key", "left_semi"), "repeated")
     scratch.drop("entries")
-    classes = scratch.save(repeated.where("mixed").groupBy("key", "run").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "windows")).alias("one")), "classes")
-    whole = repeated.where("not mixed").unionByName(repeated.where("mixed").join(classes.where("n > 1").select("key", "run"), ["key", "run"], "left_semi").select(*repeated.columns))
-    spans = whole.select("rid", "start", (F.col("windows") + (window - 1)).alias("size"))
-    checked = classes.select("one.*", (F.col("n") == 1).alias("alone")).groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "alone")).alias("runs"))
-    windows = scratch.save(_windows(docs, checked, window), "windows")
+    classes = scratch.save(repeated.groupBy("key", "run").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "windows")).alias("one")), "classes")
+    spans = repeated.join(classes.where("n > 1").select("key", "run"), ["key", "run"], "left_semi").select("rid", "start", (F.col("windows") + (window - 1)).cast("long").alias("size"))
+    # Entries of one key but different bytes: their bytes meet in buckets. A key with more of them than a bucket should hold
+    # has its windows dealt out one by one instead.
+    kinds = scratch.save(classes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    buckets = int((kinds.agg(F.sum("kinds")).first()[0] or 0) // BUCKET) + 1
+    bucket = F.when(F.col("kinds") > 4 * BUCKET, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("long").alias("bucket")
+    mixed = classes.join(kinds, "key").select("one.*", (F.col("n") == 1).alias("alone"), bucket)
+    mixed = mixed.groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "alone", "bucket")).alias("runs"))
+    packed = _packed(docs)
+    snippets = scratch.save(_snippets(packed, mixed, window), "snippets")
+    spans = spans.unionByName(snippets.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeated_in_bucket(window), "rid long, start long, size long"))
+    windows = _windows(snippets.where("bucket = -1"), window)
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    spans = spans.unionByName(windows.where("alone").join(twice, ["w1", "w2"], "left_semi").select("rid", "start", F.lit(window).alias("size")))
+    spans = spans.unionByName(windows.where("alone").join(twice, ["w1", "w2"], "left_semi").select("rid", "start", F.lit(window).cast("long").alias("size")))
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
     def cut(parts):
         for b in parts:
-            data, offsets = text_buffers(b.column(1))
-            lists = b.column(2)
+            lists = b.column(3)
             at, flat = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]), lists.flatten()
             start, size = flat.field("start").to_numpy(), flat.field("size").to_numpy()
             out = [[], [], [], [], []]
-            for i in range(len(b)):
-                text = data[offsets[i] : offsets[i + 1]]
+            for i, raw in enumerate(_unpacked(b.column(1), b.column(2))):
+                text = np.frombuffer(raw, np.uint8)
                 s, z = start[at[i] : at[i + 1]], size[at[i] : at[i + 1]]
                 if len(s):
                     step = np.zeros(len(text) + 1, np.int64)
@@ -245,5 +304,5 @@ def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 4) -> Data
                     x.append(v)
             yield pa.record_batch([b.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.join(spans.hint("shuffle_hash"), "rid", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = packed.join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "size", "packed", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
