@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, carried
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 LEVELS = ("domain", "lang", "source")
 # Target weights of the domains; a domain's languages share by LANG_WEIGHTS (others 1), sources alike.
 DOMAIN_WEIGHTS = {"web": 5.0, "reference": 3.0, "other": 2.0}
