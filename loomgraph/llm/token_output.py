@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+FILES = "part int, seq int, n_ids long, segment binary"
 BLOCK, LANES, SEGMENT = 2048, 1024, 1 << 18
 MAGIC, NULL_ID, END = b"AMRC", -(1 << 63), 2
 _NODES, _STEP, _SLOTS = 1 + 16 + 256 + 4096, 8, 4096
@@ -255,12 +256,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(partitions, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
-    dealt.select("doc_id", "text").mapInArrow(run, "part int, seq int, n_ids long, segment binary").write.mode("overwrite").parquet(path)
+    dealt.select("doc_id", "text").mapInArrow(run, FILES).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in files that ``write_tokens`` has written."""
-    files = spark.read.parquet(path)
+    files = spark.read.schema(FILES).parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per task that wrote
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
