@@ -25,6 +25,7 @@ from .common import Scratch
 
 FILES = "part int, seq int, n_ids long, segment binary"
 BLOCK, LANES, SEGMENT = 2048, 1024, 1 << 18
+ROWS = 2048  # documents tokenized at once
 MAGIC, NULL_ID, END = b"AMRC", -(1 << 63), 2
 _NODES, _STEP, _SLOTS = 1 + 16 + 256 + 4096, 8, 4096
 _MASK, _LOW = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
@@ -247,7 +248,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
         from tokenizers import Tokenizer
 
         tokenizer, part, seq = Tokenizer.from_file(tokenizer_path), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             sizes, ids = token_ids(b.column(1), tokenizer)
             made = pack(b.column(0).fill_null(NULL_ID).to_numpy(), sizes, ids)
             for n, segment in made:
@@ -268,7 +269,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(before, "part").select("part", "seq", (F.col("inside") + F.col("ahead")).alias("first"))
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(k, 8) for b in batches for k in range(0, len(b), 8)):
             for k, (doc_ids, counts, ids) in enumerate(unpack(b.column(1).to_pylist())):
                 raw, ends = ids.astype("<u4"), np.cumsum(counts)
                 crc = [zlib.crc32(raw[e - c : e].tobytes()) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
