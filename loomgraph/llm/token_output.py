@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 FILES = "part int, seq int, n_ids long, segment binary"
-BLOCK, LANES, SEGMENT = 2048, 1024, 1 << 18
-ROWS = 2048  # documents tokenized at once
+BLOCK, LANES, SEGMENT = 2048, 768, 1 << 18
+ROWS = 1024  # documents tokenized at once
 MAGIC, NULL_ID, END = b"AMRC", -(1 << 63), 2
 _NODES, _STEP, _SLOTS = 1 + 16 + 256 + 4096, 8, 4096
+_SUMS = np.triu(np.ones((16, 16), np.float32))  # running sums as a product; exact, as all sums stay below 2**24
 _MASK, _LOW = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
 
 
@@ -53,13 +54,13 @@ class _Model:
     def weights(self, level: int) -> np.ndarray:
         """Cumulative weights of the 16 digits."""
         self.rows = self.base[: self.n] + self.node
-        w = self.counts[self.rows].astype(np.uint32)
+        w = self.counts.take(self.rows, axis=0).astype(np.float32)
         sums = None
         for k in (0, 1):
             if len(rows := self.alive[k]):
                 sums = w.sum(axis=1) if sums is None else sums
-                w[rows, self.guess[k][rows] >> (12 - 4 * level) & 15] += np.minimum(sums[rows] * self.odds[k][rows] + 1, 16000).astype(np.uint32)
-        return w.cumsum(axis=1, dtype=np.uint32)
+                w[rows, self.guess[k][rows] >> (12 - 4 * level) & 15] += np.floor(np.minimum(sums[rows] * self.odds[k][rows] + 1, 16000))
+        return (w @ _SUMS).astype(np.uint32)
 
     def learn(self, level: int, digit: np.ndarray) -> None:
         self.counts[self.rows, digit] += _STEP
@@ -102,12 +103,13 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
                 start = np.where(digit > 0, cum[lane, digit - 1], 0)
                 low[:n] += r * start
                 span[:n] = r * (cum[lane, digit] - start)
-                for k in np.flatnonzero(low[:n] >> np.uint64(48)):
-                    p = used[k] - 1
-                    while words[k, p] == 65535:
-                        words[k, p] = 0
-                        p -= 1
-                    words[k, p] += 1
+                k = np.flatnonzero(low[:n] >> np.uint64(48))
+                p = used[k]
+                while len(k):  # a carry goes on where a word overflows to zero
+                    p = p - 1
+                    words[k, p] += np.uint16(1)
+                    on = words[k, p] == 0
+                    k, p = k[on], p[on]
                 low[:n] &= _MASK
                 if len(k := np.flatnonzero(span[:n] < _LOW)):
                     words[k, used[k]] = (low[k] >> np.uint64(32)).astype(np.uint16)
@@ -269,7 +271,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(before, "part").select("part", "seq", (F.col("inside") + F.col("ahead")).alias("first"))
 
     def run(batches):
-        for b in (b.slice(k, 8) for b in batches for k in range(0, len(b), 8)):
+        for b in (b.slice(k, 5) for b in batches for k in range(0, len(b), 5)):
             for k, (doc_ids, counts, ids) in enumerate(unpack(b.column(1).to_pylist())):
                 raw, ends = ids.astype("<u4"), np.cumsum(counts)
                 crc = [zlib.crc32(raw[e - c : e].tobytes()) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
