@@ -281,3 +281,6 @@ SELECT status, count(DISTINCT job_id) AS jobs, count(*) AS refs, count(DISTINCT
 def queue_audit(t):
     jobs = t.raw("events").selectExpr("event_type AS status", "event_type||CAST(ts AS DATE) AS job_id", "get_json_object(props, '$.k') AS id")
     return catalog.queue_audit(jobs.groupBy("status", "job_id").agg(F.collect_list("id").alias("ids")))
+
+
+from . import more  # noqa: E402,F401  registers its queries here
