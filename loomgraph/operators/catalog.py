@@ -103,3 +103,35 @@ def queue_audit(jobs: DataFrame) -> DataFrame:
     """Per status: jobs, references, distinct ids, duplicates."""
     refs = jobs.select("status", "job_id", F.explode("ids").alias("id"))
     return refs.groupBy("status").agg(F.countDistinct("job_id").alias("jobs"), F.count("*").alias("refs"), F.countDistinct("id").alias("unique_ids")).withColumn("duplicates", F.col("refs") - F.col("unique_ids"))
+
+
+def url_list(rows: DataFrame, config: str) -> DataFrame:
+    """The http(s) addresses with a host in a list that commas and line breaks separate."""
+    urls = rows.withColumn("url", F.explode(F.split(config, "[,\\n]"))).withColumn("url", F.trim("url"))
+    return urls.where(F.col("url").rlike("^https?://[^/?#]+")).drop(config)
+
+
+def html_body(html: Column) -> Column:
+    """Text of a page without scripts, styles, navigation, headers and footers; blanks collapse."""
+    for tag in ("script", "style", "nav", "header", "footer"):
+        html = F.regexp_replace(html, f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(html, "(?s)<[^>]*>", " "), "[ \\t\\r\\n]+", " "))
+
+
+def text_to_document(title: Column, text: Column) -> Column:
+    return F.when(F.coalesce(F.trim(title), F.lit("")) != "", F.concat(F.lit("# "), F.trim(title), F.lit("\n\n"), F.coalesce(text, F.lit("")))).otherwise(F.coalesce(text, F.lit("")))
+
+
+def publish_revision(documents: DataFrame, staged: DataFrame) -> DataFrame:
+    """Documents with the values of complete ``staged(document_id, sha256, size_bytes, complete)`` rows; replaced marks them."""
+    new = staged.where("complete").select("document_id", F.col("sha256").alias("_h"), F.col("size_bytes").alias("_s"))
+    rows = documents.join(new, "document_id", "left")
+    return rows.select("document_id", F.coalesce("_h", "sha256").alias("sha256"), F.coalesce("_s", "size_bytes").alias("size_bytes"), F.col("_h").isNotNull().alias("replaced"))
+
+
+def revision_cleanup_guard(cleanup: DataFrame, documents: DataFrame) -> DataFrame:
+    """run where the document is gone, or still carries the new hash and no longer points at the old derived id; else skip."""
+    current = documents.select("document_id", F.col("sha256").alias("_h"), F.col("derived_id").alias("_d"), F.lit(True).alias("_known"))
+    rows = cleanup.join(current, "document_id", "left")
+    run = F.col("_known").isNull() | (F.col("_h").eqNullSafe(F.col("new_hash")) & ~F.col("_d").eqNullSafe(F.col("old_derived_id")))
+    return rows.select("document_id", F.when(run, "run").otherwise("skip").alias("action"))

@@ -74,3 +74,14 @@ def messages_page(messages: DataFrame, limit: int) -> DataFrame:
     page = top(messages, ["conv_id"], [F.desc("turn")], limit + 1)
     page = page.withColumn("has_more", F.max("rn").over(Window.partitionBy("conv_id")) > limit)
     return page.where(F.col("rn") <= limit).select("conv_id", "turn", "rn", "has_more")
+
+
+def node_detail(ids: DataFrame, events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Title and document of each event id; unknown ids keep nulls."""
+    found = ids.join(events.select("event_id", "title", "source_id"), "event_id", "left")
+    return found.join(documents.select(F.col("document_id").alias("source_id"), "filename"), "source_id", "left").select("event_id", "title", "filename")
+
+
+def exploration_list(sessions: DataFrame, steps: DataFrame) -> DataFrame:
+    counts = steps.groupBy("session_id").agg(F.count("*").alias("steps"))
+    return sessions.join(counts, "session_id", "left").select("session_id", F.coalesce("steps", F.lit(0)).alias("steps"))

@@ -96,3 +96,44 @@ def fuse(rows: DataFrame, k: int) -> DataFrame:
     kept = one.withColumn("any", F.max("signal").over(q)).withColumn("best", F.max("raw").over(q))
     kept = kept.where(F.when(F.col("any"), F.col("signal")).otherwise(F.col("raw") >= F.greatest(F.lit(0.35), 0.68 * F.col("best"))))
     return top(kept, ["query_id"], [F.desc(F.round("combined", 9)), F.desc("raw"), F.col("pos"), F.col("key")], k).select("query_id", "key", F.round("combined", 6).alias("combined"), "rn")
+
+
+def event_recall(title: DataFrame, content: DataFrame, limit: int) -> DataFrame:
+    """Events from neighbours by title (weight 1) and content (weight .95) of ``(query_id, id, score)``.
+
+    The better channel counts, both together add .03; what lies below max(.2, .55 best) of its query goes.
+    """
+    both = title.select("query_id", "id", F.col("score").alias("s"), F.lit(1).alias("bit")).unionByName(content.select("query_id", "id", (F.col("score") * 0.95).alias("s"), F.lit(2).alias("bit")))
+    best = both.groupBy("query_id", "id").agg(F.max("s").alias("s"), F.bit_or("bit").alias("bits"))
+    scored = best.withColumn("score", F.least(F.lit(1.0), F.col("s") + F.when(F.col("bits") == 3, 0.03).otherwise(0.0)))
+    floor = F.greatest(F.lit(0.2), 0.55 * F.max("score").over(Window.partitionBy("query_id")))
+    kept = scored.withColumn("floor", floor).where("score >= floor")
+    return top(kept, ["query_id"], [F.desc("score"), F.col("id")], limit).select("query_id", "id", F.round("score", 6).alias("score"), "rn")
+
+
+def search_with_fallback(precise: DataFrame, vector: DataFrame) -> DataFrame:
+    """Precise rows; vector rows of the queries that have none."""
+    rest = vector.join(precise.select("query_id").distinct(), "query_id", "left_anti")
+    return precise.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+
+
+def hyperedge_search(queries: DataFrame, entities: DataFrame, relations: DataFrame, k: int, cap: int = 1000) -> DataFrame:
+    """Events of the entities that ``queries(query_id, text)`` name, then events one shared entity away at half the score.
+
+    Entities of more than ``cap`` events are hubs and lead no further.
+    """
+    named = queries.select("query_id", F.lower("text").alias("normalized_name")).join(entities.select("normalized_name", "entity_id"), "normalized_name").select("query_id", "entity_id").distinct()
+    pairs = relations.groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    direct = pairs.join(named, "entity_id").groupBy("query_id", "event_id").agg(F.sum("w").alias("score"))
+    links = pairs.select("event_id", "entity_id")
+    small = links.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("entity_id")
+    reached = direct.join(links, "event_id").join(small, "entity_id", "left_semi").groupBy("query_id", "entity_id").agg((F.max("score") / 2).alias("score"))
+    near = reached.join(links, "entity_id").select("query_id", "event_id", "score")
+    found = direct.unionByName(near).groupBy("query_id", "event_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return top(found, ["query_id"], [F.desc("score"), F.col("event_id")], k)
+
+
+def candidate_sources(documents: DataFrame, k: int) -> DataFrame:
+    """The k sources with most chunks, then most events, then by id."""
+    sums = documents.groupBy("source_id").agg(F.sum("chunk_count").alias("chunks"), F.sum("event_count").alias("events"))
+    return sums.orderBy(F.desc("chunks"), F.desc("events"), "source_id").limit(k)

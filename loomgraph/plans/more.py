@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import VISIBLE
-from ..operators import explore, recall, relevance, work
+from ..operators import catalog, explore, recall, relevance, work
 from .registry import _BM25, _COS, AS_OF, _benchmark_queries, query
 
 _TERMS = "list_filter(regexp_extract_all(lower(trim(text)), '[a-z0-9][a-z0-9_.+-]{1,31}|[\\x{3400}-\\x{9fff}]{2,16}'), lambda t: NOT regexp_full_match(t, '[0-9]+'))"
@@ -215,3 +215,91 @@ def backfill_status(t):
 round(count(*) FILTER (ts > TIMESTAMP '2024-01-15') * 1440 / nullif(count(*) FILTER (ts <= TIMESTAMP '2024-01-15' AND ts > TIMESTAMP '2024-01-14'), 0), 3) AS eta FROM events GROUP BY 1""")
 def ingest_rates(t):
     return work.ingest_rates(t.raw("events").selectExpr("event_type AS source", "ts"), "2024-01-15 00:00:00", 1440)
+
+
+_CHANNEL = "SELECT a.vec_id AS query_id, {id} AS id, greatest(0.0, least(1.0, {cos})) AS score FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 100 = 0"
+
+
+@query(f"""WITH t AS (SELECT * FROM ({_CHANNEL.format(id="b.vec_id", cos=_COS)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 40),
+c AS (SELECT * FROM ({_CHANNEL.format(id="b.vec_id - 1", cos=_COS)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 40),
+m AS (SELECT query_id, id, max(s) AS s, count(*) AS n FROM (SELECT query_id, id, score AS s FROM t UNION ALL SELECT query_id, id, score * 0.95 FROM c) GROUP BY ALL),
+z AS (SELECT query_id, id, least(1.0, s + CASE WHEN n = 2 THEN 0.03 ELSE 0 END) AS score FROM m), f AS (SELECT *, greatest(0.2, 0.55 * max(score) OVER (PARTITION BY query_id)) AS floor FROM z)
+SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rn FROM f WHERE score >= floor QUALIFY rn <= 10""")
+def event_recall(t):
+    v = t.raw("embeddings").selectExpr("vec_id AS id", "embedding AS v")
+    q = v.where("id % 100 = 0").selectExpr("id AS query_id", "v AS q")
+    return recall.event_recall(recall.knn(q, v, 40), recall.knn(q, v.withColumn("id", F.col("id") - 1), 40), 10)
+
+
+_NAMED = "q AS (SELECT p_partkey AS query_id, lower(p_name) AS text FROM part WHERE p_partkey % 100 = 0)"
+
+
+@query(f"""WITH FIX, {_NAMED}, s AS (SELECT DISTINCT query_id, entity_id FROM q JOIN en ON normalized_name = text), {_PAIRS},
+d AS (SELECT query_id, event_id, sum(weight) AS score FROM p JOIN s USING (entity_id) GROUP BY ALL), g AS (SELECT entity_id FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 1000),
+r AS (SELECT query_id, entity_id, max(score) / 2 AS score FROM d JOIN p USING (event_id) WHERE entity_id IN (SELECT entity_id FROM g) GROUP BY ALL),
+a AS (SELECT query_id, event_id, round(max(score), 6) AS score FROM (SELECT * FROM d UNION ALL SELECT query_id, event_id, score FROM r JOIN p USING (entity_id)) GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS INT) AS rn FROM a QUALIFY rn <= 20""")
+def hyperedge_search(t):
+    queries = t.raw("part").where("p_partkey % 100 = 0").selectExpr("p_partkey AS query_id", "p_name AS text")
+    return recall.hyperedge_search(queries, t.entities(), t.relations(), 20)
+
+
+@query(f"""WITH FIX, {_BM25}, v AS (SELECT item_id AS query_id, item_id * 7 || '-0' AS chunk_id FROM benchmark), p AS (SELECT query_id, chunk_id FROM bm WHERE score > 0.99999 AND query_id % 2 = 0)
+SELECT *, FALSE AS fallback FROM p UNION ALL SELECT *, TRUE FROM v WHERE query_id NOT IN (SELECT query_id FROM p)""")
+def search_with_fallback(t):
+    precise = recall.bm25(_benchmark_queries(t), t.chunks(), 24).where("score > 0.99999 AND query_id % 2 = 0").select("query_id", "chunk_id")
+    return recall.search_with_fallback(precise, t.raw("benchmark").selectExpr("item_id AS query_id", "item_id * 7 || '-0' AS chunk_id"))
+
+
+@query("WITH FIX SELECT source_id, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(sum(event_count) AS BIGINT) AS events FROM doc GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 16")
+def candidate_sources(t):
+    return recall.candidate_sources(t.documents(), 16)
+
+
+@query("SELECT page_id, trim(u) AS url FROM (SELECT page_id, unnest(string_split(url || ', ftp://x/y,,' || chr(10) || url || '/a', ',')) AS u FROM pages) WHERE regexp_matches(trim(u, chr(10) || ' '), '^https?://[^/?#]+') AND NOT contains(u, chr(10)) UNION ALL SELECT page_id, url || '/a' FROM pages WHERE regexp_matches(url, '^https?://[^/?#]+')")
+def url_list(t):
+    rows = t.raw("pages").selectExpr("page_id", "url || ', ftp://x/y,,\\n' || url || '/a' AS config")
+    return catalog.url_list(rows, "config")
+
+
+def _without(tags: list[str]) -> str:
+    html = "html"
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    return html
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_without(['script', 'style', 'nav', 'header', 'footer'])}, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS body FROM pages")
+def html_bodies(t):
+    return t.raw("pages").select("page_id", catalog.html_body(F.col("html")).alias("body"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE '# ' || source || chr(10) || chr(10) || coalesce(text, '') END AS text FROM documents")
+def text_to_document(t):
+    return t.raw("documents").select("doc_id", catalog.text_to_document(F.expr("CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE source END"), F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id AS document_id, sha256(CASE WHEN doc_id % 6 = 0 THEN text || '!' ELSE text END) AS sha256, n_chars + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS size_bytes, doc_id % 6 = 0 AS replaced FROM documents")
+def publish_revision(t):
+    docs = t.raw("documents").selectExpr("doc_id AS document_id", "sha2(text, 256) AS sha256", "n_chars AS size_bytes")
+    staged = t.raw("documents").where("doc_id % 2 = 0").selectExpr("doc_id AS document_id", "sha2(text || '!', 256) AS sha256", "n_chars + 1 AS size_bytes", "doc_id % 3 = 0 AS complete")
+    return catalog.publish_revision(docs, staged)
+
+
+@query("SELECT doc_id AS document_id, CASE WHEN doc_id % 7 = 0 OR (doc_id % 2 = 0 AND doc_id % 3 <> 0) THEN 'run' ELSE 'skip' END AS action FROM documents")
+def revision_cleanup_guard(t):
+    docs = t.raw("documents")
+    cleanup = docs.selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 2 = 0 THEN sha2(source, 256) ELSE 'other' END AS new_hash", "'d' || doc_id AS old_derived_id")
+    current = docs.where("doc_id % 7 <> 0").selectExpr("doc_id AS document_id", "sha2(source, 256) AS sha256", "CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE 'e' || doc_id END AS derived_id")
+    return catalog.revision_cleanup_guard(cleanup, current)
+
+
+@query("WITH FIX, i AS (SELECT DISTINCT lpad(CAST(event_id * 3 AS STRING), 10, '0') AS event_id FROM events) SELECT event_id, title, filename FROM i LEFT JOIN ev USING (event_id) LEFT JOIN doc ON document_id = ev.source_id")
+def node_detail(t):
+    ids = t.raw("events").selectExpr("lpad(CAST(event_id * 3 AS STRING), 10, '0') AS event_id").distinct()
+    return explore.node_detail(ids, t.events(), t.documents())
+
+
+@query("SELECT c_custkey AS session_id, coalesce(n, 0) AS steps FROM customer LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = c_custkey")
+def exploration_list(t):
+    return explore.exploration_list(t.raw("customer").selectExpr("c_custkey AS session_id"), t.raw("conversations").withColumnRenamed("conv_id", "session_id"))
