@@ -85,3 +85,41 @@ def node_detail(ids: DataFrame, events: DataFrame, documents: DataFrame) -> Data
 def exploration_list(sessions: DataFrame, steps: DataFrame) -> DataFrame:
     counts = steps.groupBy("session_id").agg(F.count("*").alias("steps"))
     return sessions.join(counts, "session_id", "left").select("session_id", F.coalesce("steps", F.lit(0)).alias("steps"))
+
+
+def section_relations(scored: DataFrame, relations: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """Relations of the events of ``scored(query_id, event_id)`` with the query's k hottest entities (most rows, then name and id)."""
+    rows = relations.join(scored.select("query_id", "event_id").distinct(), "event_id").join(entities.select("entity_id", "name").distinct(), "entity_id")
+    heat = rows.groupBy("query_id", "entity_id", "name").agg(F.count("*").alias("heat"))
+    hot = top(heat, ["query_id"], [F.desc("heat"), F.col("name"), F.col("entity_id")], k).select("query_id", "entity_id", "heat")
+    return rows.select("query_id", "event_id", "entity_id", "id").join(hot, ["query_id", "entity_id"])
+
+
+def cover_entities(assoc: DataFrame, budget: int) -> DataFrame:
+    """Entities of each source chosen to cover its events: again and again the one with most events not yet covered.
+
+    Ties go by heat (number of events), name and id; when all are covered the rest of the budget goes by the same order. ``assoc``
+    (source_config_id, event_id, entity_id, name) is a slice of a bounded number of events and of entities per event.
+    """
+
+    def choose(rows):
+        import pandas as pd
+
+        events = rows.groupby("entity_id")["event_id"].agg(set).to_dict()
+        names = rows.groupby("entity_id")["name"].min().to_dict()
+        order = sorted(events, key=lambda e: (-len(events[e]), names[e], e))
+        left, chosen = set().union(*events.values()), []
+        while left and order and len(chosen) < budget:
+            best = max(order, key=lambda e: len(events[e] & left))  # the first of equals
+            chosen.append(best)
+            order.remove(best)
+            left -= events[best]
+        chosen += order[: budget - len(chosen)]
+        return pd.DataFrame({"source_config_id": rows["source_config_id"].iloc[0], "entity_id": chosen, "pos": range(len(chosen))})
+
+    return assoc.select("source_config_id", "event_id", "entity_id", "name").groupBy("source_config_id").applyInPandas(choose, "source_config_id string, entity_id string, pos int")
+
+
+def get_chunks(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks by (source, id); unknown ids drop out."""
+    return chunks.join(ids.distinct(), ["source_config_id", "chunk_id"], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import VISIBLE
-from ..operators import catalog, explore, recall, relevance, work
+from ..operators import catalog, chunking, explore, recall, relevance, work
 from .registry import _BM25, _COS, AS_OF, _benchmark_queries, query
 
 _TERMS = "list_filter(regexp_extract_all(lower(trim(text)), '[a-z0-9][a-z0-9_.+-]{1,31}|[\\x{3400}-\\x{9fff}]{2,16}'), lambda t: NOT regexp_full_match(t, '[0-9]+'))"
@@ -303,3 +303,34 @@ def node_detail(t):
 @query("SELECT c_custkey AS session_id, coalesce(n, 0) AS steps FROM customer LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = c_custkey")
 def exploration_list(t):
     return explore.exploration_list(t.raw("customer").selectExpr("c_custkey AS session_id"), t.raw("conversations").withColumnRenamed("conv_id", "session_id"))
+
+
+@query("""WITH FIX, s AS (SELECT DISTINCT user_id AS query_id, lpad(CAST(event_id AS STRING), 10, '0') AS event_id FROM events),
+r AS (SELECT query_id, event_id, entity_id, id, name FROM ee JOIN s USING (event_id) JOIN (SELECT DISTINCT entity_id, name FROM en) USING (entity_id)),
+h AS (SELECT query_id, entity_id, count(*) AS heat FROM r GROUP BY query_id, entity_id, name QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, name, entity_id) <= 12)
+SELECT query_id, event_id, entity_id, id, heat FROM r JOIN h USING (query_id, entity_id)""")
+def section_relations(t):
+    scored = t.raw("events").selectExpr("user_id AS query_id", "lpad(CAST(event_id AS STRING), 10, '0') AS event_id")
+    return explore.section_relations(scored, t.relations(), t.entities(), 12)
+
+
+@query("WITH FIX SELECT source_config_id, chunk_id, content FROM ch WHERE rank = 1 AND doc_id IN (SELECT event_id * 2 FROM events)")
+def get_chunks(t):
+    ids = t.raw("events").selectExpr("event_id * 2 AS doc_id").join(t.raw("documents").select("doc_id", F.col("source").alias("source_config_id")), "doc_id")
+    return explore.get_chunks(ids.selectExpr("source_config_id", "doc_id||'-1' AS chunk_id"), t.chunks()).select("source_config_id", "chunk_id", "content")
+
+
+@query(None)
+def cover_entities(t):
+    """No SQL: every choice depends on the ones before; tested against brute force."""
+    from ..operators import graph
+
+    slice_ = graph.slice_events(t.events(), t.relations(), 60).select("source_config_id", "event_id")
+    assoc = graph.slice_associations(t.relations().join(slice_.select("event_id"), "event_id", "left_semi"))
+    return explore.cover_entities(assoc.join(slice_, "event_id").join(t.entities().select("entity_id", "name").distinct(), "entity_id"), 40)
+
+
+@query(None)
+def assemble_chunks(t):
+    """No SQL: a greedy fold over the blocks of a document; tested on fixtures."""
+    return chunking.assemble_chunks(t.raw("documents"))
