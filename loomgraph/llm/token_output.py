@@ -1,9 +1,9 @@
 """Token ids in a compressed binary form: an adaptive context-mixing range coder.
 
 Ids are cut into blocks that are coded on their own: every block starts from an empty model, carries a CRC-32 of its ids, and can be
-read without the others. An id is coded as four 4-bit digits. The distribution of a digit mixes three predictions, each weighted by how
-well it has done in the block so far: order 0 (counts of the digit after the id's digits before it), order 1 and order 2 (the id that last
-followed the previous one or two ids). Many blocks are coded in step, one array lane each, in numpy.
+read without the others. The distribution of an id mixes three predictions, each weighted by how well it has done in the block so far:
+order 0 (counts of the block's ids, renewed whenever it has grown by a quarter), order 1 and order 2 (the id that last followed the
+previous one or two ids). An id no prediction knows is escaped and sent plainly. Many blocks are coded in step, one array lane each, in numpy.
 
 A segment holds whole documents in order:
 ``AMRC``, documents and blocks (u32 each); doc ids (i64 each, the smallest value for null); ids per document (u32 each);
@@ -24,104 +24,180 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 FILES = "part int, seq int, n_ids long, segment binary"
-BLOCK, LANES, SEGMENT = 2048, 768, 1 << 18
-ROWS = 1024  # documents tokenized at once
+BLOCK, LANES, SEGMENT = 2048, 1024, 1 << 18
+ROWS = 2048  # documents tokenized at once
+KEPT = 1 << 19  # pieces whose ids a task remembers
 MAGIC, NULL_ID, END = b"AMRC", -(1 << 63), 2
-_NODES, _STEP, _SLOTS = 1 + 16 + 256 + 4096, 8, 4096
-_SUMS = np.triu(np.ones((16, 16), np.float32))  # running sums as a product; exact, as all sums stay below 2**24
+_IDS, _UNIT, _SLOTS = 1 << 16, 4, 4096
 _MASK, _LOW = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
 
 
 class _Model:
-    """The models of the blocks in step, a lane each; the coder calls it digit by digit."""
-
-    def __init__(self, lanes: int):
-        self.counts = np.ones((lanes * _NODES, 16), np.uint16)
-        self.next = np.zeros((2, lanes * _SLOTS), np.int32)  # 1 + id that came last, by order
+    """The models of the blocks in step, a lane each. An id is known by its rank, the order of its first occurrence in the block (from 1)."""
+
+    def __init__(self, lanes: int, size: int):
+        self.width = size + 3
+        self.past = np.zeros((size, lanes), np.uint16)  # ranks so far, a row per step
+        self.sums = np.zeros(lanes * self.width, np.int64)  # ids before each rank among the counted ones
+        self.slots, self.counted, self.renew_at = np.zeros(1, np.uint16), 0, 8
+        self.next = [np.zeros(lanes * self.width, np.uint16), np.zeros(lanes * _SLOTS, np.uint16)]  # rank that came last, by context
         self.hits, self.misses = np.full((2, lanes), 0.2), np.full((2, lanes), 0.5)
-        self.base, self.slots = np.arange(lanes) * _NODES, np.arange(lanes) * _SLOTS
+        self.fresh, self.recent, self.counts = np.full(lanes, 1.0), np.full(lanes, 0.3), np.full(lanes, 1.0)
+        self.rows, self.tables = np.arange(lanes) * self.width, np.arange(lanes) * _SLOTS
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-    def begin(self, n: int) -> None:
-        """A new id in the first n lanes."""
-        one, two = self.one[:n], self.two[:n]
-        self.at = (self.slots[:n] + (one * 2654435761 >> 7) % _SLOTS, self.slots[:n] + ((one * 2654435761 ^ two * 40503 * 65537) >> 9) % _SLOTS)
-        self.guess = [self.next[k][self.at[k]] - 1 for k in (0, 1)]
-        self.alive = [np.flatnonzero(g >= 0) for g in self.guess]
-        self.odds = [(self.hits[k, :n] / self.misses[k, :n]) for k in (0, 1)]
-        self.node, self.n = np.zeros(n, np.int64), n
-
-    def weights(self, level: int) -> np.ndarray:
-        """Cumulative weights of the 16 digits."""
-        self.rows = self.base[: self.n] + self.node
-        w = self.counts.take(self.rows, axis=0).astype(np.float32)
-        sums = None
-        for k in (0, 1):
-            if len(rows := self.alive[k]):
-                sums = w.sum(axis=1) if sums is None else sums
-                w[rows, self.guess[k][rows] >> (12 - 4 * level) & 15] += np.floor(np.minimum(sums[rows] * self.odds[k][rows] + 1, 16000))
-        return (w @ _SUMS).astype(np.uint32)
-
-    def learn(self, level: int, digit: np.ndarray) -> None:
-        self.counts[self.rows, digit] += _STEP
-        self.node = self.node * 16 + 1 + digit
-        for k in (0, 1):
-            if len(rows := self.alive[k]):
-                self.alive[k] = rows[(self.guess[k][rows] >> (12 - 4 * level) & 15) == digit[rows]]
-
-    def end(self, ids: np.ndarray) -> None:
+    def begin(self, t: int, n: int) -> None:
+        """Step t in the first n lanes: guesses and weights. Counts are renewed whenever the block has grown by a quarter."""
+        if t == self.renew_at:
+            ordered = np.sort(self.past[:t, :n].T, axis=1, kind="stable")
+            counts = np.bincount((ordered + self.rows[:n, None]).ravel(), minlength=n * self.width).reshape(n, self.width)
+            sums = self.sums.reshape(-1, self.width)[:n]
+            np.cumsum(counts[:, :-1], axis=1, out=sums[:, 1:])
+            self.slots, self.counted, self.renew_at = ordered.ravel(), t, t + t // 4
+        self.n, one = n, self.one[:n]
+        self.at = (self.rows[:n] + one, self.tables[:n] + ((one * 40503 + self.two[:n] * 2531) & (_SLOTS - 1)))
+        self.guess = [self.next[k].take(self.at[k]).astype(np.int64) for k in (0, 1)]
+        base = _UNIT * self.counted + 1
+        odds = np.minimum(self.hits[:, :n] / self.misses[:, :n] * base, 22000).astype(np.int64)
+        self.weight = [odds[k] * (self.guess[k] > 0) for k in (0, 1)]
+        share = base / self.counts[:n]
+        self.new = np.minimum(self.fresh[:n] * share, 8000).astype(np.int64) + 1
+        self.escape = self.new + np.minimum(self.recent[:n] * share, 4000).astype(np.int64) + 1
+        self.total = self.escape + self.weight[0] + self.weight[1] + _UNIT * self.counted
+
+    def span(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of each rank in the mixed distribution; a width of zero means that no model knows it yet."""
+        at = self.rows[: self.n] + rank
+        before = self.sums.take(at)
+        start, width = self.escape + _UNIT * before, _UNIT * (self.sums.take(at + 1) - before)
+        for g, w in zip(self.guess, self.weight, strict=True):
+            start += w * (g < rank)
+            width += w * (g == rank)
+        return start, width
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The rank whose interval holds x; meaningless below ``escape``."""
+        (g, h), (v, w), x = self.guess, self.weight, x - self.escape
+        same, swap = g == h, g > h
+        a, b = np.minimum(g, h), np.maximum(g, h)
+        wa = np.where(same, v + w, np.where(swap, w, v))
+        wb = v + w - wa
+        rows = self.rows[: self.n]
+        bound = [self.sums.take(rows + r + k) * _UNIT for r in (a, b) for k in (0, 1)]
+        past_a, past_b = x >= bound[1] + wa, x >= bound[3] + wa + wb
+        free = (x - wa * past_a - wb * past_b) // _UNIT
+        found = self.slots.take(np.arange(self.n) * self.counted + np.clip(free, 0, max(self.counted - 1, 0)), mode="clip").astype(np.int64)
+        found = np.where((x >= bound[2] + wa) & ~past_b, b, found)
+        return np.where((x >= bound[0]) & ~past_a, a, found)
+
+    def end(self, t: int, rank: np.ndarray, new: np.ndarray, old: np.ndarray) -> None:
         n = self.n
         for k in (0, 1):
-            tried, hit = self.guess[k] >= 0, self.guess[k] == ids
+            g = self.guess[k]
+            hit = g == rank
             self.hits[k, :n] += hit
-            self.misses[k, :n] += tried & ~hit
-            self.next[k][self.at[k]] = ids + 1
-        self.two[:n], self.one[:n] = self.one[:n], ids
+            self.misses[k, :n] += (g > 0) & ~hit
+            self.next[k][self.at[k]] = rank
+        self.fresh[:n] += new
+        self.recent[:n] += old
+        self.counts[:n] += ~(new | old)
+        self.past[t, :n] = rank
+        self.two[:n], self.one[:n] = self.one[:n], rank
+
+
+def _ranks(block: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, whether new) of each id of a block; ``first`` is a table over all ids that need not be cleared."""
+    places = np.arange(len(block))
+    first[block[::-1]] = places[::-1]
+    begun = first[block]
+    new = begun == places
+    return np.cumsum(new)[begun], new
+
+
+class _Writer:
+    def __init__(self, lanes: int, size: int):
+        self.words = np.zeros((lanes, 3 * size + 8), np.uint16)
+        self.low, self.span, self.used = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.int64)
+
+    def put(self, lanes, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+        """Codes an interval in each of the lanes (a slice or indices); totals are at most 65536."""
+        r = self.span[lanes] // total.astype(np.uint64)
+        low, span = self.low[lanes] + r * start.astype(np.uint64), r * width.astype(np.uint64)
+        over, short = low > _MASK, span < _LOW
+        if over.any():
+            low &= _MASK
+            k = np.flatnonzero(over) if isinstance(lanes, slice) else lanes[over]
+            p = self.used[k]
+            while len(k):  # a carry goes on where a word overflows to zero
+                p = p - 1
+                self.words[k, p] += np.uint16(1)
+                on = self.words[k, p] == 0
+                k, p = k[on], p[on]
+        if short.any():
+            k = np.flatnonzero(short)
+            lane, part = k if isinstance(lanes, slice) else lanes[k], low[k]
+            self.words[lane, self.used[lane]] = (part >> np.uint64(32)).astype(np.uint16)
+            self.used[lane] += 1
+            low[k] = part << np.uint64(16) & _MASK
+            span[k] <<= np.uint64(16)
+        self.low[lanes], self.span[lanes] = low, span
+
+    def close(self) -> None:
+        for shift in (32, 16, 0):
+            self.words[np.arange(len(self.low)), self.used + (32 - shift) // 16] = (self.low >> np.uint64(shift) & np.uint64(65535)).astype(np.uint16)
+
+
+class _Reader:
+    def __init__(self, words: np.ndarray):
+        self.words, lanes = words, len(words)
+        self.value = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64) << np.uint64(16) | words[:, 2].astype(np.uint64)
+        self.span, self.used = np.full(lanes, 1 << 48, np.uint64), np.full(lanes, 3)
+
+    def target(self, lanes, total: np.ndarray) -> np.ndarray:
+        self.r = self.span[lanes] // total.astype(np.uint64)
+        return np.minimum(self.value[lanes] // self.r, (total - 1).astype(np.uint64)).astype(np.int64)  # less only in damaged blocks
+
+    def take(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
+        value, span = self.value[lanes] - self.r * start.astype(np.uint64), self.r * width.astype(np.uint64)
+        short = span < _LOW
+        if short.any():
+            k = np.flatnonzero(short)
+            lane = k if isinstance(lanes, slice) else lanes[k]
+            value[k] = value[k] << np.uint64(16) | self.words[lane, np.minimum(self.used[lane], self.words.shape[1] - 1)]
+            self.used[lane] += 1
+            span[k] <<= np.uint64(16)
+        self.value[lanes], self.span[lanes] = value, span
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """16-bit words of each block of ids below 65536."""
+    """16-bit words of each block of at most BLOCK ids below 65536; what a block becomes does not depend on the others."""
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    order, table = sorted(range(len(blocks)), key=lambda i: -len(blocks[i])), np.zeros(_IDS, np.int64)
     for first in range(0, len(order), LANES):
         group = order[first : first + LANES]
         sizes = np.array([len(blocks[i]) for i in group])
-        ids = np.zeros((len(group), sizes[0] if len(group) else 0), np.int64)
+        ids, ranks, news = (np.zeros((sizes[0], len(group)), kind) for kind in (np.uint16, np.uint16, bool))
         for k, i in enumerate(group):
-            ids[k, : sizes[k]] = blocks[i]
-        model, lanes = _Model(len(group)), np.arange(len(group))
-        words = np.zeros((len(group), 2 * ids.shape[1] + 8), np.uint16)
-        low, span, used = np.zeros(len(group), np.uint64), np.full(len(group), 1 << 48, np.uint64), np.zeros(len(group), np.int64)
-        for t in range(ids.shape[1]):
+            ids[: sizes[k], k] = blocks[i]
+            ranks[: sizes[k], k], news[: sizes[k], k] = _ranks(blocks[i], table)
+        model, writer = _Model(len(group), int(sizes[0])), _Writer(len(group), int(sizes[0]))
+        for t in range(len(ids)):
             n = int(np.searchsorted(-sizes, -t))
-            lane, now = lanes[:n], ids[:n, t]
-            model.begin(n)
-            for level in range(4):
-                digit = now >> (12 - 4 * level) & 15
-                cum = model.weights(level)
-                r = span[:n] // cum[:, 15]
-                start = np.where(digit > 0, cum[lane, digit - 1], 0)
-                low[:n] += r * start
-                span[:n] = r * (cum[lane, digit] - start)
-                k = np.flatnonzero(low[:n] >> np.uint64(48))
-                p = used[k]
-                while len(k):  # a carry goes on where a word overflows to zero
-                    p = p - 1
-                    words[k, p] += np.uint16(1)
-                    on = words[k, p] == 0
-                    k, p = k[on], p[on]
-                low[:n] &= _MASK
-                if len(k := np.flatnonzero(span[:n] < _LOW)):
-                    words[k, used[k]] = (low[k] >> np.uint64(32)).astype(np.uint16)
-                    used[k] += 1
-                    low[k] = low[k] << np.uint64(16) & _MASK
-                    span[k] <<= np.uint64(16)
-                model.learn(level, digit)
-            model.end(now)
-        for shift in (32, 16, 0):
-            words[lanes, used + (32 - shift) // 16] = (low >> np.uint64(shift) & np.uint64(65535)).astype(np.uint16)
+            rank, new = ranks[t, :n].astype(np.int64), news[t, :n]
+            model.begin(t, n)
+            start, width = model.span(rank)
+            old = (width == 0) & ~new
+            if new.any() or old.any():
+                start = np.where(new, 0, np.where(old, model.new, start))
+                width = np.where(new, model.new, np.where(old, model.escape - model.new, width))
+            writer.put(slice(0, n), start, width, model.total)
+            if len(k := np.flatnonzero(new | old)):
+                fresh = new[k]
+                writer.put(k, np.where(fresh, ids[t, k], rank[k]), np.ones(len(k), np.uint64), np.full(len(k), _IDS))
+            model.end(t, rank, new, old)
+        writer.close()
         for k, i in enumerate(group):
-            out[i] = words[k, : used[k] + 3].copy()
+            out[i] = writer.words[k, : writer.used[k] + 3].copy()
     return out
 
 
@@ -134,32 +210,33 @@ def decode_blocks(blocks: list[np.ndarray], sizes: list[int]) -> list[np.ndarray
         words = np.zeros((len(group), max(len(blocks[i]) for i in group) + 1), np.uint16)
         for k, i in enumerate(group):
             words[k, : len(blocks[i])] = blocks[i]
-        model, lanes = _Model(len(group)), np.arange(len(group))
-        value = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64) << np.uint64(16) | words[:, 2].astype(np.uint64)
-        span, used = np.full(len(group), 1 << 48, np.uint64), np.full(len(group), 3)
-        ids = np.zeros((len(group), size[0]), np.int64)
+        model, reader = _Model(len(group), int(size[0])), _Reader(words)
+        id_of, known = np.zeros((len(group), model.width), np.uint16), np.zeros(len(group), np.int64)
+        ids = np.zeros((len(group), size[0]), np.uint16)
         for t in range(ids.shape[1]):
             n = int(np.searchsorted(-size, -t))
-            lane, now = lanes[:n], np.zeros(n, np.int64)
-            model.begin(n)
-            for level in range(4):
-                cum = model.weights(level)
-                r = span[:n] // cum[:, 15]
-                target = value[:n] // r
-                digit = (cum <= target[:, None]).sum(axis=1)
-                start = np.where(digit > 0, cum[lane, digit - 1], 0)
-                value[:n] -= r * start
-                span[:n] = r * (cum[lane, digit] - start)
-                if len(k := np.flatnonzero(span[:n] < _LOW)):
-                    value[k] = value[k] << np.uint64(16) | words[k, used[k]]
-                    used[k] += 1
-                    span[k] <<= np.uint64(16)
-                model.learn(level, digit)
-                now = now * 16 + digit
-            model.end(now)
-            ids[:n, t] = now
+            lanes = slice(0, n)
+            model.begin(t, n)
+            x = reader.target(lanes, model.total)
+            new, escaped = x < model.new, x < model.escape
+            rank = model.find(x)
+            start, width = model.span(rank)
+            k = np.flatnonzero(escaped)
+            if len(k):
+                start = np.where(new, 0, np.where(escaped, model.new, start))
+                width = np.where(new, model.new, np.where(escaped, model.escape - model.new, width))
+            reader.take(lanes, start, width)
+            if len(k):
+                fresh = new[k]
+                value = reader.target(k, np.full(len(k), _IDS))
+                reader.take(k, value, np.ones(len(k), np.uint64))
+                known[k] += fresh
+                rank[k] = np.where(fresh, known[k], np.minimum(value, model.width - 2))
+                id_of[k[fresh], known[k[fresh]]] = value[fresh]
+            ids[lanes, t] = id_of[np.arange(n), rank]
+            model.end(t, rank, new, escaped & ~new)
         for k, i in enumerate(group):
-            out[i] = ids[k, : size[k]]
+            out[i] = ids[k, : size[k]].astype(np.int64)
     return out
 
 
@@ -208,7 +285,33 @@ def unpack(segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
     return out
 
 
-def token_ids(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+class Pieces:
+    """Ids of pieces of text; those of up to KEPT pieces are remembered, then all are forgotten and gathered anew."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, lengths, ids): ids of piece i are ids[begins[i] : begins[i] + lengths[i]]."""
+        if len(self.place) > KEPT:
+            self._forget()
+        place = self.place
+        if new := [p for p in pieces if p not in place]:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in coded for x in ids), np.int32, int(lengths.sum()))])
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        return (np.cumsum(self.lengths) - self.lengths)[at], self.lengths[at], self.flat
+
+
+def token_ids(texts: pa.Array, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids per text, ids) of whole texts with an end id each. No token of this tokenizer spans ASCII white space, which it drops:
 
     a text's ids are those of its pieces between white space, and a piece that occurs again need not be encoded again.
@@ -219,10 +322,7 @@ def token_ids(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)])
     pieces = split.flatten().dictionary_encode()
     index = pieces.indices.to_numpy()
-    coded = [e.ids for e in tokenizer.encode_batch_fast(pieces.dictionary.to_pylist(), add_special_tokens=False)]
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter((x for ids in coded for x in ids), np.int32, int(lengths.sum()))
-    begins = np.cumsum(lengths) - lengths
+    begins, lengths, flat = known.look_up(pieces.dictionary.to_pylist())
     each = lengths[index]
     sums = np.concatenate([[0], np.cumsum(each)])
     counts = sums[ends[1:]] - sums[ends[:-1]]
@@ -249,9 +349,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        tokenizer, part, seq = Tokenizer.from_file(tokenizer_path), TaskContext.get().partitionId(), 0
+        known, part, seq = Pieces(Tokenizer.from_file(tokenizer_path)), TaskContext.get().partitionId(), 0
         for b in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
-            sizes, ids = token_ids(b.column(1), tokenizer)
+            sizes, ids = token_ids(b.column(1), known)
             made = pack(b.column(0).fill_null(NULL_ID).to_numpy(), sizes, ids)
             for n, segment in made:
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([segment], pa.binary())], names=["part", "seq", "n_ids", "segment"])
@@ -271,7 +371,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(before, "part").select("part", "seq", (F.col("inside") + F.col("ahead")).alias("first"))
 
     def run(batches):
-        for b in (b.slice(k, 5) for b in batches for k in range(0, len(b), 5)):
+        for b in (b.slice(k, 8) for b in batches for k in range(0, len(b), 8)):
             for k, (doc_ids, counts, ids) in enumerate(unpack(b.column(1).to_pylist())):
                 raw, ends = ids.astype("<u4"), np.cumsum(counts)
                 crc = [zlib.crc32(raw[e - c : e].tobytes()) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
