@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,26 @@ def revision_cleanup_guard(cleanup: DataFrame, documents: DataFrame) -> DataFram
     rows = cleanup.join(current, "document_id", "left")
     run = F.col("_known").isNull() | (F.col("_h").eqNullSafe(F.col("new_hash")) & ~F.col("_d").eqNullSafe(F.col("old_derived_id")))
     return rows.select("document_id", F.when(run, "run").otherwise("skip").alias("action"))
+
+
+def chunk_document_rank(events: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``events(event_id, document_id, chunk_id, rank)`` renumbered inside their document by the place of their chunk, rank and id, from 0.
+
+    Events of a chunk that ``chunks(chunk_id, place)`` lacks come last. A null rank comes before all others of its chunk.
+    """
+    order = Window.partitionBy("document_id").orderBy(F.asc_nulls_last("place"), F.asc_nulls_first("rank"), "event_id")
+    return events.join(chunks.select("chunk_id", "place"), "chunk_id", "left").withColumn("rank", F.row_number().over(order) - 1).drop("place")
+
+
+def table_profile(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    """(table_name, status, n_rows): rows of each table by its status column, one row with null status where it has none."""
+    parts = []
+    for name, (df, status) in tables.items():
+        rows = df.select((F.col(status) if status else F.lit(None)).cast("string").alias("status"))
+        parts.append(rows.groupBy("status").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "status", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def vectorizable_chunks(chunks: DataFrame, include_parents: bool, parents: tuple[str, ...] = ("parent",)) -> DataFrame:
+    """Chunks to embed: all, or those whose ``chunk_type`` is not one of ``parents``; rows without a type stay."""
+    return chunks if include_parents else chunks.where(F.col("chunk_type").isNull() | ~F.col("chunk_type").isin(*parents))

@@ -87,3 +87,14 @@ def evaluate_retrieval(cases: DataFrame, results: DataFrame) -> DataFrame:
     rows = cases.join(results, "query_id", "left")
     match = F.exists("expected", lambda t: F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lower(t)))
     return rows.groupBy("query_id").agg(F.count(F.when(match, 1)).alias("matches")).withColumn("hit", F.col("matches") > 0)
+
+
+def rerank_by_listing(sections: DataFrame, answers: DataFrame) -> DataFrame:
+    """Sections of ``sections(query_id, position)`` in the order in which ``answers(query_id, answer)`` first names their positions.
+
+    Numbers that no section has are passed over; sections not named follow in their own order. ``place`` counts from 1.
+    """
+    named = answers.select("query_id", F.posexplode(F.regexp_extract_all("answer", F.lit("([0-9]+)"), 1)).alias("at", "n"))
+    first = named.select("query_id", F.expr("try_cast(n AS BIGINT)").alias("position"), "at").groupBy("query_id", "position").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("at"), "position")
+    return sections.join(first, ["query_id", "position"], "left").withColumn("place", F.row_number().over(order)).drop("at")

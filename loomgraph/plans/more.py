@@ -334,3 +334,32 @@ def cover_entities(t):
 def assemble_chunks(t):
     """No SQL: a greedy fold over the blocks of a document; tested on fixtures."""
     return chunking.assemble_chunks(t.raw("documents"))
+
+
+@query("""WITH FIX, p AS (SELECT 'c'||c_custkey||'-'||k AS chunk_id, (k + 1) % 3 AS place FROM customer, (SELECT unnest([0, 1]) AS k))
+SELECT event_id, source_id AS document_id, row_number() OVER (PARTITION BY source_id ORDER BY place NULLS LAST, rank, event_id) - 1 AS rank FROM ev LEFT JOIN p USING (chunk_id)""")
+def chunk_document_rank(t):
+    chunks = t.raw("customer").selectExpr("c_custkey", "explode(array(0, 1)) AS k").selectExpr("'c'||c_custkey||'-'||k AS chunk_id", "(k + 1) % 3 AS place")
+    return catalog.chunk_document_rank(t.events().withColumnRenamed("source_id", "document_id"), chunks).select("event_id", "document_id", "rank")
+
+
+@query("""WITH FIX SELECT 'documents' AS table_name, status, count(*) AS n_rows FROM doc GROUP BY status UNION ALL SELECT 'events', status, count(*) FROM ev GROUP BY status
+UNION ALL SELECT 'relations', NULL, count(*) FROM ee""")
+def table_profile(t):
+    return catalog.table_profile({"documents": (t.documents(), "status"), "events": (t.events(), "status"), "relations": (t.relations(), None)})
+
+
+_TYPED = "CASE rank % 3 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' END AS chunk_type"
+
+
+@query(f"WITH FIX SELECT * FROM (SELECT chunk_id, {_TYPED} FROM ch) WHERE chunk_type IS NULL OR chunk_type <> 'parent'")
+def vectorizable_chunks(t):
+    return catalog.vectorizable_chunks(t.chunks().selectExpr("chunk_id", _TYPED), include_parents=False)
+
+
+@query("""WITH FIX, s AS (SELECT doc_id AS query_id, CAST(rank + 1 AS BIGINT) AS position FROM ch), a AS (SELECT DISTINCT doc_id AS query_id, regexp_extract_all(md5(CAST(doc_id AS STRING)), '[0-9]+') AS l FROM documents),
+n AS (SELECT query_id, i, TRY_CAST(l[i] AS BIGINT) AS position FROM (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS i FROM a)), f AS (SELECT query_id, position, min(i) AS spot FROM n GROUP BY 1, 2)
+SELECT query_id, position, row_number() OVER (PARTITION BY query_id ORDER BY spot NULLS LAST, position) AS place FROM s LEFT JOIN f USING (query_id, position)""")
+def rerank_by_listing(t):
+    answers = t.raw("documents").selectExpr("doc_id AS query_id", "md5(CAST(doc_id AS STRING)) AS answer").distinct()
+    return relevance.rerank_by_listing(t.chunks().selectExpr("doc_id AS query_id", "CAST(rank + 1 AS BIGINT) AS position"), answers)
