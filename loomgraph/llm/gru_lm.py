@@ -2,7 +2,8 @@
 
 The network reads the frequent words (the rest are one symbol) and predicts the next through a softmax factored into classes: first the class,
 then the word in it. It is trained by truncated backpropagation; when scoring, windows of steps follow each other with the state carried
-over, so that a document of any length gets its whole log-likelihood. A rare word costs the symbol's probability times its smoothed share of
+over, so that a document of any length gets its whole log-likelihood. Every training document is learned from: in each of a fixed number of
+rounds every partition goes on from the shared weights over its own share, and the weights are averaged, by tokens learned. A rare word costs the symbol's probability times its smoothed share of
 all rare words, which takes word counts of the whole training corpus; so does the unigram base score.
 """
 
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, shipped, text_buffers
 
-VOCABULARY, HIDDEN, LANES, WINDOW = 1500, 24, 2048, 32
-TRAIN_ROWS = 1200  # documents at most that the network is trained on; counts and vocabulary cover all training documents
+VOCABULARY, HIDDEN, LANES, WINDOW = 1500, 24, 2048, 32  # VOCABULARY at least; it grows with the cube root of the training tokens
+ROUNDS = 4  # of averaging; each training document is learned from in one of them, or in more where there are few tokens
+FEW, SHARE = 2_000_000, 100_000  # tokens up to which documents take part in several rounds; tokens of a partition at least
+WEIGHTS = 1 << 16  # weights of one row of the average
 END = -1  # word hash of the end of a text
 PIECE, ROWS = 1 << 20, 2048  # bytes and documents handled at once
 _SPACE = np.zeros(256, bool)
@@ -129,19 +132,22 @@ class GatedLM:
             h0 = np.where(source[:, t : t + 1] == 0, np.float32(0), h)
             h, z, r, c = self.step(h0, source[:, t])
             kept.append((h0, z, r, c, h))
-        g = {name: np.zeros_like(v) for name, v in p.items()}
+        g = {name: np.zeros_like(p[name]) for name in ("u", "c", "cb")}
         flat, out = np.concatenate([x[4] for x in kept]), target.T.ravel()
         count, kind, word = len(out), out // self.width, out % self.width
         dc = _softmax(flat @ p["c"] + p["cb"])
         dc[np.arange(count), kind] -= 1
         g["c"], g["cb"], dh = flat.T @ dc, dc.sum(axis=0), dc @ p["c"].T
-        for i in np.unique(kind):
-            at = np.flatnonzero(kind == i)
+        order = np.argsort(kind, kind="stable")
+        kinds, begins = np.unique(kind[order], return_index=True)
+        g["w"], g["wb"] = np.zeros((len(kinds), k, self.width), np.float32), np.zeros((len(kinds), self.width), np.float32)
+        for n, at in enumerate(np.split(order, begins[1:])):
+            i = kinds[n]
             dw = _softmax(flat[at] @ p["w"][i] + p["wb"][i])
             dw[np.arange(len(at)), word[at]] -= 1
-            g["w"][i], g["wb"][i] = flat[at].T @ dw, dw.sum(axis=0)
+            g["w"][n], g["wb"][n] = flat[at].T @ dw, dw.sum(axis=0)
             dh[at] += dw @ p["w"][i].T
-        dh, carried = dh.reshape(len(kept), -1, k), np.zeros_like(h)
+        dh, carried, inputs = dh.reshape(len(kept), -1, k), np.zeros_like(h), np.empty((len(kept), len(h), 3 * k), np.float32)
         for t in range(len(kept) - 1, -1, -1):
             h0, z, r, c, _ = kept[t]
             d = dh[t] + carried
@@ -150,17 +156,34 @@ class GatedLM:
             gates = np.concatenate([d * (c - h0) * z * (1 - z), dr * r * (1 - r)], axis=1)
             g["u"][:, 2 * k :] += (r * h0).T @ da
             g["u"][:, : 2 * k] += h0.T @ gates
-            np.add.at(g["x"], source[:, t], np.concatenate([gates, da], axis=1))
+            inputs[t, :, : 2 * k], inputs[t, :, 2 * k :] = gates, da
             carried = d * (1 - z) + (da @ p["u"][:, 2 * k :].T) * r + gates @ p["u"][:, : 2 * k].T
             carried[source[:, t] == 0] = 0
+        read = source.T.ravel()
+        order = np.argsort(read, kind="stable")
+        symbols, begins = np.unique(read[order], return_index=True)
+        g["x"] = np.add.reduceat(inputs.reshape(-1, 3 * k)[order], begins)
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / count
         scale = min(1.0, 5.0 / max(norm, 1e-9)) / count
+        rows = {"x": symbols, "w": kinds, "wb": kinds}  # the others have no gradient
         for name, v in g.items():
+            at = rows.get(name, slice(None))
             v *= scale
-            self.sums[name] += v * v
-            p[name] -= rate * v / np.sqrt(self.sums[name])
+            self.sums[name][at] += v * v
+            p[name][at] -= rate * v / np.sqrt(self.sums[name][at])
         return h
 
+    def state(self) -> np.ndarray:
+        """Weights and AdaGrad sums in one row of numbers."""
+        return np.concatenate([part[k].ravel() for part in (self.p, self.sums) for k in sorted(part)])
+
+    def set_state(self, values: np.ndarray) -> None:
+        at = 0
+        for part in (self.p, self.sums):
+            for k in sorted(part):
+                part[k] = values[at : at + part[k].size].reshape(part[k].shape).astype(np.float32)
+                at += part[k].size
+
     def log10s(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sum of log10 probabilities of each text's symbols, the end included, with the state carried over all windows."""
         begins, score = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
@@ -211,7 +234,44 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % 7 == 2
 
 
-def score_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> DataFrame:
+def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, rounds: int = ROUNDS) -> tuple[GatedLM, list[int]]:
+    """The network learned from every row of ``train(doc_id, text)``, and the number of tokens learned from in each round.
+
+    ``tokens`` is the number of tokens, ends included. A partition reads its rows as a stream; only averaged weights reach the driver.
+    """
+    model, sizes = GatedLM(2 + len(known)), []
+    passes = max(1, min(rounds, FEW // max(tokens, 1)))
+    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(rounds))
+    for r in range(rounds):
+        sent = shipped(train.sparkSession, model)
+
+        def learn(batches, sent=sent):
+            own, seen = sent(), 0
+            for b in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
+                words, n = with_ends(*word_hashes(*text_buffers(b.column(0))))
+                own.train([_symbols(words, known, places)], lanes=min(256, max(16, len(words) // 2048)), epochs=1)
+                seen += len(words)
+            if seen:
+                values = own.state()
+                rows = [values[k : k + WEIGHTS] for k in range(0, len(values), WEIGHTS)]
+                for i, row in enumerate(rows):
+                    yield pa.record_batch([pa.array([i]), pa.array([seen]), pa.array([row.astype("<f4").tobytes()])], names=["piece", "n", "value"])
+
+        def average(key, table):
+            n = table.column("n").to_numpy()
+            total = sum(np.frombuffer(v.as_py(), "<f4").astype(np.float64) * k for v, k in zip(table.column("value"), n, strict=True))
+            return pa.table({"piece": [key[0].as_py()], "n": [int(n.sum())], "value": [(total / n.sum()).astype("<f4").tobytes()]})
+
+        kind = "piece long, n long, value binary"
+        shares = train.where(F.pmod(part - r, F.lit(rounds)) < passes).select("text").coalesce(max(1, tokens * passes // rounds // SHARE))
+        found = sorted(shares.mapInArrow(learn, kind).groupBy("piece").applyInArrow(average, kind).collect())
+        if found:
+            model.set_state(np.concatenate([np.frombuffer(x.value, "<f4") for x in found]))
+        sizes.append(found[0].n if found else 0)
+    return model, sizes
+
+
+def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text, block)``.
 
     ``block`` names groups of at most some ten thousand rows (an input split, say): the counts of a block's words are gathered for the
@@ -236,6 +296,7 @@ def score_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS, vocabulary: i
     seen = scratch.save(seen, "seen")
     counts = scratch.save(seen.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    vocabulary = max(vocabulary, int(8 * int(total) ** (1 / 3)))
     top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(vocabulary).collect()
     known = np.array([r[0] for r in top], np.int64)
     places = np.argsort(known, kind="stable")
@@ -243,22 +304,7 @@ def score_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS, vocabulary: i
     ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     rare_total, rare_distinct = total - ends - sum(r[1] for r in top), max(distinct - len(top) - (ends > 0), 0)
 
-    def learn(batches):
-        texts = []
-        for b in batches:
-            words, n = with_ends(*word_hashes(*text_buffers(b.column(0))))
-            texts += np.split(_symbols(words, known, places), np.cumsum(n)[:-1])
-        model = GatedLM(2 + len(known))
-        model.train(texts)
-        names = sorted(model.p)
-        yield pa.record_batch([pa.array(names), pa.array([model.p[k].astype("<f4").tobytes() for k in names])], names=["name", "value"])
-
-    train = docs.where("not held_out and text is not null")
-    rate = min(1.0, train_rows / max(int(ends), 1))
-    drawn = train.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) < rate * (1 << 30)).select("text").limit(train_rows)
-    model = GatedLM(2 + len(known))
-    for name, value in drawn.repartition(1).mapInArrow(learn, "name string, value binary").collect():
-        model.p[name] = np.frombuffer(value, np.float32).reshape(model.p[name].shape)
+    model, _ = fit(docs.where("not held_out"), int(total), known, places)
     model.sums = {}
     sent = shipped(spark, model)
 
@@ -267,7 +313,7 @@ def score_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS, vocabulary: i
         table, c = words.column("word").to_numpy(), words.column("c").to_numpy()
         order = np.argsort(table)
         table, c = table[order], c[order]
-        for b in texts.combine_chunks().to_batches(max_chunksize=ROWS):
+        for b in texts.to_batches(max_chunksize=ROWS // 2):
             hashes, n = with_ends(*word_hashes(*text_buffers(b.column("text"))))
             count = c[np.searchsorted(table, hashes)]
             symbols = _symbols(hashes, known, places)
@@ -278,6 +324,8 @@ def score_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS, vocabulary: i
             seen = np.add.reduceat((count > 0).astype(np.int64), begins)
             out.append(pa.table({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "n_tokens": n, "n_known": seen, "train_tokens": np.full(len(n), total), "base_score": base, "score": whole}))
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        del texts, words, table, c
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
     looked = seen.select("block", "word").join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))

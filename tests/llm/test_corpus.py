@@ -134,6 +134,20 @@ def test_gru_gradient():
     assert model.log10s(ids, np.array([30]))[0] < 0
 
 
+def test_gru_learns_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARE", 1000)
+    rows = [(i, "a b c d" if i % 2 else "b a d c") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = np.sort(gru_lm.word_hashes(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[0])
+    model, sizes = gru_lm.fit(table, 15000, known, np.arange(4))
+    assert sizes == [15000] * gru_lm.ROUNDS  # few tokens: every document in every round
+    monkeypatch.setattr(gru_lm, "FEW", 1)
+    model, sizes = gru_lm.fit(table, 15000, known, np.arange(4))
+    assert len(sizes) == gru_lm.ROUNDS and min(sizes) > 0 and sum(sizes) == 15000
+    seen, odd = gru_lm._symbols(gru_lm.word_hashes(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[0], known, np.arange(4)), np.array([2, 2, 2, 2])
+    assert model.log10s(np.append(seen, 0), np.array([5]))[0] > model.log10s(np.append(odd, 0), np.array([5]))[0]
+
+
 def test_line_dedup_near_threshold(spark):
     pages = [(s * 10 + k, f"http://h{s}.org/", f"<p>seen {k}</p><p>own {s} {k}</p>") for s in range(12) for k in range(3) if s < 12 - k] + [(900, None, "<p>seen 0</p>"), (901, "http://h1.org", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lines", F.lit(0))
