@@ -110,6 +110,21 @@ def test_forest_brute_force(spark):
     assert rp_forest.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_forest_meets_pairs_of_a_hot_cluster():
+    r, n = np.random.default_rng(4), 20000
+    x, center = r.normal(size=(n, 64)), r.normal(size=64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[: n // 3] = center / np.linalg.norm(center) + x[: n // 3] * 0.27  # mean cosine 0.93
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    forest = rp_forest.Forest(x, 8, rp_forest.TREES, rp_forest.SPILL)
+    some = np.concatenate([r.choice(n // 3, 400, False), r.choice(np.arange(n // 3, n), 100, False)])
+    row, code = forest.leaves(x[some])
+    member = np.zeros((len(some), forest.trees << 8), np.float32)
+    member[row, code] = 1
+    linked = (x[some] @ x[some].T >= 0.9) & ~np.eye(len(some), dtype=bool)
+    assert linked.sum() > 10000 and ((member @ member.T > 0) & linked).sum() >= 0.97 * linked.sum()
+
+
 def test_gru_counts_and_gain(spark, docs, odd):
     table = docs.select("doc_id", "text", F.lit(1).cast("long").alias("block"))
     got = {r.doc_id: r for r in gru_lm.score_documents(table).collect()}
