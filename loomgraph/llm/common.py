@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is configured and all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -28,11 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one query below the shared folder. ``drop`` removes what later steps no longer read."""
+    """Tables of one query below the shared folder. ``drop`` removes what later steps no longer read; the rest goes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # deleteOnExit takes only what exists
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -72,6 +78,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets.astype(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows and about ``size`` bytes of column ``text``; a row is never cut."""
+    for b in batches:
+        offsets, i = text_buffers(b.column(text))[1], 0
+        while i < len(b):
+            j = min(max(int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1, i + 1), i + rows, len(b))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Rows as UTF-8 bytes; null rows are empty."""
     data, offsets = text_buffers(column)

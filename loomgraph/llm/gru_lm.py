@@ -1,10 +1,11 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
 The network reads the frequent words (the rest are one symbol) and predicts the next through a softmax factored into classes: first the class,
-then the word in it. It is trained by truncated backpropagation; when scoring, windows of steps follow each other with the state carried
-over, so that a document of any length gets its whole log-likelihood. Every training document is learned from: in each of a fixed number of
-rounds every partition goes on from the shared weights over its own share, and the weights are averaged, by tokens learned. A rare word costs the symbol's probability times its smoothed share of
-all rare words, which takes word counts of the whole training corpus; so does the unigram base score.
+then the word in it; frequent words lie in small classes. It is trained by truncated backpropagation; when scoring, windows of steps follow each
+other with the state carried over, so that a document of any length gets its whole log-likelihood. Every training document is learned from: in each
+of a fixed number of rounds every partition goes on from the shared weights over its own share, and the weights are averaged, by tokens learned.
+A rare word costs the symbol's probability times its smoothed share of all rare words, which takes word counts of the whole training corpus; so
+does the unigram base score. Counts of the most frequent words travel with the tasks; those of all others are joined.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shipped, text_buffers
+from .common import Scratch, shipped, slices, text_buffers
 
-VOCABULARY, HIDDEN, LANES, WINDOW = 1500, 24, 2048, 32  # VOCABULARY at least; it grows with the cube root of the training tokens
+VOCABULARY, HIDDEN, LANES, WINDOW = 1500, 24, 1024, 16  # VOCABULARY at least; it grows with the cube root of the training tokens
+FREQUENT = 1 << 18  # words whose counts are sent to every task (16 bytes each); the counts of all other words are joined
 ROUNDS = 4  # of averaging; each training document is learned from in one of them, or in more where there are few tokens
 FEW, SHARE = 2_000_000, 100_000  # tokens up to which documents take part in several rounds; tokens of a partition at least
 WEIGHTS = 1 << 16  # weights of one row of the average
 END = -1  # word hash of the end of a text
-PIECE, ROWS = 1 << 20, 2048  # bytes and documents handled at once
+PIECE, ROWS, BYTES = 1 << 20, 8192, 1 << 25  # bytes hashed at once; documents and bytes scored at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,37 +84,57 @@ def with_ends(words: np.ndarray, counts: np.ndarray, end: int = END) -> tuple[np
     return out, counts + 1
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def class_bounds(mass: np.ndarray) -> np.ndarray:
+    """First symbol of each class, and the number of symbols: about sqrt(n) classes of like sums of sqrt(mass)."""
+    n = len(mass)
+    part = np.cumsum(np.sqrt(mass + 1.0))
+    wanted = int(np.ceil(np.sqrt(n)))
+    cut = np.searchsorted(part, part[-1] * np.arange(1, wanted) / wanted, "right")
+    return np.unique(np.concatenate([[0], cut, [n]]))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """Over the first axis, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 class GatedLM:
-    """Symbols 0..n-1 in order of frequency; 0 is the end of a text (also what a text starts from), 1 any rare word."""
+    """Symbols 0..n-1: 0 is the end of a text (also what a text starts from), 1 any rare word, then words in order of frequency.
 
-    def __init__(self, symbols: int, hidden: int = HIDDEN, seed: int = 1):
-        r, self.n, self.hidden = np.random.default_rng(seed), symbols, hidden
-        self.width = max(1, int(np.ceil(np.sqrt(symbols))))
-        self.classes = -(-symbols // self.width)
+    States are columns: one per lane.
+    """
+
+    def __init__(self, mass: np.ndarray, hidden: int = HIDDEN, seed: int = 1):
+        r, self.n, self.hidden = np.random.default_rng(seed), len(mass), hidden
+        self.bounds = class_bounds(np.asarray(mass, np.float64))
+        self.kind = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)).astype(np.int16)
         init = lambda *s: (r.normal(size=s) * 0.1).astype(np.float32)
-        self.p = {"x": init(symbols, 3 * hidden), "u": init(hidden, 3 * hidden), "c": init(hidden, self.classes), "cb": np.zeros(self.classes, np.float32), "w": init(self.classes, hidden, self.width), "wb": np.zeros((self.classes, self.width), np.float32)}
+        zero = lambda n: np.zeros((n, 1), np.float32)
+        self.p = {"x": init(self.n, 3 * hidden), "u": init(3 * hidden, hidden), "c": init(len(self.bounds) - 1, hidden), "cb": zero(len(self.bounds) - 1), "w": init(self.n, hidden), "wb": zero(self.n)}
         self.sums = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
-        last = symbols - (self.classes - 1) * self.width
-        self.p["wb"][-1, last:] = -1e9
 
     def step(self, h: np.ndarray, symbol: np.ndarray):
-        """Update gate z, reset gate r and candidate c from the symbol and the state before."""
-        k, x = self.hidden, self.p["x"][symbol]
-        gates = _sigmoid(x[:, : 2 * k] + h @ self.p["u"][:, : 2 * k])
-        z, r = gates[:, :k], gates[:, k:]
-        c = np.tanh(x[:, 2 * k :] + (r * h) @ self.p["u"][:, 2 * k :])
-        return h + z * (c - h), z, r, c
-
-    def train(self, texts: list[np.ndarray], lanes: int = 64, window: int = 24, epochs: int = 2, rate: float = 0.08) -> None:
+        """(state, update gate z, reset gate r, candidate c) from the state before and the symbol read."""
+        k, u, x = self.hidden, self.p["u"], self.p["x"].take(symbol, axis=0).T
+        gates = u[: 2 * k] @ h
+        gates += x[: 2 * k]
+        gates *= 0.5  # the logistic function by tanh
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        z, r = gates[:k], gates[k:]
+        c = u[2 * k :] @ (r * h)
+        c += x[2 * k :]
+        np.tanh(c, out=c)
+        after = c - h
+        after *= z
+        after += h
+        return after, z, r, c
+
+    def train(self, texts: list[np.ndarray], lanes: int = 64, window: int = WINDOW, epochs: int = 2, rate: float = 0.08) -> None:
         """Truncated backpropagation: the texts follow each other in ``lanes`` streams; a state starts anew with each text."""
         stream = np.concatenate([np.zeros(1, np.int64), *texts]) if texts else np.zeros(1, np.int64)
         steps = (len(stream) - 1) // lanes
@@ -120,58 +142,76 @@ class GatedLM:
             lanes, steps = 1, len(stream) - 1
         if not steps:
             return
-        source, target = stream[: lanes * steps].reshape(lanes, steps), stream[1 : lanes * steps + 1].reshape(lanes, steps)
+        source, target = stream[: lanes * steps].reshape(lanes, steps).T, stream[1 : lanes * steps + 1].reshape(lanes, steps).T
         for _ in range(epochs):
-            h = np.zeros((lanes, self.hidden), np.float32)
+            h = np.zeros((self.hidden, lanes), np.float32)
             for t in range(0, steps, window):
-                h = self._update(source[:, t : t + window], target[:, t : t + window], h, rate)
-
-    def _update(self, source: np.ndarray, target: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
-        k, p, kept = self.hidden, self.p, []
-        for t in range(source.shape[1]):
-            h0 = np.where(source[:, t : t + 1] == 0, np.float32(0), h)
-            h, z, r, c = self.step(h0, source[:, t])
+                h, _, g, rows = self.gradient(np.ascontiguousarray(source[t : t + window]), np.ascontiguousarray(target[t : t + window]), h)
+                self._descend(g, rows, rate, source[t : t + window].size)
+
+    def gradient(self, source: np.ndarray, target: np.ndarray, h: np.ndarray):
+        """(state after, loss, gradients, rows that those of x, w and wb belong to) of a window of symbols, a row per step."""
+        k, p, kept, lanes = self.hidden, self.p, [], h.shape[1]
+        for symbol in source:
+            h0 = h * (symbol != 0) if not symbol.all() else h
+            h, z, r, c = self.step(h0, symbol)
             kept.append((h0, z, r, c, h))
-        g = {name: np.zeros_like(p[name]) for name in ("u", "c", "cb")}
-        flat, out = np.concatenate([x[4] for x in kept]), target.T.ravel()
-        count, kind, word = len(out), out // self.width, out % self.width
-        dc = _softmax(flat @ p["c"] + p["cb"])
-        dc[np.arange(count), kind] -= 1
-        g["c"], g["cb"], dh = flat.T @ dc, dc.sum(axis=0), dc @ p["c"].T
-        order = np.argsort(kind, kind="stable")
-        kinds, begins = np.unique(kind[order], return_index=True)
-        g["w"], g["wb"] = np.zeros((len(kinds), k, self.width), np.float32), np.zeros((len(kinds), self.width), np.float32)
-        for n, at in enumerate(np.split(order, begins[1:])):
-            i = kinds[n]
-            dw = _softmax(flat[at] @ p["w"][i] + p["wb"][i])
-            dw[np.arange(len(at)), word[at]] -= 1
-            g["w"][n], g["wb"][n] = flat[at].T @ dw, dw.sum(axis=0)
-            dh[at] += dw @ p["w"][i].T
-        dh, carried, inputs = dh.reshape(len(kept), -1, k), np.zeros_like(h), np.empty((len(kept), len(h), 3 * k), np.float32)
+        states, out = np.ascontiguousarray(np.concatenate([x[4] for x in kept], axis=1).T), target.ravel()
+        kind, at = self.kind[out], np.arange(len(out))
+        dc = _softmax(p["c"] @ states.T + p["cb"])
+        loss = -np.log(dc[kind, at]).sum()
+        dc[kind, at] -= 1
+        g = {"c": dc @ states, "cb": dc.sum(axis=1, keepdims=True), "u": np.zeros_like(p["u"])}
+        dh, order = dc.T @ p["c"], np.argsort(kind, kind="stable")
+        ordered, word, ends = states[order], out[order], np.searchsorted(kind[order], np.arange(len(self.bounds)))
+        rows, dw, db, back = [], [], [], np.zeros_like(ordered)
+        for i in np.flatnonzero(np.diff(ends)):
+            a, b, s, e = self.bounds[i], self.bounds[i + 1], ends[i], ends[i + 1]
+            if b - a > 1:
+                y = _softmax(p["w"][a:b] @ ordered[s:e].T + p["wb"][a:b])
+                own = word[s:e] - a, np.arange(e - s)
+                loss -= np.log(y[own]).sum()
+                y[own] -= 1
+                rows.append(np.arange(a, b))
+                dw.append(y @ ordered[s:e])
+                db.append(y.sum(axis=1, keepdims=True))
+                np.matmul(y.T, p["w"][a:b], out=back[s:e])
+        dh[order] += back
+        found = {"w": np.concatenate(rows) if rows else np.zeros(0, np.int64)}
+        g["w"], g["wb"], found["wb"] = (np.concatenate(dw), np.concatenate(db), found["w"]) if rows else (np.zeros((0, k), np.float32), np.zeros((0, 1), np.float32), found["w"])
+        inputs, carried, u = np.empty((len(out), 3 * k), h.dtype), 0, p["u"]
         for t in range(len(kept) - 1, -1, -1):
             h0, z, r, c, _ = kept[t]
-            d = dh[t] + carried
-            da = d * z * (1 - c * c)
-            dr = (da @ p["u"][:, 2 * k :].T) * h0
-            gates = np.concatenate([d * (c - h0) * z * (1 - z), dr * r * (1 - r)], axis=1)
-            g["u"][:, 2 * k :] += (r * h0).T @ da
-            g["u"][:, : 2 * k] += h0.T @ gates
-            inputs[t, :, : 2 * k], inputs[t, :, 2 * k :] = gates, da
-            carried = d * (1 - z) + (da @ p["u"][:, 2 * k :].T) * r + gates @ p["u"][:, : 2 * k].T
-            carried[source[:, t] == 0] = 0
-        read = source.T.ravel()
+            d = dh[t * lanes : (t + 1) * lanes].T + carried
+            both = np.empty((3 * k, lanes), h.dtype)
+            da = np.multiply(d * z, 1 - c * c, out=both[2 * k :])
+            back = u[2 * k :].T @ da
+            np.multiply(d * (c - h0), z * (1 - z), out=both[:k])
+            np.multiply(back * h0, r * (1 - r), out=both[k : 2 * k])
+            g["u"][2 * k :] += da @ (r * h0).T
+            g["u"][: 2 * k] += both[: 2 * k] @ h0.T
+            inputs[t * lanes : (t + 1) * lanes] = both.T
+            carried = d * (1 - z) + back * r + u[: 2 * k].T @ both[: 2 * k]
+            if not source[t].all():
+                carried *= source[t] != 0
+        read = source.ravel()
         order = np.argsort(read, kind="stable")
-        symbols, begins = np.unique(read[order], return_index=True)
-        g["x"] = np.add.reduceat(inputs.reshape(-1, 3 * k)[order], begins)
+        found["x"], begins = np.unique(read[order], return_index=True)
+        g["x"] = np.add.reduceat(inputs[order], begins)
+        return h, loss, g, found
+
+    def _descend(self, g: dict, rows: dict, rate: float, count: int) -> None:
+        """AdaGrad on the mean gradient, its norm held to 5; x, w and wb change in the rows they have a gradient for."""
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / count
         scale = min(1.0, 5.0 / max(norm, 1e-9)) / count
-        rows = {"x": symbols, "w": kinds, "wb": kinds}  # the others have no gradient
         for name, v in g.items():
             at = rows.get(name, slice(None))
-            v *= scale
-            self.sums[name][at] += v * v
-            p[name][at] -= rate * v / np.sqrt(self.sums[name][at])
-        return h
+            v *= np.float32(scale)
+            sums = self.sums[name][at] + v * v
+            self.sums[name][at] = sums
+            v /= np.sqrt(sums)
+            v *= np.float32(rate)
+            self.p[name][at] -= v
 
     def state(self) -> np.ndarray:
         """Weights and AdaGrad sums in one row of numbers."""
@@ -190,56 +230,69 @@ class GatedLM:
         order = np.argsort(-lengths, kind="stable")
         for first in range(0, len(order), LANES):
             rows = order[first : first + LANES]
-            size, at, h = lengths[rows], begins[rows], np.zeros((len(rows), self.hidden), np.float32)
-            last = np.zeros(len(rows), np.int64)
-            for t in range(0, int(size[0]) if len(size) else 0, WINDOW):
-                states, wanted, owner = [], [], []
-                for s in range(t, min(t + WINDOW, int(size[0]))):
-                    n = int(np.searchsorted(-size, -s))
-                    h[:n] = self.step(h[:n], last[:n])[0]
-                    last[:n] = symbols[at[:n] + s]
-                    states.append(h[:n].copy())
-                    wanted.append(last[:n].copy())
-                    owner.append(np.arange(n))
-                got = self._output(np.concatenate(states), np.concatenate(wanted))
-                score[rows] += np.bincount(np.concatenate(owner), got, len(rows))
+            size, at, h = lengths[rows], begins[rows], np.zeros((self.hidden, len(rows)), np.float32)
+            last, most = np.zeros(len(rows), np.int64), int(size[0]) if len(size) else 0
+            active = len(rows) - np.searchsorted(size[::-1], np.arange(most), "right")  # lanes that have a symbol at each step
+            for t in range(0, most, WINDOW):
+                states, wanted = [], []
+                for s in range(t, min(t + WINDOW, most)):
+                    n = active[s]
+                    if n < h.shape[1]:
+                        h, last, at = np.ascontiguousarray(h[:, :n]), last[:n], at[:n]
+                    h = self.step(h, last)[0]
+                    last = symbols[at + s]
+                    states.append(h)
+                    wanted.append(last)
+                got = self._output(np.concatenate(states, axis=1), np.concatenate(wanted))
+                owner = np.concatenate([np.arange(len(x)) for x in wanted])
+                score[rows[: len(wanted[0])]] += np.bincount(owner, got, len(wanted[0]))
         return score / np.log(10)
 
     def _output(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        kind, word = symbol // self.width, symbol % self.width
-        x = h @ self.p["c"] + self.p["cb"]
-        out = x[np.arange(len(x)), kind] - np.log(np.exp(x).sum(axis=1))
+        """Log probability of a symbol in each column of states."""
+        kind, p = self.kind[symbol], self.p
+        x = p["c"] @ h
+        x += p["cb"]
+        out = x[kind, np.arange(len(kind))] - np.log(np.exp(x, out=x).sum(axis=0)) if x.max() < 80 else self._careful(x, kind)
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for i in range(self.classes):
-            at = order[ends[i] : ends[i + 1]]
-            if len(at):
-                y = h[at] @ self.p["w"][i] + self.p["wb"][i]
-                out[at] += y[np.arange(len(at)), word[at]] - np.log(np.exp(y).sum(axis=1))
+        ends = np.searchsorted(kind[order], np.arange(len(self.bounds)))
+        ordered, word, more = h.T[order], symbol[order], np.zeros(len(order), np.float32)
+        for i in np.flatnonzero(np.diff(ends)):
+            a, b, s, e = self.bounds[i], self.bounds[i + 1], ends[i], ends[i + 1]
+            if b - a > 1:
+                more[s:e] = self._careful(p["w"][a:b] @ ordered[s:e].T + p["wb"][a:b], word[s:e] - a)
+        out[order] += more
         return out
 
+    @staticmethod
+    def _careful(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        x -= x.max(axis=0)
+        return x[k, np.arange(len(k))] - np.log(np.exp(x).sum(axis=0))
+
 
 def _symbols(words: np.ndarray, vocabulary: np.ndarray, order: np.ndarray) -> np.ndarray:
     """0 for the end, 1 for a rare word, else 2 + its place in the vocabulary; ``vocabulary`` is sorted, ``order`` its places."""
-    out = np.ones(len(words), np.int64)
+    unique, at = np.unique(words, return_inverse=True)
+    out = np.ones(len(unique), np.int64)
     if len(vocabulary):
-        k = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        found = vocabulary[k] == words
+        k = np.minimum(np.searchsorted(vocabulary, unique), len(vocabulary) - 1)
+        found = vocabulary[k] == unique
         out[found] = 2 + order[k[found]]
-    out[words == END] = 0
-    return out
+    out[unique == END] = 0
+    return out[at]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % 7 == 2
 
 
-def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, rounds: int = ROUNDS) -> tuple[GatedLM, list[int]]:
+def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, mass: np.ndarray, rounds: int = ROUNDS) -> tuple[GatedLM, list[int]]:
     """The network learned from every row of ``train(doc_id, text)``, and the number of tokens learned from in each round.
 
-    ``tokens`` is the number of tokens, ends included. A partition reads its rows as a stream; only averaged weights reach the driver.
+    ``tokens`` is the number of tokens, ends included, ``mass`` that of each symbol. A partition reads its rows as a stream; only averaged weights
+    reach the driver.
     """
-    model, sizes = GatedLM(2 + len(known)), []
+    model, sizes = GatedLM(mass), []
     passes = max(1, min(rounds, FEW // max(tokens, 1)))
     part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(rounds))
     for r in range(rounds):
@@ -247,9 +300,9 @@ def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, ro
 
         def learn(batches, sent=sent):
             own, seen = sent(), 0
-            for b in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
-                words, n = with_ends(*word_hashes(*text_buffers(b.column(0))))
-                own.train([_symbols(words, known, places)], lanes=min(256, max(16, len(words) // 2048)), epochs=1)
+            for b in slices(batches, 0, ROWS, BYTES):
+                words, _ = with_ends(*word_hashes(*text_buffers(b.column(0))))
+                own.train([_symbols(words, known, places)], lanes=min(512, max(16, len(words) // 1024)), epochs=1)
                 seen += len(words)
             if seen:
                 values = own.state()
@@ -271,63 +324,85 @@ def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, ro
     return model, sizes
 
 
-def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text, block)``.
+class Scorer:
+    """What a task needs to score texts: the network, the counts of frequent words, and totals of the training corpus."""
+
+    def __init__(self, model: GatedLM, frequent: np.ndarray, counts: np.ndarray, known: np.ndarray, places: np.ndarray, total: int, distinct: int, rare: int):
+        self.model, self.frequent, self.counts, self.known, self.places = model, frequent, counts, known, places
+        self.total, self.distinct, self.rare = total, distinct, rare
 
-    ``block`` names groups of at most some ten thousand rows (an input split, say): the counts of a block's words are gathered for the
-    block. Null or blank text is one end token. Repeated rows are scored alike and count as often as they occur. Without training tokens every
-    word has count zero. Words are told apart by 64-bit hashes. Very long texts are scored whole. Other columns are ignored.
+    def score(self, data: np.ndarray, offsets: np.ndarray):
+        """Per text (tokens, known, base, score) without what the words that are not frequent add, and those words: (owner, word, times)."""
+        words, n = with_ends(*word_hashes(data, offsets))
+        unique, at = np.unique(words, return_inverse=True)
+        k = np.minimum(np.searchsorted(self.frequent, unique), max(len(self.frequent) - 1, 0))
+        found = self.frequent[k] == unique if len(self.frequent) else np.zeros(len(unique), bool)
+        count = np.where(found, self.counts[k], 0) if len(self.frequent) else np.zeros(len(unique), np.int64)
+        symbols = _symbols(unique, self.known, self.places)[at]
+        logs, begins = np.log10(count + 1.0)[at], np.cumsum(n) - n
+        base = np.add.reduceat(logs, begins) - n * np.log10(self.total + self.distinct + 1.0)
+        rare = np.add.reduceat(np.where(symbols == 1, logs - np.log10(self.rare + 1.0), 0), begins)
+        sure = np.add.reduceat((count > 0).astype(np.int64)[at], begins)
+        score = self.model.log10s(symbols, n) + rare
+        other = np.flatnonzero(~found[at])
+        owner, place = np.repeat(np.arange(len(n)), n)[other], at[other]
+        pair, times = np.unique(owner * len(unique) + place, return_counts=True)
+        return n, sure, base, score, (pair // len(unique), unique[pair % len(unique)], times)
+
+
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<long>, times array<int>"
+
+
+def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``.
+
+    Null or blank text is one end token. Repeated rows are scored alike and count as often as they occur. Without training tokens every
+    word has count zero. Words are told apart by 64-bit hashes. Very long texts are scored whole. Null doc_id is a training row. An empty table
+    gives an empty result; other columns are ignored. ``frequent`` only says which counts travel with the tasks; no score depends on it.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "gru")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "block", held_out().alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
 
     def count(batches):
-        for b in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
-            words, n = with_ends(*word_hashes(*text_buffers(b.column(0))))
-            block = np.repeat(b.column(1).to_numpy(), n)
-            train = np.repeat(~b.column(2).to_numpy(zero_copy_only=False), n)
-            for k in np.unique(block):
-                own = block == k
-                unique, at = np.unique(words[own], return_inverse=True)
-                made = np.bincount(at, train[own], len(unique)).astype(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(unique), k)), pa.array(unique), pa.array(made)], names=["block", "word", "n"])
-
-    seen = docs.select("text", "block", "held_out").mapInArrow(count, "block long, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
-    seen = scratch.save(seen, "seen")
-    counts = scratch.save(seen.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
+        for b in slices(batches, 0, ROWS, BYTES):
+            words, made = np.unique(with_ends(*word_hashes(*text_buffers(b.column(0))))[0], return_counts=True)
+            yield pa.record_batch([pa.array(words), pa.array(made.astype(np.int64))], names=["word", "n"])
+
+    train = docs.where("not held_out")
+    counts = scratch.save(train.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocabulary = max(vocabulary, int(8 * int(total) ** (1 / 3)))
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(vocabulary).collect()
-    known = np.array([r[0] for r in top], np.int64)
+    vocabulary = max(vocabulary, int(4 * int(total) ** (1 / 3)))
+    top = counts.orderBy(F.desc("c"), "word").limit(max(frequent, vocabulary + 1)).toArrow()
+    word, c = top.column("word").to_numpy(), top.column("c").to_numpy()
+    ends = int(c[word == END].sum())
+    known, mass = word[word != END][:vocabulary], c[word != END][:vocabulary]
+    rare = total - ends - int(mass.sum())
+    rare_distinct = max(distinct - len(known) - (ends > 0), 0)
     places = np.argsort(known, kind="stable")
     known = known[places]
-    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rare_total, rare_distinct = total - ends - sum(r[1] for r in top), max(distinct - len(top) - (ends > 0), 0)
-
-    model, _ = fit(docs.where("not held_out"), int(total), known, places)
+    model, _ = fit(train, int(total), known, places, np.concatenate([[ends, rare], mass]))
     model.sums = {}
-    sent = shipped(spark, model)
-
-    def score(key, texts, words):
-        net, out = sent(), []
-        table, c = words.column("word").to_numpy(), words.column("c").to_numpy()
-        order = np.argsort(table)
-        table, c = table[order], c[order]
-        for b in texts.to_batches(max_chunksize=ROWS // 2):
-            hashes, n = with_ends(*word_hashes(*text_buffers(b.column("text"))))
-            count = c[np.searchsorted(table, hashes)]
-            symbols = _symbols(hashes, known, places)
-            logs, begins = np.log10(count + 1.0), np.cumsum(n) - n
-            rare = np.where(symbols == 1, logs - np.log10(rare_total + rare_distinct + 1.0), 0)
-            base = np.add.reduceat(logs, begins) - n * np.log10(total + distinct + 1.0)
-            whole = net.log10s(symbols, n) + np.add.reduceat(rare, begins)
-            seen = np.add.reduceat((count > 0).astype(np.int64), begins)
-            out.append(pa.table({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "n_tokens": n, "n_known": seen, "train_tokens": np.full(len(n), total), "base_score": base, "score": whole}))
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        del texts, words, table, c
-        pa.default_memory_pool().release_unused()
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
-
-    looked = seen.select("block", "word").join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(score, kinds)
+    order = np.argsort(word, kind="stable")
+    sent = shipped(spark, Scorer(model, word[order], c[order], known, places, int(total), int(distinct), int(rare + rare_distinct)))
+
+    def score(batches):
+        from pyspark import TaskContext
+
+        scorer, rid = sent(), TaskContext.get().partitionId() << 40
+        for b in slices(batches, 1, ROWS, BYTES):
+            n, sure, base, whole, (owner, words, times) = scorer.score(*text_buffers(b.column(1)))
+            ends = pa.array(np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (words, times.astype(np.int32)))
+            yield pa.record_batch([pa.array(rid + np.arange(len(n))), b.column(0), b.column(2), pa.array(n), pa.array(sure), pa.array(base), pa.array(whole), *lists], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"])
+            rid += len(n)
+
+    scored = scratch.save(docs.mapInArrow(score, SCORED), "scored")
+    others = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", "w.words", "w.times")
+    others = others.join(counts.select("word", "c"), F.col("words") == F.col("word"))
+    more = others.groupBy("rid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"))
+    out = scored.drop("words", "times").join(more, "rid", "left")
+    logs = F.coalesce("logs", F.lit(0.0))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs).alias("score"),
+    )

@@ -59,9 +59,7 @@ def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block")
-    return gru_lm.score_documents(docs.select("doc_id", "text", split))
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

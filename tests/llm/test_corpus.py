@@ -24,7 +24,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
-    return df.withColumn("n_words", F.lit(1)).withColumn("rid", F.lit("x")).withColumn("score", F.lit(None).cast("string")).withColumn("domain", F.lit(0)).withColumn("block", F.lit(7).cast("long")).withColumn("row", F.lit(0))
+    return df.withColumn("n_words", F.lit(1)).withColumn("rid", F.lit("x")).withColumn("score", F.lit(None).cast("string")).withColumn("domain", F.lit(0)).withColumn("row", F.lit(0))
 
 
 @pytest.fixture(scope="module")
@@ -125,41 +125,108 @@ def test_forest_meets_pairs_of_a_hot_cluster():
     assert linked.sum() > 10000 and ((member @ member.T > 0) & linked).sum() >= 0.97 * linked.sum()
 
 
-def test_gru_counts_and_gain(spark, docs, odd):
-    table = docs.select("doc_id", "text", F.lit(1).cast("long").alias("block"))
-    got = {r.doc_id: r for r in gru_lm.score_documents(table).collect()}
-    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), 0] for r in docs.collect()}
-    train = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+def slow_log10(model, symbols):
+    """The network's definition, one symbol at a time, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    k, h, last, total = model.hidden, np.zeros(model.hidden), 0, 0.0
+    for s in symbols:
+        x = p["x"][last]
+        z, r = (1 / (1 + np.exp(-(x[i * k : (i + 1) * k] + p["u"][i * k : (i + 1) * k] @ h))) for i in (0, 1))
+        c = np.tanh(x[2 * k :] + p["u"][2 * k :] @ (r * h))
+        h = (1 - z) * h + z * c
+        kind = int(np.searchsorted(model.bounds, s, "right")) - 1
+        a, b = model.bounds[kind], model.bounds[kind + 1]
+        for y, i in ((p["c"] @ h + p["cb"][:, 0], kind), (p["w"][a:b] @ h + p["wb"][a:b, 0], s - a)):
+            total += y[i] - np.log(np.exp(y).sum())
+        last = s
+    return total / np.log(10)
+
+
+def brute_counts(rows):
+    tokens = [[*(t or "").encode().lower().split(), 0] for _, t in rows]
+    train = Counter(w for (i, _), t in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     n, v = sum(train.values()), len(train)
-    for i, t in tokens.items():
-        assert got[i].train_tokens == n and got[i].n_tokens == len(t) and got[i].n_known == sum(train[w] > 0 for w in t)
-        assert got[i].base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-    assert gru_lm.score_documents(odd).count() == len(ODD)
+    return n, [(len(t), sum(train[w] > 0 for w in t), sum(math.log10((train[w] + 1) / (n + v + 1)) for w in t)) for t in tokens]
+
+
+@pytest.mark.parametrize("frequent", [gru_lm.FREQUENT, 1600])
+def test_gru_counts_and_scores(spark, docs, odd, frequent, monkeypatch):
+    models = []
+    fit = gru_lm.fit
+    monkeypatch.setattr(gru_lm, "fit", lambda *a: models.append((fit(*a), *a[2:4])) or models[-1][0])
+    table = docs.select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    got = {r.doc_id: r for r in gru_lm.score_documents(table, frequent=frequent).collect()}
+    n, want = brute_counts(rows)
+    for (i, _), (size, sure, base) in zip(rows, want):
+        assert (got[i].train_tokens, got[i].n_tokens, got[i].n_known) == (n, size, sure) and got[i].held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
+        assert got[i].base_score == pytest.approx(base, rel=1e-9)
+    # The score: the network symbol by symbol, and rare words by their share of all rare words.
+    (model, _), known, places = models[0]
+    train = [w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in gru_lm.word_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0].tolist()]
+    c = Counter(train)
+    rare = {w: m for w, m in c.items() if w not in set(known.tolist())}
+    for i, t in rows[:25]:
+        raw = (t or "").encode()
+        words = gru_lm.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        symbols = [*gru_lm._symbols(words, known, places).tolist(), 0]
+        more = sum(math.log10((c[w] + 1) / (sum(rare.values()) + len(rare) + 1)) for w, s in zip(words.tolist(), symbols) if s == 1)
+        assert got[i].score == pytest.approx(slow_log10(model, symbols) + more, rel=1e-4)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_gru_odd_rows(spark, odd):
+    got = gru_lm.score_documents(odd).collect()
+    n, want = brute_counts([(x[0], x[1]) for x in ODD])
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == sorted((a, b, round(c, 6)) for a, b, c in want) and {r.train_tokens for r in got} == {n}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert gru_lm.score_documents(odd.limit(0)).count() == 0
+    only = gru_lm.score_documents(odd.where("doc_id = 2")).collect()  # one row, an end alone
+    assert len(only) == 1 and only[0].n_tokens == 1
 
 
 def test_gru_gradient():
-    model = gru_lm.GatedLM(12, hidden=5, seed=3)
     r = np.random.default_rng(0)
+    model = gru_lm.GatedLM(np.arange(13, 0, -1), hidden=5, seed=3)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    source, target, h = r.integers(0, 13, (6, 4)), r.integers(0, 13, (6, 4)), r.normal(size=(5, 4))
+    _, _, g, rows = model.gradient(source, target, h)
+    for name, value in model.p.items():
+        full = np.zeros_like(value)
+        full[rows.get(name, slice(None))] = g[name]
+        for at in r.integers(0, value.size, 25):
+            place, losses = np.unravel_index(at, value.shape), []
+            for e in (1e-5, -2e-5):
+                value[place] += e
+                losses.append(model.gradient(source, target, h)[1])
+            value[place] += 1e-5
+            assert full[place] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_gru_learns():
+    model = gru_lm.GatedLM(np.ones(12), hidden=5, seed=3)
     texts = [np.append(np.tile([2, 3, 4, 5], 5), 0) for _ in range(60)]
     before = model.log10s(texts[0], np.array([21]))[0]
     model.train(texts, lanes=4, epochs=6)
     assert model.log10s(texts[0], np.array([21]))[0] > before / 3
-    ids = r.integers(0, 12, 30)
-    assert model.log10s(ids, np.array([30]))[0] < 0
+    several = [texts[0][-7:], np.array([0]), texts[0], np.array([3, 0])]
+    together = model.log10s(np.concatenate(several), np.array([7, 1, 21, 2]))
+    assert together == pytest.approx([slow_log10(model, x) for x in several], rel=1e-4)
 
 
 def test_gru_learns_from_every_document(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "SHARE", 1000)
     rows = [(i, "a b c d" if i % 2 else "b a d c") for i in range(3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    known = np.sort(gru_lm.word_hashes(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[0])
-    model, sizes = gru_lm.fit(table, 15000, known, np.arange(4))
+    abcd = np.frombuffer(b"a b c d", np.uint8), np.array([0, 7])
+    known, mass = np.sort(gru_lm.word_hashes(*abcd)[0]), np.array([3000, 0, 3000, 3000, 3000, 3000])
+    model, sizes = gru_lm.fit(table, 15000, known, np.arange(4), mass)
     assert sizes == [15000] * gru_lm.ROUNDS  # few tokens: every document in every round
     monkeypatch.setattr(gru_lm, "FEW", 1)
-    model, sizes = gru_lm.fit(table, 15000, known, np.arange(4))
+    model, sizes = gru_lm.fit(table, 15000, known, np.arange(4), mass)
     assert len(sizes) == gru_lm.ROUNDS and min(sizes) > 0 and sum(sizes) == 15000
-    seen, odd = gru_lm._symbols(gru_lm.word_hashes(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[0], known, np.arange(4)), np.array([2, 2, 2, 2])
+    seen, odd = gru_lm._symbols(gru_lm.word_hashes(*abcd)[0], known, np.arange(4)), np.array([2, 2, 2, 2])
     assert model.log10s(np.append(seen, 0), np.array([5]))[0] > model.log10s(np.append(odd, 0), np.array([5]))[0]
 
 
