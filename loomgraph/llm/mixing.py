@@ -70,7 +70,8 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) ->
     Tokens are words between ASCII white space; the budget is ``share`` of all tokens. In epoch e a leaf's documents come in the order
     of md5(seed-e-doc_id), then text; a document is chosen if the tokens before it, earlier epochs included, are fewer than the budget,
     so the last one may pass it by less than its own tokens. Documents without words (null or blank text) carry nothing and are left
-    out. Null lang or source is a leaf named "". Rows of equal order key stay in one order by text. An empty table gives an empty result.
+    out. Null lang or source is a leaf named "". Rows with null doc_id are ordered by a hash of their text. Repeated rows follow each other and
+    each takes its own tokens of the budget; which of them are chosen is open, how many is not. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     named = docs.select(
@@ -79,22 +80,42 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) ->
         F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("th"),
         F.col("text").cast("string").alias("text"),
     )
-    counted = named.drop("row").withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    slim = scratch.save(counted.drop("text").where("n_tokens > 0"), "tokens")
     keys = list(LEVELS)
-    leaves = slim.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    counted = named.drop("row").withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    # One row for all repeats of a row in its leaf.
+    slim = counted.where("n_tokens > 0").groupBy(*keys, "id", "th").agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("copies"))
+    slim = scratch.save(slim, "tokens")
+    size = F.col("n_tokens") * F.col("copies")
+    leaves = slim.groupBy(*keys).agg(F.sum(size).alias("tokens"), F.count("*").alias("rows"))
     budgets = scratch.save(leaf_budgets(leaves, share, epochs), "budgets")
     dealt = slim.join(budgets, keys).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     dealt = dealt.where(F.col("epoch") * F.col("tokens") < F.col("budget"))
-    dealt = dealt.withColumn("order", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce("id", F.lit("")))))
+    dealt = dealt.withColumn("order", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce("id", F.hex("th")))))
     # Running sums in two steps: over ranges of the order key, as many as the leaf is large, then inside a range.
     dealt = dealt.withColumn("part", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.ceil(F.col("rows") / ROWS)).cast("long"))
-    sums = dealt.groupBy(*keys, "epoch", "part").agg(F.sum("n_tokens").alias("s"))
+    sums = dealt.groupBy(*keys, "epoch", "part").agg(F.sum(size).alias("s"))
     before = Window.partitionBy(*keys, "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
     inside = Window.partitionBy(*keys, "epoch", "part").orderBy("order", "id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    reached = dealt.join(sums, [*keys, "epoch", "part"]).withColumn("start", F.col("epoch") * F.col("tokens") + F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    taken = reached.where(F.col("start") < F.col("budget")).groupBy("id", "th").agg(F.min("n_tokens").alias("n_tokens"), F.array_sort(F.collect_set(F.struct("epoch", F.col("budget").alias("leaf_budget")))).alias("times"))
-    out = named.drop("text").join(taken.select(F.col("id").alias("tid"), F.col("th").alias("tth"), "times", "n_tokens"), (F.col("id").eqNullSafe(F.col("tid"))) & (F.col("th") == F.col("tth")))
+    reached = dealt.join(sums, [*keys, "epoch", "part"]).withColumn("start", F.col("epoch") * F.col("tokens") + F.col("ahead") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    fit = F.least(F.col("copies"), F.ceil((F.col("budget") - F.col("start")) / F.col("n_tokens"))).alias("fit")
+    times = F.array_sort(F.collect_list(F.struct("epoch", F.col("budget").alias("leaf_budget"), fit)))  # an entry per epoch
+    taken = reached.where(F.col("start") < F.col("budget")).groupBy(*keys, "id", "th").agg(F.max("n_tokens").alias("n_tokens"), F.max("copies").alias("copies"), times.alias("times"))
+    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "id", "th")], "n_tokens", "copies", "times")
+    out = named.drop("text").join(taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("domain") == F.col("_domain")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")))
+    chosen = ["row", "domain", "n_tokens", "times"]
+    once = out.where("copies = 1").select(*chosen, F.lit(0).cast("long").alias("copy"))
+    # Repeated rows are numbered in two steps, by task and inside a task, so that no number of repeats meets in one.
+    tag = [f"_{k}" for k in (*keys, "id", "th")]
+    repeated = scratch.save(out.where("copies > 1").select(*chosen, *tag, F.spark_partition_id().alias("task")), "repeated")
+    tasks = repeated.groupBy(*tag, "task").agg(F.count("*").alias("m"))
+    tasks = tasks.withColumn("first", F.coalesce(F.sum("m").over(Window.partitionBy(*tag).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    tasks = tasks.select(*[F.col(k).alias(f"t{k}") for k in tag], F.col("task").alias("t_task"), "first")
+    place = F.row_number().over(Window.partitionBy(*tag, "task").orderBy(F.lit(0)))
+    same = F.lit(True)
+    for k in tag:
+        same &= F.col(k).eqNullSafe(F.col(f"t{k}"))
+    numbered = repeated.withColumn("place", place).join(tasks, same & (F.col("task") == F.col("t_task"))).select(*chosen, (F.col("first") + F.col("place") - 1).alias("copy"))
+    out = once.unionByName(numbered).withColumn("t", F.explode("times")).where(F.col("copy") < F.col("t.fit"))
     own = [F.col(f"row.`{c}`").alias(c) for c in dict.fromkeys(docs.columns) if c not in ("domain", "n_tokens", "epoch", "leaf_budget")]
-    return out.withColumn("t", F.explode("times")).select(*own, "domain", "n_tokens", "t.epoch", "t.leaf_budget")
+    return out.select(*own, "domain", "n_tokens", "t.epoch", "t.leaf_budget")
