@@ -1,6 +1,6 @@
 """Removal of boilerplate lines by the number of distinct sites they occur on, with DataFrame functions only.
 
-Every site adds itself to a HyperLogLog sketch of the line's hash; sketches merge by aggregation. Where an estimate lies so near the
+Every line adds its site to the HyperLogLog sketch of the line's hash; sketches of tasks merge by aggregation. Where an estimate lies so near the
 threshold that the sketch's error could decide, the distinct sites are counted exactly.
 """
 
@@ -37,18 +37,18 @@ def line_key(line: Column) -> Column:
 def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h, n_sites, exact) of the line hashes of ``lines(h, site)`` found on ``min_sites`` distinct sites or more.
 
-    Lines with fewer occurrences than that cannot qualify and get no sketch; that is exact. A line with a third of all rows is first
-    reduced to one row per task and site.
+    Each task sketches its own lines and only sketches are shuffled, so a line with a third of all rows is one sketch per task. Lines that occur
+    less often than ``min_sites`` cannot qualify. ``n_sites`` is the estimate where ``exact`` is false. Null hashes and sites do not count; an
+    empty table gives an empty result.
     """
-    scratch = Scratch(lines.sparkSession, "lines")
-    seen = scratch.save(lines.where("h is not null and site is not null").groupBy("h", "site").agg(F.count("*").alias("n")), "seen")
-    often = seen.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= min_sites).select("h")
-    often = seen.join(often, "h", "left_semi").select("h", "site")
-    sketches = often.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
-    merged = scratch.save(sketches.groupBy("h").agg(F.hll_union_agg("sketch").alias("sketch")).select("h", F.hll_sketch_estimate("sketch").alias("estimate")), "estimates")
+    lines = lines.where("h is not null and site is not null")
+    sketches = lines.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch")).where(F.col("n") >= min_sites)
+    estimate = F.hll_sketch_estimate("sketch").alias("estimate")
     near = F.abs(F.col("estimate") - min_sites) <= F.greatest(F.lit(2.0), MARGIN * F.greatest(F.col("estimate").cast("double"), F.lit(float(min_sites))))
-    counted = often.join(merged.where(near).select("h"), "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("n_sites"))
-    sure = merged.where(~near).where(F.col("estimate") >= min_sites).select("h", F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
+    likely = sketches.select("h", estimate).withColumn("near", near).where(F.col("near") | (F.col("estimate") >= min_sites))
+    likely = Scratch(lines.sparkSession, "lines").save(likely, "likely")
+    counted = lines.join(likely.where("near").select("h"), "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("n_sites"))
+    sure = likely.where("not near").select("h", F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
     return sure.unionByName(counted.where(F.col("n_sites") >= min_sites).withColumn("exact", F.lit(True)))
 
 
@@ -56,7 +56,8 @@ def remove_boilerplate(pages: DataFrame, text: Column, site: Column, key: str =
     """Rows of ``pages`` reduced to (key, site, n_lines, n_removed, kept): lines on ``min_sites`` or more sites are gone.
 
     Null text has no lines. Rows without a site keep every line and count for none unless the line is boilerplate elsewhere. Blank
-    lines stay and are never boilerplate. Repeated rows count their site once. Input columns other than those named are ignored.
+    lines stay and are never boilerplate. Repeated rows count their site once. Very long texts are read whole. An empty table gives an empty
+    result. Input columns other than those named are ignored.
     """
     base = pages.select(F.col(key).alias("key"), site.alias("site"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     hashed = F.transform("lines", lambda x: F.when(F.length(line_key(x)) >= min_chars, F.xxhash64(line_key(x))))
