@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, connect, connected_components, shipped
 
 SAMPLE = 32768  # vectors at most that the splits are fitted on; all are indexed
+SAMPLE_BYTES = 1 << 24  # bytes of that sample at most (but 1,024 vectors at least)
 TREES, SPILL, LEAF_ROWS = 4, 0.3, 512  # SPILL: margin of the projection; two unit vectors at cosine 0.9 differ by 0.45 (standard deviation) there
 CHUNK = 2048  # a leaf of more vectors is compared in chunk pairs, each a task of its own
 
@@ -58,6 +59,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1, scaled first so that no square overflows."""
+    v = v / np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-300) if len(v) else v
+    return (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)).astype(np.float32)
+
+
 def compare(x: np.ndarray, size: np.ndarray, second: np.ndarray | None, bits: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(links per row weighted by the other's size, component labels) of pairs with cosine of at least ``least``.
 
@@ -84,48 +91,48 @@ def compare(x: np.ndarray, size: np.ndarray, second: np.ndarray | None, bits: np
 def embedding_links(vectors: DataFrame, least: float = 0.9, trees: int = TREES, spill: float = SPILL, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``; labels are not read.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those whose length is not the most frequent
-    one. Equal vectors are one point of the forest and all link with each other; so do repeated rows. Rows with null vec_id count as links of others
-    but name no component. An empty table gives an empty result.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors link with those of their own length only: each
+    length of more than ``leaf_rows`` vectors has a forest, the others are a leaf each. Equal vectors are one point of the forest and all link
+    with each other; so do repeated rows. Rows with null vec_id count as links of others but name no component. An empty table gives an empty result;
+    other columns are ignored.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "forest")
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v")))
     rows = scratch.save(rows.withColumn("h", F.xxhash64("v")), "rows")
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return alone
-    dim = common["d"]
-    points = rows.where(F.size("v") == dim).groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    points = scratch.save(points.withColumn("rep", F.coalesce("rep", F.lit(0) - F.abs(F.col("h")) - 1)), "points")
-    n = points.count()
-    sample = points.where(F.pmod(F.col("h"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)).select("v").limit(SAMPLE).toArrow()
-    x = _matrix(sample.column(0).combine_chunks(), dim) if sample.num_rows else np.zeros((1, dim))
-    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-    depth = max(0, min((n // leaf_rows).bit_length(), (max(len(x), 32) // 32).bit_length() - 1))
-    sent = shipped(spark, Forest(x.astype(np.float32), depth, trees, spill))
+    points = rows.where("v is not null").groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    points = scratch.save(points.select("h", "v", F.size("v").alias("d"), F.coalesce("rep", F.lit(0) - F.abs(F.col("h")) - 1).alias("rep"), "size"), "points")
+    forests = {}
+    for dim, n in points.groupBy("d").count().where(F.col("count") > leaf_rows).collect():
+        most = max(1024, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        drawn = points.where((F.col("d") == dim) & (F.pmod(F.col("h"), F.lit(1 << 30)) < min(1.0, most / n) * (1 << 30))).select("v").limit(most).toArrow()
+        x = _matrix(drawn.column(0).combine_chunks(), dim) if drawn.num_rows else np.zeros((1, dim))
+        depth = max(0, min((n // leaf_rows).bit_length(), (max(len(x), 32) // 32).bit_length() - 1))
+        forests[dim] = Forest(_units(x), depth, trees, spill)
+    sent = shipped(spark, forests)
 
     def assign(batches):
-        forest = sent()
+        known = sent()
         for b in batches:
-            v = _matrix(b.column(2), dim)
-            unit = (v / np.abs(v).max(axis=1, keepdims=True)) if len(v) else v
-            unit = (unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))).astype(np.float32)
-            row, code = forest.leaves(unit)
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order].astype(np.int32)
-            ends = np.searchsorted(row, np.arange(len(v) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(code))
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists], names=["rep", "size", "v", "codes"])
-
-    leaves = points.select("rep", "size", "v").mapInArrow(assign, "rep long, size long, v array<double>, codes array<int>")
+            lengths = b.column(3).to_numpy()
+            for dim in np.unique(lengths):
+                own = b.filter(pa.array(lengths == dim))
+                if dim in known:
+                    row, code = known[dim].leaves(_units(_matrix(own.column(2), dim)))
+                    order = np.lexsort((code, row))
+                    row, code = row[order], code[order].astype(np.int32)
+                else:
+                    row, code = np.arange(len(own)), np.zeros(len(own), np.int32)
+                ends = np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32)
+                yield pa.record_batch([*own.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(code))], names=["rep", "size", "v", "d", "codes"])
+
+    leaves = points.select("rep", "size", "v", "d").mapInArrow(assign, "rep long, size long, v array<double>, d int, codes array<int>")
     leaves = scratch.save(leaves, "leaves")
-    # One row per leaf, at most trees * 2**depth of them whatever the number of vectors.
-    parts = leaves.select(F.explode("codes").alias("code")).groupBy("code").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
-    dealt = leaves.withColumn("code", F.explode("codes")).join(F.broadcast(parts), "code").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+    # One row per leaf, at most trees * 2**depth of them for a length, whatever the number of vectors.
+    parts = leaves.select("d", F.explode("codes").alias("code")).groupBy("d", "code").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
+    dealt = leaves.withColumn("code", F.explode("codes")).join(parts, ["d", "code"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("code", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), (F.col("c") > F.col("o")).alias("second"), "rep", "size", "v", F.filter("codes", lambda k: k < F.col("code")).alias("before"))
+    dealt = dealt.select("d", "code", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), (F.col("c") > F.col("o")).alias("second"), "rep", "size", "v", F.filter("codes", lambda k: k < F.col("code")).alias("before"))
 
     def leaf(key, table):
         table = table.combine_chunks()
@@ -135,14 +142,14 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, trees: int = TREES,
         codes, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         bits = np.zeros((len(rep), max(1, -(-len(codes) // 64))), np.uint64)
         np.bitwise_or.at(bits, (owner, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-        own = key[1].as_py() == key[2].as_py()
-        links, labels = compare(_matrix(table.column("v").combine_chunks(), dim), size, None if own else table.column("second").to_numpy(), bits, least)
+        own = key[2].as_py() == key[3].as_py()
+        links, labels = compare(_matrix(table.column("v").combine_chunks(), key[0].as_py()), size, None if own else table.column("second").to_numpy(), bits, least)
         some, moved = np.flatnonzero(links), np.flatnonzero(labels != np.arange(len(rep)))
         a = pa.array(np.concatenate([rep[some], rep[moved]]))
         b = pa.array(np.concatenate([rep[some], rep[labels[moved]]]))
         return pa.table({"a": a, "b": b, "links": np.concatenate([links[some], np.zeros(len(moved), np.int64)])})
 
-    found = scratch.save(dealt.groupBy("code", "p", "q").applyInArrow(leaf, "a long, b long, links long"), "found")
+    found = scratch.save(dealt.groupBy("d", "code", "p", "q").applyInArrow(leaf, "a long, b long, links long"), "found")
     scratch.drop("leaves")
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b"), scratch)
