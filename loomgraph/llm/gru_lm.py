@@ -21,6 +21,7 @@ VOCABULARY, HIDDEN, LANES, WINDOW = 1500, 24, 1024, 16  # VOCABULARY at least; i
 FREQUENT = 1 << 18  # words whose counts are sent to every task (16 bytes each); the counts of all other words are joined
 ROUNDS = 4  # of averaging; each training document is learned from in one of them, or in more where there are few tokens
 FEW, SHARE = 2_000_000, 100_000  # tokens up to which documents take part in several rounds; tokens of a partition at least
+PARTS, BRANCH = 4096, 32  # partitions that learn at most; partial averages that one task takes up
 WEIGHTS = 1 << 16  # weights of one row of the average
 END = -1  # word hash of the end of a text
 PIECE, ROWS, BYTES = 1 << 20, 8192, 1 << 25  # bytes hashed at once; documents and bytes scored at once
@@ -299,7 +300,9 @@ def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, ma
         sent = shipped(train.sparkSession, model)
 
         def learn(batches, sent=sent):
-            own, seen = sent(), 0
+            from pyspark import TaskContext
+
+            own, seen, part = sent(), 0, TaskContext.get().partitionId()
             for b in slices(batches, 0, ROWS, BYTES):
                 words, _ = with_ends(*word_hashes(*text_buffers(b.column(0))))
                 own.train([_symbols(words, known, places)], lanes=min(512, max(16, len(words) // 1024)), epochs=1)
@@ -308,16 +311,19 @@ def fit(train: DataFrame, tokens: int, known: np.ndarray, places: np.ndarray, ma
                 values = own.state()
                 rows = [values[k : k + WEIGHTS] for k in range(0, len(values), WEIGHTS)]
                 for i, row in enumerate(rows):
-                    yield pa.record_batch([pa.array([i]), pa.array([seen]), pa.array([row.astype("<f4").tobytes()])], names=["piece", "n", "value"])
+                    yield pa.record_batch([pa.array([i]), pa.array([part]), pa.array([seen]), pa.array([row.astype("<f4").tobytes()])], names=["piece", "part", "n", "value"])
 
         def average(key, table):
             n = table.column("n").to_numpy()
             total = sum(np.frombuffer(v.as_py(), "<f4").astype(np.float64) * k for v, k in zip(table.column("value"), n, strict=True))
-            return pa.table({"piece": [key[0].as_py()], "n": [int(n.sum())], "value": [(total / n.sum()).astype("<f4").tobytes()]})
-
-        kind = "piece long, n long, value binary"
-        shares = train.where(F.pmod(part - r, F.lit(rounds)) < passes).select("text").coalesce(max(1, tokens * passes // rounds // SHARE))
-        found = sorted(shares.mapInArrow(learn, kind).groupBy("piece").applyInArrow(average, kind).collect())
+            return pa.table({"piece": [key[0].as_py()], "part": [key[1].as_py()], "n": [int(n.sum())], "value": [(total / n.sum()).astype("<f4").tobytes()]})
+
+        kind, parts = "piece long, part long, n long, value binary", max(1, min(PARTS, tokens * passes // rounds // SHARE))
+        learned = train.where(F.pmod(part - r, F.lit(rounds)) < passes).select("text").coalesce(parts).mapInArrow(learn, kind)
+        while parts > 1:  # averages of averages, so that no task takes up those of all partitions
+            parts = -(-parts // BRANCH)
+            learned = learned.withColumn("part", F.expr(f"part div {BRANCH}")).groupBy("piece", "part").applyInArrow(average, kind)
+        found = sorted(learned.collect())
         if found:
             model.set_state(np.concatenate([np.frombuffer(x.value, "<f4") for x in found]))
         sizes.append(found[0].n if found else 0)
