@@ -101,13 +101,14 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) ->
     fit = F.least(F.col("copies"), F.ceil((F.col("budget") - F.col("start")) / F.col("n_tokens"))).alias("fit")
     times = F.array_sort(F.collect_list(F.struct("epoch", F.col("budget").alias("leaf_budget"), fit)))  # an entry per epoch
     taken = reached.where(F.col("start") < F.col("budget")).groupBy(*keys, "id", "th").agg(F.max("n_tokens").alias("n_tokens"), F.max("copies").alias("copies"), times.alias("times"))
-    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "id", "th")], "n_tokens", "copies", "times")
-    out = named.drop("text").join(taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("domain") == F.col("_domain")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")))
+    taken = scratch.save(taken.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "id", "th")], "n_tokens", "copies", "times"), "taken")
+    many = scratch.save(taken.where("copies > 1"), "many")  # a table of its own, so that few repeats need no shuffle of texts
+    meet = lambda t: named.drop("text").join(t, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("domain") == F.col("_domain")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")))
     chosen = ["row", "domain", "n_tokens", "times"]
-    once = out.where("copies = 1").select(*chosen, F.lit(0).cast("long").alias("copy"))
+    once = meet(taken.where("copies = 1")).select(*chosen, F.lit(0).cast("long").alias("copy"))
     # Repeated rows are numbered in two steps, by task and inside a task, so that no number of repeats meets in one.
     tag = [f"_{k}" for k in (*keys, "id", "th")]
-    repeated = scratch.save(out.where("copies > 1").select(*chosen, *tag, F.spark_partition_id().alias("task")), "repeated")
+    repeated = scratch.save(meet(many).select(*chosen, *tag, F.spark_partition_id().alias("task")), "repeated")
     tasks = repeated.groupBy(*tag, "task").agg(F.count("*").alias("m"))
     tasks = tasks.withColumn("first", F.coalesce(F.sum("m").over(Window.partitionBy(*tag).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     tasks = tasks.select(*[F.col(k).alias(f"t{k}") for k in tag], F.col("task").alias("t_task"), "first")
