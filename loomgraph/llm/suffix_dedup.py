@@ -2,9 +2,10 @@
 
 A suffix enters the index where it starts with the smallest 64-byte fingerprint of some 200-byte window. The choice
 depends on the window's bytes alone, so two equal windows enter with equal suffixes, and each window belongs to exactly one
-entry: an entry covers the run of consecutive windows which chose it. Batches become sorted arrays of entries; a
-batch is merge-scanned against every level of the family, and levels of equal rank merge into the next rank. What
-matches is a key seen twice: entries of equal bytes repeat as a whole; the bytes of the others are brought together by key and their
+entry: an entry covers the run of consecutive windows which chose it. Batches become sorted arrays of entries (first bytes,
+fingerprint, place); a batch is merge-scanned against every level of the family for long matches, and levels of equal rank
+merge into the next rank, which later batches scan. The arrays that are left at the end hold every run that matched, with its
+places counted: runs of equal bytes repeat as a whole; the bytes of the others are brought together by key and their
 windows compared one by one through two independent 64-bit fingerprints.
 """
 
@@ -14,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, text_buffers
@@ -86,7 +87,7 @@ def _pieces(offsets: np.ndarray, window: int):
 
 
 def piece_entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int):
-    """(key, run fingerprint, first window, windows) of the entries of texts that lie side by side in ``data``."""
+    """(first eight bytes, key, run fingerprint, first window, windows) of the entries of texts that lie side by side in ``data``."""
     n = len(data) - window + 1
     if n <= 0:
         return None
@@ -109,11 +110,15 @@ def piece_entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window
         return None
     count = np.add.reduceat(valid.astype(np.int64), s)
     more = second.sums(data)
-    return gram[place[s]], second.of(more, s, s + count + window - 1), s, count
+    at = place[s]
+    head = np.zeros(len(s), np.uint64)
+    for k in range(8):
+        head = head << np.uint64(8) | data[at + k]
+    return head ^ np.uint64(1 << 63), gram[at], second.of(more, s, s + count + window - 1), s, count  # signed, heads order like bytes
 
 
 def entries(docs: DataFrame, window: int, batches: int) -> DataFrame:
-    """(key, run, rid, start, windows, batch) of ``docs(rid, text)``."""
+    """(head, key, run, rid, start, windows, batch) of ``docs(rid, text)``."""
 
     def run(parts):
         for b in parts:
@@ -122,48 +127,69 @@ def entries(docs: DataFrame, window: int, batches: int) -> DataFrame:
             for p, q, rows, starts, ends, before in _pieces(offsets, window):
                 if (found := piece_entries(data[p:q], starts - p, ends - p, window)) is None:
                     continue
-                key, whole, s, count = found
+                head, key, whole, s, count = found
                 at = np.searchsorted(starts - p, s, "right") - 1
                 own = rid[rows[at]]
                 yield pa.record_batch(
-                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own), pa.array(s - (starts - p)[at] + before), pa.array(count.astype(np.int32)), pa.array((own % batches).astype(np.int32))],
-                    names=["key", "run", "rid", "start", "windows", "batch"],
+                    [pa.array(head.view(np.int64)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own), pa.array(s - (starts - p)[at] + before), pa.array(count.astype(np.int32)), pa.array((own % batches).astype(np.int32))],
+                    names=["head", "key", "run", "rid", "start", "windows", "batch"],
                 )
 
-    return docs.select("rid", "text").mapInArrow(run, "key long, run long, rid long, start long, windows int, batch int")
+    return docs.select("rid", "text").mapInArrow(run, "head long, key long, run long, rid long, start long, windows int, batch int")
 
 
 class SuffixIndexFamily:
-    """Levels of suffix arrays: each holds its keys in order, and how often they occur.
+    """Levels of suffix arrays: the suffixes of all batches so far, in order of their first bytes and the fingerprint of their first 64.
 
-    ``add`` takes a batch of entries, returns the keys it shares with itself or with what came before, and keeps the family
-    logarithmic: two levels of one rank become one of the next. At most one level of a rank is left at any time.
+    Suffixes that agree for the whole run of windows they stand for are one row: (head, key, run), how many there are, and the first place.
+    ``add`` takes a batch, scans it against itself and every level for keys that match, and keeps the family logarithmic: two levels of one
+    rank merge into one of the next, so at most one level of a rank is left.
     """
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.made = scratch, {}, 0
+        self.scratch, self.levels, self.hits, self.made, self.scans = scratch, {}, [], 0, []
 
-    def _save(self, df: DataFrame) -> tuple[str, DataFrame]:
+    def _save(self, rows: DataFrame, n: Column, one: Column) -> tuple[str, DataFrame]:
         self.made += 1
-        name = f"level{self.made}"
-        return name, self.scratch.save(df.sortWithinPartitions("key"), name)
+        array = rows.groupBy("head", "key", "run").agg(F.sum(n).alias("n"), F.min(one).alias("one"))
+        return f"level{self.made}", self.scratch.save(array.sortWithinPartitions("head", "key"), f"level{self.made}")
+
+    def _merged(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        return self._save(rows, F.col("n"), F.col("one"))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        name, array = self._save(batch.groupBy("key").agg(F.count("*").cast("int").alias("n")))
-        hits = array.where("n > 1").select("key")
+        """The (head, key) of suffixes in ``batch(head, key, run, rid, start, windows)`` that match another one for 64 bytes or more."""
+        name, array = self._save(batch, F.lit(1).cast("long"), F.struct("rid", "start", "windows"))
+        found = array.groupBy("head", "key").agg(F.sum("n").alias("n")).where("n > 1").select("head", "key")
+        self.scans.append(sorted(self.levels))
         for _, level in self.levels.values():
-            hits = hits.unionByName(array.join(level.select("key"), "key", "left_semi").select("key"))
-        self.made += 1
-        hits = self.scratch.save(hits.distinct(), f"hits{self.made}")
+            found = found.unionByName(array.select("head", "key").join(level.select("head", "key"), ["head", "key"], "left_semi"))
+        self.hits.append(self.scratch.save(found.distinct(), f"hits{self.made}"))
         rank = 0
         while rank in self.levels:
             other, level = self.levels.pop(rank)
-            merged = self._save(array.unionByName(level).groupBy("key").agg(F.sum("n").cast("int").alias("n")))
+            merged = self._merged(array.unionByName(level))
             self.scratch.drop(other)
             self.scratch.drop(name)
             (name, array), rank = merged, rank + 1
         self.levels[rank] = (name, array)
-        return hits
+        return self.hits[-1]
+
+    def matches(self) -> DataFrame:
+        """(head, key, run, n, one) of all suffixes whose key matched in some scan, out of the levels that are left."""
+        hits, rows = self.hits[0], None
+        for more in self.hits[1:]:
+            hits = hits.unionByName(more)
+        hits = hits.distinct()
+        for _, level in self.levels.values():
+            own = level.join(hits, ["head", "key"], "left_semi")
+            rows = own if rows is None else rows.unionByName(own)
+        return rows.groupBy("head", "key", "run").agg(F.sum("n").alias("n"), F.min("one").alias("one")) if len(self.levels) > 1 else rows
+
+
+def batches_for(rows: int) -> int:
+    """Batches that an input is indexed in: two, and one more for each doubling beyond 65,536 rows."""
+    return 2 + (rows >> 16).bit_length()
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -249,31 +275,33 @@ def _windows(snippets: DataFrame, window: int) -> DataFrame:
     return snippets.mapInArrow(run, "w1 long, w2 long, rid long, start long, alone boolean")
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, batches: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``, the bytes that remain.
 
     Every byte covered by a ``window``-byte string that also starts elsewhere is removed, in all its places; strings are
     judged on the input. Null text is empty: no bytes, the hash of nothing. Texts shorter than the window keep all. A
-    repeated row is another place, so both rows lose what they share. An empty table gives an empty result; other
-    columns are ignored.
+    repeated row is another place, so both rows lose what they share. Very long texts are read whole. An empty table gives an
+    empty result; other columns are ignored. ``batches`` (by default more for more rows) does not change results.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    batches = batches or batches_for(docs.count())
     runs = scratch.save(entries(docs, window, batches), "entries", ["batch"])
-    family, hits = SuffixIndexFamily(scratch), None
+    family = SuffixIndexFamily(scratch)
     for k in range(batches):
-        found = family.add(runs.where(F.col("batch") == k))
-        hits = found if hits is None else hits.unionByName(found)
-    repeated = scratch.save(runs.drop("batch").join(hits.distinct(), "key", "left_semi"), "repeated")
+        family.add(runs.where(F.col("batch") == k).drop("batch"))
+    classes = scratch.save(family.matches(), "classes")
+    for name, _ in family.levels.values():
+        scratch.drop(name)
+    spans = runs.join(classes.where("n > 1").select("head", "key", "run"), ["head", "key", "run"], "left_semi").select("rid", "start", (F.col("windows") + (window - 1)).cast("long").alias("size"))
+    spans = scratch.save(spans, "spans")
     scratch.drop("entries")
-    classes = scratch.save(repeated.groupBy("key", "run").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "windows")).alias("one")), "classes")
-    spans = repeated.join(classes.where("n > 1").select("key", "run"), ["key", "run"], "left_semi").select("rid", "start", (F.col("windows") + (window - 1)).cast("long").alias("size"))
     # Entries of one key but different bytes: their bytes meet in buckets. A key with more of them than a bucket should hold
     # has its windows dealt out one by one instead.
-    kinds = scratch.save(classes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    kinds = scratch.save(classes.groupBy("head", "key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     buckets = int((kinds.agg(F.sum("kinds")).first()[0] or 0) // BUCKET) + 1
     bucket = F.when(F.col("kinds") > 4 * BUCKET, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("long").alias("bucket")
-    mixed = classes.join(kinds, "key").select("one.*", (F.col("n") == 1).alias("alone"), bucket)
+    mixed = classes.join(kinds, ["head", "key"]).select("one.*", (F.col("n") == 1).alias("alone"), bucket)
     mixed = mixed.groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "alone", "bucket")).alias("runs"))
     packed = _packed(docs)
     snippets = scratch.save(_snippets(packed, mixed, window), "snippets")
@@ -293,10 +321,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 2) -> Data
                 text = np.frombuffer(raw, np.uint8)
                 s, z = start[at[i] : at[i + 1]], size[at[i] : at[i + 1]]
                 if len(s):
-                    step = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(step, s, 1)
-                    np.add.at(step, s + z, -1)
-                    gone = np.cumsum(step[:-1]) > 0
+                    first, last = (np.minimum(x, len(text)) for x in (s, s + z))
+                    step = np.bincount(first, minlength=len(text) + 1) - np.bincount(last, minlength=len(text) + 1)
+                    gone = np.cumsum(step)[: len(text)] > 0
                     kept, removed, n = text[~gone].tobytes(), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 else:
                     kept, removed, n = text.tobytes(), 0, 0

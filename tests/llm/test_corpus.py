@@ -64,6 +64,39 @@ def test_suffix_dedup_brute_force(spark, docs, odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_suffix_family_scans_merged_levels(spark, docs):
+    """Seven batches: merged levels are scanned by later batches, and what the family matched is what brute force counts."""
+    from loomgraph.llm.common import Scratch
+
+    r = np.random.default_rng(2)
+    word = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8)).decode()
+    shared = [word(230) for _ in range(8)]
+    texts = [word(300) + shared[k % 8] * (k % 3 > 0) + word(250) for k in range(42)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "rid long, text string")
+    runs, family = suffix_dedup.entries(df, 200, 7).cache(), suffix_dedup.SuffixIndexFamily(Scratch(spark, "family"))
+    before: set = set()
+    for k in range(7):
+        batch = runs.where(F.col("batch") == k).drop("batch")
+        own = [(x.head, x.key) for x in batch.collect()]
+        want = {x for x in own if own.count(x) > 1 or x in before}
+        assert {tuple(x) for x in family.add(batch).collect()} == want
+        before |= set(own)
+    assert family.scans == [[], [0], [1], [0, 1], [2], [0, 2], [1, 2]] and sorted(family.levels) == [0, 1, 2]
+    count, keys = Counter((x.head, x.key, x.run) for x in runs.collect()), Counter((x.head, x.key) for x in runs.collect())
+    assert {(x.head, x.key, x.run): x.n for x in family.matches().collect()} == {k: n for k, n in count.items() if keys[k[:2]] > 1}
+    order = [x.head for x in spark.createDataFrame([], "head long").collect()]
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    head, key, _, s, n = suffix_dedup.piece_entries(data, np.array([0]), np.array([len(data)]), 200)
+    raw = [int(x ^ np.uint64(1 << 63)).to_bytes(8, "big") for x in head]
+    assert not order and all(b in texts[0].encode() for b in raw) and np.argsort(head.view(np.int64), kind="stable").tolist() == sorted(range(len(raw)), key=lambda i: raw[i])
+
+
+def test_suffix_dedup_batches_agree(spark, docs):
+    some = docs.where("doc_id < 150")
+    get = lambda n: sorted(tuple(x) for x in suffix_dedup.remove_repeats(some, batches=n).drop("kept").collect())
+    assert get(1) == get(2) == get(6) and suffix_dedup.batches_for(50_000) == 2 and suffix_dedup.batches_for(1 << 30) > 10
+
+
 def test_suffix_dedup_hot_key_path(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 1)
     r = np.random.default_rng(1)
