@@ -9,6 +9,7 @@ DOCUMENTS = [
     "'c'||c_custkey AS document_id", "'n'||c_nationkey AS source_id", "c_name AS filename",
     "CASE c_custkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'LOADING' WHEN 2 THEN 'EXTRACTING' WHEN 3 THEN 'PAUSED' WHEN 4 THEN 'READY' ELSE 'FAILED' END AS status",
     "CAST(c_custkey % 7 AS INT) AS chunk_count", "CAST(c_custkey % 11 AS INT) AS event_count", "CAST(c_acctbal * 100 AS BIGINT) AS size_bytes",
+    "TIMESTAMP '2024-01-01 00:00:00' + CAST(c_custkey % 97 AS INT) * INTERVAL 1 DAY AS created_at",
 ]
 EVENTS = [
     "lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id", "'n'||c_nationkey AS source_config_id", "'c'||o_custkey AS source_id",
@@ -46,7 +47,10 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "documents" and len(df.inputFiles()) == 1:  # a single file may be one row group, which one task would read
+            return df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
 
     def _orders(self) -> DataFrame:
         return self.raw("orders").join(self.raw("customer"), _on("o_custkey", "c_custkey"))

@@ -55,7 +55,7 @@ def status_counts(documents: DataFrame) -> DataFrame:
 
 def list_documents(documents: DataFrame, status: str, keyword: str, limit: int, offset: int) -> DataFrame:
     found = documents.where((F.col("status") == status) & F.contains(F.lower("filename"), F.lit(keyword.lower())))
-    return found.orderBy(F.desc("document_id")).offset(offset).limit(limit).select("document_id", "filename")
+    return found.orderBy(F.desc("created_at"), "document_id").offset(offset).limit(limit).select("document_id", "filename")
 
 
 def outline(chunks: DataFrame, per_document: int) -> DataFrame:
@@ -63,7 +63,7 @@ def outline(chunks: DataFrame, per_document: int) -> DataFrame:
 
 
 def recent_activity(documents: DataFrame, sources: DataFrame, k: int) -> DataFrame:
-    latest = top(documents, ["source_id"], [F.desc("size_bytes"), F.col("document_id")], k)
+    latest = top(documents, ["source_id"], [F.desc("created_at"), F.col("document_id")], k)
     return latest.join(sources, F.col("source_id") == F.col("source_config_id")).select("source_id", "name", "document_id", "rn")
 
 
@@ -77,7 +77,7 @@ def history_window(messages: DataFrame, budget: int) -> DataFrame:
 
 def pick_documents(documents: DataFrame, k: int) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ("READY", "EXTRACTING", "FAILED", "PAUSED", "LOADING", "PENDING"))), F.col("status"))
-    return top(documents.where("event_count > 0"), ["source_id"], [rank, F.desc("event_count"), F.desc("document_id")], k).select("source_id", "document_id", "rn")
+    return top(documents.where("event_count > 0"), ["source_id"], [rank, F.desc("event_count"), F.desc("created_at"), F.desc("document_id")], k).select("source_id", "document_id", "rn")
 
 
 def ingest_busy(documents: DataFrame) -> DataFrame:

@@ -11,10 +11,24 @@ _HEADING, _ROW, _RULE = re.compile(r"#{1,6}\s+(.+?)\s*$"), re.compile(r"\s*\|.*\
 _CJK = re.compile("[\u3000-\u9fff\uf900-\ufaff]")
 
 
+class Size:
+    """Tokens of texts joined by line breaks: CJK characters count one, all others together a quarter, rounded up."""
+
+    def __init__(self):
+        self.cjk = self.other = self.parts = 0
+
+    def with_(self, text: str) -> Size:
+        more, cjk = Size(), len(_CJK.findall(text))
+        more.cjk, more.other, more.parts = self.cjk + cjk, self.other + len(text) - cjk + (self.parts > 0), self.parts + 1
+        return more
+
+    @property
+    def tokens(self) -> int:
+        return self.cjk + -(-self.other // 4)
+
+
 def tokens(text: str) -> int:
-    """CJK characters count one, the others a quarter, rounded up."""
-    cjk = len(_CJK.findall(text))
-    return cjk + -(-(len(text) - cjk) // 4)
+    return Size().with_(text).tokens
 
 
 def blocks(text: str) -> Iterator[tuple[str, str, str]]:
@@ -49,26 +63,33 @@ def blocks(text: str) -> Iterator[tuple[str, str, str]]:
 
 def pack_lines(text: str, cap: int) -> Iterator[str]:
     """Lines packed in order up to ``cap`` tokens; a line is never cut, and one beyond the cap stands alone."""
-    held, size = [], 0
+    held, size = [], Size()
     for line in text.split("\n"):
-        n = tokens(line)
-        if held and size + n > cap:
+        if held and size.with_(line).tokens > cap:
             yield "\n".join(held)
-            held, size = [], 0
+            held, size = [], Size()
         held.append(line)
-        size += n
+        size = size.with_(line)
     yield "\n".join(held)
 
 
-def assemble(text: str, max_tokens: int, standalone_max: int, heading_strict: bool) -> Iterator[tuple[str, str, str]]:
-    """(kind, heading, content) of the chunks: code and tables stand alone, text joins the open chunk while it fits."""
-    held, size, head = [], 0, ""
+def split_blocks(text: str, pattern: str) -> Iterator[tuple[str, str, str]]:
+    """Blocks with the text ones split where ``pattern`` matches; code and tables stay whole, blank parts drop out."""
     for kind, heading, body in blocks(text):
+        for part in re.split(pattern, body) if kind == "TEXT" else [body]:
+            if part and part.strip():
+                yield kind, heading, part
+
+
+def assemble(text: str, max_tokens: int, standalone_max: int, heading_strict: bool, pattern: str | None = None) -> Iterator[tuple[str, str, str]]:
+    """(kind, heading, content) of the chunks: code and tables stand alone, text joins the open chunk while the joined text fits."""
+    held, size, head = [], Size(), ""
+    for kind, heading, body in blocks(text) if pattern is None else split_blocks(text, pattern):
         n = tokens(body)
         alone = kind != "TEXT"
-        if held and (alone or size + n > max_tokens or (heading_strict and heading != head)):
+        if held and (alone or size.with_(body).tokens > max_tokens or (heading_strict and heading != head)):
             yield "TEXT", head, "\n".join(held)
-            held, size = [], 0
+            held, size = [], Size()
         if n > (standalone_max if alone else max_tokens):
             for part in pack_lines(body, standalone_max if alone else max_tokens):
                 if part.strip():
@@ -78,7 +99,7 @@ def assemble(text: str, max_tokens: int, standalone_max: int, heading_strict: bo
         else:
             head = head if held else heading
             held.append(body)
-            size += n
+            size = size.with_(body)
     if held:
         yield "TEXT", head, "\n".join(held)
 
@@ -97,3 +118,28 @@ def assemble_chunks(docs: DataFrame, max_tokens: int = 512, standalone_max: int
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "kind", "heading", "content", "tokens"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, rank int, kind string, heading string, content string, tokens int")
+
+
+def parent_child(text: str, parent_max: int, child_max: int, pattern: str | None = None) -> Iterator[tuple[str, int, str, str, str]]:
+    """(chunk_type, parent_group, kind, heading, content): each parent followed by its children, which are its own text cut smaller."""
+    for group, (kind, heading, content) in enumerate(assemble(text, parent_max, parent_max, True, pattern)):
+        yield "parent", group, kind, heading, content
+        for part in pack_lines(content, child_max):
+            if part.strip():
+                yield "child", group, kind, heading, part
+
+
+def parent_child_chunks(docs: DataFrame, parent_max: int = 1024, child_max: int = 256, pattern: str | None = None) -> DataFrame:
+    """Parents and children of ``docs(doc_id, text)`` with their rank from 0; null and blank texts have none. ``relevance.link_parents`` names parents."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                for rank, row in enumerate(parent_child(text, parent_max, child_max, pattern) if isinstance(text, str) else ()):
+                    rows.append((doc_id, rank, *row))
+            yield pd.DataFrame(rows, columns=["doc_id", "rank", "chunk_type", "parent_group", "kind", "heading", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, rank int, chunk_type string, parent_group int, kind string, heading string, content string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import LIVE, VISIBLE
 from .recall import top
 
-DEGREE_CAP = 1000  # entities with more events are hubs and make no event-event links
+CHUNK = 512  # events of an entity that one side of a block of pairs holds
 
 
 def entity_heat(entities: DataFrame, relations: DataFrame, k: int) -> DataFrame:
@@ -33,13 +33,28 @@ def cover_edges(assoc: DataFrame) -> DataFrame:
     return assoc.withColumn("covers", first_event | first_entity)
 
 
-def shared_entity_edges(relations: DataFrame, cap: int = DEGREE_CAP) -> DataFrame:
-    """Pairs of events that share entities, with the number shared; entities of more than ``cap`` events are left out."""
+def shared_entity_edges(relations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of events that share entities, with the number shared.
+
+    An entity of many events is cut into chunks, and each pair of chunks is a join key of its own, so no task holds more than two chunks of
+    one entity. Its pairs are the result and grow with the square of its events; ``shared_entity_members`` has them in linear size.
+    """
+    pairs = relations.select("event_id", "entity_id").distinct()
+    sizes = pairs.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1").select("entity_id", F.ceil(F.col("n") / chunk).cast("int").alias("m"))
+    pairs = pairs.join(sizes, "entity_id").withColumn("c", F.pmod(F.xxhash64("event_id"), F.col("m")).cast("int"))
+    blocks = pairs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    keyed = blocks.select("entity_id", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "c", "event_id")
+    other = keyed.select("entity_id", "p", "q", F.col("c").alias("d"), F.col("event_id").alias("other_id"))
+    # Within a block of two chunks only pairs across them count; pairs of one chunk have a block of their own.
+    met = keyed.join(other, ["entity_id", "p", "q"]).where("event_id < other_id AND (p = q OR c <> d)")
+    return met.groupBy("event_id", "other_id").agg(F.count("*").alias("shared"))
+
+
+def shared_entity_members(relations: DataFrame) -> DataFrame:
+    """(entity_id, event_id, n): the hyperedges themselves, each entity of two events or more with its events and their number."""
     pairs = relations.select("event_id", "entity_id").distinct()
-    small = pairs.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("entity_id")
-    pairs = pairs.join(small, "entity_id", "left_semi")
-    other = pairs.select("entity_id", F.col("event_id").alias("other_id"))
-    return pairs.join(other, "entity_id").where("event_id < other_id").groupBy("event_id", "other_id").agg(F.count("*").alias("shared"))
+    sizes = pairs.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1")
+    return pairs.join(sizes, "entity_id").select("entity_id", "event_id", "n")
 
 
 def slice_events(events: DataFrame, relations: DataFrame, k: int) -> DataFrame:

@@ -21,10 +21,11 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k of ``vectors(id, v)`` for each of ``queries(query_id, q)``; score clamped to [0, 1], ties by id.
 
-    Only k rows per query and task are shuffled. Null, zero and unequal vectors drop out.
+    Only k rows per query and task are shuffled. Null, zero and unequal vectors drop out, and those with a component that is null or not finite.
     """
-    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("qn", F.sqrt(dot("q", "q"))).where("qn > 0")
-    v = vectors.select("id", F.col("v").cast("array<double>").alias("v")).withColumn("vn", F.sqrt(dot("v", "v"))).where("vn > 0")
+    fine = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where(fine("q")).withColumn("qn", F.sqrt(dot("q", "q"))).where("qn > 0")
+    v = vectors.select("id", F.col("v").cast("array<double>").alias("v")).where(fine("v")).withColumn("vn", F.sqrt(dot("v", "v"))).where("vn > 0")
     near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot("q", "v") / (F.col("qn") * F.col("vn"))))
     parts, out = max(1, -(-queries.count() // QUERY_LIMIT)), None
     for part in range(parts):
@@ -42,10 +43,10 @@ def terms(text: Column) -> Column:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """BM25 top-k of ``chunks(chunk_id, content)`` for ``queries(query_id, text)``; score/2 clamped to [0, 1], ties by chunk_id.
 
-    The postings join on the term; only terms of a query take part.
+    For a single batch of queries: only their terms take part. ``search.bm25_index`` keeps postings for several.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = chunks.select("chunk_id", terms(F.col("content")).alias("w"))
+    words = chunks.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("w"))
     n, avgdl = words.agg(F.count("*"), F.avg(F.size("w"))).first()
     tf = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     tf = tf.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -58,7 +59,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 
 def grep(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Case-insensitive literal hits of ``patterns(pattern)`` in chunks: count of non-overlapping hits, most first, then rank and id."""
+    """Case-insensitive literal hits of ``patterns(pattern)`` in chunks: count of non-overlapping hits, most first, then rank and id. Blank patterns find nothing."""
+    patterns = patterns.where("trim(pattern) <> ''")
     low, p = F.lower("content"), F.lower("pattern")
     found = chunks.join(F.broadcast(patterns), F.contains(low, p))
     hits = ((F.length(low) - F.length(F.replace(low, p, F.lit("")))) / F.length(p)).cast("int")
@@ -117,18 +119,19 @@ def search_with_fallback(precise: DataFrame, vector: DataFrame) -> DataFrame:
     return precise.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
 
 
-def hyperedge_search(queries: DataFrame, entities: DataFrame, relations: DataFrame, k: int, cap: int = 1000) -> DataFrame:
+def hyperedge_search(queries: DataFrame, entities: DataFrame, relations: DataFrame, k: int) -> DataFrame:
     """Events of the entities that ``queries(query_id, text)`` name, then events one shared entity away at half the score.
 
-    Entities of more than ``cap`` events are hubs and lead no further.
+    All events reached through one entity score alike, so the k of smallest id are all that can be among the k best, whatever the
+    number of an entity's events.
     """
     named = queries.select("query_id", F.lower("text").alias("normalized_name")).join(entities.select("normalized_name", "entity_id"), "normalized_name").select("query_id", "entity_id").distinct()
-    pairs = relations.groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("w"))
-    direct = pairs.join(named, "entity_id").groupBy("query_id", "event_id").agg(F.sum("w").alias("score"))
-    links = pairs.select("event_id", "entity_id")
-    small = links.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("entity_id")
-    reached = direct.join(links, "event_id").join(small, "entity_id", "left_semi").groupBy("query_id", "entity_id").agg((F.max("score") / 2).alias("score"))
-    near = reached.join(links, "entity_id").select("query_id", "event_id", "score")
+    own = relations.join(named.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    direct = own.join(named, "entity_id").groupBy("query_id", "event_id").agg(F.sum("w").alias("score"))
+    links = relations.select("event_id", "entity_id").distinct()
+    led = direct.join(links, "event_id").groupBy("query_id", "entity_id").agg((F.max("score") / 2).alias("score"))
+    some = top(links.join(led.select("entity_id").distinct(), "entity_id", "left_semi"), ["entity_id"], [F.col("event_id")], k).drop("rn")
+    near = led.join(some, "entity_id").select("query_id", "event_id", "score")
     found = direct.unionByName(near).groupBy("query_id", "event_id").agg(F.round(F.max("score"), 6).alias("score"))
     return top(found, ["query_id"], [F.desc("score"), F.col("event_id")], k)
 

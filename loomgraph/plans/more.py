@@ -235,8 +235,7 @@ _NAMED = "q AS (SELECT p_partkey AS query_id, lower(p_name) AS text FROM part WH
 
 
 @query(f"""WITH FIX, {_NAMED}, s AS (SELECT DISTINCT query_id, entity_id FROM q JOIN en ON normalized_name = text), {_PAIRS},
-d AS (SELECT query_id, event_id, sum(weight) AS score FROM p JOIN s USING (entity_id) GROUP BY ALL), g AS (SELECT entity_id FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 1000),
-r AS (SELECT query_id, entity_id, max(score) / 2 AS score FROM d JOIN p USING (event_id) WHERE entity_id IN (SELECT entity_id FROM g) GROUP BY ALL),
+d AS (SELECT query_id, event_id, sum(weight) AS score FROM p JOIN s USING (entity_id) GROUP BY ALL), r AS (SELECT query_id, entity_id, max(score) / 2 AS score FROM d JOIN p USING (event_id) GROUP BY ALL),
 a AS (SELECT query_id, event_id, round(max(score), 6) AS score FROM (SELECT * FROM d UNION ALL SELECT query_id, event_id, score FROM r JOIN p USING (entity_id)) GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS INT) AS rn FROM a QUALIFY rn <= 20""")
 def hyperedge_search(t):

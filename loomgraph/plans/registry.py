@@ -31,7 +31,7 @@ def _top(sql: str, k: int) -> str:
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 _BM25 = f"""
-q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS text FROM benchmark),
+q AS (SELECT item_id AS query_id, text FROM benchmark),
 w AS (SELECT chunk_id, {_WORDS.format("content")} AS w FROM ch),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
 qt AS (SELECT DISTINCT query_id, unnest({_WORDS.format("text")}) AS term FROM q),
@@ -43,7 +43,7 @@ bm AS (SELECT * FROM (SELECT query_id, chunk_id, least(1.0, raw) AS score, row_n
 
 
 def _benchmark_queries(t: Tables) -> DataFrame:
-    return t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    return t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH FIX, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rn AS INT) AS rn FROM bm")
@@ -122,7 +122,7 @@ def cover_edges(t):
     return graph.cover_edges(graph.slice_associations(t.relations()).selectExpr("event_id", "entity_id", "event_id||entity_id||id AS pos"))
 
 
-@query("""WITH FIX, p AS (SELECT DISTINCT event_id, entity_id FROM ee), s AS (SELECT entity_id FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 1000), r AS (SELECT * FROM p JOIN s USING (entity_id))
+@query("""WITH FIX, p AS (SELECT DISTINCT event_id, entity_id FROM ee), s AS (SELECT entity_id FROM p GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT * FROM p JOIN s USING (entity_id))
 SELECT a.event_id, b.event_id AS other_id, count(*) AS shared FROM r AS a JOIN r AS b ON a.entity_id = b.entity_id AND a.event_id < b.event_id GROUP BY ALL""")
 def shared_entity_edges(t):
     return graph.shared_entity_edges(t.relations())
@@ -228,7 +228,7 @@ def status_counts(t):
     return catalog.status_counts(t.documents())
 
 
-@query("WITH FIX SELECT document_id, filename FROM doc WHERE status = 'READY' AND contains(lower(filename), '1') ORDER BY document_id DESC LIMIT 20 OFFSET 5")
+@query("WITH FIX SELECT document_id, filename FROM doc WHERE status = 'READY' AND contains(lower(filename), '1') ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 5")
 def list_documents(t):
     return catalog.list_documents(t.documents(), "READY", "1", 20, 5)
 
@@ -238,7 +238,7 @@ def outline(t):
     return catalog.outline(t.chunks(), 20)
 
 
-@query("WITH FIX SELECT source_id, name, document_id, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY size_bytes DESC, document_id) AS INT) AS rn FROM doc) JOIN src ON source_id = source_config_id WHERE rn <= 10")
+@query("WITH FIX SELECT source_id, name, document_id, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, document_id) AS INT) AS rn FROM doc) JOIN src ON source_id = source_config_id WHERE rn <= 10")
 def recent_activity(t):
     return catalog.recent_activity(t.documents(), t.sources(), 10)
 
@@ -249,7 +249,7 @@ def history_window(t):
     return catalog.history_window(t.raw("conversations"), 300)
 
 
-@query("""WITH FIX SELECT * FROM (SELECT source_id, document_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY list_position(['READY', 'EXTRACTING', 'FAILED', 'PAUSED', 'LOADING', 'PENDING'], status), event_count DESC, document_id DESC) AS INT) AS rn FROM doc WHERE event_count > 0) WHERE rn <= 12""")
+@query("""WITH FIX SELECT * FROM (SELECT source_id, document_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY list_position(['READY', 'EXTRACTING', 'FAILED', 'PAUSED', 'LOADING', 'PENDING'], status), event_count DESC, created_at DESC, document_id DESC) AS INT) AS rn FROM doc WHERE event_count > 0) WHERE rn <= 12""")
 def pick_documents(t):
     return catalog.pick_documents(t.documents(), 12)
 
@@ -283,4 +283,4 @@ def queue_audit(t):
     return catalog.queue_audit(jobs.groupBy("status", "job_id").agg(F.collect_list("id").alias("ids")))
 
 
-from . import more  # noqa: E402,F401  registers its queries here
+from . import more, searching  # noqa: E402,F401  register their queries here

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -19,10 +20,63 @@ def stream_rates(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stream_ingest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writes each batch's documents once per (doc_id, hash of text) to its own folder, so that a batch run again replaces itself."""
+    """Writes documents once per (doc_id, hash of text), whatever batch they come in.
+
+    Each batch has its own folder, so that a batch run again replaces itself; what earlier batches wrote is left out.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("sha256", F.sha2("text", 256)).dropDuplicates(["doc_id", "sha256"])
+        rows = batch.withColumn("sha256", F.coalesce(F.sha2("text", 256), F.lit(""))).dropDuplicates(["doc_id", "sha256"])
+        stored = _stored(batch.sparkSession, path)
+        if stored is not None:
+            seen = stored.where(F.col("batch") < batch_id).select(F.col("doc_id").alias("d"), F.col("sha256").alias("s"))
+            rows = rows.join(seen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha256") == F.col("s")), "left_anti")
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing is there yet
+        return None
+
+
+def stream_microbatch(stream: DataFrame, path: str, checkpoint: str, size: int = 200, every: str = "1500 milliseconds", once: bool = False) -> DataStreamWriter:
+    """Plans batches of at most ``size`` ids of a source: each trigger's ids (source, id), repeats once, numbered within the trigger."""
+    from ..operators.catalog import plan_batches
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        plan_batches(batch.select("source", "id"), size).write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+
+
+def stream_overview(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps counts per source of a stream of (source, id): each batch is added to its own sources, the others stay as they are.
+
+    Version v of the counts is in ``path``/v=(batch id); a batch run again replaces its version. ``overview`` reads the latest.
+    """
+    from ..operators.explore import overview_incremental
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh, before = batch.groupBy("source").agg(F.count("*").alias("n")), overview(batch.sparkSession, path, batch_id)
+        if before is not None:
+            dirty = fresh.select("source")
+            added = before.join(dirty, "source", "left_semi").unionByName(fresh).groupBy("source").agg(F.sum("n").alias("n"))
+            fresh = overview_incremental(before, added, dirty, "source")
+        fresh.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def overview(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The latest counts (before a batch)."""
+    stored = _stored(spark, path)
+    if stored is None:
+        return None
+    stored = stored if before is None else stored.where(F.col("v") < before)
+    last = stored.agg(F.max("v")).first()[0]
+    return None if last is None else spark.read.parquet(f"{path}/v={last}")

@@ -28,3 +28,31 @@ def test_ingest_writes_each_version_once(spark, tmp_path):
     for _ in range(2):
         streams.stream_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_ingest_keeps_one_version_across_batches(spark, tmp_path):
+    schema = "doc_id long, text string"
+    for k, rows in enumerate([[(1, "a"), (2, "b")], [(1, "a"), (1, "c"), (3, None)], [(3, None), (2, "b"), (1, "a")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/docs/part={k}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/docs/part=*")
+        streams.stream_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination(120)
+    got = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "a"), (1, "c"), (2, "b"), (3, "")]
+
+
+def test_microbatches_and_overview(spark, tmp_path):
+    schema = "source string, id long"
+    for k in range(3):
+        spark.createDataFrame([(f"s{i % (k + 2)}", i) for i in range(10)] * 2, schema).coalesce(1).write.parquet(f"{tmp_path}/docs/part={k}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/docs/part=*")
+        for _ in range(2):  # the second run finds nothing new
+            streams.stream_microbatch(stream, f"{tmp_path}/plan", f"{tmp_path}/cp1", size=2, once=True).start().awaitTermination(120)
+            streams.stream_overview(stream, f"{tmp_path}/over", f"{tmp_path}/cp2").start().awaitTermination(120)
+    counts = {r.source: r.n for r in streams.overview(spark, f"{tmp_path}/over").collect()}
+    want: dict = {}
+    for k in range(3):
+        for i in range(10):
+            want[f"s{i % (k + 2)}"] = want.get(f"s{i % (k + 2)}", 0) + 2
+    assert counts == want
+    planned = spark.read.parquet(f"{tmp_path}/plan").groupBy("trigger", "source", "batch").count().collect()
+    assert all(r["count"] <= 2 for r in planned) and sum(r["count"] for r in planned) == 30
