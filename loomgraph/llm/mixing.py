@@ -104,7 +104,8 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) ->
     taken = scratch.save(taken.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "id", "th")], "n_tokens", "copies", "times"), "taken")
     many = scratch.save(taken.where("copies > 1"), "many")  # a table of its own, so that few repeats need no shuffle of texts
     meet = lambda t: named.drop("text").join(t, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("domain") == F.col("_domain")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")))
-    chosen = ["row", "domain", "n_tokens", "times"]
+    kept = [c for c in dict.fromkeys(docs.columns) if c not in ("domain", "n_tokens", "epoch", "leaf_budget")]
+    chosen = [*[F.col(f"row.`{c}`").alias(f"_own{k}") for k, c in enumerate(kept)], "domain", "n_tokens", "times"]  # columns, which are pruned one by one
     once = meet(taken.where("copies = 1")).select(*chosen, F.lit(0).cast("long").alias("copy"))
     # Repeated rows are numbered in two steps, by task and inside a task, so that no number of repeats meets in one.
     tag = [f"_{k}" for k in (*keys, "id", "th")]
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) ->
     same = F.lit(True)
     for k in tag:
         same &= F.col(k).eqNullSafe(F.col(f"t{k}"))
-    numbered = repeated.withColumn("place", place).join(tasks, same & (F.col("task") == F.col("t_task"))).select(*chosen, (F.col("first") + F.col("place") - 1).alias("copy"))
+    names = [*[f"_own{k}" for k in range(len(kept))], "domain", "n_tokens", "times"]
+    numbered = repeated.withColumn("place", place).join(tasks, same & (F.col("task") == F.col("t_task"))).select(*names, (F.col("first") + F.col("place") - 1).alias("copy"))
     out = once.unionByName(numbered).withColumn("t", F.explode("times")).where(F.col("copy") < F.col("t.fit"))
-    own = [F.col(f"row.`{c}`").alias(c) for c in dict.fromkeys(docs.columns) if c not in ("domain", "n_tokens", "epoch", "leaf_budget")]
-    return out.select(*own, "domain", "n_tokens", "t.epoch", "t.leaf_budget")
+    return out.select(*[F.col(f"_own{k}").alias(c) for k, c in enumerate(kept)], "domain", "n_tokens", "t.epoch", "t.leaf_budget")
