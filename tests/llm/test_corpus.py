@@ -316,7 +316,8 @@ def test_simhash_brute_force(spark, docs, odd):
         assert len(got) == df.count()
         assert all(g.fingerprint == f"{marks[g.doc_id]:016x}" for g in got) and all(g.component_id == root[g.doc_id] for g in got if g.doc_id is not None)
     assert simhash.simhash_groups(odd.limit(0)).count() == 0
-    assert simhash.drop_near_copies(odd).columns == odd.columns
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6]  # null and empty text, and equal rows, are one
 
 
 def test_trie_pairs_are_all_pairs():
@@ -336,12 +337,86 @@ def test_mixing_odd_rows(spark, odd):
     assert twice.where("epoch = 1").count() >= 5
 
 
+def jaccard(a, b, k=5):
+    words = [(t or "").encode().lower().split() for t in (a, b)]
+    x, y = ({tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set() for w in words)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_groups(spark, docs, odd):
+    """Against all pairs of long fingerprints, and against exact similarity of copies with words replaced."""
+    r, texts = np.random.default_rng(8), [" ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 5000, 240)) for k in range(60)]
+    rows = list(enumerate(texts))
+    for k in range(600):
+        w = texts[k % 60].split()
+        for at in r.choice(240, k // 60, False):
+            w[at] = f"new{k}_{at}"
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(5000 + k, "one two three") for k in range(300)] + [(6000, None), (6001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()}
+    bits = np.array([simhash.long_fingerprint((t or "").encode(), 5) for _, t in rows])
+    most, label, ids = simhash.most_bits(0.8 - simhash.SLACK), np.arange(len(rows)), np.array([i for i, _ in rows])
+    near = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=int) <= most
+    while not np.array_equal(label, after := np.where(near, label[None, :], len(rows)).min(axis=1)):
+        label = after
+    assert np.mean([got[i] == ids[label[k]] for k, i in enumerate(ids)]) > 0.99
+    high = [(i, k) for k in range(600) for i in [k % 60] if jaccard(texts[i], rows[60 + k][1]) >= 0.85]
+    assert np.mean([got[1000 + k] == got[i] for i, k in high]) > 0.97 and len(high) > 150
+    assert len({got[i] for i in range(60)}) == 60 and got[6001] == got[6000] == 6000 and {got[5000 + k] for k in range(300)} == {5000}
+    assert len(simhash.similar_groups(odd).collect()) == len(ODD) and simhash.similar_groups(odd.limit(0)).count() == 0
+
+
+def test_block_links_span_what_is_near():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (3, simhash.WORDS), np.uint64)
+    bits = base[r.integers(0, 3, 90)] ^ (np.uint64(1) << r.integers(0, 64, (90, simhash.WORDS)).astype(np.uint64))
+    for i, j in ((np.arange(90), np.arange(90)), (np.arange(40), np.arange(40, 90))):
+        a, b = simhash._block_links(bits, i, j, 20)
+        d = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
+        assert (d < 40).all() and len(a) == (87 if len(i) == 90 else 87)
+
+
 def test_pipeline_stages(spark):
+    """Each stage's decisions on its own input, row by row."""
     import corpus_pipeline as pipeline
 
-    docs, sizes = spark.read.parquet(f"{DATA}/documents.parquet"), []
+    docs, steps = spark.read.parquet(f"{DATA}/documents.parquet"), []
     for name, stage in pipeline.STAGES:
-        docs = stage(spark, docs, DATA)
-        sizes.append(docs.count())
+        before = docs.collect()
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), stage(spark, docs.limit(0), DATA).schema)
+        steps.append((name, before, docs.collect()))
         assert name == "token_output" or docs.columns == pipeline.COLUMNS
-    assert sizes[0] >= sizes[1] >= sizes[2] and sizes[3] == sizes[4] > 0
+    (_, all_, said), (_, _, single), (_, _, clean), (_, _, mixed), (_, _, tokens) = steps
+    assert {r.doc_id for r in all_} - {r.doc_id for r in said} <= {r.doc_id for r in all_ if not any(c.isalpha() for c in r.text or "")} | {r.doc_id for r in all_ if r.lang is None or len((r.text or "").split()) < 4}
+    text = {r.doc_id: r.text for r in said}
+    kept = sorted(r.doc_id for r in single)
+    for gone in set(text) - set(kept):
+        assert max(jaccard(text[gone], text[i]) for i in text if i != gone) >= 0.7
+    exact: dict = {}
+    for i in sorted(text):
+        exact.setdefault(" ".join(text[i].lower().split()), i)
+    assert set(kept) <= set(exact.values())
+    bench = [[w for w in "".join(c.lower() if c.isascii() and c.isupper() else c if not c.isascii() or c.isalnum() else " " for c in r.text or "").split()] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 13]) for w in bench if w for i in range(max(len(w) - 12, 1))}
+    for r in single:
+        w = "".join(c.lower() if c.isascii() and c.isupper() else c if not c.isascii() or c.isalnum() else " " for c in r.text or "").split()
+        hit = set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+        assert (r.doc_id in {x.doc_id for x in clean}) == (not hit or 20 * len(hit) < len(w))
+    total = sum(len((r.text or "").split()) for r in clean)
+    taken = sum(len((r.text or "").split()) for r in mixed)
+    assert 0.4 * total < taken and {r.doc_id for r in mixed} <= {r.doc_id for r in clean} and max(Counter(r.doc_id for r in mixed).values()) <= 2
+    assert sorted(r.doc_id for r in tokens) == sorted(r.doc_id for r in mixed)
+
+
+def test_pipeline_odd_rows(spark, odd):
+    import corpus_pipeline as pipeline
+
+    clash = odd.withColumn("n_chars", F.lit(3).cast("long"))
+    for _, stage in pipeline.STAGES:
+        stage(spark, clash, DATA).collect()
+        assert stage(spark, clash.limit(0), DATA).count() == 0
