@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id stays."""
+    """Of documents whose five-word shingles are .8 alike or more, by SimHash tries, the one with the smallest id stays."""
     return simhash.drop_near_copies(docs.select(*COLUMNS))
 
 
@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_copies", near_copies), ("decontamination", decontamination), ("source_mixing", source_mixing), ("token_output", tokens)]
-ORACLE_SQL = None  # SimHash and the tokenizer are beyond SQL; tests hold every stage against brute force
+ORACLE_SQL = None  # SimHash and the tokenizer are beyond SQL; tests hold each stage's decisions against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
