@@ -49,7 +49,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     scratch = Scratch(docs.sparkSession, "decontaminate")
     parsed = docs.select(carried(docs, "n_words", "n_hit", "n_items", "items", "contaminated"), F.coalesce(words(F.col("text").cast("string")), F.array().cast("array<string>")).alias("w"))
     windows = scratch.save(item_windows(benchmark, size), "windows")
-    sent = F.broadcast if (windows.agg(F.sum(F.length(F.array_join("words", " ")))).first()[0] or 0) <= BROADCAST_CHARS else (lambda df: df)
+    small = (windows.agg(F.sum(F.length(F.array_join("words", " ")))).first()[0] or 0) <= BROADCAST_CHARS
+    sent = F.broadcast if small else (lambda df: df)
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     texts = docs.select(words(F.col("text").cast("string")).alias("w"))
     counts = texts.select(F.explode("w").alias("word")).join(sent(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
@@ -59,10 +60,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     prefix = ranked.groupBy("item_id", "words").agg(F.min(F.struct("n", "word", "at")).alias("p"), F.min("n").alias("least")).where("least > 0")
     prefix = scratch.save(prefix.groupBy(F.col("p.word").alias("word"), F.col("p.at").alias("at"), "words").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "prefix")
     keyed = parsed.select(F.xxhash64("row.doc_id", "row.text").alias("rid"), F.xxhash64("row.text").alias("rid2"), "w")
-    at = keyed.select("rid", "rid2", "w", F.posexplode("w").alias("pos", "word"))
+    if small:
+        at = keyed.select("rid", "rid2", "w", F.posexplode("w").alias("pos", "word")).join(sent(prefix), "word")
+    else:  # places are shuffled without their texts, which only those with a prefix word meet again
+        at = keyed.select("rid", "rid2", F.posexplode("w").alias("pos", "word")).join(prefix, "word").join(keyed, ["rid", "rid2"])
     found = (
-        at.join(sent(prefix), "word")
-        .where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("words") <= F.size("w")))
+        at.where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("words") <= F.size("w")))
         .where(F.slice("w", F.col("pos") - F.col("at") + 1, F.size("words")) == F.col("words"))
         .select("rid", "rid2", (F.col("pos") - F.col("at")).alias("first"), F.size("words").alias("len"), "items")
     )

@@ -26,7 +26,7 @@ from .common import Scratch
 FILES = "part int, seq int, n_ids long, segment binary"
 BLOCK, LANES, SEGMENT = 2048, 1024, 1 << 18
 ROWS = 2048  # documents tokenized at once
-KEPT = 1 << 19  # pieces whose ids a task remembers
+KEPT, CODED = 1 << 18, 1 << 13  # pieces whose ids a task remembers; pieces encoded at once, as the library returns an object for each
 MAGIC, NULL_ID, END = b"AMRC", -(1 << 63), 2
 _IDS, _UNIT, _SLOTS = 1 << 16, 4, 4096
 _MASK, _LOW = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
@@ -302,11 +302,13 @@ class Pieces:
             self._forget()
         place = self.place
         if new := [p for p in pieces if p not in place]:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            lengths, flat = [self.lengths], [self.flat]
+            for k in range(0, len(new), CODED):
+                coded = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + CODED], add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+                flat.append(np.fromiter((x for ids in coded for x in ids), np.int32, int(lengths[-1].sum())))
             place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in coded for x in ids), np.int32, int(lengths.sum()))])
+            self.lengths, self.flat = np.concatenate(lengths), np.concatenate(flat)
         at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
         return (np.cumsum(self.lengths) - self.lengths)[at], self.lengths[at], self.flat
 
@@ -339,8 +341,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
     """Writes segments of ``docs(doc_id, text)`` in ascending doc_id order to Parquet files with columns part, seq, n_ids, segment.
 
     Null text is empty and has the end id only. Rows with null doc_id come first; rows of equal doc_id follow in the order of a hash of
-    their text. Very long texts are one document of one segment. An empty table gives files without rows.
+    their text. Very long texts are one document of one segment. An empty table gives files without rows. The smallest 64-bit doc_id stands for
+    null in the format and comes back as null. A tokenizer with ids of 65,536 or more, or one whose ids depend on what lies beyond white
+    space, is refused.
     """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    if tokenizer.get_vocab_size() > _IDS:
+        raise ValueError(f"{tokenizer_path}: ids of {_IDS} and more cannot be written")
+    if any(ids(f"{a}{s}{b}") != ids(a) + ids(b) for a, b in (("Word", "word."), ("don't", "1 2"), ("É!", "été")) for s in (" ", "  ", "\n", "\t \r\n")):
+        raise ValueError(f"{tokenizer_path}: its ids depend on white space")
 
     def run(batches):
         import os

@@ -55,6 +55,22 @@ def test_language_id_held_out(spark, docs, odd):
     assert len(np.unique(code, axis=0)) == 9
 
 
+def test_language_id_decoding():
+    """Loss-weighted decoding against its definition, pair by pair of rows and codewords."""
+    r = np.random.default_rng(1)
+    for k in (2, 4, 9):
+        model = langid.LanguageModel([f"l{i}" for i in range(k)])
+        model.weights, model.bias = r.normal(size=(6, model.code.shape[1])), r.normal(size=model.code.shape[1])
+        x = r.normal(size=(20, 6))
+        at, p, flag = model.decode(x)
+        for i in range(20):
+            margin = [sum(x[i][f] * model.weights[f][b] for f in range(6)) + model.bias[b] for b in range(model.code.shape[1])]
+            loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margin, row)) for row in model.code]
+            share = sorted((math.exp(min(loss) - v) for v in loss), reverse=True)
+            assert at[i] == min(range(k), key=loss.__getitem__) and p[i] == pytest.approx(share[0] / sum(share))
+            assert flag[i] == ((share[0] - share[1]) / sum(share) < langid.AMBIGUOUS)
+
+
 def test_suffix_dedup_brute_force(spark, docs, odd):
     for df in (docs.where("doc_id < 120"), odd):
         rows = [(r.doc_id, (r.text or "").encode()) for r in df.select("doc_id", "text").collect()]
@@ -129,6 +145,14 @@ def test_decontamination_odd_rows(spark, odd):
     assert decontaminate.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_without_broadcast(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    get = lambda: sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    want = get()
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", 0)
+    assert get() == want and sum("n_hit=0" not in x for x in want) > 0
+
+
 def test_forest_brute_force(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(40, 16))
@@ -279,7 +303,13 @@ def test_token_files(spark, docs, odd):
         ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    assert token_output.token_output(odd, TOKENIZER).count() == len(ODD)
+    back = token_output.token_output(odd, TOKENIZER).orderBy("start").collect()
+    order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t, *_ in order]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in back] == [(i, len(x), zlib.crc32(x.tobytes())) for (i, *_), x in zip(order, want)]
+    assert [r.start for r in back] == [sum(len(x) for x in want[:k]) for k in range(len(want))]
+    with pytest.raises(ValueError):
+        token_output.token_output(odd, public_tokenizers.path("byte_bpe_50k.json"))  # its ids hold white space
     assert token_output.token_output(odd.limit(0), TOKENIZER).count() == 0
 
 
