@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -32,8 +33,29 @@ def tokens(text: str) -> int:
 
 
 def blocks(text: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, heading in force, text) of the blocks of a document: fenced code, tables, and the text between; blank ones drop out."""
+    """(kind, heading in force, text) of ``placed_blocks``."""
+    return ((kind, heading, body) for kind, heading, body, _ in placed_blocks(text))
+
+
+def split_blocks_table(docs: DataFrame) -> DataFrame:
+    """Blocks of ``docs(doc_id, text)``: number, kind, heading, offsets from start up to end; null text has none. A document is one row of a task."""
+
+    def cut(batches):
+        import pandas as pd
+
+        for rows in batches:
+            yield pd.DataFrame(
+                [(d, n, kind, heading, at, at + len(body)) for d, text in zip(rows["doc_id"], rows["text"]) for n, (kind, heading, body, at) in enumerate(placed_blocks(text))],
+                columns=["doc_id", "n", "kind", "heading", "start", "end"],
+            )
+
+    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(cut, "doc_id long, n int, kind string, heading string, start long, end long")
+
+
+def placed_blocks(text: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, heading in force, text, offset) of the blocks of a document: fenced code, tables, and the text between; blank ones drop out."""
     lines, heading, held, i = text.split("\n"), "", [], 0
+    at = [0, *accumulate(len(line) + 1 for line in lines)]
     while i < len(lines):
         fence, end, kind = lines[i].lstrip()[:3], i + 1, ""
         if fence in ("```", "~~~"):
@@ -47,9 +69,9 @@ def blocks(text: str) -> Iterator[tuple[str, str, str]]:
                 end += 1
         found = None if kind else _HEADING.match(lines[i])
         if (kind or found) and "".join(held).strip():
-            yield "TEXT", heading, "\n".join(held)
+            yield "TEXT", heading, "\n".join(held), at[i - len(held)]
         if kind:
-            yield kind, heading, "\n".join(lines[i:end])
+            yield kind, heading, "\n".join(lines[i:end]), at[i]
         if kind or found:
             held = []
         if found:
@@ -58,7 +80,7 @@ def blocks(text: str) -> Iterator[tuple[str, str, str]]:
             held.append(lines[i])
         i = end
     if "".join(held).strip():
-        yield "TEXT", heading, "\n".join(held)
+        yield "TEXT", heading, "\n".join(held), at[len(lines) - len(held)]
 
 
 def pack_lines(text: str, cap: int) -> Iterator[str]:

@@ -40,8 +40,18 @@ def mark_dirty(marks: DataFrame, changes: DataFrame) -> DataFrame:
     return marks.join(latest, "source_id", "full").select("source_id", (F.coalesce("revision", F.lit(0)) + changed).cast("long").alias("revision"), F.coalesce("new", "reason").alias("reason"))
 
 
-def overview_incremental(previous: DataFrame, fresh: DataFrame, dirty: DataFrame, key: str) -> DataFrame:
-    """Rows of dirty keys from ``fresh``, the others from ``previous``; pass ``fresh`` lazily, only dirty keys are read through."""
+def clear_marks(marks: DataFrame, built: DataFrame) -> DataFrame:
+    """Marks that stay after a build from ``built(source_id, revision)``: those it did not see, or that have another revision by now."""
+    return marks.join(built, ["source_id", "revision"], "left_anti")
+
+
+def overview_incremental(previous: DataFrame | None, fresh: DataFrame, dirty: DataFrame, key: str) -> DataFrame:
+    """Rows of dirty keys from ``fresh``, the others from ``previous``; all from ``fresh`` without a previous overview or a dirty key.
+
+    Pass ``fresh`` lazily, only dirty keys are read through.
+    """
+    if previous is None or dirty.isEmpty():
+        return fresh
     return previous.join(dirty, key, "left_anti").unionByName(fresh.join(dirty, key, "left_semi"))
 
 
@@ -58,9 +68,21 @@ def repair_hidden_events(events: DataFrame, documents: DataFrame) -> DataFrame:
     return known.where("visible < event_count AND total = event_count").select("source_id", (F.col("total") - F.col("visible")).alias("restored"))
 
 
-def event_vector_rows(events: DataFrame, relations: DataFrame) -> DataFrame:
+def restored_events(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """All events; the hidden ones of documents that ``repair_hidden_events`` finds are COMPLETED again."""
+    found = repair_hidden_events(events, documents).select("source_id", F.lit(True).alias("_back"))
+    return events.join(found, "source_id", "left").withColumn("status", F.when(F.col("_back") & ~F.expr(VISIBLE), "COMPLETED").otherwise(F.col("status"))).drop("_back")
+
+
+def event_vector_rows(events: DataFrame, relations: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Visible events as documents of the vector table: texts, times, category, tags and keywords as far as the events have them, ids of their entities.
+
+    ``vectors(event_id, title_vector, content_vector)`` are joined where given; an event without them keeps nulls.
+    """
+    extra = [c for c in ("source_config_id", "source_id", "summary", "content", "category", "tags", "keywords", "start_time", "created_time") if c in events.columns]
     ids = relations.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("entity_ids"))
-    return events.where(VISIBLE).join(ids, "event_id", "left").select("event_id", "title", F.coalesce("entity_ids", F.lit("")).alias("entity_ids"))
+    rows = events.where(VISIBLE).join(ids, "event_id", "left").select("event_id", F.coalesce("title", F.lit("")).alias("title"), *extra, F.coalesce("entity_ids", F.lit("")).alias("entity_ids"))
+    return rows if vectors is None else rows.join(vectors, "event_id", "left")
 
 
 def read_lines(docs: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -82,9 +104,31 @@ def node_detail(ids: DataFrame, events: DataFrame, documents: DataFrame) -> Data
     return found.join(documents.select(F.col("document_id").alias("source_id"), "filename"), "source_id", "left").select("event_id", "title", "filename")
 
 
-def exploration_list(sessions: DataFrame, steps: DataFrame) -> DataFrame:
+def node_details(ids: DataFrame, events: DataFrame, entities: DataFrame) -> DataFrame:
+    """Label, description, category, document and chunk of each of ``ids(kind, id)``, kinds event and entity; unknown and hidden nodes drop out.
+
+    The description of an event is its content, else its summary; of all, 4,000 characters.
+    """
+    text = lambda c, df: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+    shared = lambda kind, key, label, about, category, more: [F.lit(kind).alias("kind"), F.col(key).alias("id"), label.alias("label"), F.substring(about, 1, 4000).alias("description"), category.alias("category"), *more]
+    none = F.lit(None).cast("string")
+    e = events.where(VISIBLE).select(*shared("event", "event_id", F.col("title"), F.coalesce(F.nullif(text("content", events), F.lit("")), text("summary", events)), F.coalesce("category", F.lit("")), [F.col("source_id"), F.col("chunk_id")]))
+    n = entities.select(*shared("entity", "entity_id", F.col("name"), text("description", entities), F.col("type"), [none.alias("source_id"), none.alias("chunk_id")]))
+    wanted = ids.select("kind", "id").distinct()
+    return e.join(wanted, ["kind", "id"], "left_semi").unionByName(n.join(wanted, ["kind", "id"], "left_semi"))
+
+
+def save_exploration(sessions: DataFrame, steps: DataFrame, path: str) -> None:
+    """Appends ``sessions(session_id, owner, title, updated_at)`` and ``steps(session_id, ...)`` to the tables below ``path``; a title has 80 characters."""
+    sessions.withColumn("title", F.substring(F.trim("title"), 1, 80)).write.mode("append").parquet(f"{path}/sessions")
+    steps.write.mode("append").parquet(f"{path}/steps")
+
+
+def exploration_list(sessions: DataFrame, steps: DataFrame, limit: int = 20) -> DataFrame:
+    """The latest of each owner's ``sessions(session_id, owner, updated_at)`` with their number of steps."""
+    latest = top(sessions, ["owner"], [F.desc("updated_at"), F.col("session_id")], max(1, min(limit, 100)))
     counts = steps.groupBy("session_id").agg(F.count("*").alias("steps"))
-    return sessions.join(counts, "session_id", "left").select("session_id", F.coalesce("steps", F.lit(0)).alias("steps"))
+    return latest.join(counts, "session_id", "left").select("owner", "session_id", F.coalesce("steps", F.lit(0)).alias("steps"), "rn")
 
 
 def section_relations(scored: DataFrame, relations: DataFrame, entities: DataFrame, k: int) -> DataFrame:

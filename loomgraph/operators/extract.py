@@ -59,6 +59,15 @@ def normalize_entities(raw: Column, types: list[str]) -> Column:
     return F.when(F.coalesce(fits, F.lit(False)), fixed).otherwise(m)
 
 
+def normalize_tree(raw: Column, types: list[str], depth: int = 2) -> Column:
+    """``normalize_entities`` of an entity and of its children, down to ``depth`` levels of them: (entity, children)."""
+    entity = normalize_entities(raw, types)
+    if depth == 0:
+        return F.struct(entity.alias("entity"))
+    inner = F.from_json(F.element_at(entity, F.lit("children")), "array<string>")
+    return F.struct(entity.alias("entity"), F.transform(inner, lambda c: normalize_tree(c, types, depth - 1)).alias("children"))
+
+
 def checkpoint_restore(events: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Events that a checkpoint names are visible again if they were deleted."""
     named = checkpoint.select("event_id").distinct().withColumn("named", F.lit(True))

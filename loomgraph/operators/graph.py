@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,17 @@ def cover_edges(assoc: DataFrame) -> DataFrame:
     return assoc.withColumn("covers", first_event | first_entity)
 
 
+def cover_edge_slice(assoc: DataFrame, selected: DataFrame) -> DataFrame:
+    """Edges of ``assoc(source_config_id, event_id, entity_id, pos)`` to selected entities: covering ones first, then the rest, by ``pos``.
+
+    A source has at most min(3000, max(200, 2 events, 3 entities)) of them, events and entities counted over its eligible edges.
+    """
+    own = cover_edges(assoc.join(selected.select("entity_id").distinct(), "entity_id", "left_semi"))
+    sizes = own.groupBy("source_config_id").agg(F.least(F.lit(3000), F.greatest(F.lit(200), 2 * F.countDistinct("event_id"), 3 * F.countDistinct("entity_id"))).alias("most"))
+    kept = top(own, ["source_config_id"], [F.desc("covers"), F.col("pos")], 3000).join(sizes, "source_config_id")
+    return kept.where(F.col("rn") <= F.col("most")).select("source_config_id", "event_id", "entity_id", "pos", "covers", "rn")
+
+
 def shared_entity_edges(relations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Pairs of events that share entities, with the number shared.
 
@@ -78,12 +91,12 @@ def timeline(events: DataFrame, as_of: str, k: int) -> DataFrame:
 
 
 def event_bundles(relations: DataFrame, as_of: str, k: int) -> DataFrame:
-    """Per event the k heaviest entities (null weight counts 1), with the number of all and the importance of the event."""
+    """Per event the k heaviest entities (null weight counts 1), with the number of all and the importance of event and entity."""
     pairs = relations.where(F.col("created_time") <= F.lit(as_of).cast("timestamp")).groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"), F.max("description").alias("description"))
     pairs = pairs.withColumn("total", F.count("*").over(Window.partitionBy("event_id")))
     kept = top(pairs, ["event_id"], [F.desc("weight"), F.col("entity_id")], k)
     importance = F.greatest(F.lit(0.4), F.least(F.lit(1.0), 0.5 + 0.08 * F.log(1.0 + F.col("total"))))
-    return kept.select("event_id", "entity_id", "weight", "description", "total", F.round(importance, 6).alias("importance"), (F.col("total") <= k).alias("complete"), "rn")
+    return kept.select("event_id", "entity_id", "weight", "description", "total", F.round(importance, 6).alias("importance"), F.round(F.greatest(F.lit(0.3), F.least(F.lit(1.0), 0.42 + 0.08 * F.col("weight"))), 6).alias("entity_importance"), (F.col("total") <= k).alias("complete"), "rn")
 
 
 def entity_event_counts(relations: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
@@ -116,5 +129,21 @@ def delete_documents(events: DataFrame, relations: DataFrame, entities: DataFram
     return {"events": gone, "relations": lost.select("id", "event_id", "entity_id"), "entities": orphans.select("entity_id")}
 
 
+def delete_cascade(doc_ids: DataFrame, chunks: DataFrame, events: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(kind, id) of all that goes with ``doc_ids(source_id)``: chunks, events of the documents or of those chunks, relations, orphaned entities, and the vectors of all four.
+
+    A vector has the id of what it stands for; its kind ends in _vector.
+    """
+    cut = chunks.join(doc_ids, "source_id", "left_semi").select("chunk_id")
+    own = events.join(doc_ids, "source_id", "left_semi").select("event_id")
+    gone = own.unionByName(events.join(cut, "chunk_id", "left_semi").select("event_id")).distinct()
+    lost = relations.join(gone, "event_id", "left_semi")
+    kept = relations.join(gone, "event_id", "left_anti").select("entity_id").distinct()
+    orphans = entities.join(lost.select("entity_id").distinct(), "entity_id", "left_semi").join(kept, "entity_id", "left_anti")
+    parts = {"chunk": cut.select(F.col("chunk_id").alias("id")), "event": gone.select(F.col("event_id").alias("id")), "relation": lost.select("id"), "entity": orphans.select(F.col("entity_id").alias("id")).distinct()}
+    rows = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(k)) for k, df in parts.items()])
+    return rows.select(F.explode(F.array("kind", F.concat("kind", F.lit("_vector")))).alias("kind"), "id")
+
+
 def source_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("source_config_id").agg(F.countDistinct("event_id").alias("hits"), F.max("score").alias("score"), F.max("event_time").alias("latest"))

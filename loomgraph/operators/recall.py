@@ -18,19 +18,37 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def numbered(df: DataFrame, key: str, order: str, ranges: int = 64) -> DataFrame:
+    """``df`` with ``place``, from 0, of each row among those of its key by the column ``order``, which is unique in a key.
+
+    A key is cut into ranges at the values of smallest hash, so that no task holds a whole key; a place is the rows of the ranges before and
+    those before it in its own. Rows with a null key or order drop out.
+    """
+    cuts = top(df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order), [key], [F.xxhash64(order), F.col(order)], ranges - 1)
+    parts = df.join(cuts.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("_cuts")), key)
+    parts = parts.where(F.col(order).isNotNull()).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(key, "_part").agg(F.count("*").alias("_n")).select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1
+    return parts.withColumn("place", inside).join(starts, [key, "_part"]).withColumn("place", F.col("place") + F.col("_start")).drop("_part", "_start")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k of ``vectors(id, v)`` for each of ``queries(query_id, q)``; score clamped to [0, 1], ties by id.
 
+    Queries with a ``source_config_id`` meet only vectors of that source. Ids are unique; ``merge_sources`` joins results of several tables.
     Only k rows per query and task are shuffled. Null, zero and unequal vectors drop out, and those with a component that is null or not finite.
     """
     fine = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where(fine("q")).withColumn("qn", F.sqrt(dot("q", "q"))).where("qn > 0")
-    v = vectors.select("id", F.col("v").cast("array<double>").alias("v")).where(fine("v")).withColumn("vn", F.sqrt(dot("v", "v"))).where("vn > 0")
+    source = [c for c in queries.columns if c == "source_config_id"]
+    q = queries.select("query_id", *[F.col(c).alias("_own") for c in source], F.col("q").cast("array<double>").alias("q")).where(fine("q")).withColumn("qn", F.sqrt(dot("q", "q"))).where("qn > 0")
+    v = vectors.select("id", *source, F.col("v").cast("array<double>").alias("v")).where(fine("v")).withColumn("vn", F.sqrt(dot("v", "v"))).where("vn > 0")
     near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot("q", "v") / (F.col("qn") * F.col("vn"))))
     parts, out = max(1, -(-queries.count() // QUERY_LIMIT)), None
     for part in range(parts):
         own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        found = v.join(F.broadcast(own), F.size("q") == F.size("v")).select("query_id", "id", near.alias("score"))
+        same = (F.size("q") == F.size("v")) & (F.col("source_config_id") == F.col("_own") if source else F.lit(True))
+        found = v.join(F.broadcast(own), same).select("query_id", "id", near.alias("score"))
         found = top(found, ["query_id"], [F.desc("score"), F.col("id")], k)
         out = found if out is None else out.unionByName(found)
     return out
@@ -67,6 +85,41 @@ def grep(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     return top(found.select("pattern", "chunk_id", "rank", hits.alias("hits")), ["pattern"], [F.desc("hits"), F.col("rank"), F.col("chunk_id")], limit)
 
 
+def grep_snippets(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """Literal hits with where to look: ``chunks(chunk_id, rank, heading, content)`` by number of hits, best position (last first), rank and id.
+
+    Only the first max(4 limit, limit + 12) chunks by rank of a pattern take part. The best position is the first of those whose surroundings
+    have most CJK characters and fewest addresses and links; the snippet begins at the last date in the 500 characters before it, else 80
+    before it, and ends 700 after it, links flattened. The heading is the first line of 2 to 160 characters with the pattern.
+    """
+    patterns = patterns.where("trim(pattern) <> ''").withColumn("_p", F.lower("pattern"))
+    found = chunks.select("chunk_id", "rank", "heading", "content").join(F.broadcast(patterns), F.contains(F.lower("content"), F.col("_p")))
+    rows = top(found, ["pattern"], [F.col("rank"), F.col("chunk_id")], max(4 * limit, limit + 12), "_c").drop("_c")
+    quoted = F.concat(F.lit("\\Q"), F.replace("_p", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    rows = rows.withColumn("_s", F.split(F.lower("content"), quoted, -1))
+    at = F.transform(F.sequence(F.lit(1), F.size("_s") - 1), lambda k: F.length(F.array_join(F.slice("_s", 1, k), "\0")) + (k - 1) * (F.length("_p") - 1))
+    times = lambda w, x: (F.length(w) - F.length(F.replace(w, F.lit(x)))) / len(x)
+
+    def quality(p: Column) -> Column:
+        lo = F.greatest(F.lit(0), p - 40)
+        w = F.substr("content", lo + 1, p + 700 - lo)
+        return F.length(F.regexp_replace(w, "[^\\x{3400}-\\x{9FFF}]", "")) - 40 * times(w, "http") - 15 * times(w, "](")
+
+    rows = rows.withColumn("_at", at).withColumn("hits", F.size("_at"))
+    rows = rows.withColumn("best", -F.array_max(F.transform("_at", lambda p: F.struct(quality(p).alias("q"), (-p).alias("p"))))["p"])
+    lo = F.greatest(F.lit(0), F.col("best") - 500)
+    dated = F.regexp_extract(F.substr("content", lo + 1, F.col("best") - lo), r"(?s)^(.*)20\d{2}(?:年\d{1,2}月\d{1,2}日|[-/]\d{1,2}[-/]\d{1,2})", 0)
+    ahead = F.length(F.regexp_extract(F.substr("content", lo + 1, F.col("best") - lo), r"(?s)^(.*)20\d{2}(?:年\d{1,2}月\d{1,2}日|[-/]\d{1,2}[-/]\d{1,2})", 1))
+    start = F.when(dated != "", lo + ahead).otherwise(F.greatest(F.lit(0), F.col("best") - 80))
+    flat = lambda c: F.regexp_replace(F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"\[([^\]]+)\]\([^)]*\)", "$1")
+    snippet = F.trim(F.regexp_replace(flat(F.substr("content", start + 1, F.col("best") + 700 - start)), "[ \\t]+", " "))
+    bare = lambda c: F.trim(F.ltrim(F.regexp_replace(F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", ""), r"\[([^\]]+)\]\([^)]*\)", "$1"), F.lit("#* -")))
+    lines = F.filter(F.transform(F.split("content", "\n"), bare), lambda c: F.contains(F.lower(c), F.col("_p")) & F.length(c).between(2, 160))
+    rows = rows.withColumn("snippet", snippet).withColumn("heading", F.coalesce(F.get(lines, F.lit(0)), F.trim(F.coalesce("heading", F.lit("")))))
+    kept = top(rows, ["pattern"], [F.desc("hits"), F.desc("best"), F.col("rank"), F.col("chunk_id")], limit)
+    return kept.select("pattern", "chunk_id", "hits", "best", "heading", "snippet", "rn")
+
+
 def merge_sources(results: DataFrame, k: int) -> DataFrame:
     """Best score per (query, source, chunk), then the top k of a query."""
     best = results.groupBy("query_id", "source_config_id", "chunk_id").agg(F.max("score").alias("score"))
@@ -137,6 +190,14 @@ def hyperedge_search(queries: DataFrame, entities: DataFrame, relations: DataFra
 
 
 def candidate_sources(documents: DataFrame, k: int) -> DataFrame:
-    """The k sources with most chunks, then most events, then by id."""
-    sums = documents.groupBy("source_id").agg(F.sum("chunk_count").alias("chunks"), F.sum("event_count").alias("events"))
-    return sums.orderBy(F.desc("chunks"), F.desc("events"), "source_id").limit(k)
+    """The k sources with most chunks, then most events, then the latest document, then by id."""
+    sums = documents.groupBy("source_id").agg(F.sum("chunk_count").alias("chunks"), F.sum("event_count").alias("events"), F.max("created_at").alias("updated_at"))
+    return sums.orderBy(F.desc("chunks"), F.desc("events"), F.desc("updated_at"), "source_id").limit(k)
+
+
+def requested_sources(requests: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """Known sources of ``requests(query_id, source_ids)`` in the order asked for, repeats once; more than k of a request are one row with an error."""
+    asked = requests.select("query_id", F.array_distinct("source_ids").alias("ids"))
+    many = asked.where(F.size("ids") > k).select("query_id", F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("int").alias("place"), F.lit("too_many_sources").alias("error"))
+    found = asked.where(F.size("ids") <= k).select("query_id", F.posexplode("ids").alias("place", "source_id")).join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    return found.select("query_id", "source_id", "place", F.lit(None).cast("string").alias("error")).unionByName(many)

@@ -55,6 +55,18 @@ def citations(events: DataFrame, per_section: int = 3) -> DataFrame:
     return kept.groupBy("source_config_id", "chunk_id").agg(listed.alias("event_ids"))
 
 
+def section_citations(sections: DataFrame, events: DataFrame, per_section: int = 3) -> DataFrame:
+    """Per section of ``sections(query_id, n, source_config_id, chunk_id, content, score)``: excerpt, score and up to three events of its chunk.
+
+    An excerpt has white space collapsed and 720 characters, then an ellipsis. Events without a title are left out.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "))
+    cut = F.concat(F.rtrim(F.rtrim(F.substring(text, 1, 720)), F.lit("…")), F.lit("…"))
+    rows = sections.select("query_id", "n", "source_config_id", "chunk_id", F.when(F.length(text) > 720, cut).otherwise(text).alias("excerpt"), F.round("score", 4).alias("score"))
+    refs = citations(events.where(F.trim(F.coalesce("title", F.lit(""))) != ""), per_section)
+    return rows.join(refs, ["source_config_id", "chunk_id"], "left")
+
+
 def valid_answer(answer: Column, sections: Column) -> Column:
     """At least one [n], and each with 1 <= n <= sections."""
     n = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit("\\[(\\d+)]"), 1), lambda x: x.cast("int"))
@@ -82,6 +94,22 @@ def recall_at_k(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     return exact.join(hit, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def recall_summary(recalls: DataFrame, latencies: DataFrame) -> DataFrame:
+    """One row over all queries: mean of ``recalls(query_id, recall)``, and mean, 50 and 95 in 100 of ``latencies(query_id, ms)``.
+
+    A percentile is the smallest value with at least that share of all values at or below it.
+    """
+    rows = recalls.select("recall").unionByName(latencies.select("ms"), allowMissingColumns=True)
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)")
+    return rows.agg(F.count("recall").alias("queries"), F.avg("recall").alias("recall"), F.avg("ms").alias("ms_mean"), at(0.5).alias("ms_p50"), at(0.95).alias("ms_p95"))
+
+
+def evaluation_rate(found: DataFrame) -> DataFrame:
+    """One row over ``evaluate_retrieval``: cases, those hit, and their share (null without cases)."""
+    hits = F.count(F.when(F.col("hit"), 1))
+    return found.agg(F.count("*").alias("cases"), hits.alias("hits"), (hits / F.nullif(F.count("*"), F.lit(0))).alias("rate"))
+
+
 def evaluate_retrieval(cases: DataFrame, results: DataFrame) -> DataFrame:
     """Per case of ``cases(query_id, expected)`` how many results contain an expected term, whatever its case."""
     rows = cases.join(results, "query_id", "left")

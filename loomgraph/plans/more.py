@@ -149,7 +149,7 @@ def repair_hidden_events(t):
     return explore.repair_hidden_events(t.events(), t.documents())
 
 
-@query(f"WITH FIX, i AS (SELECT event_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS ids FROM ee GROUP BY 1) SELECT event_id, title, coalesce(ids, '') AS entity_ids FROM ev LEFT JOIN i USING (event_id) WHERE {VISIBLE}")
+@query(f"WITH FIX, i AS (SELECT event_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS ids FROM ee GROUP BY 1) SELECT event_id, title, source_config_id, source_id, category, start_time, created_time, coalesce(ids, '') AS entity_ids FROM ev LEFT JOIN i USING (event_id) WHERE {VISIBLE}")
 def event_vector_rows(t):
     return explore.event_vector_rows(t.events(), t.relations())
 
@@ -194,8 +194,8 @@ def register_items(t):
 SELECT job_id, CASE WHEN h THEN 'split' WHEN attempts < 8 THEN 'retry' ELSE 'fail' END AS action, CASE WHEN NOT h AND attempts < 8 THEN [10, 30, 90, 180, 300, 600, 900, 1800][greatest(1, least(attempts, 8))] END AS delay,
 CAST(part AS INT) AS part, CAST(CASE WHEN NOT h THEN n WHEN part = 0 THEN n // 2 ELSE n - n // 2 END AS INT) AS n FROM s, (SELECT unnest([0, 1]) AS part) WHERE h OR part = 0""")
 def split_retry(t):
-    jobs = t.raw("events").groupBy(F.expr("event_type||day(ts)").alias("job_id"), F.expr("day(ts) % 10").alias("attempts"), F.expr("day(ts) % 2 = 0").alias("retryable")).agg(F.collect_list("event_id").alias("ids"))
-    return work.split_retry(jobs, 8).select("job_id", "action", "delay", "part", F.size("ids").alias("n"))
+    refs = t.raw("events").selectExpr("event_type||day(ts) AS job_id", "event_id AS id", "day(ts) % 10 AS attempts", "day(ts) % 2 = 0 AS retryable")
+    return work.split_retry(refs, 8).groupBy("job_id", "action", "delay", "part").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("""WITH m AS (SELECT event_id, 'Call ' || CASE WHEN user_id % 3 = 0 THEN 'Timed Out' ELSE 'failed' END || ' with ' || (400 + event_id % 110) AS m FROM events)
@@ -205,10 +205,23 @@ def classify_errors(t):
     return t.raw("events").select("event_id", work.retryable(message).alias("retryable"))
 
 
-@query("""SELECT user_id AS source, count(*) FILTER (value > 95) AS pending, CASE WHEN count(*) FILTER (value > 95) = 0 THEN 'complete' WHEN user_id % 2 = 0 THEN 'deferred' ELSE 'backfilling' END AS state FROM events GROUP BY 1""")
+_BACKFILL = """b AS (SELECT user_id AS source, count(*) FILTER (value > 95 AND event_id % 3 = 0) AS entity_vectors, count(*) FILTER (value > 95 AND event_id % 3 = 1) AS event_entity_vectors FROM events GROUP BY 1)
+SELECT *, entity_vectors + event_entity_vectors AS pending, CASE WHEN entity_vectors + event_entity_vectors > 0 THEN 'backfilling' ELSE '{}' END AS state FROM b"""
+
+
+def _backfill(t, deferred):
+    items = t.raw("events").selectExpr("user_id AS source", "CASE event_id % 3 WHEN 0 THEN 'entity_vectors' WHEN 1 THEN 'event_entity_vectors' ELSE 'chunk_vectors' END AS table_name", "value > 95 AS pending")
+    return work.backfill_status(items, items, deferred)
+
+
+@query("WITH " + _BACKFILL.format("complete"))
 def backfill_status(t):
-    items = t.raw("events").selectExpr("user_id AS source", "value > 95 AS pending")
-    return work.backfill_status(items, items.where("source % 2 = 0"))
+    return _backfill(t, False)
+
+
+@query("WITH s AS (WITH " + _BACKFILL.format("deferred") + ") SELECT count(*) AS sources, sum(entity_vectors)::BIGINT AS entity_vectors, sum(event_entity_vectors)::BIGINT AS event_entity_vectors, sum(pending)::BIGINT AS pending, CASE WHEN sum(pending) > 0 THEN 'backfilling' ELSE 'deferred' END AS state FROM s")
+def backfill_overall(t):
+    return work.backfill_overall(_backfill(t, True))
 
 
 @query("""SELECT event_type AS source, count(*) FILTER (ts <= TIMESTAMP '2024-01-15' AND ts > TIMESTAMP '2024-01-14') AS recent, count(*) FILTER (ts > TIMESTAMP '2024-01-15') AS remaining,
@@ -250,7 +263,7 @@ def search_with_fallback(t):
     return recall.search_with_fallback(precise, t.raw("benchmark").selectExpr("item_id AS query_id", "item_id * 7 || '-0' AS chunk_id"))
 
 
-@query("WITH FIX SELECT source_id, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(sum(event_count) AS BIGINT) AS events FROM doc GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 16")
+@query("WITH FIX SELECT source_id, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(sum(event_count) AS BIGINT) AS events, max(created_at) AS updated_at FROM doc GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 16")
 def candidate_sources(t):
     return recall.candidate_sources(t.documents(), 16)
 
@@ -299,9 +312,10 @@ def node_detail(t):
     return explore.node_detail(ids, t.events(), t.documents())
 
 
-@query("SELECT c_custkey AS session_id, coalesce(n, 0) AS steps FROM customer LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = c_custkey")
+@query("""SELECT c_nationkey AS owner, c_custkey AS session_id, coalesce(n, 0) AS steps, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS rn FROM customer QUALIFY rn <= 20)
+LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = c_custkey""")
 def exploration_list(t):
-    return explore.exploration_list(t.raw("customer").selectExpr("c_custkey AS session_id"), t.raw("conversations").withColumnRenamed("conv_id", "session_id"))
+    return explore.exploration_list(t.raw("customer").selectExpr("c_nationkey AS owner", "c_custkey AS session_id", "c_acctbal AS updated_at"), t.raw("conversations").withColumnRenamed("conv_id", "session_id"))
 
 
 @query("""WITH FIX, s AS (SELECT DISTINCT user_id AS query_id, lpad(CAST(event_id AS STRING), 10, '0') AS event_id FROM events),

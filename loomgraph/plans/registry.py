@@ -143,7 +143,7 @@ def timeline(t):
 
 @query(f"""WITH FIX, p AS (SELECT event_id, entity_id, max(coalesce(weight, 1.0)) AS weight, max(description) AS description FROM ee WHERE created_time <= TIMESTAMP '{AS_OF}' GROUP BY ALL),
 b AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS total, CAST(row_number() OVER (PARTITION BY event_id ORDER BY weight DESC, entity_id) AS INT) AS rn FROM p)
-SELECT event_id, entity_id, weight, description, total, round(greatest(0.4, least(1.0, 0.5 + 0.08 * ln(1 + total))), 6) AS importance, total <= 4 AS complete, rn FROM b WHERE rn <= 4""")
+SELECT event_id, entity_id, weight, description, total, round(greatest(0.4, least(1.0, 0.5 + 0.08 * ln(1 + total))), 6) AS importance, round(greatest(0.3, least(1.0, 0.42 + 0.08 * weight)), 6) AS entity_importance, total <= 4 AS complete, rn FROM b WHERE rn <= 4""")
 def event_bundles(t):
     return graph.event_bundles(t.relations(), AS_OF, 4)
 
@@ -186,9 +186,10 @@ def source_hits(t):
     return graph.source_hits(t.raw("events").selectExpr("event_type AS source_config_id", "event_id", "value AS score", "ts AS event_time"))
 
 
-@query("""SELECT conv_id, count(*) || ' messages' AS title, '# ' || count(*) || ' messages' || chr(10) || chr(10) || string_agg('**' || coalesce(role, 'user') || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, '消息-' || count(*) || '条' AS title, '# 消息' || repeat(chr(10), 4) || string_agg('**' || CASE WHEN turn % 3 = 1 THEN 'a' || conv_id ELSE coalesce(nullif(role, ''), '消息') END || '**' || CASE WHEN turn % 2 = 0 THEN '（' || turn || '）' ELSE '' END || '：' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY 1""")
 def messages_to_documents(t):
-    return catalog.messages_to_documents(t.raw("conversations"))
+    return catalog.messages_to_documents(t.raw("conversations").selectExpr("*", "CASE WHEN turn % 3 = 1 THEN 'a' || conv_id ELSE '' END AS author", "CASE WHEN turn % 2 = 0 THEN turn END AS ts"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -233,9 +234,9 @@ def list_documents(t):
     return catalog.list_documents(t.documents(), "READY", "1", 20, 5)
 
 
-@query("WITH FIX SELECT doc_id, chunk_id, rank, CAST(length(content) AS INT) AS length FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank) <= 20")
+@query("WITH FIX SELECT doc_id, chunk_id, rank, substring(content, 1, 30) AS heading, CAST(length(content) AS INT) AS length FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank) <= 20")
 def outline(t):
-    return catalog.outline(t.chunks(), 20)
+    return catalog.outline(t.chunks().withColumn("heading", F.substring("content", 1, 30)), 20)
 
 
 @query("WITH FIX SELECT source_id, name, document_id, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, document_id) AS INT) AS rn FROM doc) JOIN src ON source_id = source_config_id WHERE rn <= 10")
@@ -243,10 +244,10 @@ def recent_activity(t):
     return catalog.recent_activity(t.documents(), t.sources(), 10)
 
 
-@query("""SELECT conv_id, turn, CAST(cum AS BIGINT) AS cum FROM (SELECT conv_id, turn, sum(ceil(length(coalesce(text, '')) / 4)) OVER w AS cum, row_number() OVER w AS rn FROM conversations
-WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE cum <= 300 OR rn = 1""")
+@query("""SELECT conv_id, turn, CAST(cum AS BIGINT) AS cum FROM (SELECT conv_id, turn, sum(ceil(length(coalesce(text, '')) / 4)) OVER w AS cum, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE cum <= 100 OR rn = 1 OR n <= 3""")
 def history_window(t):
-    return catalog.history_window(t.raw("conversations"), 300)
+    return catalog.history_window(t.raw("conversations"), 100, 3)
 
 
 @query("""WITH FIX SELECT * FROM (SELECT source_id, document_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY list_position(['READY', 'EXTRACTING', 'FAILED', 'PAUSED', 'LOADING', 'PENDING'], status), event_count DESC, created_at DESC, document_id DESC) AS INT) AS rn FROM doc WHERE event_count > 0) WHERE rn <= 12""")
@@ -254,21 +255,33 @@ def pick_documents(t):
     return catalog.pick_documents(t.documents(), 12)
 
 
-@query("WITH FIX SELECT source_id, bool_or(status IN ('PENDING', 'LOADING', 'EXTRACTING')) AS busy FROM doc GROUP BY 1")
+@query("""WITH FIX, j AS (SELECT 'n'||(c_nationkey + 1) AS source_id, 'c'||c_custkey AS document_id FROM customer WHERE c_custkey % 50 = 1)
+SELECT source_id, bool_or(b) AS busy FROM (SELECT source_id, status IN ('PENDING', 'LOADING', 'EXTRACTING') AS b FROM doc WHERE CAST(substring(document_id, 2) AS INT) % 50 < 6
+UNION ALL SELECT j.source_id, TRUE FROM j JOIN doc USING (document_id) WHERE status IN ('PENDING', 'LOADING', 'EXTRACTING') AND CAST(substring(document_id, 2) AS INT) % 50 < 6) GROUP BY 1""")
 def ingest_busy(t):
-    return catalog.ingest_busy(t.documents())
+    jobs = t.raw("customer").where("c_custkey % 50 = 1").selectExpr("'n'||(c_nationkey + 1) AS source_id", "'c'||c_custkey AS document_id", "CASE WHEN c_custkey % 2 = 0 THEN 'queued' ELSE 'running' END AS status")
+    return catalog.ingest_busy(t.documents().where("CAST(substring(document_id, 2) AS INT) % 50 < 6"), jobs)
 
 
-@query("SELECT source, id, CAST((row_number() OVER (PARTITION BY source ORDER BY id) - 1) // 200 AS INT) AS batch FROM (SELECT DISTINCT event_type AS source, event_id AS id FROM events)")
+@query("SELECT source, id, CAST((row_number() OVER (PARTITION BY source ORDER BY id) - 1) // 200 AS INT) AS batch FROM (SELECT DISTINCT event_type AS source, event_id AS id FROM events WHERE user_id % 10 <> 0)")
 def plan_batches(t):
-    return catalog.plan_batches(t.raw("events").selectExpr("event_type AS source", "event_id AS id"), 200)
+    ids = t.raw("events").selectExpr("event_type AS source", "event_id AS id", "user_id")
+    return catalog.plan_batches(ids, 200, ids.where("user_id % 10 = 0"))
 
 
-@query("""WITH s AS (SELECT event_type AS path, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 4096),
+_SAMPLES = "m AS (SELECT event_type AS path, value, event_id FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 4096)"
+
+
+@query(f"""WITH {_SAMPLES}, s AS (SELECT * FROM m UNION ALL SELECT NULL, value, event_id FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY value, event_id) - 1 AS pos, count(*) OVER (PARTITION BY path) AS n FROM s)
-SELECT path, count(*) AS n, max(value) FILTER (pos = least(n - 1, floor(n * 0.5))) AS p50, max(value) FILTER (pos = least(n - 1, floor(n * 0.95))) AS p95, max(value) FILTER (pos = least(n - 1, floor(n * 0.99))) AS p99, max(value) AS max FROM r GROUP BY path""")
+SELECT path, count(*) AS n, count(*) FILTER (value >= 90) AS slow, max(value) FILTER (pos = least(n - 1, floor(n * 0.5))) AS p50, max(value) FILTER (pos = least(n - 1, floor(n * 0.95))) AS p95, max(value) FILTER (pos = least(n - 1, floor(n * 0.99))) AS p99, max(value) AS max FROM r GROUP BY path""")
 def latency_summary(t):
-    return catalog.latency_summary(t.raw("events").selectExpr("event_type AS path", "value AS duration_ms", "ts", "event_id AS id"))
+    return catalog.latency_summary(t.raw("events").selectExpr("event_type AS path", "value AS duration_ms", "ts", "event_id AS id"), 90)
+
+
+@query(f"WITH {_SAMPLES} SELECT path, value AS duration_ms, event_id AS id FROM m WHERE value >= 90 ORDER BY value DESC, event_id LIMIT 10")
+def slowest_requests(t):
+    return catalog.slowest_requests(t.raw("events").selectExpr("event_type AS path", "value AS duration_ms", "ts", "event_id AS id"), 90).drop("ts")
 
 
 @query(f"WITH FIX SELECT source_config_id, count(*) AS missing FROM ev WHERE {VISIBLE} AND CAST(event_id AS BIGINT) % 3 <> 0 GROUP BY 1")
@@ -280,7 +293,7 @@ def missing_vectors(t):
 SELECT status, count(DISTINCT job_id) AS jobs, count(*) AS refs, count(DISTINCT id) AS unique_ids, count(*) - count(DISTINCT id) AS duplicates FROM j GROUP BY 1""")
 def queue_audit(t):
     jobs = t.raw("events").selectExpr("event_type AS status", "event_type||CAST(ts AS DATE) AS job_id", "get_json_object(props, '$.k') AS id")
-    return catalog.queue_audit(jobs.groupBy("status", "job_id").agg(F.collect_list("id").alias("ids")))
+    return catalog.queue_audit(jobs)
 
 
-from . import more, searching  # noqa: E402,F401  register their queries here
+from . import more, planning, searching  # noqa: E402,F401  register their queries here

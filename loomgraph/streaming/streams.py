@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators.chunking import assemble_chunks
+
 
 def stream_dedup(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """The first of equal keys within the watermark's delay; state is dropped as the watermark passes."""
@@ -19,8 +21,8 @@ def stream_rates(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy(windows.alias("w"), "source").agg(F.count("*").alias("n")).select("source", F.col("w.start").alias("start"), (F.col("n") / 10).alias("per_minute"))
 
 
-def stream_ingest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writes documents once per (doc_id, hash of text), whatever batch they come in.
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, pieces: str | None = None) -> DataStreamWriter:
+    """Writes documents once per (doc_id, hash of text), whatever batch they come in; with ``pieces``, also their chunks, to that path.
 
     Each batch has its own folder, so that a batch run again replaces itself; what earlier batches wrote is left out.
     """
@@ -32,6 +34,9 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWr
             seen = stored.where(F.col("batch") < batch_id).select(F.col("doc_id").alias("d"), F.col("sha256").alias("s"))
             rows = rows.join(seen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha256") == F.col("s")), "left_anti")
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if pieces:
+            new = batch.sparkSession.read.parquet(f"{path}/batch={batch_id}")
+            assemble_chunks(new).write.mode("overwrite").parquet(f"{pieces}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
