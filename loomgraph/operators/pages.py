@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VISIBLE
-from .recall import top
+from .recall import numbered, top
 
 
 def timeline_page(events: DataFrame, as_of: str, k: int, cursor: DataFrame | None = None, newer: bool = False) -> DataFrame:
@@ -162,6 +164,20 @@ def source_graph(documents: DataFrame, events: DataFrame, associations: DataFram
     return contains.unionByName(inside).unionByName(mentions).distinct()
 
 
+def source_graph_counts(documents: DataFrame, picked: DataFrame, events: DataFrame, graph: DataFrame) -> DataFrame:
+    """Per source with ``documents(source_id, event_count)``: documents and events of the whole, those of ``picked`` and ``events`` shown, entities and edges of each kind, truncated.
+
+    truncated: not all documents or not all their events are shown.
+    """
+    whole = documents.groupBy(F.col("source_id").alias("source_config_id")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("event_count"), F.lit(0)).alias("events"))
+    docs = picked.groupBy(F.col("source_id").alias("source_config_id")).agg(F.count("*").alias("shown_documents"))
+    shown = events.groupBy("source_config_id").agg(F.countDistinct("event_id").alias("shown_events"))
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(kind)
+    edges = graph.groupBy("source_config_id").agg(F.countDistinct(F.when(F.col("kind") == "mentions", F.col("to_id"))).alias("shown_entities"), n("contains"), n("subevent"), n("mentions"))
+    rows = reduce(lambda a, b: a.join(b, "source_config_id", "left"), [docs, shown, edges], whole).na.fill(0)
+    return rows.withColumn("truncated", (F.col("shown_documents") < F.col("documents")) | (F.col("shown_events") < F.col("events")))
+
+
 def fill_tail(items: DataFrame, tails: DataFrame, size: int) -> DataFrame:
     """(source, id, batch): items go to open batches of their source while these have room, newest first, the rest to new ones.
 
@@ -171,7 +187,7 @@ def fill_tail(items: DataFrame, tails: DataFrame, size: int) -> DataFrame:
     room = tails.where(F.col("used") < size).withColumn("room", size - F.col("used"))
     newest = Window.partitionBy("source").orderBy(F.desc("opened"), F.desc("batch"))
     room = room.withColumn("hi", F.sum("room").over(newest)).withColumn("lo", F.col("hi") - F.col("room")).select("source", "batch", "lo", "hi")
-    placed = items.distinct().withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1)
+    placed = numbered(items.select("source", "id").distinct(), "source", "id").withColumnRenamed("place", "at")
     most = room.groupBy("source").agg(F.max("hi").alias("most"))
     rows = placed.join(most, "source", "left").na.fill(0, ["most"])
     fits = rows.where(F.col("at") < F.col("most")).join(room, "source").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("source", "id", "batch")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import VISIBLE
-from ..operators import catalog, chunking, explore, graph, recall, relevance, work
+from ..operators import catalog, chunking, explore, graph, pages, recall, relevance, work
 from . import more
 from .more import _REFS, _without
 from .registry import _ASSOC, _COS, query
@@ -121,6 +121,19 @@ def cover_edge_slice(t):
     return graph.cover_edge_slice(assoc, graph.entity_heat(t.entities(), t.relations(), 50))
 
 
+@query("WITH FIX, a AS (" + _ASSOC + """), w AS (SELECT source_id AS source_config_id, count(*) AS documents, sum(event_count)::BIGINT AS events FROM doc WHERE event_count > 0 GROUP BY 1),
+p AS (SELECT source_id, document_id FROM doc WHERE event_count > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY list_position(['READY', 'EXTRACTING', 'FAILED', 'PAUSED', 'LOADING', 'PENDING'], status), event_count DESC, created_at DESC, document_id DESC) <= 12),
+d AS (SELECT source_id AS source_config_id, count(*) AS shown_documents FROM p GROUP BY 1), e AS (SELECT * FROM ev WHERE rank = 0), s AS (SELECT source_config_id, count(*) AS shown_events FROM e GROUP BY 1),
+c AS (SELECT source_config_id, count(*) AS contains FROM e WHERE source_id IN (SELECT document_id FROM p) GROUP BY 1), m AS (SELECT source_config_id, count(DISTINCT entity_id) AS shown_entities, count(DISTINCT event_id||'|'||entity_id) AS mentions FROM a JOIN e USING (event_id) WHERE rn <= 8 GROUP BY 1)
+SELECT source_config_id, documents, events, coalesce(shown_documents, 0) AS shown_documents, coalesce(shown_events, 0) AS shown_events, coalesce(shown_entities, 0) AS shown_entities, coalesce(contains, 0) AS contains, CAST(0 AS BIGINT) AS subevent, coalesce(mentions, 0) AS mentions,
+coalesce(shown_documents, 0) < documents OR coalesce(shown_events, 0) < events AS truncated FROM w LEFT JOIN d USING (source_config_id) LEFT JOIN s USING (source_config_id) LEFT JOIN c USING (source_config_id) LEFT JOIN m USING (source_config_id)""")
+def source_graph_counts(t):
+    eligible = t.documents().where("event_count > 0")
+    picked, events = catalog.pick_documents(t.documents(), 12), t.events().where("rank = 0").withColumn("parent_id", F.lit(None).cast("string"))
+    shown = pages.source_graph(picked, events, graph.slice_associations(t.relations()))
+    return pages.source_graph_counts(eligible, picked, events, shown)
+
+
 @query("""WITH FIX SELECT * FROM (SELECT source_id, document_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY list_position(['READY', 'EXTRACTING', 'FAILED', 'PAUSED', 'LOADING', 'PENDING'], status), event_count DESC, created_at DESC, document_id DESC) AS INT) AS rn FROM doc WHERE chunk_count = 3) WHERE rn <= 12""")
 def pick_explicit_documents(t):
     return catalog.pick_documents(t.documents(), 12, t.documents().where("chunk_count = 3"))
