@@ -133,3 +133,26 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
         k += 1
         links = scratch.save(small, f"{tag}{k}")
         scratch.drop(f"{tag}{k - 1}")
+
+
+PAGE_BITS, MOST_BITS = 15, 28  # bits of a page of a bit set, and of the largest bit set (2**28 bits are 32 MB)
+
+
+def _slot(key: Column, bits: int) -> tuple[Column, Column]:
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    return F.shiftright(slot, PAGE_BITS), slot.bitwiseAND(F.lit((1 << PAGE_BITS) - 1))
+
+
+def bit_set(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(pages, bits): the 64-bit hashes ``key`` as a set of bits, 16 for each of ``n`` keys and never more than 2**MOST_BITS, so that it can be broadcast."""
+    bits = min(max((16 * n).bit_length(), PAGE_BITS), MOST_BITS)
+    page, place = _slot(F.col("key"), bits)
+    return keys.where("key is not null").select(page.alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits")), bits
+
+
+def may_hold(df: DataFrame, key: Column, pages: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``df`` whose key is in the bit set, and a few others: where the set is at its largest size more others pass, and none is lost."""
+    page, place = _slot(key, bits)
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(F.col("_place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_page", page).withColumn("_place", place).join(F.broadcast(pages), "_page")
+    return met.where(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("_page", "_place", "_bits")

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gru_lm, langid, line_dedup, mixing, rp_forest, simhash, suffix_dedup, token_output
+from . import chat, decontaminate, exact_dedup, gru_lm, langid, line_dedup, mixing, rp_forest, simhash, suffix_dedup, token_output
 from .sql import ORACLES
 
 
@@ -79,6 +79,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", F.round("leaf_budget", 3).alias("leaf_budget"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -90,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_exact_dedup": op11_exact_dedup,
 }

@@ -65,7 +65,8 @@ def mixing_sql(documents: str = "documents", share: float = 0.5, epochs: int = 2
     """CTEs up to ``taken(doc_id, ..., epoch, leaf_budget)``."""
     return rf"""
 tok AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CASE WHEN k <= 9 THEN 'web' WHEN k <= 15 THEN 'reference' ELSE 'other' END AS domain, n_tokens
-  FROM (SELECT *, try_cast(nullif(regexp_extract(source, '^src([0-9]+)$', 1), '') AS INTEGER) AS k, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM {documents}) WHERE n_tokens > 0),
+  FROM (SELECT *, try_cast(nullif(regexp_extract(source, '^src([0-9]+)$', 1), '') AS INTEGER) AS k, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens FROM {documents}) WHERE n_tokens > 0),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM tok GROUP BY ALL),
 total AS (SELECT sum(tokens)::DOUBLE * {share!r} AS budget FROM leaves),""" + ",".join([
         _level("domain", [], _case("domain", DOMAIN_WEIGHTS), epochs, "total"),
@@ -80,4 +81,9 @@ taken AS (SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch AS INTEGER)
 
 OP10 = "WITH " + mixing_sql() + " SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, epoch, round(leaf_budget, 3) AS leaf_budget FROM taken"
 
-ORACLES = {"op4_decontaminate": OP4, "op7_line_dedup": OP7, "op10_mixing": OP10}
+OP11 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)"""
+
+ORACLES = {"op4_decontaminate": OP4, "op7_line_dedup": OP7, "op10_mixing": OP10, "op11_exact_dedup": OP11}
