@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, gru_lm, langid, line_dedup, mixing, rp_forest, simhash, suffix_dedup, token_output
+from . import chat, decontaminate, exact_dedup, gru_lm, langid, line_dedup, mixing, ranked_search, rp_forest, simhash, suffix_dedup, token_output
 from .sql import ORACLES
 
 
@@ -83,6 +83,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_ranked_search": op12_ranked_search,
 }

@@ -86,4 +86,17 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(co
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)"""
 
-ORACLES = {"op4_decontaminate": OP4, "op7_line_dedup": OP7, "op10_mixing": OP10, "op11_exact_dedup": OP11}
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+df AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY t, docs),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * docs) // total AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark) AS b) GROUP BY item_id, t),
+scored AS (SELECT item_id, r, doc_id, sum(n * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN df USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 20"""
+
+ORACLES = {"op4_decontaminate": OP4, "op7_line_dedup": OP7, "op10_mixing": OP10, "op11_exact_dedup": OP11, "op12_ranked_search": OP12}
