@@ -147,12 +147,20 @@ def bit_set(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     """(pages, bits): the 64-bit hashes ``key`` as a set of bits, 16 for each of ``n`` keys and never more than 2**MOST_BITS, so that it can be broadcast."""
     bits = min(max((16 * n).bit_length(), PAGE_BITS), MOST_BITS)
     page, place = _slot(F.col("key"), bits)
-    return keys.where("key is not null").select(page.alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits")), bits
+    return keys.where("key is not null").select(page.alias("_set_page"), place.alias("_set_place")).groupBy("_set_page").agg(F.bitmap_construct_agg("_set_place").alias("_set_bits")), bits
+
+
+def _looked_up(df: DataFrame, key: Column, pages: DataFrame, bits: int, how: str) -> DataFrame:
+    page, place = _slot(key, bits)
+    byte = F.conv(F.hex(F.substring("_set_bits", F.shiftright(F.col("_set_place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("_set_page", page).withColumn("_set_place", place).join(F.broadcast(pages), "_set_page", how).withColumn("_set_in", F.getbit(byte, (F.col("_set_place") % 8).cast("int")) == 1)
 
 
 def may_hold(df: DataFrame, key: Column, pages: DataFrame, bits: int) -> DataFrame:
     """Rows of ``df`` whose key is in the bit set, and a few others: where the set is at its largest size more others pass, and none is lost."""
-    page, place = _slot(key, bits)
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(F.col("_place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = df.withColumn("_page", page).withColumn("_place", place).join(F.broadcast(pages), "_page")
-    return met.where(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("_page", "_place", "_bits")
+    return _looked_up(df, key, pages, bits, "inner").where("_set_in").drop("_set_page", "_set_place", "_set_bits", "_set_in")
+
+
+def in_set(df: DataFrame, key: Column, pages: DataFrame, bits: int, name: str) -> DataFrame:
+    """``df`` with ``name``: true for keys of the bit set and a few others, false only for keys that are not in it."""
+    return _looked_up(df, key, pages, bits, "left").withColumn(name, F.coalesce("_set_in", F.lit(False))).drop("_set_page", "_set_place", "_set_bits", "_set_in")

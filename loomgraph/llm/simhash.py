@@ -4,9 +4,6 @@ Fingerprints are made in Arrow batches; equal ones are one trie leaf. The trie i
 nodes whose prefixes differ in no more bits than the budget form a task, which traverses node pairs of the two
 subtries together, adds up differing bits, and prunes a pair as soon as the budget is exceeded. A task returns a
 spanning forest of the links it found, never the pairs themselves.
-
-``similar_groups`` joins tries of several words of long fingerprints: each gives candidates within a small budget, which keeps the
-traversal short, and the whole fingerprint decides how similar two texts are.
 """
 
 from __future__ import annotations
@@ -147,161 +144,3 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFr
     roots = connected_components(links, scratch)
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marks.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-WORDS, TRIES = 8, 4  # 64-bit words of a long fingerprint, and those that have a trie of their own
-# Differing bits that a pair may have among the first bits of a trie: a budget that opens with the depth. A pair of similarity .8 differs in 15 % of
-# its bits and keeps within it in one of four tries nearly always.
-OPENING = ((4, 1), (10, 2), (64, 3))
-SLACK = 0.02  # of similarity that fingerprints may fall short by; their standard error at .8 is .035
-CUT, CELL = 4, 1 << 19  # bits at which tries are cut into tasks at least; fingerprints of a cut node
-
-
-def opened(level: int) -> int:
-    return next(budget for depth, budget in OPENING if level <= depth)
-
-
-def long_fingerprint(text: bytes, shingle: int) -> np.ndarray:
-    """WORDS 64-bit SimHash words of the word shingles of a text, repeats included, each from its own mixing of the shingles' hashes."""
-    words = text.lower().split()
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, 42)] if words else []
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64 * WORDS, np.int64)
-    odd = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for k in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
-        h = np.array(hashes[k : k + 255], np.uint64)[:, None] * odd
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
-
-
-def most_bits(similarity: float) -> int:
-    """Differing bits of long fingerprints at a Jaccard similarity of shingles: the angle between two sets' indicator vectors."""
-    return int(64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def node_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, deepest: int):
-    """Ranges (al, ah, bl, bh) of node pairs of two sorted lists of words (``b`` None: of one with itself) within the opening budget.
-
-    A pair comes out where it holds up to LEAF pairs of words, or at ``deepest`` bits.
-    """
-    own = b is None
-    b = a if own else b
-    if not len(a) or not len(b):
-        return
-    start = 0 if own or not depth else int(np.bitwise_count((a[0] ^ b[0]) >> np.uint64(64 - depth)))
-    stack = [(depth, *(np.array([x], np.int64) for x in (0, len(a), 0, len(b), start)))]
-    while stack:
-        level, al, ah, bl, bh, d = stack.pop()
-        if len(al) > FRONTIER:
-            half = len(al) // 2
-            stack += [(level, *(x[:half] for x in (al, ah, bl, bh, d))), (level, *(x[half:] for x in (al, ah, bl, bh, d)))]
-            continue
-        leaf = ((ah - al) * (bh - bl) <= LEAF) | (level >= deepest)
-        if leaf.any():
-            yield tuple(x[leaf] for x in (al, ah, bl, bh))
-        if leaf.all():
-            continue
-        al, ah, bl, bh, d = (x[~leaf] for x in (al, ah, bl, bh, d))
-        bit = np.uint64(1) << np.uint64(63 - level)
-        am = np.clip(np.searchsorted(a, (a[al] & ~(bit | (bit - np.uint64(1)))) | bit), al, ah)
-        bm = np.clip(np.searchsorted(b, (b[bl] & ~(bit | (bit - np.uint64(1)))) | bit), bl, bh)
-        apart = al != bl if own else np.ones(len(al), bool)
-        parts = [(al, am, bl, bm, d), (am, ah, bm, bh, d), (al, am, bm, bh, d + 1), tuple(x[apart] for x in (am, ah, bl, bm, d + 1))]
-        al, ah, bl, bh, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = (d <= opened(level + 1)) & (ah > al) & (bh > bl)
-        if keep.any():
-            stack.append((level + 1, *(x[keep] for x in (al, ah, bl, bh, d))))
-
-
-def _block_links(bits: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among rows i and j of ``bits`` (pairs across only, unless both are the same); what is connected is not compared again."""
-    own = len(i) == len(j) and i[0] == j[0]
-    rows = i if own else np.concatenate([i, j])
-    label, other = np.arange(len(rows)), np.arange(len(rows)) if own else np.arange(len(i), len(rows))
-    for p in range(len(i)):
-        open_ = other[label[other] != label[p]]
-        if not len(open_):
-            if own and (label == label[0]).all():
-                break
-            continue
-        near = open_[np.bitwise_count(bits[rows[open_]] ^ bits[rows[p]]).sum(axis=1, dtype=np.int64) <= most]
-        if len(near):
-            met = np.append(label[near], label[p])
-            label[np.isin(label, met)] = met.min()
-    moved = np.flatnonzero(label != np.arange(len(rows)))
-    return rows[moved], rows[label[moved]]
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked where their word shingles are about ``similarity`` alike or more.
-
-    Similarity is that of 512-bit SimHash fingerprints (standard error .035 at .8). Four tries over the first words find candidates within an
-    opening budget of differing bits; all 512 bits decide (those of ``similarity`` less SLACK). Null and blank texts are one group. Rows with null doc_id take no part and have no
-    component; repeated rows come back as often as they came in. Very long texts are read whole. An empty table gives an empty result; other
-    columns are ignored.
-    """
-    scratch, most = Scratch(docs.sparkSession, "similar"), most_bits(similarity - SLACK)
-
-    def run(batches):
-        for b in batches:
-            bits = [long_fingerprint(t, shingle).view(np.int64) for t in as_bytes(b.column(1))]
-            ends = pa.array(np.arange(0, WORDS * len(bits) + 1, WORDS, dtype=np.int32))
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))], names=["doc_id", "bits"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = scratch.save(rows.mapInArrow(run, "doc_id long, bits array<long>"), "marks")
-    classes = scratch.save(marks.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("rep")), "classes")
-    n = classes.count()
-    depth, deepest = max(CUT, (n // CELL).bit_length()), max(n.bit_length(), CUT)
-    masks = [sum(1 << x for x in bits) for k in range(min(opened(depth), depth) + 1) for bits in combinations(range(depth), k)]
-    node = F.shiftrightunsigned(F.element_at("bits", F.col("trie") + 1), 64 - depth)
-    dealt = classes.select("bits", "rep", F.explode(F.array(*map(F.lit, range(TRIES)))).alias("trie")).withColumn("node", node)
-    dealt = dealt.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-    dealt = dealt.select("trie", F.least("node", "other").alias("left"), F.greatest("node", "other").alias("right"), (F.col("node") > F.col("other")).alias("second"), "bits", "rep")
-
-    def traverse(key, table):
-        table = table.combine_chunks()
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        word = bits[:, key[0].as_py()]
-        order = np.argsort(word, kind="stable")
-        word, bits, rep, second = word[order], bits[order], table.column("rep").to_numpy()[order], table.column("second").to_numpy(zero_copy_only=False)[order]
-        own = key[1].as_py() == key[2].as_py()
-        a = np.arange(len(word)) if own else np.flatnonzero(~second)
-        b = a if own else np.flatnonzero(second)
-        labels = np.arange(len(word))
-        for al, ah, bl, bh in node_pairs(word[a], None if own else word[b], depth, deepest):
-            na, nb = ah - al, bh - bl
-            big = na * nb > LEAF
-            for k in np.flatnonzero(big):
-                connect(labels, *_block_links(bits, a[al[k] : ah[k]], b[bl[k] : bh[k]], most))
-            la, lb, wb, count = al[~big], bl[~big], nb[~big], (na * nb)[~big]
-            pair = np.repeat(np.arange(len(la)), count)
-            k = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
-            i, j = a[la[pair] + k // wb[pair]], b[lb[pair] + k % wb[pair]]
-            near = (np.bitwise_count(word[i] ^ word[j]) <= 20) & (i != j)  # two texts of similarity .8 differ in ten of 64, standard deviation three
-            i, j = i[near], j[near]
-            close = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
-            connect(labels, i[close], j[close])
-        moved = np.flatnonzero(labels != np.arange(len(word)))
-        return pa.table({"a": rep[moved], "b": rep[labels[moved]]})
-
-    links = scratch.save(dealt.groupBy("trie", "left", "right").applyInArrow(traverse, "a long, b long"), "links")
-    roots = connected_components(links, scratch)
-    named = classes.join(roots, classes.rep == roots.node, "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, "bits", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of ``docs`` per group of ``similar_groups``: the one of smallest doc_id, and one only of rows that repeat it; rows without an id stay."""
-    first = similar_groups(docs, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs.doc_id == first._first).drop("_first").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -346,8 +346,6 @@ def test_simhash_brute_force(spark, docs, odd):
         assert len(got) == df.count()
         assert all(g.fingerprint == f"{marks[g.doc_id]:016x}" for g in got) and all(g.component_id == root[g.doc_id] for g in got if g.doc_id is not None)
     assert simhash.simhash_groups(odd.limit(0)).count() == 0
-    kept = simhash.drop_near_copies(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6]  # null and empty text, and equal rows, are one
 
 
 def test_trie_pairs_are_all_pairs():
@@ -373,40 +371,6 @@ def jaccard(a, b, k=5):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def test_similar_groups(spark, docs, odd):
-    """Against all pairs of long fingerprints, and against exact similarity of copies with words replaced."""
-    r, texts = np.random.default_rng(8), [" ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 5000, 240)) for k in range(60)]
-    rows = list(enumerate(texts))
-    for k in range(600):
-        w = texts[k % 60].split()
-        for at in r.choice(240, k // 60, False):
-            w[at] = f"new{k}_{at}"
-        rows.append((1000 + k, " ".join(w)))
-    rows += [(5000 + k, "one two three") for k in range(300)] + [(6000, None), (6001, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()}
-    bits = np.array([simhash.long_fingerprint((t or "").encode(), 5) for _, t in rows])
-    most, label, ids = simhash.most_bits(0.8 - simhash.SLACK), np.arange(len(rows)), np.array([i for i, _ in rows])
-    near = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=int) <= most
-    while not np.array_equal(label, after := np.where(near, label[None, :], len(rows)).min(axis=1)):
-        label = after
-    assert np.mean([got[i] == ids[label[k]] for k, i in enumerate(ids)]) > 0.99
-    high = [(i, k) for k in range(600) for i in [k % 60] if jaccard(texts[i], rows[60 + k][1]) >= 0.85]
-    assert np.mean([got[1000 + k] == got[i] for i, k in high]) > 0.97 and len(high) > 150
-    assert len({got[i] for i in range(60)}) == 60 and got[6001] == got[6000] == 6000 and {got[5000 + k] for k in range(300)} == {5000}
-    assert len(simhash.similar_groups(odd).collect()) == len(ODD) and simhash.similar_groups(odd.limit(0)).count() == 0
-
-
-def test_block_links_span_what_is_near():
-    r = np.random.default_rng(3)
-    base = r.integers(0, 1 << 63, (3, simhash.WORDS), np.uint64)
-    bits = base[r.integers(0, 3, 90)] ^ (np.uint64(1) << r.integers(0, 64, (90, simhash.WORDS)).astype(np.uint64))
-    for i, j in ((np.arange(90), np.arange(90)), (np.arange(40), np.arange(40, 90))):
-        a, b = simhash._block_links(bits, i, j, 20)
-        d = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
-        assert (d < 40).all() and len(a) == (87 if len(i) == 90 else 87)
-
-
 def test_pipeline_stages(spark):
     """Each stage's decisions on its own input, row by row."""
     import corpus_pipeline as pipeline
