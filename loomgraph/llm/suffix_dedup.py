@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, batches: int | None = Non
     windows = _windows(snippets.where("bucket = -1"), window)
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     spans = spans.unionByName(windows.where("alone").join(twice, ["w1", "w2"], "left_semi").select("rid", "start", F.lit(window).cast("long").alias("size")))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("spans"))  # a set: rows that repeat a row have its spans again
 
     def cut(parts):
         for b in parts:
