@@ -62,7 +62,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     keyed = parsed.select(F.xxhash64("row.doc_id", "row.text").alias("rid"), F.xxhash64("row.text").alias("rid2"), "w")
     if small:
         at = keyed.select("rid", "rid2", "w", F.posexplode("w").alias("pos", "word")).join(sent(prefix), "word")
-    else:  # places are shuffled without their texts, which only those with a prefix word meet again
+    else:  # places are shuffled without their texts, which only those with a prefix word meet again; repeated rows have the places of one
+        keyed = keyed.dropDuplicates(["rid", "rid2"])
         at = keyed.select("rid", "rid2", F.posexplode("w").alias("pos", "word")).join(prefix, "word").join(keyed, ["rid", "rid2"])
     found = (
         at.where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("words") <= F.size("w")))
