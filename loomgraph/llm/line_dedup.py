@@ -57,16 +57,16 @@ def remove_boilerplate(pages: DataFrame, text: Column, site: Column, key: str =
 
     Null text has no lines. Rows without a site keep every line and count for none unless the line is boilerplate elsewhere. Blank
     lines stay and are never boilerplate. Repeated rows count their site once. Very long texts are read whole. An empty table gives an empty
-    result. Input columns other than those named are ignored.
+    result. Input columns other than those named are ignored. A line is known by a 64-bit hash; two lines of one hash count as one.
     """
     base = pages.select(F.col(key).alias("key"), site.alias("site"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     hashed = F.transform("lines", lambda x: F.when(F.length(line_key(x)) >= min_chars, F.xxhash64(line_key(x))))
     base = Scratch(pages.sparkSession, "pages").save(base.withColumn("rid", F.xxhash64("key", "site", "lines")).withColumn("hashes", hashed), "lines")
-    at = base.select("rid", "site", F.explode("hashes").alias("h")).where("h is not null")
+    at = base.select("rid", "site", F.posexplode("hashes").alias("at", "h")).where("h is not null")
     common = boilerplate_lines(at.select("h", "site"), min_sites)
-    gone = at.select("rid", "h").join(common.select("h"), "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("gone"))
+    gone = at.select("rid", "at", "h").join(common.select("h"), "h", "left_semi").groupBy("rid").agg(F.collect_set("at").alias("gone"))
     joined = base.join(gone, "rid", "left")
-    stays = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", F.get("hashes", i)), F.lit(False)))
+    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     joined = joined.withColumn("stay", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays))
     return joined.select(
         F.col("key").alias(key), "site",
