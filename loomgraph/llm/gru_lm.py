@@ -149,6 +149,10 @@ class GatedLM:
             for t in range(0, steps, window):
                 h, _, g, rows = self.gradient(np.ascontiguousarray(source[t : t + window]), np.ascontiguousarray(target[t : t + window]), h)
                 self._descend(g, rows, rate, source[t : t + window].size)
+            rest = stream[lanes * steps :]
+            if len(rest) > 1:  # what does not fill the lanes follows on the last of them, as one window
+                _, _, g, rows = self.gradient(rest[:-1, None], rest[1:, None], np.ascontiguousarray(h[:, -1:]))
+                self._descend(g, rows, rate, len(rest) - 1)
 
     def gradient(self, source: np.ndarray, target: np.ndarray, h: np.ndarray):
         """(state after, loss, gradients, rows that those of x, w and wb belong to) of a window of symbols, a row per step."""
