@@ -370,7 +370,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
                 seq += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(partitions, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
+    rows = rows.withColumn("copy", F.monotonically_increasing_id())  # rows that repeat a row may be cut apart; their order makes no difference
+    dealt = rows.repartitionByRange(partitions, F.asc_nulls_first("doc_id"), "h", "copy").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
     dealt.select("doc_id", "text").mapInArrow(run, FILES).write.mode("overwrite").parquet(path)
 
 
