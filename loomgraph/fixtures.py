@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.recall import LIVE, VISIBLE  # noqa: F401  the queries take them from here
+
 SOURCES = ["'n'||n_nationkey AS source_config_id", "n_name AS name"]
 DOCUMENTS = [
     "'c'||c_custkey AS document_id", "'n'||c_nationkey AS source_id", "c_name AS filename",
@@ -25,8 +27,6 @@ RELATIONS = [
     "CASE WHEN l_discount = 0 THEN TRUE WHEN l_linenumber % 2 = 0 THEN NULL ELSE FALSE END AS is_delete",
 ]
 ENTITIES = ["'n'||c_nationkey||'-'||p_partkey AS entity_id", "'n'||c_nationkey AS source_config_id", "p_type AS type", "p_name AS name", "lower(p_name) AS normalized_name"]
-VISIBLE = "(status IS NULL OR status <> 'DELETED')"
-LIVE = "(is_delete IS NULL OR is_delete = FALSE)"
 
 _ORDERS = "orders JOIN customer ON o_custkey = c_custkey"
 _LINES = f"lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"

@@ -19,14 +19,14 @@ def _filled(name: str, columns: list[str]) -> Column:
     return F.nullif(F.col(name).cast("string"), F.lit("")) if name in columns else F.lit(None).cast("string")
 
 
-def messages_to_documents(messages: DataFrame) -> DataFrame:
+def messages_to_documents(messages: DataFrame, window: Column | None = None) -> DataFrame:
     """One text per conversation: a header, then each turn with its author (else role) and, if known, time ``ts``, in order of turn.
 
-    A conversation is one document, so its turns meet in one row.
+    A conversation is one document, so its turns meet in one row; with a ``window`` (a stream's session) it is one for each of its windows.
     """
     who = F.coalesce(_filled("author", messages.columns), _filled("role", messages.columns), F.lit(MESSAGES))
     line = F.concat(F.lit("**"), who, F.lit("**"), F.coalesce(F.concat(F.lit("（"), _filled("ts", messages.columns), F.lit("）")), F.lit("")), F.lit("："), F.coalesce("text", F.lit("")))
-    grouped = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    grouped = messages.groupBy("conv_id", *([] if window is None else [window])).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
     text = F.concat(F.lit(f"# {MESSAGES}\n\n\n\n"), F.array_join(F.transform("t", lambda t: t.line), "\n\n"))
     return grouped.select("conv_id", F.concat(F.lit(f"{MESSAGES}-"), F.size("t").cast("string"), F.lit("条")).alias("title"), text.alias("text"))
 
@@ -221,8 +221,14 @@ def slowest_requests(samples: DataFrame, slow: float, last: int = 4096, k: int =
     return samples.orderBy(F.desc("ts"), F.desc("id")).limit(last).where(F.col("duration_ms") >= slow).orderBy(F.desc("duration_ms"), "id").limit(k)
 
 
+def missing_vector_ids(events: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(source, id) of the visible events without a vector, as batches of writes take them."""
+    seen = events.where("status IS NULL OR status <> 'DELETED'")
+    return seen.join(vectors, "event_id", "left_anti").select(F.col("source_config_id").alias("source"), F.col("event_id").alias("id"))
+
+
 def missing_vectors(events: DataFrame, vectors: DataFrame) -> DataFrame:
-    return events.where("status IS NULL OR status <> 'DELETED'").join(vectors, "event_id", "left_anti").groupBy("source_config_id").agg(F.count("*").alias("missing"))
+    return missing_vector_ids(events, vectors).groupBy(F.col("source").alias("source_config_id")).agg(F.count("*").alias("missing"))
 
 
 def queue_audit(refs: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import VISIBLE
-from .recall import top
+from .recall import VISIBLE, top
 
 
 def expand_event(relations: DataFrame, weight: float, entity_id: str, k: int) -> DataFrame:
@@ -17,6 +16,19 @@ def expand_event(relations: DataFrame, weight: float, entity_id: str, k: int) ->
     return top(after, ["event_id"], [F.desc("weight"), F.col("entity_id")], k)
 
 
+def expand_events(relations: DataFrame, cursors: DataFrame, k: int, as_of: str | None = None) -> DataFrame:
+    """The k entities of each event of ``cursors(event_id, weight, entity_id)`` after its own cursor, heaviest first; a null weight begins at the first.
+
+    total counts all entities of an event. With ``as_of`` only relations created until then take part. Events without a cursor are not read further.
+    """
+    known = relations if as_of is None else relations.where(F.col("created_time") <= F.lit(as_of).cast("timestamp"))
+    pages = cursors.select("event_id", F.col("weight").alias("_w"), F.col("entity_id").alias("_e"))
+    pairs = known.join(pages.select("event_id"), "event_id", "left_semi").groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    pairs = pairs.withColumn("total", F.count("*").over(Window.partitionBy("event_id"))).join(pages, "event_id")
+    after = pairs.where(F.col("_w").isNull() | (F.col("weight") < F.col("_w")) | ((F.col("weight") == F.col("_w")) & (F.col("entity_id") > F.col("_e"))))
+    return top(after.drop("_w", "_e"), ["event_id"], [F.desc("weight"), F.col("entity_id")], k)
+
+
 def expand_entity(relations: DataFrame, events: DataFrame, after: str, before: str, k: int) -> DataFrame:
     """The k latest visible events of each entity within [after, before)."""
     seen = events.where(VISIBLE).where((F.col("event_time") >= F.lit(after).cast("timestamp")) & (F.col("event_time") < F.lit(before).cast("timestamp")))
@@ -165,5 +177,7 @@ def cover_entities(assoc: DataFrame, budget: int) -> DataFrame:
 
 
 def get_chunks(ids: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks by (source, id); unknown ids drop out."""
+    """Chunks by (source, id), with ``raw_content``, if there is one, where content is null or empty; unknown ids drop out."""
+    if "raw_content" in chunks.columns:
+        chunks = chunks.withColumn("content", F.coalesce(F.nullif("content", F.lit("")), "raw_content", "content"))
     return chunks.join(ids.distinct(), ["source_config_id", "chunk_id"], "left_semi")

@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import LIVE, VISIBLE
-from .recall import top
+from .recall import LIVE, VISIBLE, top
 
 CHUNK = 512  # events of an entity that one side of a block of pairs holds
 
 
-def entity_heat(entities: DataFrame, relations: DataFrame, k: int) -> DataFrame:
+def entity_heat(entities: DataFrame, relations: DataFrame, k: int, types: list[str] | None = None) -> DataFrame:
+    """The k entities of a source with most relations, of ``types`` only if these are given."""
+    if types is not None:
+        entities = entities.where(F.col("type").isin(types))
+        relations = relations.join(entities.select("entity_id"), "entity_id", "left_semi")
     heat = relations.groupBy("entity_id").agg(F.count("*").alias("heat"))
     hot = entities.join(heat, "entity_id", "left").withColumn("heat", F.coalesce("heat", F.lit(0)))
     return top(hot, ["source_config_id"], [F.desc("heat"), F.col("name"), F.col("entity_id")], k).select("source_config_id", "entity_id", "name", "heat", "rn")

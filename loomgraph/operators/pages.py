@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import VISIBLE
-from .recall import numbered, top
+from .recall import VISIBLE, numbered, top
 
 
 def timeline_page(events: DataFrame, as_of: str, k: int, cursor: DataFrame | None = None, newer: bool = False) -> DataFrame:
@@ -110,7 +109,8 @@ def graph_for_sections(sections: DataFrame, direct: DataFrame, events: DataFrame
     """Events behind hits of each query: direct ones by score first, then one event of each chunk in turn, best chunks first.
 
     ``sections(query_id, source_config_id, chunk_id, score)``, ``direct(query_id, event_id, score)``. Per chunk the first
-    min(8, ceil(candidates / chunks)) visible events by rank and id take part; of equal titles (whatever the case and blanks) in a source the first stays.
+    min(8, ceil(candidates / chunks)) visible events by rank and id take part, and all direct ones; of these the first candidates by place in their chunk,
+    rank and id, candidates being min(200, max(4 limit, 2 direct, 8 chunks + direct)). Of equal titles (whatever the case and blanks) in a source the first stays.
     """
     seen = events.where(VISIBLE).select("event_id", "source_config_id", "chunk_id", "title", "rank")
     hits = sections.groupBy("query_id", "source_config_id", "chunk_id").agg(F.max("score").alias("chunk_score"))
@@ -125,8 +125,10 @@ def graph_for_sections(sections: DataFrame, direct: DataFrame, events: DataFrame
     depth = F.row_number().over(Window.partitionBy("query_id", "source_config_id", "chunk_id").orderBy("rank", "event_id"))
     rows = rows.withColumn("depth", depth).withColumn("straight", F.col("direct_score").isNotNull())
     rows = rows.where(F.col("straight") | (F.col("depth") <= F.least(F.lit(8), F.ceil(wide / F.greatest("n_chunks", F.lit(1))))))
-    score = F.coalesce("direct_score", "chunk_score")
-    order = [F.desc("straight"), F.when(F.col("straight"), -score), F.when(~F.col("straight"), F.col("depth")), F.desc("chunk_score"), F.col("chunk_id"), F.col("event_id")]
+    level = F.coalesce("rank", F.lit(0))
+    rows = rows.withColumn("wide", wide).withColumn("cut", F.row_number().over(Window.partitionBy("query_id").orderBy("depth", level, "event_id"))).where("cut <= wide")
+    score, dealt = F.coalesce("direct_score", "chunk_score"), ~F.col("straight")
+    order = [F.desc("straight"), F.when(~dealt, -score), F.when(~dealt, level), *[F.when(dealt, c) for c in (F.col("depth"), -F.col("chunk_score"), F.col("source_config_id"), F.col("chunk_id"))], F.col("event_id")]
     title = F.coalesce(F.nullif(F.regexp_replace(F.lower("title"), r"\s+", ""), F.lit("")), F.col("event_id"))
     rows = rows.withColumn("title_key", title).withColumn("score", score)
     first = F.row_number().over(Window.partitionBy("query_id", "source_config_id", "title_key").orderBy(*order))
@@ -195,9 +197,10 @@ def fill_tail(items: DataFrame, tails: DataFrame, size: int) -> DataFrame:
     return fits.unionByName(new)
 
 
-def sample_queries(vectors: DataFrame, n: int, key: Column | None = None) -> DataFrame:
-    """About n to 2n vectors at equal strides by id; null vectors are passed over. Ids must be whole numbers without large gaps."""
-    known = vectors.where("v IS NOT NULL")
-    total = known.agg(F.count("*").alias("t"))
-    step = F.greatest(F.lit(1), F.floor(F.col("t") / (2 * n)))
-    return known.join(F.broadcast(total)).where(F.pmod(key if key is not None else F.col("id"), step) == 0).select("id", "v")
+def sample_queries(vectors: DataFrame, n: int) -> DataFrame:
+    """About n to 2n vectors of ``vectors(id, v)``: every step-th in order of id, whatever the ids are; null vectors are passed over."""
+    known = vectors.where("v IS NOT NULL").withColumn("_all", F.lit(0))
+    total = known.count()
+    placed = numbered(known.select("_all", "id"), "_all", "id", max(64, total >> 20))
+    chosen = placed.where(F.col("place") % max(1, total // (2 * n)) == 0).select("id")
+    return known.join(chosen, "id").select("id", "v")

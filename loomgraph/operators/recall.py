@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 QUERY_LIMIT = 1000  # queries up to which knn sends them to every executor; beyond it they go in groups
 K1, B = 1.2, 0.75
+VISIBLE = "(status IS NULL OR status <> 'DELETED')"  # events
+LIVE = "(is_delete IS NULL OR is_delete = FALSE)"  # relations
 
 
 def dot(a: str, b: str) -> Column:
@@ -121,8 +123,10 @@ def grep_snippets(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFra
 
 
 def merge_sources(results: DataFrame, k: int) -> DataFrame:
-    """Best score per (query, source, chunk), then the top k of a query."""
-    best = results.groupBy("query_id", "source_config_id", "chunk_id").agg(F.max("score").alias("score"))
+    """Best score per (query, source, chunk), then the top k of a query; rows without a chunk id are each their own."""
+    named = F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) != ""
+    best = results.where(named).groupBy("query_id", "source_config_id", "chunk_id").agg(F.max("score").alias("score"))
+    best = best.unionByName(results.where(~named).select(*best.columns))
     return top(best, ["query_id"], [F.desc("score"), F.col("source_config_id"), F.col("chunk_id")], k)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .recall import K1, B, dot, knn, normalize_text, terms, top
+from ..storage import Scratch
 from .relevance import is_boilerplate, lexical_relevance, query_terms
+from .stored import Postings
 
 TERM_BUCKETS = 64  # folders of a stored index; a query reads those of its terms
 ONE = ["query_id", "source_config_id", "chunk_id", "heading", "content", "score", "pos"]  # columns of sections
@@ -89,16 +92,46 @@ def ann(queries: DataFrame, path: str, k: int, nprobes: int = 16) -> DataFrame:
     return top(found.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def lexical_channel(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rn): BM25; queries without any hit look for each of their terms literally, two chunks a term."""
-    found = bm25_search(queries, postings, k)
-    rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    asked = rest.select("query_id", F.posexplode(query_terms(F.col("text"))).alias("i", "term"))
+LITERALS = 10_000  # literal terms up to which all are sent to every task; beyond them texts and terms meet by pairs of characters
+
+
+def _containing(chunks: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """(term, *by, chunk_id, rank, hits) of chunks whose text contains a term of ``asked(term, *by)``, in any case of letters."""
+    asked = Scratch(chunks.sparkSession, "literal").save(asked.distinct(), "asked")
     low = F.lower("content")
-    # The terms of unanswered queries, four each: the same term is looked for once.
-    hits = chunks.join(asked.select("term").distinct(), F.contains(low, F.col("term"))).select("term", "chunk_id", "rank", ((F.length(low) - F.length(F.replace(low, "term", F.lit("")))) / F.length("term")).alias("hits"))
-    hits = top(hits, ["term"], [F.desc("hits"), F.col("rank"), F.col("chunk_id")], 2)
-    more = asked.join(hits, "term").withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy("i", "rn")) - 1)
+    hits = ((F.length(low) - F.length(F.replace(low, "term", F.lit("")))) / F.length("term")).alias("hits")
+    rows = chunks.select("chunk_id", "rank", "content", *by)
+    if asked.count() <= LITERALS:
+        sent = asked.select("term", *[F.col(c).alias(f"_{c}") for c in by])
+        same = [F.col(c) == F.col(f"_{c}") for c in by]
+        found = rows.join(F.broadcast(sent), reduce(lambda x, y: x & y, same, F.contains(low, F.col("term")))).drop(*[f"_{c}" for c in by])
+    else:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substr(low, i, F.lit(2)))
+        cut = rows.where(F.length("content") > 1).withColumn("_two", F.explode(F.array_distinct(pairs)))
+        found = cut.join(asked.withColumn("_two", F.substring("term", 1, 2)), ["_two", *by]).where(F.contains(low, F.col("term")))
+    return found.select("term", *by, "chunk_id", "rank", hits)
+
+
+def lexical_channel(queries: DataFrame, postings: DataFrame | Postings, chunks: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rn): BM25; queries without any hit look for each of their terms literally, two chunks a term.
+
+    A stored index may be searched within ``sources(query_id, source_config_id)``; the literal search keeps to them as well.
+    """
+    if isinstance(postings, Postings):
+        found = postings.search(queries, k, sources).drop("source_config_id")
+    elif sources is not None:
+        raise ValueError("a search within sources needs a stored index")
+    else:
+        found = bm25_search(queries, postings, k)
+    rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    asked, by = rest.select("query_id", F.posexplode(query_terms(F.col("text"))).alias("i", "term")), []
+    if sources is not None:
+        asked, by = asked.join(sources.select("query_id", "source_config_id").distinct(), "query_id"), ["source_config_id"]
+    # The same term is looked for once.
+    order = [F.desc("hits"), F.col("rank"), F.col("chunk_id")]
+    hits = top(_containing(chunks, asked.select("term", *by), by), ["term", *by], order, 2).drop("rn")
+    more = top(asked.join(hits, ["term", *by]), ["query_id", "term"], order, 2)
+    more = more.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy("i", "rn")) - 1)
     more = more.groupBy("query_id", "chunk_id").agg(F.min("order").alias("order"))
     more = more.select("query_id", "chunk_id", F.greatest(F.lit(0.8), 1 - 0.02 * F.col("order")).alias("score"), "order")
     more = more.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "chunk_id"))).where(F.col("rn") <= k)
@@ -138,21 +171,23 @@ def fuse_sections(queries: DataFrame, semantic: DataFrame, lexical: DataFrame, k
 def rerank(sections: DataFrame, queries: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
     """Sections in the order of ``scorer(texts, contents)``; without a score last, equal scores in the order before.
 
-    If the scorer fails on a query's sections or returns another number of scores, they keep their order. ``place`` counts from 1.
+    Each query's sections, of which a search returns some fifty at most, are scored together: if the scorer fails on them or returns another number of
+    scores they keep their order, whatever happens to other queries. A single section is not scored. ``place`` counts from 1.
     """
 
-    def run(frames):
-        for f in frames:
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        found = [0.0] * len(f)
+        if len(f) > 1:
             try:
-                found = [float("-inf") if s is None or s != s else float(s) for s in scorer(f.text, f.content)]
-                found = found if len(found) == len(f) else [0.0] * len(f)
+                made = [float("-inf") if s is None or s != s else float(s) for s in scorer(f.text, f.content)]
+                found = made if len(made) == len(f) else found
             except Exception:  # noqa: BLE001  any failure of a model keeps the order
-                found = [0.0] * len(f)
-            yield f[["query_id", "pos"]].assign(model=found)
+                pass
+        return f[["query_id", "pos"]].assign(model=found)
 
     asked = sections.join(queries.select("query_id", "text"), "query_id").select("query_id", "pos", "text", "content")
     kinds = asked.schema
-    scores = asked.mapInPandas(run, f"query_id {kinds['query_id'].dataType.simpleString()}, pos {kinds['pos'].dataType.simpleString()}, model double")
+    scores = asked.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id'].dataType.simpleString()}, pos {kinds['pos'].dataType.simpleString()}, model double")
     return sections.join(scores, ["query_id", "pos"]).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("model"), "pos"))).drop("model")
 
 
@@ -199,19 +234,25 @@ def code_context(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.when(child, F.concat_ws("\n\n", lines, "content")).otherwise(F.col("content"))).select(*sections.columns)
 
 
-def search(queries: DataFrame, postings: DataFrame, vectors: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, k: int = 8, scorer: Callable | None = None) -> DataFrame:
+def search(
+    queries: DataFrame, postings: DataFrame | Postings, vectors: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, k: int = 8, scorer: Callable | None = None, sources: DataFrame | None = None
+) -> DataFrame:
     """Sections for ``queries(query_id, text, q)``: nearest vectors and lexical hits, fused, gated, reranked if asked, in context.
 
     The vector channel gets revisions, code lines and parents before fusion, the final list its parents once more. Columns: those of
-    ``fuse_sections``; pos is the place in the fused (or reranked) order and has gaps where context removed a section.
+    ``fuse_sections``; pos is the place in the fused (or reranked) order and has gaps where context removed a section. With ``sources(query_id, source_config_id)``
+    both channels keep to the sources of a query, before they rank; ``vectors`` then have a source_config_id too.
     """
     wide = min(50, max(3 * k, k + 8))
     of = chunks.select("chunk_id", "source_config_id", "heading", "content")
-    near = knn(queries.select("query_id", "q"), vectors, wide).withColumnsRenamed({"id": "chunk_id", "rn": "pos"}).join(of, "chunk_id").select(*ONE)
+    asked = queries.select("query_id", "q")
+    if sources is not None:
+        asked = asked.join(sources.select("query_id", "source_config_id").distinct(), "query_id")
+    near = knn(asked, vectors, wide).withColumnsRenamed({"id": "chunk_id", "rn": "pos"}).join(of, "chunk_id").select(*ONE)
     if documents is not None:
         near = code_context(drop_stale_revisions(near, chunks, documents), chunks)
     near = parent_context(near, chunks)
-    words = lexical_channel(queries, postings, chunks, wide).withColumnRenamed("rn", "pos").join(of, "chunk_id").select(*ONE)
+    words = lexical_channel(queries, postings, chunks, wide, sources).withColumnRenamed("rn", "pos").join(of, "chunk_id").select(*ONE)
     found = fuse_sections(queries, near, words, k)
     if scorer is not None:
         found = rerank(found, queries, scorer).drop("pos").withColumnRenamed("place", "pos")

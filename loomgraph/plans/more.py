@@ -109,6 +109,14 @@ def expand_event(t):
     return explore.expand_event(t.relations(), 0.8, "n3", 4)
 
 
+@query("""WITH FIX, p AS (SELECT event_id, entity_id, max(coalesce(weight, 1.0)) AS weight FROM ee WHERE created_time <= TIMESTAMP '1997-01-01' GROUP BY ALL), t AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS total FROM p),
+c AS (SELECT event_id, CASE CAST(event_id AS BIGINT) % 3 WHEN 1 THEN 0.8 WHEN 2 THEN 0.4 END AS w FROM ev WHERE category <> '5-LOW')
+SELECT event_id, entity_id, weight, total, CAST(row_number() OVER (PARTITION BY event_id ORDER BY weight DESC, entity_id) AS INT) AS rn FROM t JOIN c USING (event_id) WHERE w IS NULL OR weight < w OR (weight = w AND entity_id > 'n3') QUALIFY rn <= 4""")
+def expand_events(t):
+    cursors = t.events().where("category <> '5-LOW'").selectExpr("event_id", "CASE CAST(event_id AS BIGINT) % 3 WHEN 1 THEN 0.8 WHEN 2 THEN 0.4 END AS weight", "'n3' AS entity_id")
+    return explore.expand_events(t.relations(), cursors, 4, "1997-01-01")
+
+
 @query(f"""WITH FIX, {_PAIRS} SELECT event_id, entity_id, weight, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY event_time DESC, weight DESC, event_id DESC) AS INT) AS rn
 FROM p JOIN ev USING (event_id) WHERE {VISIBLE} AND event_time >= TIMESTAMP '1996-01-01' AND event_time < TIMESTAMP '{AS_OF}' QUALIFY rn <= 4""")
 def expand_entity(t):
@@ -327,10 +335,11 @@ def section_relations(t):
     return explore.section_relations(scored, t.relations(), t.entities(), 12)
 
 
-@query("WITH FIX SELECT source_config_id, chunk_id, content FROM ch WHERE rank = 1 AND doc_id IN (SELECT event_id * 2 FROM events)")
+@query("WITH FIX SELECT source_config_id, chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'raw '||content ELSE content END AS content FROM ch WHERE rank = 1 AND doc_id IN (SELECT event_id * 2 FROM events)")
 def get_chunks(t):
     ids = t.raw("events").selectExpr("event_id * 2 AS doc_id").join(t.raw("documents").select("doc_id", F.col("source").alias("source_config_id")), "doc_id")
-    return explore.get_chunks(ids.selectExpr("source_config_id", "doc_id||'-1' AS chunk_id"), t.chunks()).select("source_config_id", "chunk_id", "content")
+    chunks = t.chunks().withColumn("raw_content", F.expr("'raw '||content")).withColumn("content", F.expr("CASE doc_id % 6 WHEN 0 THEN NULL WHEN 3 THEN '' ELSE content END"))
+    return explore.get_chunks(ids.selectExpr("source_config_id", "doc_id||'-1' AS chunk_id"), chunks).select("source_config_id", "chunk_id", "content")
 
 
 @query(None)

@@ -91,9 +91,9 @@ def text_measures(t):
 
 
 @query("""SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_config_id, chunk_id) AS INT) AS rn FROM (
-SELECT user_id AS query_id, event_type AS source_config_id, event_id % 7 AS chunk_id, max(value) AS score FROM events GROUP BY ALL) QUALIFY rn <= 8""")
+SELECT user_id AS query_id, event_type AS source_config_id, nullif(event_id % 7, 3) AS chunk_id, max(value) AS score FROM events GROUP BY user_id, event_type, event_id % 7, CASE WHEN event_id % 7 = 3 THEN event_id END) QUALIFY rn <= 8""")
 def merge_sources(t):
-    rows = t.raw("events").selectExpr("user_id AS query_id", "event_type AS source_config_id", "event_id % 7 AS chunk_id", "value AS score")
+    rows = t.raw("events").selectExpr("user_id AS query_id", "event_type AS source_config_id", "nullif(event_id % 7, 3) AS chunk_id", "value AS score")
     return recall.merge_sources(rows, 8)
 
 
@@ -256,11 +256,11 @@ def pick_documents(t):
 
 
 @query("""WITH FIX, j AS (SELECT 'n'||(c_nationkey + 1) AS source_id, 'c'||c_custkey AS document_id FROM customer WHERE c_custkey % 50 = 1)
-SELECT source_id, bool_or(b) AS busy FROM (SELECT source_id, status IN ('PENDING', 'LOADING', 'EXTRACTING') AS b FROM doc WHERE CAST(substring(document_id, 2) AS INT) % 50 < 6
-UNION ALL SELECT j.source_id, TRUE FROM j JOIN doc USING (document_id) WHERE status IN ('PENDING', 'LOADING', 'EXTRACTING') AND CAST(substring(document_id, 2) AS INT) % 50 < 6) GROUP BY 1""")
+SELECT source_id, bool_or(b) AS busy FROM (SELECT source_id, status IN ('PENDING', 'LOADING', 'EXTRACTING') AS b FROM doc
+UNION ALL SELECT j.source_id, TRUE FROM j JOIN doc USING (document_id) WHERE status IN ('PENDING', 'LOADING', 'EXTRACTING')) GROUP BY 1""")
 def ingest_busy(t):
     jobs = t.raw("customer").where("c_custkey % 50 = 1").selectExpr("'n'||(c_nationkey + 1) AS source_id", "'c'||c_custkey AS document_id", "CASE WHEN c_custkey % 2 = 0 THEN 'queued' ELSE 'running' END AS status")
-    return catalog.ingest_busy(t.documents().where("CAST(substring(document_id, 2) AS INT) % 50 < 6"), jobs)
+    return catalog.ingest_busy(t.documents(), jobs)
 
 
 @query("SELECT source, id, CAST((row_number() OVER (PARTITION BY source ORDER BY id) - 1) // 200 AS INT) AS batch FROM (SELECT DISTINCT event_type AS source, event_id AS id FROM events WHERE user_id % 10 <> 0)")
@@ -289,6 +289,17 @@ def missing_vectors(t):
     return catalog.missing_vectors(t.events(), t.events().where("CAST(event_id AS BIGINT) % 3 = 0").select("event_id"))
 
 
+@query(f"WITH FIX SELECT source_config_id AS source, event_id AS id FROM ev WHERE {VISIBLE} AND CAST(event_id AS BIGINT) % 3 <> 0")
+def missing_vector_ids(t):
+    return catalog.missing_vector_ids(t.events(), t.events().where("CAST(event_id AS BIGINT) % 3 = 0").select("event_id"))
+
+
+@query(_top("""WITH FIX SELECT source_config_id, entity_id, name, coalesce(heat, 0) AS heat, CAST(row_number() OVER (PARTITION BY source_config_id ORDER BY coalesce(heat, 0) DESC, name, entity_id) AS INT) AS rn
+FROM en LEFT JOIN (SELECT entity_id, count(*) AS heat FROM ee GROUP BY 1) USING (entity_id) WHERE type IN ('SMALL PLATED BRASS', 'PROMO BURNISHED COPPER', 'ECONOMY ANODIZED STEEL')""", 50))
+def entity_heat_of_types(t):
+    return graph.entity_heat(t.entities(), t.relations(), 50, ["SMALL PLATED BRASS", "PROMO BURNISHED COPPER", "ECONOMY ANODIZED STEEL"])
+
+
 @query("""WITH j AS (SELECT event_type AS status, event_type||CAST(ts AS DATE) AS job_id, json_extract_string(props, '$.k') AS id FROM events)
 SELECT status, count(DISTINCT job_id) AS jobs, count(*) AS refs, count(DISTINCT id) AS unique_ids, count(*) - count(DISTINCT id) AS duplicates FROM j GROUP BY 1""")
 def queue_audit(t):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..fixtures import VISIBLE
 from ..operators import answers, chunking, extract, graph, pages, search as hybrid
+from ..operators.recall import top
+from ..operators.stored import Postings, write_postings
 from ..sources import files
+from ..storage import Scratch
 from .more import _FIRST4, _NORM, _TERMS
 from .registry import _BM25, _COS, AS_OF, _benchmark_queries, query
 
@@ -42,11 +43,51 @@ s5 AS (SELECT * FROM s4 WHERE k <= {K})"""
 @query(f"""WITH FIX, {_BM25}, {_SEARCH} SELECT query_id, x.source_config_id, chunk_id, md5(coalesce(text, content)) AS content_md5, round(c, 6) AS score, CAST(k AS INT) AS pos, n AS n_candidates, m AS n_relevant, m > {K} AS has_more
 FROM s5 AS x LEFT JOIN documents ON x.doc <> chunk_id AND 'd'||doc_id = x.doc AND source = x.source_config_id WHERE il = 0 OR NOT EXISTS (SELECT 1 FROM s5 AS y WHERE y.query_id = x.query_id AND y.chunk_id = x.doc AND y.il = 0)""")
 def search(t):
+    """On a stored index of the lines."""
     vectors = t.raw("embeddings").selectExpr("'d'||vec_id AS id", "embedding AS v")
-    found = hybrid.search(_asked(t), hybrid.bm25_index(t.chunks()), vectors, _all_chunks(t), k=K)
+    found = hybrid.search(_asked(t), _stored(t), vectors, _all_chunks(t), k=K)
+    return found.select("query_id", "source_config_id", "chunk_id", F.md5("content").alias("content_md5"), "score", "pos", "n_candidates", "n_relevant", "has_more")
+
+
+_SCOPE = "CASE {0} % 3 WHEN 0 THEN {1}('src0') WHEN 1 THEN {1}('src1', 'src2', 'src3') ELSE {2} END"
+_BM25_IN = f"""
+q AS (SELECT item_id AS query_id, text FROM benchmark), so AS (SELECT item_id AS query_id, unnest({_SCOPE.format("item_id", "list_value", "list_transform(range(20), lambda i: 'src'||i)")}) AS source_config_id FROM benchmark),
+w AS (SELECT chunk_id, source_config_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM ch),
+st AS (SELECT query_id, count(*) AS n, avg(len(w)) AS avgdl FROM w JOIN so USING (source_config_id) GROUP BY 1),
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM q),
+tf AS (SELECT chunk_id, source_config_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, source_config_id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL),
+qtf AS (SELECT query_id, chunk_id, dl, term, tf FROM tf JOIN so USING (source_config_id) JOIN qt USING (query_id, term)),
+df AS (SELECT query_id, term, count(*) AS df FROM qtf GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) / 2 AS raw FROM qtf JOIN df USING (query_id, term) JOIN st USING (query_id) GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT query_id, chunk_id, least(1.0, raw) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) AS rn FROM sc) WHERE rn <= 24)"""
+_SEARCH_IN = _SEARCH.replace("embeddings AS b),", "embeddings AS b JOIN documents AS bd ON bd.doc_id = b.vec_id JOIN so ON so.source_config_id = bd.source WHERE so.query_id = item_id),", 1)
+
+
+def _stored(t) -> Postings:
+    path = Scratch(t.spark, "index").root
+    write_postings(t.chunks(), path, "2024-01-01")
+    return Postings(t.spark, path)
+
+
+def _scope(t):
+    return t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.expr(_SCOPE.format("item_id", "array", "transform(sequence(0, 19), i -> 'src'||i)"))).alias("source_config_id"))
+
+
+@query(f"""WITH FIX, {_BM25_IN}, {_SEARCH_IN} SELECT query_id, x.source_config_id, chunk_id, md5(coalesce(text, content)) AS content_md5, round(c, 6) AS score, CAST(k AS INT) AS pos, n AS n_candidates, m AS n_relevant, m > {K} AS has_more
+FROM s5 AS x LEFT JOIN documents ON x.doc <> chunk_id AND 'd'||doc_id = x.doc AND source = x.source_config_id WHERE il = 0 OR NOT EXISTS (SELECT 1 FROM s5 AS y WHERE y.query_id = x.query_id AND y.chunk_id = x.doc AND y.il = 0)""")
+def search_within(t):
+    """Queries of one source, of three and of all of them."""
+    owned = t.raw("documents").selectExpr("doc_id AS vec_id", "source AS source_config_id")
+    vectors = t.raw("embeddings").join(owned, "vec_id").selectExpr("'d'||vec_id AS id", "source_config_id", "embedding AS v")
+    found = hybrid.search(_asked(t), _stored(t), vectors, _all_chunks(t), k=K, sources=_scope(t))
     return found.select("query_id", "source_config_id", "chunk_id", F.md5("content").alias("content_md5"), "score", "pos", "n_candidates", "n_relevant", "has_more")
 
 
+@query(f"WITH FIX, {_BM25_IN} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rn AS INT) AS rn FROM bm")
+def bm25_within(t):
+    return _stored(t).search(_benchmark_queries(t), WIDE, _scope(t)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rn")
+
+
 @query(f"WITH FIX, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rn AS INT) AS rn FROM bm")
 def lexical_channel(t):
     found = hybrid.lexical_channel(_benchmark_queries(t), hybrid.bm25_index(t.chunks()), t.chunks(), WIDE)
@@ -55,21 +96,13 @@ def lexical_channel(t):
 
 @query(f"WITH FIX, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rn AS INT) AS rn FROM bm WHERE rn <= 10")
 def bm25_stored(t):
-    """Writes the index by buckets of terms to the shared folder and reads those of the queries' terms."""
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = t.spark
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{path}/bm25-{uuid.uuid4().hex}"
-    hybrid.write_index(t.chunks(), path, "2024-01-01")
-    return hybrid.bm25_search(_benchmark_queries(t), hybrid.read_index(spark, path), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rn")
+    return _stored(t).search(_benchmark_queries(t), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rn")
 
 
 @query(None)
 def ann(t):
     """Tested by its recall against exact neighbours."""
-    path = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    path, v = f"{path}/ivf-{uuid.uuid4().hex}", t.raw("embeddings").selectExpr("vec_id AS id", "embedding AS v")
+    path, v = Scratch(t.spark, "ivf").root, t.raw("embeddings").selectExpr("vec_id AS id", "embedding AS v")
     hybrid.ivf_index(v, 32, path)
     return hybrid.ann(v.where("id % 100 = 0").selectExpr("id AS query_id", "v AS q"), path, 10)
 
@@ -226,20 +259,23 @@ def manifest(t):
     return pages.manifest(pages.overview_partitions(stats.where("source_config_id >= 'n2'"), none), stats.withColumnRenamed("n_events", "n"), 20)
 
 
-_HITS = "h AS (SELECT l_suppkey % 10 AS query_id, 'n'||c_nationkey AS source_config_id, 'c'||o_custkey||'-'||(o_orderkey % 3) AS chunk_id, max(l_discount) AS chunk_score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45 GROUP BY ALL)"
-_GRAPH = f"""{_HITS}, dd AS (SELECT o_orderkey % 10 AS query_id, lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id, max(o_orderkey % 17 / 20) AS direct_score FROM orders WHERE o_orderkey % 100 = 7 GROUP BY ALL),
+# A search returns some tens of sections and events: the best of each query stand for them.
+_HITS = "h AS (SELECT * FROM (SELECT l_suppkey % 10 AS query_id, 'n'||c_nationkey AS source_config_id, 'c'||o_custkey||'-'||(o_orderkey % 3) AS chunk_id, max(l_extendedprice) / 200000 AS chunk_score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_score DESC, source_config_id, chunk_id) <= 24)"
+_GRAPH = f"""{_HITS}, dd AS (SELECT o_orderkey % 10 AS query_id, lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id, o_totalprice / 1000000 AS direct_score FROM orders QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_score DESC, event_id) <= 12),
 sn AS (SELECT event_id, source_config_id, chunk_id, title, rank FROM ev WHERE {VISIBLE}), r0 AS (SELECT query_id, event_id, sn.source_config_id, chunk_id, title, rank, chunk_score FROM h JOIN sn USING (source_config_id, chunk_id)),
 r1 AS (SELECT r0.*, direct_score FROM r0 LEFT JOIN dd USING (query_id, event_id) UNION ALL SELECT query_id, event_id, source_config_id, chunk_id, title, rank, 0.0, direct_score FROM dd JOIN sn USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM r0 WHERE r0.query_id = dd.query_id AND r0.event_id = dd.event_id)),
 nc AS (SELECT query_id, count(*) AS n_chunks FROM h GROUP BY 1), nd AS (SELECT query_id, count(*) AS n_direct FROM dd GROUP BY 1),
 r2 AS (SELECT r1.*, direct_score IS NOT NULL AS straight, coalesce(n_chunks, 0) AS nch, least(200, greatest(160, 2 * coalesce(n_direct, 0), 8 * coalesce(n_chunks, 0) + coalesce(n_direct, 0))) AS wide, row_number() OVER (PARTITION BY query_id, source_config_id, chunk_id ORDER BY rank, event_id) AS depth FROM r1 LEFT JOIN nc USING (query_id) LEFT JOIN nd USING (query_id)),
-r3 AS (SELECT *, coalesce(direct_score, chunk_score) AS score, coalesce(nullif(regexp_replace(lower(title), '\\s+', '', 'g'), ''), event_id) AS tk FROM r2 WHERE straight OR depth <= least(8, ceil(wide / greatest(nch, 1)))),
-r4 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_config_id, tk ORDER BY straight DESC, CASE WHEN straight THEN -score END, CASE WHEN NOT straight THEN depth END, chunk_score DESC, chunk_id, event_id) AS f FROM r3 QUALIFY f = 1),
-g AS (SELECT query_id, event_id, round(score, 6) AS score, straight AS direct, CAST(row_number() OVER (PARTITION BY query_id ORDER BY straight DESC, CASE WHEN straight THEN -score END, CASE WHEN NOT straight THEN depth END, chunk_score DESC, chunk_id, event_id) AS INT) AS rn FROM r4 QUALIFY rn <= 40)"""
+r3 AS (SELECT *, coalesce(rank, 0) AS lv, coalesce(direct_score, chunk_score) AS score, coalesce(nullif(regexp_replace(lower(title), '\\s+', '', 'g'), ''), event_id) AS tk FROM r2 WHERE straight OR depth <= least(8, ceil(wide / greatest(nch, 1))) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY depth, coalesce(rank, 0), event_id) <= wide),
+r4 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_config_id, tk ORDER BY straight DESC, CASE WHEN straight THEN -score END, CASE WHEN straight THEN lv END, CASE WHEN NOT straight THEN depth END, CASE WHEN NOT straight THEN -chunk_score END, CASE WHEN NOT straight THEN source_config_id END, CASE WHEN NOT straight THEN chunk_id END, event_id) AS f FROM r3 QUALIFY f = 1),
+g AS (SELECT query_id, event_id, round(score, 6) AS score, straight AS direct, CAST(row_number() OVER (PARTITION BY query_id ORDER BY straight DESC, CASE WHEN straight THEN -score END, CASE WHEN straight THEN lv END, CASE WHEN NOT straight THEN depth END, CASE WHEN NOT straight THEN -chunk_score END, CASE WHEN NOT straight THEN source_config_id END, CASE WHEN NOT straight THEN chunk_id END, event_id) AS INT) AS rn FROM r4 QUALIFY rn <= 40)"""
 
 
 def _graph(t):
-    hits = t._lines().where("l_quantity > 45").selectExpr("l_suppkey % 10 AS query_id", "'n'||c_nationkey AS source_config_id", "'c'||o_custkey||'-'||(o_orderkey % 3) AS chunk_id", "l_discount AS score")
-    direct = t.raw("orders").where("o_orderkey % 100 = 7").selectExpr("o_orderkey % 10 AS query_id", "lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id", "o_orderkey % 17 / 20 AS score")
+    hits = t._lines().groupBy(F.expr("l_suppkey % 10").alias("query_id"), F.expr("'n'||c_nationkey").alias("source_config_id"), F.expr("'c'||o_custkey||'-'||(o_orderkey % 3)").alias("chunk_id")).agg((F.max("l_extendedprice") / 200000).alias("score"))
+    hits = top(hits, ["query_id"], [F.desc("score"), F.col("source_config_id"), F.col("chunk_id")], 24).drop("rn")
+    direct = t.raw("orders").selectExpr("o_orderkey % 10 AS query_id", "lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id", "o_totalprice / 1000000 AS score")
+    direct = top(direct, ["query_id"], [F.desc("score"), F.col("event_id")], 12).drop("rn")
     return pages.graph_for_sections(hits, direct, t.events(), 40)
 
 
@@ -277,7 +313,7 @@ def fill_tail(t):
     return pages.fill_tail(items, tails, 4)
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 100) = 0")
+@query("SELECT vec_id AS id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS t FROM embeddings) WHERE p % greatest(1, t // 100) = 0")
 def sample_queries(t):
     return pages.sample_queries(t.raw("embeddings").selectExpr("vec_id AS id", "embedding AS v"), 50).select("id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators.catalog import messages_to_documents
 from ..operators.chunking import assemble_chunks
 
 
@@ -85,3 +86,46 @@ def overview(spark: SparkSession, path: str, before: int | None = None) -> DataF
     stored = stored if before is None else stored.where(F.col("v") < before)
     last = stored.agg(F.max("v")).first()[0]
     return None if last is None else spark.read.parquet(f"{path}/v={last}")
+
+
+def stream_conversations(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """The document of ``messages_to_documents`` for each conversation of ``stream(conv_id, turn, role, text, ts)``, once no message has come for ``gap``.
+
+    Messages may come in any triggers and order; those of one conversation that lie no further apart than ``gap`` are one document. The state of a
+    conversation goes with its document, as the watermark passes its end; messages later than ``delay`` are dropped.
+    """
+    return messages_to_documents(stream.withWatermark("ts", delay), F.session_window("ts", gap))
+
+
+BATCHES = "source string, shard int, batch long, ids array<long>"
+
+
+def stream_batches(stream: DataFrame, size: int = 200, flush_ms: int = 1500, shards: int = 1) -> DataFrame:
+    """Batches of exactly ``size`` ids of a source from ``stream(source, id)``: what a trigger leaves open is filled by the next ones.
+
+    A batch that is still open ``flush_ms`` after its last id is given out as it is. The state of a source is its open ids, fewer than ``size``, and the number
+    of its next batch. ``shards`` cuts sources that are too large for one task into independent series. Repeats of ids are for ``stream_dedup``.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def fill(key, frames, state: GroupState):
+        open_, number = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        out = []
+        if state.hasTimedOut:
+            if open_:
+                out.append((*key, number, open_))
+            state.update(([], number + bool(open_)))  # the numbers go on
+        else:
+            for f in frames:
+                open_ += f["id"].tolist()
+            while len(open_) >= size:
+                out.append((*key, number, open_[:size]))
+                open_, number = open_[size:], number + 1
+            state.update((open_, number))
+            if open_:
+                state.setTimeoutDuration(flush_ms)
+        yield pd.DataFrame(out, columns=["source", "shard", "batch", "ids"])
+
+    rows = stream.select("source", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"))
+    return rows.groupBy("source", "shard").applyInPandasWithState(fill, BATCHES, "open array<long>, number long", "append", GroupStateTimeout.ProcessingTimeTimeout)

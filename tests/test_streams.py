@@ -56,3 +56,47 @@ def test_microbatches_and_overview(spark, tmp_path):
     assert counts == want
     planned = spark.read.parquet(f"{tmp_path}/plan").groupBy("trigger", "source", "batch").count().collect()
     assert all(r["count"] <= 2 for r in planned) and sum(r["count"] for r in planned) == 30
+
+
+def test_conversations_across_triggers_are_one_document(spark, tmp_path):
+    from loomgraph.operators.catalog import messages_to_documents
+
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    at = lambda minutes: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(minutes=minutes)
+    said = [(c, k, "user" if k % 2 else "assistant", f"m{c}-{k}" if k else None, at(c * 3 + k * 7)) for c in range(6) for k in range(5)]
+    end = [(99, 0, "x", "last", at(600))]
+    triggers = [said[::3], said[1::3], said[2::3], end, [(99, 1, "x", "later", at(601))]]
+    for k, rows in enumerate(triggers):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        stream = streams.stream_conversations(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/part=*"), delay="3 hours")
+        for _ in range(1 + (k == 4)):  # run again: nothing is written twice
+            stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted(tuple(r) for r in messages_to_documents(spark.createDataFrame(said, schema)).collect()) and len(got) == 6
+
+
+def test_open_batches_are_filled_by_later_triggers(spark, tmp_path):
+    import time
+
+    schema = "source string, id long"
+    out = f"{tmp_path}/out"
+    stream = streams.stream_batches(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/part=*"), size=4, flush_ms=8000)
+    (tmp_path / "in" / "part=x").mkdir(parents=True)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="200 milliseconds").start()
+    try:
+        for k in range(3):
+            spark.createDataFrame([("a", 10 * k + i) for i in range(3)] + [("b", k)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+            for _ in range(120):
+                if sum(p.numInputRows for p in query.recentProgress) == 4 * (k + 1):
+                    break
+                time.sleep(0.25)
+        full = [r for r in spark.read.schema(streams.BATCHES).parquet(out).collect() if len(r.ids) == 4]
+        assert [r.source for r in full] == ["a", "a"] and sorted(i for r in full for i in r.ids) == [0, 1, 2, 10, 11, 12, 20, 21]
+        for _ in range(60):
+            rows = spark.read.schema(streams.BATCHES).parquet(out).collect()
+            if sum(len(r.ids) for r in rows) == 12:
+                break
+            time.sleep(0.5)
+        assert sorted((r.source, r.batch, sorted(r.ids)) for r in rows)[2:] == [("a", 2, [22]), ("b", 0, [0, 1, 2])]
+    finally:
+        query.stop()
