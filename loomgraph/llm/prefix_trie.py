@@ -103,9 +103,9 @@ def subtree_sums(forest: DataFrame, names: list[str], scratch: Scratch, local: i
     kinds = "id string, " + ", ".join(f"{n} long" for n in names)
     ended, pools, k = spark.createDataFrame([], kinds), [], 0
     while not rows.isEmpty():
-        sized = _sized(rows, names, scratch, k)
+        sized = scratch.save(_sized(rows, names, scratch, k), f"tops{k}")
         totals = sized.where("id = top").select("top", F.col("size").alias("total"))
-        sized = scratch.save(sized.join(totals, "top"), f"sized{k}")
+        sized = sized.join(totals, "top")
         pools.append(sized.where(F.col("total") <= local))
         heavy = sized.where((F.col("total") > local) & (2 * F.col("size") > F.col("total")))
         central = heavy.groupBy("top").agg(F.min(F.struct("size", "id", *[f"sum_{n}" for n in names], *extras)).alias("c"))
@@ -126,21 +126,31 @@ def subtree_sums(forest: DataFrame, names: list[str], scratch: Scratch, local: i
 
 
 def _sized(rows: DataFrame, names: list[str], scratch: Scratch, k: int) -> DataFrame:
-    """``rows`` with the size of each node's subtree in its component, the sums there, and the component's top, by doubling jumps."""
-    sums = [f"sum_{n}" for n in names]
-    now = rows.select("*", F.col("parent").alias("jump"), F.col("id").alias("top"), F.lit(1).cast("long").alias("size"), *[F.col(n).alias(s) for n, s in zip(names, sums, strict=True)])
-    step = 0
-    while True:
-        moving = now.where("jump is not null")
-        if moving.isEmpty():
-            return now
-        add = moving.groupBy(F.col("jump").alias("id")).agg(*[F.sum(c).alias(f"_{c}") for c in ["size", *sums]])
-        target = now.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("top").alias("_top"))
-        met = now.join(add, "id", "left").join(target, "jump", "left")
-        still = [c for c in now.columns if c not in ("jump", "top", "size", *sums)]
-        met = met.select(*still, F.col("_jump").alias("jump"), F.coalesce("_top", "top").alias("top"), *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in ["size", *sums]])
-        now = scratch.save(met, f"jump{k}_{step}")
+    """``rows`` with the size of each node's subtree in its component, the sums there, and the component's top, by doubling jumps.
+
+    A node whose jump has left its component is done: it takes part in no further join, and what it still receives is added up once at the end.
+    """
+    sums = ["size", *[f"sum_{n}" for n in names]]
+    own = [F.lit(1).cast("long").alias("size"), *[F.col(n).alias(f"sum_{n}") for n in names]]
+    tops = rows.where("parent is null").select("id", F.col("id").alias("top"))
+    moving, given, step = rows.where("parent is not null").select("id", F.col("parent").alias("jump"), *own), None, 0
+    while not moving.isEmpty():
+        add = moving.groupBy(F.col("jump").alias("id")).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+        given = add if given is None else given.unionByName(add)
+        target = moving.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.lit(None).cast("string").alias("top"))
+        target = target.unionByName(tops.select(F.col("id").alias("jump"), F.lit(None).cast("string").alias("further"), "top"))
+        met = moving.join(target, "jump").join(add, "id", "left")
+        met = met.select("id", F.col("further").alias("jump"), "top", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums])
+        met = scratch.save(met, f"jump{k}_{step}")
+        tops = tops.unionByName(met.where("jump is null").select("id", "top"))
+        moving = met.where("jump is not null").select("id", "jump", *sums)
         step += 1
+    sized = rows.select("*", *own).join(tops, "id")
+    if given is None:
+        return sized
+    total = given.groupBy("id").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in sums])
+    met = sized.join(total, "id", "left")
+    return met.select(*rows.columns, "top", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums])
 
 
 def _counted(turns: DataFrame, scratch: Scratch) -> DataFrame:
@@ -197,11 +207,16 @@ def id_digests(ends: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     def split(batches):
         at = 0
         for b in batches:
-            table = b.to_pandas()
-            new = (table[keys] != table[keys].shift()).any(axis=1).cumsum() * (1 << 32)
-            for _, same in table.groupby((new + np.arange(len(table)) // (PIECE // 20)).to_numpy(), sort=False):
-                yield pa.RecordBatch.from_pylist([{**{k: int(same[k].iloc[0]) for k in keys}, "part": int(same["part"].iloc[0]), "at": at, "piece": ",".join(map(str, same["conv_id"]))}])
-                at += 1
+            values = [b.column(k).to_numpy() for k in keys]
+            place = np.arange(len(b))
+            new = np.append(True, np.any([v[1:] != v[:-1] for v in values], axis=0))[: len(b)]
+            starts = np.flatnonzero(new)
+            cut = new | ((place - np.repeat(starts, np.diff(np.append(starts, len(b))))) % max(PIECE // 20, 1) == 0)
+            first = np.flatnonzero(cut)
+            said = list(map(str, b.column("conv_id").to_pylist()))
+            pieces = [",".join(said[s:e]) for s, e in zip(first, np.append(first[1:], len(b)), strict=True)]
+            yield pa.record_batch([*[pa.array(v[first]) for v in values], b.column("part").cast(pa.int64()).take(pa.array(first)), pa.array(at + np.arange(len(first))), pa.array(pieces, pa.string())], names=[*keys, "part", "at", "piece"])
+            at += len(first)
 
     def fold(batches):
         key, digest = None, None
