@@ -161,16 +161,26 @@ def cover_entities(assoc: DataFrame, budget: int) -> DataFrame:
     def choose(rows):
         import pandas as pd
 
+        from heapq import heapify, heappop, heapreplace
+
         events = rows.groupby("entity_id")["event_id"].agg(set).to_dict()
         names = rows.groupby("entity_id")["name"].min().to_dict()
         order = sorted(events, key=lambda e: (-len(events[e]), names[e], e))
         left, chosen = set().union(*events.values()), []
-        while left and order and len(chosen) < budget:
-            best = max(order, key=lambda e: len(events[e] & left))  # the first of equals
+        # Gains only fall, so the first of the heap whose gain is still right is the best, and of equals the first in order.
+        heap = [(-len(events[e]), k, e) for k, e in enumerate(order)]
+        heapify(heap)
+        while left and heap and len(chosen) < budget:
+            gain, k, best = heap[0]
+            now = len(events[best] & left)
+            if now != -gain:
+                heapreplace(heap, (-now, k, best))
+                continue
+            heappop(heap)
             chosen.append(best)
-            order.remove(best)
             left -= events[best]
-        chosen += order[: budget - len(chosen)]
+        taken = set(chosen)
+        chosen += [e for e in order if e not in taken][: budget - len(chosen)]
         return pd.DataFrame({"source_config_id": rows["source_config_id"].iloc[0], "entity_id": chosen, "pos": range(len(chosen))})
 
     return assoc.select("source_config_id", "event_id", "entity_id", "name").groupBy("source_config_id").applyInPandas(choose, "source_config_id string, entity_id string, pos int")

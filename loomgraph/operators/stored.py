@@ -6,8 +6,6 @@ highest impact first; a term with very many postings is cut into slices, each in
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +22,11 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _folder(source: Column) -> Column:
+    """Folders have a name for the empty source too."""
+    return F.concat(F.lit("of-"), source)
+
+
 def _impact(tf: Column, dl: Column, avgdl: Column) -> Column:
     """What a term adds to a score, without its idf: it rises with tf and falls with dl."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
@@ -45,7 +48,7 @@ def write_postings(chunks: DataFrame, path: str, now: str) -> None:
     most = df.groupBy(SOURCE).agg(F.sum("df").alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = 1 << max(0, (most // FOLDER).bit_length())
     df = df.withColumn("bucket", _bucket(F.col("term"), buckets))
-    df.repartition(SOURCE, "bucket").sortWithinPartitions(SOURCE, "bucket", "term").write.mode("overwrite").partitionBy(SOURCE, "bucket").parquet(f"{path}/df")
+    df.withColumn("folder", _folder(F.col(SOURCE))).repartition(SOURCE, "bucket").sortWithinPartitions(SOURCE, "bucket", "term").write.mode("overwrite").partitionBy("folder", "bucket").parquet(f"{path}/df")
     slices = df.where(F.col("df") > SLICE).select(SOURCE, "term", (F.floor(F.col("df") / SLICE) + 1).alias("slices"))
     means = spark.read.parquet(f"{path}/stats").select(SOURCE, (F.col("tokens") / F.col("rows")).alias("avgdl"))
     rows = found.join(slices, [SOURCE, "term"], "left").join(means, SOURCE)
@@ -57,7 +60,8 @@ def write_postings(chunks: DataFrame, path: str, now: str) -> None:
     )
     # Folders of a source are written by as many tasks as it has slices or shares of terms; equal terms of a task lie together.
     dealt = blocks.repartition(SOURCE, "bucket", "slice", F.pmod(F.xxhash64("term"), F.lit(max(1, int(most // (4 * FOLDER)) + 1))))
-    dealt.sortWithinPartitions(SOURCE, "bucket", "term", "block").drop("slice").write.mode("overwrite").partitionBy(SOURCE, "bucket").parquet(f"{path}/blocks")
+    dealt = dealt.withColumn("folder", _folder(F.col(SOURCE)))
+    dealt.sortWithinPartitions(SOURCE, "bucket", "term", "block").drop("slice").write.mode("overwrite").partitionBy("folder", "bucket").parquet(f"{path}/blocks")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     scratch.drop("")
 
@@ -73,7 +77,7 @@ class Postings:
     def of(self, kind: str, sources: list[str] | None) -> DataFrame:
         """Rows of the index, of the folders of these sources only."""
         rows = self.spark.read.option("basePath", f"{self.path}/{kind}").schema(_SCHEMAS[kind]).parquet(f"{self.path}/{kind}")
-        return rows if sources is None else rows.where(F.col(SOURCE).isin(sources))
+        return rows.drop("folder") if sources is None else rows.where(F.col("folder").isin([f"of-{s}" for s in sources])).drop("folder")
 
     def stale(self, counts: DataFrame, now: str) -> bool:
         """Whether any source of ``counts(source_config_id, rows)`` is unknown or has grown by a tenth, or the index is older than half an hour."""
@@ -144,7 +148,6 @@ class Postings:
 
 
 _SCHEMAS = {
-    "df": f"term string, df long, {SOURCE} string, bucket int",
-    "blocks": f"term string, block long, n long, max_tf int, min_dl int, postings array<struct<chunk_id: string, tf: int, dl: int>>, {SOURCE} string, bucket int",
+    "df": f"{SOURCE} string, term string, df long, folder string, bucket int",
+    "blocks": f"{SOURCE} string, term string, block long, n long, max_tf int, min_dl int, postings array<struct<chunk_id: string, tf: int, dl: int>>, folder string, bucket int",
 }
-Search = Callable[[DataFrame, int, DataFrame | None], DataFrame]

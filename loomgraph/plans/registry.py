@@ -295,9 +295,9 @@ def missing_vector_ids(t):
 
 
 @query(_top("""WITH FIX SELECT source_config_id, entity_id, name, coalesce(heat, 0) AS heat, CAST(row_number() OVER (PARTITION BY source_config_id ORDER BY coalesce(heat, 0) DESC, name, entity_id) AS INT) AS rn
-FROM en LEFT JOIN (SELECT entity_id, count(*) AS heat FROM ee GROUP BY 1) USING (entity_id) WHERE type IN ('SMALL PLATED BRASS', 'PROMO BURNISHED COPPER', 'ECONOMY ANODIZED STEEL')""", 50))
+FROM en LEFT JOIN (SELECT entity_id, count(*) AS heat FROM ee GROUP BY 1) USING (entity_id) WHERE type IN ('SMALL', 'PROMO')""", 50))
 def entity_heat_of_types(t):
-    return graph.entity_heat(t.entities(), t.relations(), 50, ["SMALL PLATED BRASS", "PROMO BURNISHED COPPER", "ECONOMY ANODIZED STEEL"])
+    return graph.entity_heat(t.entities(), t.relations(), 50, ["SMALL", "PROMO"])
 
 
 @query("""WITH j AS (SELECT event_type AS status, event_type||CAST(ts AS DATE) AS job_id, json_extract_string(props, '$.k') AS id FROM events)
@@ -307,4 +307,4 @@ def queue_audit(t):
     return catalog.queue_audit(jobs)
 
 
-from . import more, planning, searching  # noqa: E402,F401  register their queries here
+from . import more, planning, searching, walks  # noqa: E402,F401  register their queries here

@@ -260,8 +260,8 @@ def manifest(t):
 
 
 # A search returns some tens of sections and events: the best of each query stand for them.
-_HITS = "h AS (SELECT * FROM (SELECT l_suppkey % 10 AS query_id, 'n'||c_nationkey AS source_config_id, 'c'||o_custkey||'-'||(o_orderkey % 3) AS chunk_id, max(l_extendedprice) / 200000 AS chunk_score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_score DESC, source_config_id, chunk_id) <= 24)"
-_GRAPH = f"""{_HITS}, dd AS (SELECT o_orderkey % 10 AS query_id, lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id, o_totalprice / 1000000 AS direct_score FROM orders QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_score DESC, event_id) <= 12),
+_HITS = "h AS (SELECT * FROM (SELECT l_suppkey % 10 AS query_id, 'n'||c_nationkey AS source_config_id, 'c'||o_custkey||'-'||(o_orderkey % 3) AS chunk_id, max(l_extendedprice) / 131072 AS chunk_score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_score DESC, source_config_id, chunk_id) <= 24)"
+_GRAPH = f"""{_HITS}, dd AS (SELECT o_orderkey % 10 AS query_id, lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id, o_totalprice / 1048576 AS direct_score FROM orders QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_score DESC, event_id) <= 12),
 sn AS (SELECT event_id, source_config_id, chunk_id, title, rank FROM ev WHERE {VISIBLE}), r0 AS (SELECT query_id, event_id, sn.source_config_id, chunk_id, title, rank, chunk_score FROM h JOIN sn USING (source_config_id, chunk_id)),
 r1 AS (SELECT r0.*, direct_score FROM r0 LEFT JOIN dd USING (query_id, event_id) UNION ALL SELECT query_id, event_id, source_config_id, chunk_id, title, rank, 0.0, direct_score FROM dd JOIN sn USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM r0 WHERE r0.query_id = dd.query_id AND r0.event_id = dd.event_id)),
 nc AS (SELECT query_id, count(*) AS n_chunks FROM h GROUP BY 1), nd AS (SELECT query_id, count(*) AS n_direct FROM dd GROUP BY 1),
@@ -272,9 +272,9 @@ g AS (SELECT query_id, event_id, round(score, 6) AS score, straight AS direct, C
 
 
 def _graph(t):
-    hits = t._lines().groupBy(F.expr("l_suppkey % 10").alias("query_id"), F.expr("'n'||c_nationkey").alias("source_config_id"), F.expr("'c'||o_custkey||'-'||(o_orderkey % 3)").alias("chunk_id")).agg((F.max("l_extendedprice") / 200000).alias("score"))
+    hits = t._lines().groupBy(F.expr("l_suppkey % 10").alias("query_id"), F.expr("'n'||c_nationkey").alias("source_config_id"), F.expr("'c'||o_custkey||'-'||(o_orderkey % 3)").alias("chunk_id")).agg((F.max("l_extendedprice") / 131072).alias("score"))
     hits = top(hits, ["query_id"], [F.desc("score"), F.col("source_config_id"), F.col("chunk_id")], 24).drop("rn")
-    direct = t.raw("orders").selectExpr("o_orderkey % 10 AS query_id", "lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id", "o_totalprice / 1000000 AS score")
+    direct = t.raw("orders").selectExpr("o_orderkey % 10 AS query_id", "lpad(CAST(o_orderkey AS STRING), 10, '0') AS event_id", "o_totalprice / 1048576 AS score")
     direct = top(direct, ["query_id"], [F.desc("score"), F.col("event_id")], 12).drop("rn")
     return pages.graph_for_sections(hits, direct, t.events(), 40)
 
