@@ -17,30 +17,36 @@ LEAST_SCORE = 0.5  # below this no language has a majority, and the document is
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or without a predicted language of LEAST_SCORE; ``lang`` keeps its value."""
+    """Rejects documents without a letter (null and empty texts too) or without a predicted language of LEAST_SCORE; ``lang`` keeps its value, null or not.
+
+    Each row is judged by its own text, so repeated rows stay or go together. An empty table, or one without labels, keeps nothing.
+    """
     model = langid.train(docs.where(~langid.held_out()).select("text", "lang"))
     found = langid.predict(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are .8 alike or more, by SimHash tries, the one with the smallest id stays."""
+    """Of documents whose five-word shingles are .8 alike or more, found by SimHash tries, the row with the smallest id (null last) stays.
+
+    Several texts under one id are documents of their own; of repeated rows one stays. Null and blank texts are one group. An empty table stays empty.
+    """
     return copies.drop_near_copies(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents. Null and empty texts have no word and stay, repeated rows go together; an empty benchmark or table drops nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs.select(*COLUMNS), benchmark).where("not contaminated").select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by target weights; a document that a second epoch takes again comes twice."""
+    """Documents by target weights; a document that a second epoch takes again comes twice. Documents without words go, null lang and source are leaves of their own."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), read back from the written token files."""
+    """(doc_id, start, n_tokens, ids_crc32), read back from the written token files: null ids first, rows of one id by their texts' hash, null text as an end id alone."""
     return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
