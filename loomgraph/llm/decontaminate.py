@@ -42,8 +42,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     """One row per row of ``docs``: its columns, n_words, n_hit, n_items, items (sorted ids), contaminated.
 
     A word inside any occurrence of a window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null text has no
-    words; an item without words has no window; an empty benchmark hits nothing. Repeated rows and items with equal
-    texts all count. Other columns of ``docs``
+    words; an item without words has no window; an empty benchmark hits nothing, empty ``docs`` give an empty result. Very long texts are read whole. Repeated rows
+    and items with equal texts all count. Other columns of ``docs``
     pass through, except those named like a result.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")

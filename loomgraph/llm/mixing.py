@@ -14,9 +14,10 @@ from .common import Scratch, carried
 
 WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 LEVELS = ("domain", "lang", "source")
-# Target weights of the domains; a domain's languages share by LANG_WEIGHTS (others 1), sources alike.
+# Default weights: those of domains, and those by which a domain's languages share (others 1); sources share alike.
 DOMAIN_WEIGHTS = {"web": 5.0, "reference": 3.0, "other": 2.0}
 LANG_WEIGHTS = {"en": 4.0, "fr": 2.0, "de": 2.0, "es": 2.0}
+DEFAULT_WEIGHTS = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
 ROWS = 4096  # documents of one leaf whose running sum is one window partition, on average
 
 
@@ -50,33 +51,34 @@ def _share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return nodes.withColumn("budget", F.when(F.col("short"), F.col("supply")).otherwise(rate["per"] * F.col("weight"))).drop("used", "open", "per", "short")
 
 
-def leaf_budgets(leaves: DataFrame, share: float, epochs: int) -> DataFrame:
-    """(domain, lang, source, tokens, budget) from ``leaves(domain, lang, source, tokens)``; the tree is one row per leaf."""
+def leaf_budgets(leaves: DataFrame, share: float, epochs: int, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(domain, lang, source, tokens, budget) from ``leaves(domain, lang, source, tokens)``; the tree is one row per leaf. ``weights`` are by level and name."""
+    weights = weights or DEFAULT_WEIGHTS
     total = float(leaves.agg(F.sum("tokens")).first()[0] or 0) * share
     parents, out = [], None
     for level in LEVELS:
         keys = [*parents, level]
         nodes = leaves.groupBy(*keys).agg((F.sum("tokens") * epochs).cast("double").alias("supply"))
-        weight = _lookup("domain", DOMAIN_WEIGHTS) if level == "domain" else _lookup("lang", LANG_WEIGHTS) if level == "lang" else F.lit(1.0)
-        nodes = nodes.withColumn("weight", weight)
+        nodes = nodes.withColumn("weight", _lookup(level, weights.get(level, {})))
         nodes = nodes.withColumn("budget", F.lit(total)) if out is None else nodes.join(out.select(*parents, "budget"), parents)
         out, parents = _share(nodes, parents or [F.lit(0)], level), keys
     return leaves.join(out.select(*keys, "budget"), keys)
 
 
-def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7, domain: Column | None = None, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The chosen rows: columns of ``docs`` plus domain, n_tokens, epoch (0, 1, ...), leaf_budget.
 
-    Tokens are words between ASCII white space; the budget is ``share`` of all tokens. In epoch e a leaf's documents come in the order
+    The tree is ``domain`` (by default that of ``domain_of(source)``) > lang > source, its weights are ``weights[level][name]``, above 0 and 1 where none is given
+    (by default DEFAULT_WEIGHTS). Tokens are words between ASCII white space; the budget is ``share`` of all tokens. In epoch e a leaf's documents come in the order
     of md5(seed-e-doc_id), then text; a document is chosen if the tokens before it, earlier epochs included, are fewer than the budget,
     so the last one may pass it by less than its own tokens. Documents without words (null or blank text) carry nothing and are left
     out. Null lang or source is a leaf named "". Rows with null doc_id are ordered by a hash of their text. Repeated rows follow each other and
-    each takes its own tokens of the budget; which of them are chosen is open, how many is not. An empty table gives an empty result.
+    each takes its own tokens of the budget; which of them are chosen is open, how many is not. Very long texts count whole. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     named = docs.select(
         carried(docs, "domain", "n_tokens", "epoch", "leaf_budget"),
-        domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        (domain_of(F.col("source")) if domain is None else F.coalesce(domain, F.lit(""))).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("th"),
         F.col("text").cast("string").alias("text"),
     )
@@ -87,7 +89,7 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 7) ->
     slim = scratch.save(slim, "tokens")
     size = F.col("n_tokens") * F.col("copies")
     leaves = slim.groupBy(*keys).agg(F.sum(size).alias("tokens"), F.count("*").alias("rows"))
-    budgets = scratch.save(leaf_budgets(leaves, share, epochs), "budgets")
+    budgets = scratch.save(leaf_budgets(leaves, share, epochs, weights), "budgets")
     dealt = slim.join(budgets, keys).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     dealt = dealt.where(F.col("epoch") * F.col("tokens") < F.col("budget"))
     dealt = dealt.withColumn("order", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce("id", F.hex("th")))))

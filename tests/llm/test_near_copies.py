@@ -91,3 +91,12 @@ def test_forest_connects_what_the_pairs_connect():
     whole = np.arange(80)
     near_copies.connect(whole, i, j)
     assert (again == whole).all() and (labels == whole).all() and len(pick) == 80 - len(np.unique(whole))
+
+
+def test_mixing_by_a_tree_of_ones_own(spark):
+    from loomgraph.llm import mixing
+
+    docs = spark.createDataFrame([(i, f"w{i} " * 10, "xx", f"{'good' if i % 2 else 'bad'}/{i % 4}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    top = F.substring_index("source", "/", 1)
+    rows = mixing.mix(docs, 0.4, 1, domain=top, weights={"domain": {"good": 3.0}, "source": {"good/1": 2.0}}).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.source: r.n for r in rows} == {"good/1": 800, "good/3": 400, "bad/0": 200, "bad/2": 200}
