@@ -264,11 +264,17 @@ def hyperedge_search(t):
     return recall.hyperedge_search(queries, t.entities(), t.relations(), 20)
 
 
-@query(f"""WITH FIX, {_BM25}, v AS (SELECT item_id AS query_id, item_id * 7 || '-0' AS chunk_id FROM benchmark), p AS (SELECT query_id, chunk_id FROM bm WHERE score > 0.99999 AND query_id % 2 = 0)
-SELECT *, FALSE AS fallback FROM p UNION ALL SELECT *, TRUE FROM v WHERE query_id NOT IN (SELECT query_id FROM p)""")
+@query(f"""WITH FIX, {_BM25}, v AS (SELECT * FROM (SELECT item_id AS query_id, 'd'||b.vec_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY greatest(0.0, least(1.0, {_COS})) DESC, 'd'||b.vec_id) AS rn FROM benchmark JOIN embeddings AS a ON a.vec_id = item_id * 12, embeddings AS b) WHERE rn <= 3),
+p AS (SELECT query_id, chunk_id FROM bm JOIN ch USING (chunk_id) JOIN q USING (query_id) WHERE contains(lower(content), lower(substring(text, 1, 40))))
+SELECT query_id, chunk_id, FALSE AS fallback FROM p UNION ALL SELECT query_id, chunk_id, TRUE FROM v WHERE query_id NOT IN (SELECT query_id FROM p)""")
 def search_with_fallback(t):
-    precise = recall.bm25(_benchmark_queries(t), t.chunks(), 24).where("score > 0.99999 AND query_id % 2 = 0").select("query_id", "chunk_id")
-    return recall.search_with_fallback(precise, t.raw("benchmark").selectExpr("item_id AS query_id", "item_id * 7 || '-0' AS chunk_id"))
+    """Lines that hold the beginning of a query word for word; nearest documents for queries without one."""
+    queries = _benchmark_queries(t)
+    hits = recall.bm25(queries, t.chunks(), 24).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
+    precise = hits.where(F.contains(F.lower("content"), F.lower(F.substring("text", 1, 40)))).select("query_id", "chunk_id")
+    vectors = t.raw("embeddings").selectExpr("'d'||vec_id AS id", "embedding AS v")
+    asked = queries.join(t.raw("embeddings").selectExpr("vec_id", "embedding AS q"), F.col("query_id") * 12 == F.col("vec_id")).select("query_id", "q")
+    return recall.search_with_fallback(precise, recall.knn(asked, vectors, 3).select("query_id", F.col("id").alias("chunk_id")))
 
 
 @query("WITH FIX SELECT source_id, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(sum(event_count) AS BIGINT) AS events, max(created_at) AS updated_at FROM doc GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 16")
