@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, bit_set, connect, connected_components, in_set, may_hold
+from .common import Scratch, as_bytes, bit_set, connect, connected_components, in_set, may_hold, slices
 from .simhash import FRONTIER, LEAF
 
 WORDS, TRIES = 8, 4  # 64-bit words of a long fingerprint, and those that have a trie of their own
@@ -25,6 +25,7 @@ OPENING = ((4, 1), (10, 2), (64, 3))
 SLACK = 0.08  # of similarity that the fingerprints of candidates may fall short by; their standard error at .8 is .035
 FAR = 22  # bits of 64 that candidates may differ in; two texts of similarity .8 differ in ten, standard deviation three
 CUT, CELL = 4, 1 << 19  # bits at which tries are cut into tasks at least; fingerprints of a cut node
+ROWS, BYTES = 256, 1 << 20  # texts whose shingles a task holds at once
 FEW = 8  # pairs proposed for two groups in the second round, and times as many in each later one
 
 
@@ -206,7 +207,7 @@ def _sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """(shape, shingles) of the classes, each from one of its texts."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1, ROWS, BYTES):
             sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in as_bytes(b.column(1))]
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["shape", "shingles"])
@@ -221,7 +222,7 @@ def _with_groups(docs: DataFrame, shingle: int, similarity: float, scratch: Scra
     most = most_bits(similarity - SLACK)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2, ROWS, BYTES):
             hashes = [shingle_hashes(t, shingle) for t in as_bytes(b.column(2))]
             bits = [long_fingerprint(h).view(np.int64) for h in hashes]
             ends = pa.array(np.arange(0, WORDS * len(bits) + 1, WORDS, dtype=np.int32))
