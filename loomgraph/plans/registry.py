@@ -307,4 +307,4 @@ def queue_audit(t):
     return catalog.queue_audit(jobs)
 
 
-from . import more, planning, searching, walks  # noqa: E402,F401  register their queries here
+from . import ingesting, more, planning, searching, walks  # noqa: E402,F401  register their queries here
