@@ -78,14 +78,15 @@ def folder_plan(listing: DataFrame, existing: DataFrame, root: str, most_bytes:
     """``listing(source, path, sha256, size_bytes)`` with status and reason: rejected, else new, unchanged or changed against ``existing``.
 
     Rejected are paths that are refused or not below ``root``, hashes that are none, files too large, those routed to skip, PDF and office
-    files (not selected by default), and all of a source that lists more than ``most_items`` files or ``most_total`` bytes. Files that are
-    only in ``existing`` stay.
+    files (not selected by default), and all of a request that lists more than ``most_items`` files or ``most_total`` bytes. A request is a source's rows of
+    one ``request``, where the listing has that column (a folder of more files comes in several), else all of its rows. Files that are only in ``existing`` stay.
     """
     from ..sources.files import bad_path, route_files
 
     clean = F.ltrim(F.regexp_replace(F.trim(F.replace("path", F.lit("\\"), F.lit("/"))), r"^(\./)+", ""), F.lit("/"))
-    totals = listing.groupBy("source").agg(F.count("*").alias("_n"), F.sum("size_bytes").alias("_total"))
-    rows = listing.join(totals, "source").withColumn("path", F.coalesce(clean, F.lit(""))).withColumn("sha256", F.lower(F.trim(F.coalesce("sha256", F.lit("")))))
+    of = [c for c in ("source", "request") if c in listing.columns]
+    totals = listing.groupBy(*of).agg(F.count("*").alias("_n"), F.sum("size_bytes").alias("_total"))
+    rows = listing.join(totals, of).withColumn("path", F.coalesce(clean, F.lit(""))).withColumn("sha256", F.lower(F.trim(F.coalesce("sha256", F.lit("")))))
     if "head" not in rows.columns:
         rows = rows.withColumn("head", F.lit(None).cast("string"))
     rows = route_files(rows).withColumnRenamed("reason", "_why")
