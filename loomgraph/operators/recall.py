@@ -123,11 +123,11 @@ def grep_snippets(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFra
 
 
 def merge_sources(results: DataFrame, k: int) -> DataFrame:
-    """Best score per (query, source, chunk), then the top k of a query; rows without a chunk id are each their own."""
+    """Best score per (query, source, chunk), then the top k of a query; rows without a chunk id are each their own, after others of their score and source."""
     named = F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) != ""
     best = results.where(named).groupBy("query_id", "source_config_id", "chunk_id").agg(F.max("score").alias("score"))
     best = best.unionByName(results.where(~named).select(*best.columns))
-    return top(best, ["query_id"], [F.desc("score"), F.col("source_config_id"), F.col("chunk_id")], k)
+    return top(best, ["query_id"], [F.desc("score"), F.asc_nulls_last("source_config_id"), F.asc_nulls_last("chunk_id")], k)
 
 
 def normalize_text(text: Column) -> Column:
