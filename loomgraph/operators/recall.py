@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+from .ranking import K1, B, best_of_rows
+
 QUERY_LIMIT = 1000  # queries up to which knn sends them to every executor; beyond it they go in groups
-K1, B = 1.2, 0.75
 VISIBLE = "(status IS NULL OR status <> 'DELETED')"  # events
 LIVE = "(is_delete IS NULL OR is_delete = FALSE)"  # relations
 
@@ -63,21 +65,33 @@ def terms(text: Column) -> Column:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """BM25 top-k of ``chunks(chunk_id, content)`` for ``queries(query_id, text)``; score/2 clamped to [0, 1], ties by chunk_id.
 
-    For a single batch of queries: only their terms take part. ``search.bm25_index`` keeps postings for several.
+    For a single batch of queries: only their terms take part, and what is shuffled grows with the words of chunks whose id repeats, not with pairs of queries and
+    chunks. Rows of one id add up. ``search.bm25_index`` keeps postings for several.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = chunks.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("w"))
-    n, avgdl = words.agg(F.count("*"), F.avg(F.size("w"))).first()
-    tf = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    tf = tf.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "term").join(wanted, "term")
+    scratch = Scratch(chunks.sparkSession, "bm25")
+    wanted = scratch.save(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "wanted")
+    n, tokens = chunks.agg(F.count("*"), F.sum(F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit("[a-z0-9]+")))).first()
+    repeated = scratch.save(chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"), "repeated")
+    words = chunks.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("w")).select("chunk_id", F.size("w").alias("dl"), "w")
+    single = words.join(repeated, "chunk_id", "left_anti")
+    tf = words.join(repeated, "chunk_id", "left_semi").select("chunk_id", "dl", F.explode("w").alias("term"))
+    own = F.broadcast(wanted.select("term").distinct())
+    tf = tf.join(own, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = single.select(F.explode(F.array_distinct("w")).alias("term")).join(own, "term", "left_semi").unionByName(tf.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = hits.groupBy("query_id", "chunk_id").agg((F.sum(part) / 2).alias("raw"))
+    avgdl = F.lit(float((tokens or 0) / (n or 1)) or 1.0)
+    weights = scratch.save(wanted.join(df, "term").select("query_id", "term", idf.alias("idf"), avgdl.alias("avgdl")), "weights")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", "chunk_id").agg((F.sum(part) / 2).alias("raw"))
+    scored = scored.unionByName(best_of_rows(single, weights, k))
     return top(scored, ["query_id"], [F.desc(F.round("raw", 9)), F.col("chunk_id")], k).select("query_id", "chunk_id", F.least(F.lit(1.0), "raw").alias("score"), "rn")
 
 
+def with_rows(found: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``found``, k rows a query, with the columns of ``rows`` of the same key; the found ones are sent to the rows, which are not shuffled."""
+    return rows.join(F.broadcast(found), key)
+
+
 def grep(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """Case-insensitive literal hits of ``patterns(pattern)`` in chunks: count of non-overlapping hits, most first, then rank and id. Blank patterns find nothing."""
     patterns = patterns.where("trim(pattern) <> ''")

@@ -26,7 +26,7 @@ lx AS (SELECT *, CAST(length(p) >= 2 AND contains(t, p) AS INT) AS exact, CASE W
 
 def _relevant(t):
     queries = _benchmark_queries(t)
-    found = recall.bm25(queries, t.chunks(), 24).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
+    found = recall.with_rows(recall.bm25(queries, t.chunks(), 24), t.chunks().select("chunk_id", "content")).join(queries, "query_id")
     return relevance.lexical_relevance(found.withColumn("heading", F.substring("content", 1, 30)))
 
 
@@ -47,7 +47,7 @@ def search_lexical(t):
 @query(f"""WITH FIX, {_BM25}, s AS (SELECT query_id, rn, chunk_id, content, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM bm JOIN ch USING (chunk_id))
 SELECT query_id, CAST(rn AS INT) AS rn, chunk_id, substring(content, 1, CAST(1000 - b AS BIGINT)) AS content FROM s WHERE b < 1000""")
 def pack_evidence(t):
-    found = recall.bm25(_benchmark_queries(t), t.chunks(), 24).join(t.chunks().select("chunk_id", "content"), "chunk_id")
+    found = recall.with_rows(recall.bm25(_benchmark_queries(t), t.chunks(), 24), t.chunks().select("chunk_id", "content"))
     return relevance.pack_evidence(found.select("query_id", "rn", "chunk_id", "content"), 1000)
 
 
@@ -96,7 +96,7 @@ def recall_at_k(t):
 SELECT query_id, count(*) FILTER (contains(lower(content), x)) AS matches, count(*) FILTER (contains(lower(content), x)) > 0 AS hit FROM e LEFT JOIN bm USING (query_id) LEFT JOIN ch USING (chunk_id) GROUP BY 1""")
 def evaluate_retrieval(t):
     cases = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.array(F.get(F.split("text", " "), F.lit(8))).alias("expected"))
-    found = recall.bm25(_benchmark_queries(t), t.chunks(), 24).join(t.chunks().select("chunk_id", "content"), "chunk_id")
+    found = recall.with_rows(recall.bm25(_benchmark_queries(t), t.chunks(), 24), t.chunks().select("chunk_id", "content"))
     return relevance.evaluate_retrieval(cases, found.select("query_id", "content"))
 
 
@@ -270,7 +270,7 @@ SELECT query_id, chunk_id, FALSE AS fallback FROM p UNION ALL SELECT query_id, c
 def search_with_fallback(t):
     """Lines that hold the beginning of a query word for word; nearest documents for queries without one."""
     queries = _benchmark_queries(t)
-    hits = recall.bm25(queries, t.chunks(), 24).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
+    hits = recall.with_rows(recall.bm25(queries, t.chunks(), 24), t.chunks().select("chunk_id", "content")).join(queries, "query_id")
     precise = hits.where(F.contains(F.lower("content"), F.lower(F.substring("text", 1, 40)))).select("query_id", "chunk_id")
     vectors = t.raw("embeddings").selectExpr("'d'||vec_id AS id", "embedding AS v")
     asked = queries.join(t.raw("embeddings").selectExpr("vec_id", "embedding AS q"), F.col("query_id") * 12 == F.col("vec_id")).select("query_id", "q")

@@ -13,3 +13,35 @@ def test_a_folder_of_many_files_comes_in_requests(spark):
     listing = spark.range(25_000).selectExpr("'s' AS source", "'r/'||id||'.txt' AS path", "repeat('a', 64) AS sha256", "1L AS size_bytes", "id div 10000 AS request")
     plan = lambda rows: {tuple(r) for r in catalog.folder_plan(rows, listing.where("false"), "r").select("status", "reason").distinct().collect()}
     assert plan(listing) == {("new", None)} and plan(listing.drop("request")) == {("rejected", "too many files")}
+
+
+def test_bm25_shuffles_no_pairs_and_adds_up_rows_of_one_id(spark, monkeypatch):
+    import numpy as np
+
+    from loomgraph.operators import ranking
+
+    monkeypatch.setattr(ranking, "PAIRS", 50)
+    monkeypatch.setattr(ranking, "GROUP", 7)
+    r = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, int(r.integers(1, 40))) if x < 60) for _ in range(400)]
+    rows = [(f"c{i % 380}", x) for i, x in enumerate(texts)] + [(f"t{i}", "w1 w2") for i in range(50)] + [("e", ""), ("f", None)]
+    asked = [(q, " ".join(f"w{x}" for x in r.integers(1, 60, 12))) for q in range(20)] + [(20, "W1 w2"), (21, None), (22, "none")]
+    dl, tf, df = {}, {}, {}
+    lengths = [len((x or "").split()) for _, x in rows]
+    for c, x in rows:
+        w = (x or "").split()
+        for t in w:
+            tf[c, len(w), t] = tf.get((c, len(w), t), 0) + 1
+    for _, _, t in tf:
+        df[t] = df.get(t, 0) + 1
+    n, mean, want = len(rows), sum(lengths) / len(rows), []
+    for q, text in asked:
+        score = {}
+        for (c, size, t), f in tf.items():
+            if t in set((text or "").lower().split()):
+                score[c] = score.get(c, 0) + np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean)) / 2
+        want += [(q, c, k + 1) for k, c in enumerate(sorted(score, key=lambda c: (-round(score[c], 9), c))[:8])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string")
+    found = recall.bm25(spark.createDataFrame(asked, "query_id int, text string"), chunks.repartition(3), 8)
+    assert sorted((r.query_id, r.chunk_id, r.rn) for r in found.collect()) == sorted(want)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
