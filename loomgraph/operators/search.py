@@ -11,7 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .recall import K1, B, dot, knn, normalize_text, terms, top
+from .ranking import K1, B
+from .recall import bm25, dot, knn, normalize_text, terms, top, with_rows
 from ..storage import Scratch
 from .relevance import is_boilerplate, lexical_relevance, query_terms
 from .stored import Postings
@@ -112,17 +113,20 @@ def _containing(chunks: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame
     return found.select("term", *by, "chunk_id", "rank", hits)
 
 
-def lexical_channel(queries: DataFrame, postings: DataFrame | Postings, chunks: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+def lexical_channel(queries: DataFrame, postings: DataFrame | Postings | None, chunks: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rn): BM25; queries without any hit look for each of their terms literally, two chunks a term.
 
-    A stored index may be searched within ``sources(query_id, source_config_id)``; the literal search keeps to them as well.
+    Without postings the chunks are scored as they are, in two passes. A stored index may be searched within ``sources(query_id, source_config_id)``; the literal search keeps to them as well.
     """
     if isinstance(postings, Postings):
         found = postings.search(queries, k, sources).drop("source_config_id")
     elif sources is not None:
         raise ValueError("a search within sources needs a stored index")
+    elif postings is None:
+        found = bm25(queries, chunks, k)
     else:
         found = bm25_search(queries, postings, k)
+    found = Scratch(chunks.sparkSession, "channel").save(found, "found")  # k rows a query, read twice
     rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     asked, by = rest.select("query_id", F.posexplode(query_terms(F.col("text"))).alias("i", "term")), []
     if sources is not None:
@@ -243,20 +247,26 @@ def search(
     ``fuse_sections``; pos is the place in the fused (or reranked) order and has gaps where context removed a section. With ``sources(query_id, source_config_id)``
     both channels keep to the sources of a query, before they rank; ``vectors`` then have a source_config_id too.
     """
-    wide = min(50, max(3 * k, k + 8))
+    scratch, wide = Scratch(chunks.sparkSession, "search"), min(50, max(3 * k, k + 8))
     of = chunks.select("chunk_id", "source_config_id", "heading", "content")
     asked = queries.select("query_id", "q")
     if sources is not None:
         asked = asked.join(sources.select("query_id", "source_config_id").distinct(), "query_id")
-    near = knn(asked, vectors, wide).withColumnsRenamed({"id": "chunk_id", "rn": "pos"}).join(of, "chunk_id").select(*ONE)
+    near = scratch.save(with_rows(knn(asked, vectors, wide).withColumnsRenamed({"id": "chunk_id", "rn": "pos"}), of).select(*ONE), "near")
+    words = lexical_channel(queries, postings, chunks, wide, sources).withColumnRenamed("rn", "pos")
+    words = scratch.save(with_rows(words, of).select(*ONE), "words")
+    # Context needs the hits and their parents; the ids of these, some tens a query, are sent to the chunks.
+    hits = near.select("chunk_id").unionByName(words.select("chunk_id")).distinct()
+    above = chunks.join(F.broadcast(hits), "chunk_id", "left_semi").select(F.col("parent_id").alias("chunk_id")).where("chunk_id IS NOT NULL")
+    ids = scratch.save(hits.unionByName(above).distinct(), "ids")
+    known = scratch.save(chunks.join(F.broadcast(ids), "chunk_id", "left_semi"), "known")
     if documents is not None:
-        near = code_context(drop_stale_revisions(near, chunks, documents), chunks)
-    near = parent_context(near, chunks)
-    words = lexical_channel(queries, postings, chunks, wide, sources).withColumnRenamed("rn", "pos").join(of, "chunk_id").select(*ONE)
-    found = fuse_sections(queries, near, words, k)
+        near = code_context(drop_stale_revisions(near, known, documents), known)
+    near = parent_context(near, known)
+    found = scratch.save(fuse_sections(queries, near, words, k), "found")
     if scorer is not None:
         found = rerank(found, queries, scorer).drop("pos").withColumnRenamed("place", "pos")
-    return parent_context(found, chunks)
+    return parent_context(found, known)
 
 
 def entity_lookup(names: DataFrame, entities: DataFrame, relations: DataFrame, events: DataFrame, hottest: int = 200, texts: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 """A stored BM25 index by sources: postings in blocks by impact, top-k within the sources that a query names, blocks skipped by their bounds.
 
-Statistics are kept for each source, so that a query scores as over a table of its sources only. A block holds postings of one term and source, those of
+Next to the blocks lie the chunks' words by rows. Queries whose terms have more postings together than there are words, so that blocks would be read for many of them, are
+scored in one pass over the rows. Statistics are kept for each source, so that a query scores as over a table of its sources only. A block holds postings of one term and source, those of
 highest impact first; a term with very many postings is cut into slices, each in blocks of its own, so that no task ranks or writes a whole one.
 """
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
-from .recall import K1, B, terms, top
+from .ranking import K1, B, best_of_rows
+from .recall import terms, top
 
 BLOCK, SLICE = 256, 1 << 16  # postings of a block, and of a slice of a term
 FOLDER = 1 << 22  # postings of a folder of a source, on average
@@ -40,10 +42,17 @@ def write_postings(chunks: DataFrame, path: str, now: str) -> None:
     """
     spark, scratch = chunks.sparkSession, Scratch(chunks.sparkSession, "postings")
     rows = chunks.select(F.coalesce(SOURCE, F.lit("")).alias(SOURCE), "chunk_id", F.lower(F.coalesce("content", F.lit(""))).alias("content"))
-    words = rows.select(SOURCE, "chunk_id", terms(F.col("content")).alias("w")).select(SOURCE, "chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    whole = rows.select(SOURCE, "chunk_id", terms(F.col("content")).alias("w")).select(SOURCE, "chunk_id", F.size("w").alias("dl"), "w")
+    words = whole.select(SOURCE, "chunk_id", "dl", F.explode("w").alias("term"))
     found = scratch.save(words.groupBy(SOURCE, "chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "found")
     stats = rows.groupBy(SOURCE).agg(F.count("*").alias("rows"), F.sum(F.regexp_count("content", F.lit("[a-z0-9]+"))).alias("tokens"))
     stats.withColumn("built_at", F.lit(now).cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    # Rows of an id that repeats within a source count together where their lengths are equal; rows of the others are scored one by one.
+    repeated = scratch.save(rows.groupBy(SOURCE, "chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(SOURCE, "chunk_id"), "repeated")
+    if repeated.isEmpty():
+        share = F.pmod(F.xxhash64("chunk_id"), F.lit(spark.sparkContext.defaultParallelism))
+        whole = whole.where("dl > 0").withColumn("folder", _folder(F.col(SOURCE))).repartition(SOURCE, share).sortWithinPartitions("folder")
+        whole.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/words")
     df = found.groupBy(SOURCE, "term").agg(F.count("*").alias("df"))
     most = df.groupBy(SOURCE).agg(F.sum("df").alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = 1 << max(0, (most // FOLDER).bit_length())
@@ -62,7 +71,7 @@ def write_postings(chunks: DataFrame, path: str, now: str) -> None:
     dealt = blocks.repartition(SOURCE, "bucket", "slice", F.pmod(F.xxhash64("term"), F.lit(max(1, int(most // (4 * FOLDER)) + 1))))
     dealt = dealt.withColumn("folder", _folder(F.col(SOURCE)))
     dealt.sortWithinPartitions(SOURCE, "bucket", "term", "block").drop("slice").write.mode("overwrite").partitionBy("folder", "bucket").parquet(f"{path}/blocks")
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(buckets, repeated.isEmpty())], "buckets int, words boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     scratch.drop("")
 
 
@@ -72,7 +81,7 @@ class Postings:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.stats = spark.read.parquet(f"{path}/stats")
-        self.buckets = spark.read.parquet(f"{path}/meta").first()[0]
+        self.buckets, self.words = spark.read.parquet(f"{path}/meta").first()
 
     def of(self, kind: str, sources: list[str] | None) -> DataFrame:
         """Rows of the index, of the folders of these sources only."""
@@ -97,7 +106,8 @@ class Postings:
         found, _ = self._search(queries, k, sources)
         return found
 
-    def _search(self, queries: DataFrame, k: int, sources: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def _search(self, queries: DataFrame, k: int, sources: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The result, and which blocks were read unless it comes from rows of words."""
         scratch = Scratch(self.spark, "lexical")
         within = [SOURCE] if sources is not None else []
         wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
@@ -115,7 +125,12 @@ class Postings:
         wanted = wanted.withColumn("bucket", _bucket(F.col("term"), self.buckets))
         df = wanted.join(self.of("df", listed), keys).groupBy("query_id", "term").agg(F.sum("df").alias("df"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
         idf = F.log(1 + (F.col("n").cast("double") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = scratch.save(df.select("query_id", "term", idf.alias("idf"), "avgdl"), "weights")
+        weights = scratch.save(df.select("query_id", "term", idf.alias("idf"), "avgdl", "df"), "weights")
+        if self.words and (weights.agg(F.sum("df")).first()[0] or 0) > 2 * (self.stats.agg(F.sum("tokens")).first()[0] or 0):
+            raw = best_of_rows(self.of("words", listed), weights, k, scope if sources is not None else None)
+            found = top(raw, ["query_id"], [F.desc(F.round("raw", 9)), F.col("chunk_id"), F.col(SOURCE)], k)
+            return found.select("query_id", SOURCE, "chunk_id", F.least(F.lit(1.0), "raw").alias("score"), "rn"), None
+        weights = weights.drop("df")
         wanted = wanted.select("query_id", *keys).join(weights, ["query_id", "term"])
         blocks = self.of("blocks", listed)
         bound = F.col("idf") * _impact(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
@@ -148,6 +163,7 @@ class Postings:
 
 
 _SCHEMAS = {
+    "words": f"{SOURCE} string, chunk_id string, dl int, w array<string>, folder string",
     "df": f"{SOURCE} string, term string, df long, folder string, bucket int",
     "blocks": f"{SOURCE} string, term string, block long, n long, max_tf int, min_dl int, postings array<struct<chunk_id: string, tf: int, dl: int>>, folder string, bucket int",
 }
