@@ -194,17 +194,23 @@ def hyperedge_search(queries: DataFrame, entities: DataFrame, relations: DataFra
     """Events of the entities that ``queries(query_id, text)`` name, then events one shared entity away at half the score.
 
     All events reached through one entity score alike, so the k of smallest id are all that can be among the k best, whatever the
-    number of an entity's events.
+    number of an entity's events; and only events of twice the k-th best score or more can lead to one among them. Queries of the same text are searched once.
     """
-    named = queries.select("query_id", F.lower("text").alias("normalized_name")).join(entities.select("normalized_name", "entity_id"), "normalized_name").select("query_id", "entity_id").distinct()
-    own = relations.join(named.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("w"))
-    direct = own.join(named, "entity_id").groupBy("query_id", "event_id").agg(F.sum("w").alias("score"))
-    links = relations.select("event_id", "entity_id").distinct()
-    led = direct.join(links, "event_id").groupBy("query_id", "entity_id").agg((F.max("score") / 2).alias("score"))
-    some = top(links.join(led.select("entity_id").distinct(), "entity_id", "left_semi"), ["entity_id"], [F.col("event_id")], k).drop("rn")
-    near = led.join(some, "entity_id").select("query_id", "event_id", "score")
-    found = direct.unionByName(near).groupBy("query_id", "event_id").agg(F.round(F.max("score"), 6).alias("score"))
-    return top(found, ["query_id"], [F.desc("score"), F.col("event_id")], k)
+    scratch = Scratch(queries.sparkSession, "hyperedges")
+    asked = scratch.save(queries.select("query_id", F.lower("text").alias("normalized_name")).where("normalized_name IS NOT NULL").distinct(), "asked")
+    texts = asked.select("normalized_name").distinct()
+    named = scratch.save(entities.join(texts, "normalized_name", "left_semi").select("normalized_name", "entity_id").distinct(), "named")
+    links = scratch.save(relations.groupBy("event_id", "entity_id").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("w")), "links")
+    direct = scratch.save(links.join(named, "entity_id").groupBy("normalized_name", "event_id").agg(F.sum("w").alias("score")), "direct")
+    floors = top(direct, ["normalized_name"], [F.desc("score")], k).where(F.col("rn") == k).select("normalized_name", F.col("score").alias("floor"))
+    leading = direct.join(floors, "normalized_name", "left").where("floor IS NULL OR score / 2 >= floor - 1e-5").drop("floor")  # scores are rounded to six digits
+    leading = scratch.save(leading, "leading")
+    led = scratch.save(leading.join(links, "event_id").groupBy("normalized_name", "entity_id").agg((F.max("score") / 2).alias("score")), "led")
+    some = top(links.join(led.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "event_id"), ["entity_id"], [F.col("event_id")], k).drop("rn")
+    near = led.join(some, "entity_id").select("normalized_name", "event_id", "score")
+    found = direct.unionByName(near).groupBy("normalized_name", "event_id").agg(F.round(F.max("score"), 6).alias("score"))
+    best = top(found, ["normalized_name"], [F.desc("score"), F.col("event_id")], k)
+    return asked.join(best, "normalized_name").select("query_id", "event_id", "score", "rn")
 
 
 def candidate_sources(documents: DataFrame, k: int) -> DataFrame:

@@ -42,7 +42,8 @@ def write_postings(chunks: DataFrame, path: str, now: str) -> None:
     """
     spark, scratch = chunks.sparkSession, Scratch(chunks.sparkSession, "postings")
     rows = chunks.select(F.coalesce(SOURCE, F.lit("")).alias(SOURCE), "chunk_id", F.lower(F.coalesce("content", F.lit(""))).alias("content"))
-    whole = rows.select(SOURCE, "chunk_id", terms(F.col("content")).alias("w")).select(SOURCE, "chunk_id", F.size("w").alias("dl"), "w")
+    # Dealt out by chunk, words are counted where they are: rows are shuffled, not words.
+    whole = rows.repartition(SOURCE, "chunk_id").select(SOURCE, "chunk_id", terms(F.col("content")).alias("w")).select(SOURCE, "chunk_id", F.size("w").alias("dl"), "w")
     words = whole.select(SOURCE, "chunk_id", "dl", F.explode("w").alias("term"))
     found = scratch.save(words.groupBy(SOURCE, "chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "found")
     stats = rows.groupBy(SOURCE).agg(F.count("*").alias("rows"), F.sum(F.regexp_count("content", F.lit("[a-z0-9]+"))).alias("tokens"))

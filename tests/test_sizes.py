@@ -45,3 +45,29 @@ def test_bm25_shuffles_no_pairs_and_adds_up_rows_of_one_id(spark, monkeypatch):
     found = recall.bm25(spark.createDataFrame(asked, "query_id int, text string"), chunks.repartition(3), 8)
     assert sorted((r.query_id, r.chunk_id, r.rn) for r in found.collect()) == sorted(want)
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_of_the_same_names_are_walked_once(spark, monkeypatch):
+    from loomgraph.operators import hyperedges
+    from loomgraph.storage import Scratch
+
+    sizes, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    entities = spark.createDataFrame([("a", "acme"), ("b", "box"), ("c", "cup")], "entity_id string, normalized_name string")
+    links = [(f"e{i:03}", "a", 1.0 + i % 3) for i in range(90)] + [(f"e{i:03}", "c", 0.5) for i in range(0, 90, 7)] + [("x", "c", 1.0), ("y", "b", -1.0), ("z", "b", -4.0), ("y", "c", 0.1)]
+    relations = spark.createDataFrame(links, "event_id string, entity_id string, weight double")
+    for search in (hyperedges.hyperedge_walk, recall.hyperedge_search):
+        got = {}
+        for n in (1, 30):
+            queries = spark.createDataFrame([(q, "ACME") for q in range(n)] + [(99, "box")], "query_id int, text string")
+            rows = search(queries, entities, relations, 5).collect()
+            got[n] = ({(r.event_id, r.score, r.rn) for r in rows if r.query_id < 99}, {(r.event_id, r.score) for r in rows if r.query_id == 99}, sizes.get("led1", sizes.get("direct")))
+            assert len([r for r in rows if r.query_id < 99]) == 5 * n
+        assert got[1] == got[30] and {e for e, _, _ in got[1][0]} == {"e002", "e005", "e008", "e011", "e014"}
+        sizes.clear()
