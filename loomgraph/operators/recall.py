@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
-from .ranking import K1, B, best_of_rows
+from .ranking import K1, B, best_by_cosine, best_of_rows
 
 QUERY_LIMIT = 1000  # queries up to which knn sends them to every executor; beyond it they go in groups
 VISIBLE = "(status IS NULL OR status <> 'DELETED')"  # events
@@ -47,15 +47,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     source = [c for c in queries.columns if c == "source_config_id"]
     q = queries.select("query_id", *[F.col(c).alias("_own") for c in source], F.col("q").cast("array<double>").alias("q")).where(fine("q")).withColumn("qn", F.sqrt(dot("q", "q"))).where("qn > 0")
     v = vectors.select("id", *source, F.col("v").cast("array<double>").alias("v")).where(fine("v")).withColumn("vn", F.sqrt(dot("v", "v"))).where("vn > 0")
-    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot("q", "v") / (F.col("qn") * F.col("vn"))))
+    q = q.withColumnsRenamed({"_own": "source_config_id"})
     parts, out = max(1, -(-queries.count() // QUERY_LIMIT)), None
     for part in range(parts):
         own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        same = (F.size("q") == F.size("v")) & (F.col("source_config_id") == F.col("_own") if source else F.lit(True))
-        found = v.join(F.broadcast(own), same).select("query_id", "id", near.alias("score"))
-        found = top(found, ["query_id"], [F.desc("score"), F.col("id")], k)
+        found = best_by_cosine(v, own, k, source[0] if source else None)
         out = found if out is None else out.unionByName(found)
-    return out
+    return top(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def terms(text: Column) -> Column:

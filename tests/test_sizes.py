@@ -71,3 +71,22 @@ def test_queries_of_the_same_names_are_walked_once(spark, monkeypatch):
             assert len([r for r in rows if r.query_id < 99]) == 5 * n
         assert got[1] == got[30] and {e for e, _, _ in got[1][0]} == {"e002", "e005", "e008", "e011", "e014"}
         sizes.clear()
+
+
+def test_neighbours_of_equal_vectors_go_by_id(spark, monkeypatch):
+    import numpy as np
+
+    from loomgraph.operators import ranking
+
+    monkeypatch.setattr(ranking, "PAIRS", 64)
+    r = np.random.default_rng(2)
+    base = r.normal(size=(30, 24))
+    rows = [(i, [float(x) for x in base[i % 30]], "ab"[i % 2]) for i in range(600)] + [(1000, None, "a"), (1001, [0.0] * 24, "a"), (1002, [1.0] * 3, "a"), (1003, [float("nan")] * 24, "a")]
+    vectors = spark.createDataFrame(rows, "id int, v array<double>, source_config_id string").repartition(5)
+    asked = spark.createDataFrame([(i, [float(x) for x in base[i]]) for i in range(7)], "query_id int, q array<double>")
+    found = recall.knn(asked, vectors, 9)
+    got = [(x.query_id, x.id) for x in found.orderBy("query_id", "rn").collect()]
+    assert got == [(q, q + 30 * k) for q in range(7) for k in range(9)]
+    own = recall.knn(asked.selectExpr("*", "explode(array('a', 'b')) AS source_config_id").where("query_id % 2 = 0"), vectors.where("id < 30 OR id > 33"), 4)
+    assert [x.id for x in own.where("query_id = 2").orderBy("rn").collect()] == [2, 62, 92, 122]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
