@@ -48,12 +48,18 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     q = queries.select("query_id", *[F.col(c).alias("_own") for c in source], F.col("q").cast("array<double>").alias("q")).where(fine("q")).withColumn("qn", F.sqrt(dot("q", "q"))).where("qn > 0")
     v = vectors.select("id", *source, F.col("v").cast("array<double>").alias("v")).where(fine("v")).withColumn("vn", F.sqrt(dot("v", "v"))).where("vn > 0")
     q = q.withColumnsRenamed({"_own": "source_config_id"})
-    parts, out = max(1, -(-queries.count() // QUERY_LIMIT)), None
+    out = near_in_groups(q, v, k, source[0] if source else None)
+    return top(out, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def near_in_groups(q: DataFrame, v: DataFrame, k: int, group: str | None) -> DataFrame:
+    """``best_by_cosine`` for some QUERY_LIMIT queries at a time."""
+    parts, out = max(1, -(-q.select("query_id").distinct().count() // QUERY_LIMIT)), None
     for part in range(parts):
         own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        found = best_by_cosine(v, own, k, source[0] if source else None)
+        found = best_by_cosine(v, own, k, group)
         out = found if out is None else out.unionByName(found)
-    return top(out, ["query_id"], [F.desc("score"), F.col("id")], k)
+    return out
 
 
 def terms(text: Column) -> Column:

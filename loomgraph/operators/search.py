@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranking import K1, B
-from .recall import bm25, dot, knn, normalize_text, terms, top, with_rows
+from .recall import bm25, dot, knn, near_in_groups, normalize_text, terms, top, with_rows
 from ..storage import Scratch
 from .relevance import is_boilerplate, lexical_relevance, query_terms
 from .stored import Postings
@@ -88,9 +88,9 @@ def ann(queries: DataFrame, path: str, k: int, nprobes: int = 16) -> DataFrame:
     q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where(F.forall("q", _finite) & (dot("q", "q") > 0))
     near = q.crossJoin(F.broadcast(spark.read.parquet(f"{path}/centers")))  # one row per cell
     near = top(near, ["query_id"], [F.desc(dot("q", "center")), F.col("cell")], nprobes).select("query_id", "q", "cell")
-    found = spark.read.parquet(f"{path}/cells").join(near, "cell").where(F.size("q") == F.size("v"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))))
-    return top(found.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
+    near = Scratch(spark, "ann").save(near.withColumn("qn", F.sqrt(dot("q", "q"))), "near")  # nprobes rows a query
+    cells = spark.read.parquet(f"{path}/cells").withColumn("vn", F.sqrt(dot("v", "v")))
+    return top(near_in_groups(near, cells, k, "cell"), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 LITERALS = 10_000  # literal terms up to which all are sent to every task; beyond them texts and terms meet by pairs of characters
