@@ -88,11 +88,13 @@ def extract_batches(chunks: DataFrame, path: str, fn: Callable[[str], Found] = t
     cut = left.withColumn("batch", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, batches)))).withColumn("_part", F.pmod(F.hash("chunk_id"), F.lit(tasks)))
     cut.repartition("batch", "_part").drop("_part").write.partitionBy("batch").parquet(f"{scratch.root}/cut")
     scratch.drop("left")
-    kinds = f"{CHUNK}, content string, batch long"
-    for b in range(batches):
+    # Each batch is read by its folder: a filter on the whole cut would list all files for every batch, and send the lists to the driver.
+    where, files = _files(spark, f"{scratch.root}/cut")
+    folders = sorted(str(s.getPath()) for s in files.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith("batch="))
+    for folder in folders:
         if pause():
             break
-        batch = spark.read.schema(kinds).parquet(f"{scratch.root}/cut").where(F.col("batch") == b).drop("batch")
+        batch = spark.read.schema(f"{CHUNK}, content string").parquet(folder)
         new = f"{path}/raw/_{uuid.uuid4().hex}"  # readers pass over such names
         _extract(batch, fn).write.parquet(new)
         source, files = _files(spark, new)

@@ -122,3 +122,15 @@ def test_ingestion_end_to_end_can_be_repeated(spark, tmp_path, whole):
     more = ROWS + [("late", "s1", "d9", 0, "Dora came")]
     assert ingestion.ingest(chunks(spark, more), path, buckets=4)["vectors"] == 1
     assert merged(spark, f"{path}/vectors").count() == merged(spark, f"{path}/events").count() == 61
+
+
+def test_a_batch_lists_no_files_of_other_batches(spark, tmp_path, monkeypatch):
+    real, seen = ingestion._extract, []
+
+    def listed(batch, fn):
+        seen.append(set(batch.inputFiles()))
+        return real(batch, fn)
+
+    monkeypatch.setattr(ingestion, "_extract", listed)
+    assert ingestion.extract_batches(chunks(spark), str(tmp_path), per_task=1)["processed"] == 61
+    assert len(seen) > 3 and all(seen) and sum(map(len, seen)) == len(set.union(*seen))
