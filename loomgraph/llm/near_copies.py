@@ -1,8 +1,8 @@
 """Near copies by long SimHash fingerprints in several tries; exact similarity of word shingles decides.
 
-Each word of a fingerprint has a trie of its own, whose traversal gives candidates within a small budget of differing bits. Every candidate that counts
-has its shingles compared. The first round proposes a spanning forest of the candidates; later rounds propose pairs of texts that are not connected
-yet, a few for each two groups, then eight times as many, until no two groups have a pair that was not compared.
+Each word of a fingerprint has a trie of its own, whose traversal gives a spanning forest of the candidates within a small budget of differing bits; their
+shingles are compared. What a group of candidates leaves apart is searched again, whole: a text stands there for the shingles by which it differs from most
+texts of the group. Two near texts have few such differences or share many, so rare differences lead to the pairs, and their shingles are compared too.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ SLACK = 0.08  # of similarity that the fingerprints of candidates may fall short
 FAR = 22  # bits of 64 that candidates may differ in; two texts of similarity .8 differ in ten, standard deviation three
 CUT, CELL = 4, 1 << 19  # bits at which tries are cut into tasks at least; fingerprints of a cut node
 ROWS, BYTES = 256, 1 << 20  # texts whose shingles a task holds at once
-FEW = 8  # pairs proposed for two groups in the second round, and times as many in each later one
+FEW = 8  # texts of a group up to which all its pairs of different labels are compared
+EVEN = 1e-6  # by which sums of differences may seem larger than they are
 
 
 def opened(level: int) -> int:
@@ -121,8 +122,8 @@ def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, labels: np.ndarray) ->
         taken.append(pick)
 
 
-def _compare(bits: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, labels: np.ndarray, spanning: bool):
-    """Near pairs of rows i and j of ``bits`` whose labels differ; in a spanning search labels of what is found meet at once."""
+def _compare(bits: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, labels: np.ndarray):
+    """Near pairs of rows i and j of ``bits`` whose labels differ; labels of what is found meet at once."""
     own = len(i) == len(j) and i[0] == j[0]
     out = []
     for p, row in enumerate(i):
@@ -132,7 +133,7 @@ def _compare(bits: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, labels:
             continue
         far = np.bitwise_count(bits[others] ^ bits[row]).sum(axis=1, dtype=np.int64)
         near = np.flatnonzero(far <= most)
-        if spanning and len(near):
+        if len(near):
             _, first = np.unique(labels[others[near]], return_index=True)
             near = near[first]
             met = np.append(labels[others[near]], labels[row])
@@ -144,27 +145,14 @@ def _compare(bits: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, labels:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _first_of_groups(i, j, far, labels, limit):
-    """(indices of the ``limit`` nearest pairs for each two labels, whether there were more)."""
-    a, b = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
-    order = np.lexsort((j, i, far, b, a))
-    a, b = a[order], b[order]
-    start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
-    place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-    return order[place < limit], bool((place >= limit).any())
-
-
-def proposals(classes: DataFrame, n: int, most: int, limit: int | None) -> DataFrame:
-    """(a, b, more) of ``classes(shape, bits, label)``: pairs of shapes with different labels whose fingerprints differ in ``most`` bits or fewer.
-
-    Without a limit they are a spanning forest of each task's pairs; with one, as many of each two labels, and ``more`` says that a task had others.
-    """
+def proposals(classes: DataFrame, n: int, most: int) -> DataFrame:
+    """(a, b) of ``classes(shape, bits)``: a spanning forest of each task's pairs of shapes whose fingerprints differ in ``most`` bits or fewer."""
     depth, deepest = max(CUT, (n // CELL).bit_length()), max(n.bit_length(), CUT)
     masks = [sum(1 << x for x in bits) for k in range(min(opened(depth), depth) + 1) for bits in combinations(range(depth), k)]
     node = F.shiftrightunsigned(F.element_at("bits", F.col("trie") + 1), 64 - depth)
-    dealt = classes.select("bits", "shape", "label", F.explode(F.array(*map(F.lit, range(TRIES)))).alias("trie")).withColumn("node", node)
+    dealt = classes.select("bits", "shape", F.explode(F.array(*map(F.lit, range(TRIES)))).alias("trie")).withColumn("node", node)
     dealt = dealt.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-    dealt = dealt.select("trie", F.least("node", "other").alias("left"), F.greatest("node", "other").alias("right"), (F.col("node") > F.col("other")).alias("second"), "bits", "shape", "label")
+    dealt = dealt.select("trie", F.least("node", "other").alias("left"), F.greatest("node", "other").alias("right"), (F.col("node") > F.col("other")).alias("second"), "bits", "shape")
 
     def traverse(key, table):
         table = table.combine_chunks()
@@ -172,15 +160,15 @@ def proposals(classes: DataFrame, n: int, most: int, limit: int | None) -> DataF
         word = bits[:, key[0].as_py()]
         order = np.argsort(word, kind="stable")
         word, bits, name, second = word[order], bits[order], table.column("shape").to_numpy()[order], table.column("second").to_numpy(zero_copy_only=False)[order]
-        labels = np.unique(table.column("label").to_numpy()[order], return_inverse=True)[1]
+        labels = np.unique(name, return_inverse=True)[1]
         own = key[1].as_py() == key[2].as_py()
         a = np.arange(len(word)) if own else np.flatnonzero(~second)
         b = a if own else np.flatnonzero(second)
-        kept, more = (np.zeros(0, np.int64),) * 3, False
+        kept = (np.zeros(0, np.int64),) * 3
         for al, ah, bl, bh in node_pairs(word[a], None if own else word[b], depth, deepest):
             na, nb = ah - al, bh - bl
             big = na * nb > LEAF
-            found = [_compare(bits, a[al[k] : ah[k]], b[bl[k] : bh[k]], most, labels, limit is None) for k in np.flatnonzero(big)]
+            found = [_compare(bits, a[al[k] : ah[k]], b[bl[k] : bh[k]], most, labels) for k in np.flatnonzero(big)]
             la, lb, wb, count = al[~big], bl[~big], nb[~big], (na * nb)[~big]
             pair = np.repeat(np.arange(len(la)), count)
             k = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
@@ -190,17 +178,12 @@ def proposals(classes: DataFrame, n: int, most: int, limit: int | None) -> DataF
             far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             close = far <= most
             i, j, far = i[close], j[close], far[close]
-            if limit is None:
-                pick = forest(i, j, far, labels)
-                found.append((i[pick], j[pick], far[pick]))
-                kept = tuple(np.concatenate(x) for x in zip(kept, *found, strict=True))
-            else:
-                every = tuple(np.concatenate(x) for x in zip(kept, *found, (i, j, far), strict=True))
-                pick, cut = _first_of_groups(*every, labels, limit)
-                kept, more = tuple(x[pick] for x in every), more or cut
-        return pa.table({"a": name[kept[0]], "b": name[kept[1]], "more": pa.array([more] * len(kept[0]), pa.bool_())})
+            pick = forest(i, j, far, labels)
+            found.append((i[pick], j[pick], far[pick]))
+            kept = tuple(np.concatenate(x) for x in zip(kept, *found, strict=True))
+        return pa.table({"a": name[kept[0]], "b": name[kept[1]]})
 
-    return dealt.groupBy("trie", "left", "right").applyInArrow(traverse, "a long, b long, more boolean")
+    return dealt.groupBy("trie", "left", "right").applyInArrow(traverse, "a long, b long")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -217,6 +200,60 @@ def _sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     return texts.select("shape", "text").mapInArrow(run, "shape long, shingles array<long>")
 
 
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingles have the similarity."""
+    left, right = (sets.select(F.col("shape").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
+    both = F.size(F.array_intersect("as", "bs"))
+    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("as") + F.size("bs") - both)).select("a", "b")
+
+
+def _labelled(rows: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+    """``rows(shape)`` with the component of its shape as ``name``, itself where it has no other."""
+    if roots is None:
+        return rows.withColumn(name, F.col("shape"))
+    return rows.join(roots.select(F.col("node").alias("shape"), F.col("component").alias("_root")), "shape", "left").withColumn(name, F.coalesce("_root", "shape")).drop("_root")
+
+
+def differences(members: DataFrame, similarity: float) -> DataFrame:
+    """(g, shape, diff, over, inner, center, other) of ``members(g, n, shape, shingles)``.
+
+    ``diff`` has the shingles by which a text differs from those that more than half of the n texts of its group have. x and y have the similarity if
+    and only if they share (over(x) + over(y)) / 2 of their differences. The text of smallest ``over`` is the center; ``inner`` texts are near to it whatever they
+    share, and two that need not share any are both inner. ``other`` is the smallest ``over`` among the texts that a text is compared with.
+    """
+    shingles = members.select("g", "n", F.explode("shingles").alias("shingle")).groupBy("g", "shingle").agg(F.count("*").alias("df"), F.first("n").alias("n"))
+    common = shingles.where("2 * df > n").groupBy("g").agg(F.collect_list("shingle").alias("common"))
+    both = members.join(common, "g", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    apart = F.concat(F.array_except("shingles", "common"), F.array_except("common", "shingles"))
+    over = F.size("diff") - F.lit((1 - similarity) / (1 + similarity)) * F.size("shingles")
+    rows = both.withColumn("diff", apart).select("g", "shape", "diff", over.alias("over"))
+    center = rows.groupBy("g").agg(F.min(F.struct("over", "shape")).alias("x")).select("g", F.col("x.over").alias("least"), F.col("x.shape").alias("center"))
+    inner = F.col("over") + F.col("least") <= EVEN
+    outer = rows.join(center, "g").where(~inner).groupBy("g").agg(F.min("over").alias("outer"))
+    return rows.join(center.join(outer, "g", "left"), "g").withColumn("inner", inner).withColumn("other", F.when(inner, F.col("outer")).otherwise(F.col("least"))).drop("least", "outer")
+
+
+def sharing(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``differences`` with ``label``: those of different labels, one of them not inner, that share enough differences.
+
+    Differences that occur under one label are shared by no such pair. Of the others, rare ones first, a pair's first shared one leaves as many as the two must share;
+    pairs that meet there have all of theirs counted where they meet, so that only near ones come out.
+    """
+    rows = rows.where("other is not null")
+    each = rows.select("g", "shape", "label", F.explode("diff").alias("token"))
+    shared = each.groupBy("g", "token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g", "token", "df")
+    listed = each.join(shared, ["g", "token"]).groupBy("g", "shape").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    placed = rows.drop("diff").join(listed, ["g", "shape"]).select("*", F.posexplode("shared").alias("place", "x")).withColumn("left", F.size("shared") - F.col("place"))
+    least = lambda x, y: F.ceil((x + y) / 2 - F.lit(EVEN))
+    placed = placed.where(F.col("left") >= least(F.col("over"), F.col("other"))).select("g", F.col("x.token").alias("token"), "shape", "label", "over", "inner", "left", F.col("shared.token").alias("all"))
+    x, y = (placed.select("g", "token", *[F.col(c).alias(f"{c}_{k}") for c in ("shape", "label", "over", "inner", "left", "all")]) for k in "xy")
+    once = F.col("inner_y") | (F.col("shape_x") < F.col("shape_y"))
+    most = F.when(least(F.col("over_x"), F.col("over_y")) <= F.least("left_x", "left_y"), F.size(F.array_intersect("all_x", "all_y")))
+    enough = least(F.col("over_x"), F.col("over_y")) <= most
+    met = x.where("not inner_x").join(y, ["g", "token"]).where((F.col("label_x") != F.col("label_y")) & once & enough)
+    return met.select(F.least("shape_x", "shape_y").alias("a"), F.greatest("shape_x", "shape_y").alias("b")).distinct()
+
+
 def _with_groups(docs: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(rid, doc_id, label) of ``docs(rid, doc_id, text)``: texts of a label are connected by pairs of ``similarity`` or more."""
     most = most_bits(similarity - SLACK)
@@ -231,30 +268,28 @@ def _with_groups(docs: DataFrame, shingle: int, similarity: float, scratch: Scra
 
     marks = scratch.save(docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, shape long, bits array<long>"), "marks")
     classes = scratch.save(marks.groupBy("shape").agg(F.min(F.struct("rid", "bits")).alias("x")).select("shape", "x.*"), "classes")
-    n, limit, k = classes.count(), None, 0
-    edges, roots = None, None
-    now = classes.withColumn("label", F.col("shape"))
-    while True:
-        pairs = scratch.save(proposals(now, n, most, limit), f"pairs{k}")
-        more = pairs.where("more").limit(1).count() > 0
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if limit is None:
-            near = pairs.select(F.explode(F.array("a", "b")).alias("shape")).distinct()
-            candidates = scratch.save(classes.join(near, "shape"), "candidates")
-            sets = scratch.save(_sets(docs, candidates, shingle), "sets")
-        left, right = (sets.select(F.col("shape").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
-        both = F.size(F.array_intersect("as", "bs"))
-        true = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("as") + F.size("bs") - both)).select("a", "b")
-        true = scratch.save(true, f"true{k}")
-        found = not true.isEmpty()
-        if found:
+    pairs = scratch.save(proposals(classes, classes.count(), most), "proposed").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = pairs.select(F.explode(F.array("a", "b")).alias("shape")).distinct()
+    sets = scratch.save(_sets(docs, classes.join(near, "shape"), shingle), "sets")
+    edges, roots, k = None, None, 0
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal edges, roots, k
+        true = scratch.save(_near(pairs, sets, similarity), f"true{k}")
+        if not true.isEmpty():
             edges = true if edges is None else edges.unionByName(true)
             roots = connected_components(edges, scratch, f"cc{k}")
         k += 1
-        if limit is not None and not more:
-            break
-        limit = FEW if limit is None else limit * FEW
-        now = candidates.withColumn("label", F.col("shape")) if roots is None else candidates.join(roots, candidates.shape == roots.node, "left").select("shape", "bits", F.coalesce("component", "shape").alias("label"))
+
+    compare(pairs)
+    members = _labelled(_labelled(sets, connected_components(pairs, scratch, "candidates"), "g"), roots, "label")
+    apart = members.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 2 and x <> y").select("g", "n")
+    members = scratch.save(members.join(apart, "g"), "apart")
+    x, y = (members.where(F.col("n") <= FEW).select("g", F.col("shape").alias(a), F.col("label").alias(f"{a}_label")) for a in "ab")
+    rows = scratch.save(differences(members.where(F.col("n") > FEW), similarity), "differences")
+    inner = rows.where("inner and shape <> center").select(F.least("shape", "center").alias("a"), F.greatest("shape", "center").alias("b"))
+    compare(x.join(y, "g").where("a < b and a_label <> b_label").select("a", "b").unionByName(inner))
+    compare(scratch.save(sharing(_labelled(rows, roots, "label")), "sharing"))
     if roots is None:
         return marks.select("rid", "doc_id", F.col("shape").alias("label"))
     return marks.join(roots, marks.shape == roots.node, "left").select("rid", "doc_id", F.coalesce("component", "shape").alias("label"))

@@ -63,6 +63,28 @@ def test_small_rounds_find_what_large_ones_do(spark, monkeypatch):
     assert {tuple(r) for r in near_copies.similar_groups(df).collect()} == many
 
 
+def test_pairs_of_a_group_below_the_similarity_are_few(spark, monkeypatch):
+    """Copies of one text that are .7 to .8 alike, some of them near to some others: the links of all pairs, but not all pairs."""
+    r, text, rows, made = np.random.default_rng(4), [f"w{x}" for x in np.random.default_rng(1).integers(0, 5000, 150)], [], {}
+    for k in range(400):
+        w = list(text)
+        for at in r.choice(150, r.integers(2, 6), False):
+            w[at] = f"new{r.integers(0, 300)}"
+        rows.append((k, " ".join(w)))
+
+    def save(self, df, name, *more):
+        out = whole(self, df, name, *more)
+        if {"a", "b"} <= set(df.columns):
+            made[name] = out.count()
+        return out
+
+    whole = near_copies.Scratch.save
+    monkeypatch.setattr(near_copies.Scratch, "save", save)
+    got = {x.doc_id: x.component_id for x in near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert [got[k] for k in range(400)] == exact_groups(rows)
+    assert sum(made.values()) < 30 * 400  # of 79,800
+
+
 def test_no_text_is_lost_under_a_shared_id(spark):
     a, b = (" ".join(f"{p}{k}" for k in range(60)) for p in "ab")
     kept = near_copies.drop_near_copies(spark.createDataFrame([(5, a), (5, b), (3, b), (9, a)], "doc_id long, text string")).collect()
