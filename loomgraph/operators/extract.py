@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PIECE = 256  # texts that a model is given at once
 EVENTS = "chunk_id string, position int, title string, entities array<string>, error string"
 
 
@@ -101,12 +103,13 @@ def hashed(texts: pd.Series, size: int = 64) -> list[list[float]]:
 
 
 def embed(df: DataFrame, column: str, make: Callable[[], Callable[[pd.Series], list[list[float]]]] = lambda: hashed, name: str = "v") -> DataFrame:
-    """``df`` with vectors of a text column; ``make`` loads the model, once for each task."""
+    """``df`` with vectors of a text column; ``make`` loads the model, once for each task, and gets up to PIECE texts at a time."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for texts in batches:
-            yield pd.Series(model(texts))
+            for k in range(0, len(texts), PIECE):
+                yield pa.array(model(texts.slice(k, PIECE).to_pandas()), pa.list_(pa.float64()))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(name, F.pandas_udf(run, "array<double>")(column))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(name, F.arrow_udf(run, "array<double>")(column))

@@ -184,6 +184,13 @@ def test_extraction_checkpoints_and_embedding(spark):
     assert v[1] == v[3] and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and not any(v[2])
 
 
+def test_a_model_gets_few_texts_at_a_time(spark):
+    docs = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("text"))
+    rows = extract.embed(docs, "text", lambda: lambda texts: [[float(len(texts)), float(t or -1)] for t in texts]).collect()
+    assert [(r.id, r.v[1]) for r in rows] == [(k, float(k) if k % 7 else -1.0) for k in range(1000)]
+    assert max(r.v[0] for r in rows) <= 256
+
+
 def test_chunks_keep_their_cap_and_parents(spark):
     text = "\n".join(f"line {i} " + "words " * (i % 9) for i in range(200)) + "\n# Head\n```\ncode\n\n  more\n```\n" + "| a | b |\n|---|---|\n| 1 | 2 |\n" + "Part one. Part two."
     for cap in (20, 64, 200):
