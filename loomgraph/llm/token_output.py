@@ -343,8 +343,7 @@ class Pieces:
 
         self.tokenizer, self.splits = tokenizer, splits_words(tokenizer)
         if self.splits:  # for words that are in lower case and composed already
-            self.plain = Tokenizer.from_str(tokenizer.to_str())
-            self.plain.normalizer = None
+            self.plain = Tokenizer(tokenizer.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(_IDS, bool)
             self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -463,6 +462,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
         for b in slices(batches, 1, ROWS, TEXT):
             sizes, ids = token_ids(b.column(1), known)
             made = pack(b.column(0).fill_null(NULL_ID).to_numpy(), sizes, ids)
+            pa.default_memory_pool().release_unused()  # a worker that waits should not hold what it no longer needs
             for n, segment in made:
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([segment], pa.binary())], names=["part", "seq", "n_ids", "segment"])
                 seq += 1
