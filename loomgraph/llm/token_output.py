@@ -339,24 +339,29 @@ class Pieces:
     """Ids of pieces of text; those of some KEPT words are remembered, then all are forgotten and gathered anew."""
 
     def __init__(self, tokenizer):
+        self.splits, self.ends = splits_words(tokenizer), np.zeros(_IDS, bool)
+        if self.splits:
+            self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.use(tokenizer)
+        self._forget()
+
+    def use(self, tokenizer) -> None:
+        """Takes the tokenizer for what is not known yet; with None, none is held."""
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.splits = tokenizer, splits_words(tokenizer)
-        if self.splits:  # for words that are in lower case and composed already
+        self.tokenizer = self.plain = tokenizer
+        if tokenizer and self.splits:  # for words that are in lower case and composed already
             self.plain = Tokenizer(tokenizer.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.ends = np.zeros(_IDS, bool)
-            self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self._forget()
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.string())
-        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.lengths, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per piece, ids)."""
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.fromiter(map(len, coded), np.int64, len(coded)), np.array([x for ids in coded for x in ids], np.uint16)
+        return np.fromiter(map(len, coded), np.int32, len(coded)), np.array([x for ids in coded for x in ids], np.uint16)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_each``, of words of lower-case letters, which are encoded as one text."""
@@ -364,7 +369,7 @@ class Pieces:
         ends = np.flatnonzero(self.ends[ids])
         if len(ends) != len(words):
             return self._each(words)
-        return np.diff(ends, prepend=-1), ids
+        return np.diff(ends, prepend=-1).astype(np.int32), ids
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """The number of each piece in ``known``."""
@@ -410,11 +415,14 @@ _KNOWN: dict[str, Pieces] = {}
 
 def remembered(tokenizer_path: str) -> Pieces:
     """The words that this process knows of a tokenizer; the tasks of a Python worker share them."""
-    if tokenizer_path not in _KNOWN:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    if tokenizer_path in _KNOWN:
+        _KNOWN[tokenizer_path].use(tokenizer)
+    else:
         _KNOWN.clear()
-        _KNOWN[tokenizer_path] = Pieces(Tokenizer.from_file(tokenizer_path))
+        _KNOWN[tokenizer_path] = Pieces(tokenizer)
     return _KNOWN[tokenizer_path]
 
 
@@ -466,6 +474,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
             for n, segment in made:
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([segment], pa.binary())], names=["part", "seq", "n_ids", "segment"])
                 seq += 1
+        known.use(None)  # a worker that waits holds words only
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.withColumn("copy", F.monotonically_increasing_id())  # rows that repeat a row may be cut apart; their order makes no difference
