@@ -1,8 +1,8 @@
 """A stored BM25 index by sources: postings in blocks by impact, top-k within the sources that a query names, blocks skipped by their bounds.
 
 Next to the blocks lie the chunks' words by rows. Queries whose terms have more postings together than there are words, so that blocks would be read for many of them, are
-scored in one pass over the rows. Statistics are kept for each source, so that a query scores as over a table of its sources only. A block holds postings of one term and source, those of
-highest impact first; a term with very many postings is cut into slices, each in blocks of its own, so that no task ranks or writes a whole one.
+scored in one pass over the rows. Statistics are kept for each source, so that a query scores as over a table of its sources only. A block holds postings of one term and source that are near
+by impact among those of a slice: a task cuts full blocks from its own slices, only what they leave over is put together (``blocks``), so no task ranks or writes a whole term.
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
+from .blocks import cut_lots, meet
 from .ranking import K1, B, best_of_rows
 from .recall import terms, top
 
-BLOCK, SLICE = 256, 1 << 16  # postings of a block, and of a slice of a term
+BLOCK, SLICE = 256, 1 << 20  # postings of a block, and words or postings that a task ranks at a time
 FOLDER = 1 << 22  # postings of a folder of a source, on average
 LISTED = 1000  # sources that are named in a filter on folders; beyond them folders are pruned by the join
 SOURCE = "source_config_id"
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def _folder(source: Column) -> Column:
@@ -42,37 +43,36 @@ def write_postings(chunks: DataFrame, path: str, now: str) -> None:
     """
     spark, scratch = chunks.sparkSession, Scratch(chunks.sparkSession, "postings")
     rows = chunks.select(F.coalesce(SOURCE, F.lit("")).alias(SOURCE), "chunk_id", F.lower(F.coalesce("content", F.lit(""))).alias("content"))
-    # Dealt out by chunk, words are counted where they are: rows are shuffled, not words.
-    whole = rows.repartition(SOURCE, "chunk_id").select(SOURCE, "chunk_id", terms(F.col("content")).alias("w")).select(SOURCE, "chunk_id", F.size("w").alias("dl"), "w")
-    words = whole.select(SOURCE, "chunk_id", "dl", F.explode("w").alias("term"))
-    found = scratch.save(words.groupBy(SOURCE, "chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "found")
-    stats = rows.groupBy(SOURCE).agg(F.count("*").alias("rows"), F.sum(F.regexp_count("content", F.lit("[a-z0-9]+"))).alias("tokens"))
+    # The table is read once, and its texts are shuffled once, to the words' folders; all else comes from these.
+    share = F.pmod(F.xxhash64("chunk_id"), F.lit(spark.sparkContext.defaultParallelism))
+    whole = rows.repartition(SOURCE, share).withColumn("folder", _folder(F.col(SOURCE))).sortWithinPartitions("folder")
+    whole = whole.select("folder", SOURCE, "chunk_id", terms(F.col("content")).alias("w")).select(SOURCE, "chunk_id", F.size("w").alias("dl"), "w", "folder")
+    whole.write.mode("overwrite").partitionBy("folder").option("compression", "zstd").parquet(f"{path}/words")
+    read = lambda kind: spark.read.schema(_SCHEMAS[kind]).parquet(f"{path}/{kind}")
+    words = read("words").drop("folder")
+    stats = words.groupBy(SOURCE).agg(F.count("*").alias("rows"), F.sum("dl").alias("tokens"))
     stats.withColumn("built_at", F.lit(now).cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    # Rows of an id that repeats within a source count together where their lengths are equal; rows of the others are scored one by one.
-    repeated = scratch.save(rows.groupBy(SOURCE, "chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(SOURCE, "chunk_id"), "repeated")
-    if repeated.isEmpty():
-        share = F.pmod(F.xxhash64("chunk_id"), F.lit(spark.sparkContext.defaultParallelism))
-        whole = whole.where("dl > 0").withColumn("folder", _folder(F.col(SOURCE))).repartition(SOURCE, share).sortWithinPartitions("folder")
-        whole.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/words")
-    df = found.groupBy(SOURCE, "term").agg(F.count("*").alias("df"))
-    most = df.groupBy(SOURCE).agg(F.sum("df").alias("n")).agg(F.max("n")).first()[0] or 0
+    # Rows of an id that repeats within a source count together where their lengths are equal; a search scores rows of the others one by one.
+    repeated = scratch.save(words.groupBy(SOURCE, "chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col(SOURCE).alias("_source"), F.col("chunk_id").alias("_chunk")), "repeated")
+    single = repeated.isEmpty()
+    base = words.select(SOURCE, "chunk_id", "dl", F.lit(1).alias("tf"), "w").where("dl > 0")
+    if not single:
+        same = (F.col(SOURCE) == F.col("_source")) & F.col("chunk_id").eqNullSafe(F.col("_chunk"))
+        more = words.join(repeated, same, "left_semi").select(SOURCE, "chunk_id", "dl", F.explode("w").alias("term"))
+        more = scratch.save(more.groupBy(SOURCE, "chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "more")
+        base = base.join(repeated, same, "left_anti").unionByName(more.withColumn("w", F.array("term")).drop("term"))
+    most = base.groupBy(SOURCE).agg(F.sum(F.size(F.array_distinct("w"))).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    most, every = most[0] or 0, most[1] or 0
     buckets = 1 << max(0, (most // FOLDER).bit_length())
-    df = df.withColumn("bucket", _bucket(F.col("term"), buckets))
-    df.withColumn("folder", _folder(F.col(SOURCE))).repartition(SOURCE, "bucket").sortWithinPartitions(SOURCE, "bucket", "term").write.mode("overwrite").partitionBy("folder", "bucket").parquet(f"{path}/df")
-    slices = df.where(F.col("df") > SLICE).select(SOURCE, "term", (F.floor(F.col("df") / SLICE) + 1).alias("slices"))
     means = spark.read.parquet(f"{path}/stats").select(SOURCE, (F.col("tokens") / F.col("rows")).alias("avgdl"))
-    rows = found.join(slices, [SOURCE, "term"], "left").join(means, SOURCE)
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.coalesce("slices", F.lit(1)))).withColumn("bucket", _bucket(F.col("term"), buckets))
-    ranks = Window.partitionBy(SOURCE, "term", "slice").orderBy(F.desc(_impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), "chunk_id")
-    rows = rows.withColumn("block", F.col("slice") * (SLICE // BLOCK * 4) + F.floor((F.row_number().over(ranks) - 1) / BLOCK))
-    blocks = rows.groupBy(SOURCE, "bucket", "term", "slice", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("postings")  # BLOCK of them
-    )
-    # Folders of a source are written by as many tasks as it has slices or shares of terms; equal terms of a task lie together.
-    dealt = blocks.repartition(SOURCE, "bucket", "slice", F.pmod(F.xxhash64("term"), F.lit(max(1, int(most // (4 * FOLDER)) + 1))))
-    dealt = dealt.withColumn("folder", _folder(F.col(SOURCE)))
-    dealt.sortWithinPartitions(SOURCE, "bucket", "term", "block").drop("slice").write.mode("overwrite").partitionBy("folder", "bucket").parquet(f"{path}/blocks")
-    spark.createDataFrame([(buckets, repeated.isEmpty())], "buckets int, words boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    # Folders of a source are written by as many tasks as it has shares of terms.
+    packed = cut_lots(base.join(means, SOURCE), BLOCK, SLICE, buckets, int(4 * most // (buckets * FOLDER)) + 1)
+    dealt, tasks = [SOURCE, "bucket", "share"], max(int(2 * every // FOLDER), spark.sparkContext.defaultParallelism)  # by postings: packed rows are far smaller than what they hold
+    blocks = meet(packed.repartition(tasks, *dealt).sortWithinPartitions(*dealt), BLOCK).withColumn("folder", _folder(F.col(SOURCE)))
+    blocks.sortWithinPartitions("folder", "bucket", "term", "block").write.mode("overwrite").partitionBy("folder", "bucket").option("compression", "zstd").parquet(f"{path}/blocks")
+    df = read("blocks").select(SOURCE, "term", "n", "folder", "bucket").repartition(SOURCE, "bucket").groupBy(SOURCE, "bucket", "term", "folder").agg(F.sum("n").alias("df"))
+    df.sortWithinPartitions("folder", "bucket", "term").write.mode("overwrite").partitionBy("folder", "bucket").option("compression", "zstd").parquet(f"{path}/df")
+    spark.createDataFrame([(buckets, single)], "buckets int, words boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     scratch.drop("")
 
 
