@@ -66,12 +66,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None, only: DataFrame | None = None) -> DataFrame:
     """BM25 top-k of ``chunks(chunk_id, content)`` for ``queries(query_id, text)``; score/2 clamped to [0, 1], ties by chunk_id.
 
     For a single batch of queries: only their terms take part, and what is shuffled grows with the words of chunks whose id repeats, not with pairs of queries and
-    chunks. Rows of one id add up. ``search.bm25_index`` keeps postings for several.
+    chunks. Rows of one id add up. ``search.bm25_index`` keeps postings for several. With k None all chunks that share a term with a query are scored, without rn; the pairs
+    ``only(query_id, chunk_id)`` can be named then, and statistics are still those of all chunks.
     """
+    if only is not None and k is not None:
+        raise ValueError("pairs are scored without a limit")
     scratch = Scratch(chunks.sparkSession, "bm25")
     wanted = scratch.save(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "wanted")
     n, tokens = chunks.agg(F.count("*"), F.sum(F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit("[a-z0-9]+")))).first()
@@ -86,14 +89,38 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     avgdl = F.lit(float((tokens or 0) / (n or 1)) or 1.0)
     weights = scratch.save(wanted.join(df, "term").select("query_id", "term", idf.alias("idf"), avgdl.alias("avgdl")), "weights")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if k is None:
+        some = words if only is None else words.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        tf = some.select("chunk_id", "dl", F.explode("w").alias("term")).join(own, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        met = tf.join(F.broadcast(weights), "term")
+        met = met if only is None else met.join(only.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
+        return met.groupBy("query_id", "chunk_id").agg(F.least(F.lit(1.0), F.sum(part) / 2).alias("score"))
     scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", "chunk_id").agg((F.sum(part) / 2).alias("raw"))
     scored = scored.unionByName(best_of_rows(single, weights, k))
     return top(scored, ["query_id"], [F.desc(F.round("raw", 9)), F.col("chunk_id")], k).select("query_id", "chunk_id", F.least(F.lit(1.0), "raw").alias("score"), "rn")
 
 
-def with_rows(found: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``found``, k rows a query, with the columns of ``rows`` of the same key; the found ones are sent to the rows, which are not shuffled."""
-    return rows.join(F.broadcast(found), key)
+def with_rows(found: DataFrame, rows: DataFrame, key: str | list[str] = "chunk_id", sent: bool = True) -> DataFrame:
+    """``found``, k rows a query, with the columns of ``rows`` of the same key; the found ones are sent to the rows, which are not shuffled. Without ``sent`` there may be any number."""
+    return rows.join(F.broadcast(found) if sent else found, key)
+
+
+def holding(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of ``phrases(query_id, phrase)`` and the rows of ``chunks(chunk_id, content)`` that hold the phrase word for word, in any case.
+
+    The longest of a phrase's words that end within it leads to the chunks with that word; phrases without one are compared with all chunks. Phrases are sent to the chunks,
+    which are not shuffled.
+    """
+    scratch = Scratch(chunks.sparkSession, "phrases")
+    asked = scratch.save(phrases.select("query_id", F.lower("phrase").alias("phrase")).where("phrase IS NOT NULL"), "asked")
+    inner = F.regexp_extract_all("phrase", F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), 0)
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sent = scratch.save(asked.select("phrase").distinct().withColumn("word", longest), "sent")
+    rows = chunks.select("chunk_id", F.lower("content").alias("low"))
+    by_word = rows.withColumn("word", F.explode(F.array_distinct(terms(F.col("low"))))).join(F.broadcast(sent.where("word IS NOT NULL")), "word").where(F.contains(F.col("low"), F.col("phrase")))
+    rest = rows.join(F.broadcast(sent.where("word IS NULL")), F.contains(F.col("low"), F.col("phrase")))
+    found = by_word.select("phrase", "chunk_id").unionByName(rest.select("phrase", "chunk_id"))
+    return found.join(asked, "phrase").select("query_id", "chunk_id")
 
 
 def grep(patterns: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import VISIBLE
 from ..operators import catalog, chunking, explore, recall, relevance, work
+from ..storage import Scratch
 from .registry import _BM25, _COS, AS_OF, _benchmark_queries, query
 
 _TERMS = "list_filter(regexp_extract_all(lower(trim(text)), '[a-z0-9][a-z0-9_.+-]{1,31}|[\\x{3400}-\\x{9fff}]{2,16}'), lambda t: NOT regexp_full_match(t, '[0-9]+'))"
@@ -265,13 +266,14 @@ def hyperedge_search(t):
 
 
 @query(f"""WITH FIX, {_BM25}, v AS (SELECT * FROM (SELECT item_id AS query_id, 'd'||b.vec_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY greatest(0.0, least(1.0, {_COS})) DESC, 'd'||b.vec_id) AS rn FROM benchmark JOIN embeddings AS a ON a.vec_id = item_id * 12, embeddings AS b) WHERE rn <= 3),
-p AS (SELECT query_id, chunk_id FROM bm JOIN ch USING (chunk_id) JOIN q USING (query_id) WHERE contains(lower(content), lower(substring(text, 1, 40))))
+p AS (SELECT query_id, chunk_id FROM sc JOIN ch USING (chunk_id) JOIN q USING (query_id) WHERE contains(lower(content), lower(substring(text, 1, 40))))
 SELECT query_id, chunk_id, FALSE AS fallback FROM p UNION ALL SELECT query_id, chunk_id, TRUE FROM v WHERE query_id NOT IN (SELECT query_id FROM p)""")
 def search_with_fallback(t):
-    """Lines that hold the beginning of a query word for word; nearest documents for queries without one."""
+    """All lines that hold the beginning of a query word for word and share a term with it; nearest documents for queries without one."""
     queries = _benchmark_queries(t)
-    hits = recall.with_rows(recall.bm25(queries, t.chunks(), 24), t.chunks().select("chunk_id", "content")).join(queries, "query_id")
-    precise = hits.where(F.contains(F.lower("content"), F.lower(F.substring("text", 1, 40)))).select("query_id", "chunk_id")
+    begun = Scratch(t.spark, "fallback").save(recall.holding(queries.select("query_id", F.substring("text", 1, 40).alias("phrase")), t.chunks()), "begun")
+    hits = recall.bm25(queries, t.chunks(), None, begun)
+    precise = recall.with_rows(hits, begun, ["query_id", "chunk_id"], sent=False).select("query_id", "chunk_id")
     vectors = t.raw("embeddings").selectExpr("'d'||vec_id AS id", "embedding AS v")
     asked = queries.join(t.raw("embeddings").selectExpr("vec_id", "embedding AS q"), F.col("query_id") * 12 == F.col("vec_id")).select("query_id", "q")
     return recall.search_with_fallback(precise, recall.knn(asked, vectors, 3).select("query_id", F.col("id").alias("chunk_id")))
